@@ -1,12 +1,50 @@
-"""The corpus pipeline: stages of training-data operators, each over all that its predecessor kept."""
+"""The corpus pipeline: stages of training-data operators, each over all that its predecessor kept.
+
+toxicity drops documents of score 0.7 or more; near_duplicates keeps one document of each group of similar texts (the smallest id);
+decontamination drops documents of which benchmark passages make up a twentieth or more of the words; secrets replaces secrets by a
+mark; packing cuts what is left into windows of token ids. Rows with a null doc_id pass the stages that decide by id.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from usagelake.llm import decontam, jaccard, packing, secret_scan, toxicity
+from usagelake.llm.common import written
+
+ORACLE_SQL = None  # neither a trained model nor tokenization can be said in SQL; tests hold the stages against brute force
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model, docs.columns, "_toxicity").where("_toxicity < 0.7").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    extra, _ = written(jaccard.near_duplicates(docs).where("not kept").select("doc_id"), "pipeline-extra-copies")
+    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=docs.columns)
+    return found.where(~F.col("_contaminated")).select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.redact(docs)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("secrets", redact_secrets), ("packing", pack_windows)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The stages over documents, each written and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs, _ = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

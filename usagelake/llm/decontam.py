@@ -78,33 +78,35 @@ def alignments(documents: DataFrame, items: DataFrame, n: int) -> DataFrame:
     return found.where("met >= need").select("doc_id", "ik", "shift")
 
 
-def phrase_matches(documents: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
-    """(doc_id, n_words, hits): one row per document; hits holds (first, end, item_id) of every window occurrence, in words."""
+def phrase_matches(documents: DataFrame, benchmark: DataFrame, n: int = 13, keep: list[str] = ("doc_id",)) -> DataFrame:
+    """The columns `keep`, _n_words and _hits: one row per document; _hits holds (first, end, item_id) of every window occurrence,
+    in words, null without any."""
     items = items_of(benchmark)
     found = alignments(documents, items, n).join(_bounded(items.select("ik", "item_id", "words")), "ik")
-    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("found"))
-    docs = documents.select("doc_id", "text").join(found, "doc_id", "left")
+    found = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("_found"))
+    docs = documents.select(*dict.fromkeys(["doc_id", "text", *keep]))
+    docs = docs.join(found, docs.doc_id == found._id, "left")
 
     def occurrences(c: Column) -> Column:
         width = F.least(F.lit(n), F.size(c["words"]))
-        same = lambda j: (c["shift"] + j >= 0) & (c["shift"] + j + width <= F.size("exact")) & (F.slice("exact", F.greatest(F.lit(1), c["shift"] + j + 1), width) == F.slice(c["words"], j + 1, width))
+        same = lambda j: (c["shift"] + j >= 0) & (c["shift"] + j + width <= F.size("_exact")) & (F.slice("_exact", F.greatest(F.lit(1), c["shift"] + j + 1), width) == F.slice(c["words"], j + 1, width))
         starts = F.filter(F.sequence(F.lit(0), F.size(c["words"]) - width), same)
         return F.transform(starts, lambda j: F.struct((c["shift"] + j).alias("first"), (c["shift"] + j + width).alias("end"), c["item_id"].alias("item_id")))
 
-    docs = docs.select("doc_id", "found", F.when(F.col("found").isNotNull(), words(F.col("text"))).alias("exact"), F.size(raw_words(F.col("text"))).cast("long").alias("n_words"))
-    return docs.select("doc_id", "n_words", F.when(F.col("found").isNotNull(), F.flatten(F.transform("found", occurrences))).alias("hits"))
+    docs = docs.select(*keep, "_found", F.when(F.col("_found").isNotNull(), words(F.col("text"))).alias("_exact"), F.size(raw_words(F.col("text"))).cast("long").alias("_n_words"))
+    return docs.select(*keep, "_n_words", F.when(F.col("_found").isNotNull(), F.flatten(F.transform("_found", occurrences))).alias("_hits"))
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20) -> DataFrame:
-    """(doc_id, n_words, n_hit, items, contaminated): words inside any occurrence, ids of the items that occur (sorted as strings);
-    contaminated: some word is hit and share * n_hit >= n_words."""
-    m = phrase_matches(documents, benchmark, n)
-    span = F.array_sort(F.transform("hits", lambda h: F.struct(h["first"].alias("a"), h["end"].alias("b"))))
+def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 13, share: int = 20, keep: list[str] = ("doc_id",)) -> DataFrame:
+    """The columns `keep`, then _n_words, _n_hit (words inside any occurrence), _items (ids of the items that occur, sorted as
+    strings) and _contaminated: some word is hit and share * _n_hit >= _n_words."""
+    m = phrase_matches(documents, benchmark, n, keep)
+    span = F.array_sort(F.transform("_hits", lambda h: F.struct(h["first"].alias("a"), h["end"].alias("b"))))
     step = lambda acc, h: F.struct((acc["n"] + F.greatest(F.lit(0), h["b"] - F.greatest(acc["end"], h["a"]))).cast("long").alias("n"), F.greatest(acc["end"], h["b"]).alias("end"))
     n_hit = F.coalesce(F.aggregate(span, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")), step, lambda acc: acc["n"]), F.lit(0))
-    ids = F.coalesce(F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"].cast("string")))), _no_words())
-    m = m.select("doc_id", "n_words", n_hit.cast("long").alias("n_hit"), ids.alias("items"))
-    return m.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+    ids = F.coalesce(F.array_sort(F.array_distinct(F.transform("_hits", lambda h: h["item_id"].cast("string")))), _no_words())
+    m = m.select(*keep, "_n_words", n_hit.cast("long").alias("_n_hit"), ids.alias("_items"))
+    return m.withColumn("_contaminated", (F.col("_n_hit") > 0) & (share * F.col("_n_hit") >= F.col("_n_words")))
 
 
 def proximity_matches(documents: DataFrame, benchmark: DataFrame, n: int = 13, slop: int = 5, share: float = 0.8) -> DataFrame:

@@ -279,12 +279,12 @@ def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, max_docs
     return BiGRU().fit([r.text for r in sample], [r.toxic for r in sample])
 
 
-def score(documents: DataFrame, model: BiGRU, keep: list[str] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` and score double: the maximum over all overlapping windows of the whole text."""
+def score(documents: DataFrame, model: BiGRU, keep: list[str] = ("doc_id",), out: str = "score") -> DataFrame:
+    """The columns `keep` and `out` double: the maximum over all overlapping windows of the whole text."""
     handle = documents.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary limits of fit
-    kept = documents.select(*keep, F.col("text").alias("_text"))
+    kept = documents.select(*keep, F.col("text").alias("_scored"))
     key = uuid.uuid4().hex
-    schema = kept.drop("_text").schema.add("score", "double", False)
+    schema = kept.drop("_scored").schema.add(out, "double", False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorers.get(key)
@@ -293,7 +293,7 @@ def score(documents: DataFrame, model: BiGRU, keep: list[str] = ("doc_id",)) ->
             scorer = _scorers[key] = Scorer(handle.value)
         for b in batches:
             if b.num_rows:
-                s = scorer.scores(b.column("_text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=[*b.schema.names[:-1], "score"])
+                s = scorer.scores(b.column(b.num_columns - 1).to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=[*b.schema.names[:-1], out])
 
     return kept.mapInArrow(run, schema)
