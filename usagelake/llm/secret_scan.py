@@ -80,24 +80,27 @@ def battery(token: Column, shares: dict[str, float]) -> Column:
     one = lambda col, f: F.element_at(F.transform(F.array(col), f), 1)  # noqa: E731  binds a value once
 
     def stats(s: Column) -> Column:
-        k, n = F.length(s["alphabet"]).cast("double"), F.length(s["core"]).cast("double")
+        k, n = F.length(s["alphabet"]).cast("double"), F.greatest(F.lit(1), F.length(s["core"])).cast("double")
         count = lambda c: (F.length(s["core"]) - F.length(F.replace(s["core"], c, F.lit("")))).cast("double")
         squares = F.aggregate(F.array_distinct(F.split(s["core"], "")), F.lit(0.0), lambda a, c: a + F.when(c == "", 0.0).otherwise(count(c) * count(c)))
         return F.struct(k.alias("k"), n.alias("n"), (k / n * squares - n).alias("chi2"), ids(s).alias("ids"), s["core"].alias("core"))
 
+    def moments(s: Column) -> Column:  # what the tests use inside lambdas is bound here, once
+        mid = (s["k"] - 1) / 2
+        after = F.slice(s["ids"], 2, F.size(s["ids"]))
+        pairs = F.filter(F.zip_with(s["ids"], after, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["b"].isNotNull())
+        n1 = F.aggregate(s["ids"], F.lit(0.0), lambda a, i: a + (i > mid).cast("double"))
+        mean = F.aggregate(s["ids"], F.lit(0.0), lambda a, i: a + i) / s["n"]
+        return F.struct(*(s[x].alias(x) for x in ("k", "n", "chi2", "ids", "core")), mid.alias("mid"), pairs.alias("pairs"), n1.alias("n1"), mean.alias("mean"))
+
     def tests(s: Column) -> Column:
-        n, k, df = s["n"], s["k"], s["k"] - 1
+        n, k, df, mid, n1, mean, pairs = s["n"], s["k"], s["k"] - 1, s["mid"], s["n1"], s["mean"], s["pairs"]
         z_chi = (F.pow(F.greatest(s["chi2"], F.lit(1e-9)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-        mid = (k - 1) / 2
-        high = F.transform(s["ids"], lambda i: i > mid)
-        n1 = F.aggregate(high, F.lit(0.0), lambda a, h: a + h.cast("double"))
         n2 = n - n1
-        pairs = F.slice(F.zip_with(s["ids"], F.slice(s["ids"], 2, F.size(s["ids"])), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), 1, F.greatest(F.lit(0), F.size(s["ids"]) - 1))
         runs = F.aggregate(pairs, F.lit(1.0), lambda a, p: a + ((p["a"] > mid) != (p["b"] > mid)).cast("double"))
         mean_runs = 2 * n1 * n2 / n + 1
         var_runs = F.greatest((mean_runs - 1) * (mean_runs - 2) / F.greatest(n - 1, F.lit(1.0)), F.lit(1e-9))
         z_runs = F.when((n1 < 4) | (n2 < 4), 0.0).otherwise((runs - mean_runs) / F.sqrt(var_runs))
-        mean = F.aggregate(s["ids"], F.lit(0.0), lambda a, i: a + i) / n
         var = F.aggregate(s["ids"], F.lit(0.0), lambda a, i: a + (i - mean) * (i - mean))
         cov = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["a"] - mean) * (p["b"] - mean))
         z_serial = F.when(var < 1e-9, 99.0).otherwise(cov / var * F.sqrt(n))
@@ -105,7 +108,7 @@ def battery(token: Column, shares: dict[str, float]) -> Column:
         text = sum(((F.length(s["core"]) - F.length(F.regexp_replace(s["core"], p, ""))) * math.log(shares[c] / size) for c, (p, size) in CLASSES.items()), F.lit(0.0))
         return F.struct(F.least(F.lit(1.0), 3 * least).alias("p_random"), (-n * F.log(k) - text).alias("log_e"))
 
-    return one(one(seen, stats), tests)
+    return one(one(one(seen, stats), moments), tests)
 
 
 def candidates(documents: DataFrame, shares: dict[str, float], keep: list[str] = ("doc_id",)) -> DataFrame:
