@@ -2,9 +2,9 @@
 
 Documents are packed where they are read: a task gathers about `group_windows` windows' worth of documents, cuts what is longer
 than a window into full ones, and splits the rest into k near-equal windows. Each item starts as a partition of k sums; the two
-partitions of largest imbalance are merged, the large sums of one onto the small sums of the other, until one is left. When a
-window would exceed the capacity, k rises and the group is split again. The tail of a small group is cut into pieces whose
-lengths are powers of two, which need no padding. Nothing is shuffled and memory is bounded by one group.
+partitions of largest imbalance are merged, the large sums of one onto the small sums of the other, until one is left. Whenever a
+window exceeds the capacity the count rises: what is too much for it, and what is over a whole number of windows, goes to further
+sequences whose lengths are powers of two, which need no padding. Nothing is shuffled and memory is bounded by one group.
 
 Edge cases: a null or empty text is a document of the end id alone; repeated rows and equal lengths are packed like any others
 (ties are broken by arrival); an empty table gives no pieces; other columns than doc_id and text are ignored.
@@ -71,49 +71,62 @@ def windows_of(sizes: np.ndarray, capacity: int) -> list[list[int]]:
         k += 1 + k // 200
 
 
-def pack_group(doc_ids: list, ids: np.ndarray, ends: np.ndarray, capacity: int, first_seq: int, tail: bool) -> tuple[list[tuple], int]:
+def pack_group(doc_ids: list, ids: np.ndarray, ends: np.ndarray, capacity: int, first_seq: int, cut: bool) -> tuple[list[tuple], int]:
     """Pieces (doc place, start, length, sequence, offset) of one group, and the next sequence number."""
-    sizes = np.diff(ends)
-    out, rest_doc, rest_from, rest_len, seq = [], [], [], [], first_seq
-    for d, n in enumerate(sizes.tolist()):
-        cut = 0
-        while n - cut >= capacity:
-            out.append((d, cut, capacity, seq, 0))
+    out, rest, seq = [], [], first_seq
+    for d, n in enumerate(np.diff(ends).tolist()):
+        at = 0
+        while n - at >= capacity:
+            out.append((d, at, capacity, seq, 0))
             seq += 1
-            cut += capacity
-        if n > cut:
-            rest_doc.append(d)
-            rest_from.append(cut)
-            rest_len.append(n - cut)
-    if tail and rest_len:  # what is over a whole number of windows goes to sequences of 2^j ids, from the last documents on
-        total = sum(rest_len)
-        spare = total - (total // capacity) * capacity if total >= capacity else total
-        spare = min(total, spare + (total // capacity) * (capacity // 256))  # leaves the windows a little room to differ in
-        while spare:
-            size = min(capacity, 1 << (spare.bit_length() - 1))
-            spare -= size
-            at = 0
-            while at < size:
-                take = min(size - at, rest_len[-1])
-                rest_len[-1] -= take
-                out.append((rest_doc[-1], rest_from[-1] + rest_len[-1], take, seq, at))
-                at += take
-                if not rest_len[-1]:
-                    rest_doc.pop(), rest_from.pop(), rest_len.pop()
-            seq += 1
-    if rest_len:
-        lens = np.array(rest_len, np.int64)
-        for part in windows_of(lens, capacity):
+            at += capacity
+        if n > at:
+            rest.append((d, at, n - at))
+    spare: list[tuple[int, int, int]] = []
+    if cut:  # what is over a whole number of windows, from the last documents on
+        over = sum(n for *_, n in rest) % capacity
+        while over:
+            d, at, n = rest.pop()
+            if n > over:
+                rest.append((d, at, n - over))
+                at, n = at + n - over, over
+            spare.append((d, at, n))
+            over -= n
+    if rest:
+        lens = np.array([n for *_, n in rest], np.int64)
+        parts = differencing(lens, int(lens.sum()) // capacity) if cut else windows_of(lens, capacity)
+        for part in parts:
             at = 0
             for i in part:
-                out.append((rest_doc[i], rest_from[i], rest_len[i], seq, at))
-                at += rest_len[i]
+                d, begin, n = rest[i]
+                fits = min(n, capacity - at)
+                if fits:
+                    out.append((d, begin, fits, seq, at))
+                if n > fits:
+                    spare.append((d, begin + fits, n - fits))
+                at += fits
             seq += 1
+    total = sum(n for *_, n in spare)
+    while total:  # sequences of 2^j ids, the largest first, need no padding
+        size = min(capacity & -capacity, 1 << (total.bit_length() - 1))
+        total -= size
+        at = 0
+        while at < size:
+            d, begin, n = spare.pop()
+            fits = min(n, size - at)
+            out.append((d, begin, fits, seq, at))
+            at += fits
+            if n > fits:
+                spare.append((d, begin + fits, n - fits))
+        seq += 1
     return out, seq
 
 
-def pack(documents: DataFrame, capacity: int = 4096, tokenizer: str | None = None, end_id: int | None = 2, group_windows: int = 512) -> DataFrame:
-    """One row per piece: its document, place there, ids (little-endian unsigned 32-bit) and place in its sequence."""
+def pack(documents: DataFrame, capacity: int = 4096, tokenizer: str | None = None, end_id: int | None = 2, group_windows: int = 192, cut: bool = True) -> DataFrame:
+    """One row per piece: its document, place there, ids (little-endian unsigned 32-bit) and place in its sequence.
+
+    cut=False leaves documents that fit into a window whole; the window count then rises until none is too full.
+    """
     path = tokenizer or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,13 +134,13 @@ def pack(documents: DataFrame, capacity: int = 4096, tokenizer: str | None = Non
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
         n_held = 0
 
-        def flush(parts: list, tail: bool) -> Iterator[pa.RecordBatch]:
+        def flush(parts: list) -> Iterator[pa.RecordBatch]:
             nonlocal seq
             docs = [d for p in parts for d in p[0]]
             ids = np.concatenate([p[1] for p in parts])
             size = np.concatenate([np.diff(p[2]) for p in parts])
             ends = np.concatenate([[0], np.cumsum(size)])
-            pieces, seq = pack_group(docs, ids, ends, capacity, seq, tail)
+            pieces, seq = pack_group(docs, ids, ends, capacity, seq, cut)
             raw = ids.astype("<u4").tobytes()
             for a in range(0, len(pieces), 4096):
                 part = pieces[a : a + 4096]
@@ -143,13 +156,13 @@ def pack(documents: DataFrame, capacity: int = 4096, tokenizer: str | None = Non
                 held.append((docs[a : a + 500], ids, ends))
                 n_held += len(ids)
                 if n_held >= 2 * group_windows * capacity:  # one group goes, another stays for the end
-                    n, cut = 0, 0
+                    n, k = 0, 0
                     while n < group_windows * capacity:
-                        n += len(held[cut][1])
-                        cut += 1
-                    yield from flush(held[:cut], False)
-                    held, n_held = held[cut:], n_held - n
+                        n += len(held[k][1])
+                        k += 1
+                    yield from flush(held[:k])
+                    held, n_held = held[k:], n_held - n
         if held:
-            yield from flush(held, True)
+            yield from flush(held)
 
     return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
