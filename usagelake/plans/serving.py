@@ -10,7 +10,7 @@ from usagelake.functions.scalars import duration_text, percent_text, plan_multip
 from usagelake.operators.fold import fold
 
 #: Names whose values a dashboard never shows. Fixed values.
-SENSITIVE = r"(?i)token|secret|password|authorization|cookie|api_?key|credential"
+SENSITIVE = r"token|secret|password|authorization|cookie|api_?key|credential"
 
 
 def history_stats(events: DataFrame, synthetic: str = "synthetic") -> DataFrame:
@@ -30,7 +30,7 @@ def window_line(rows: DataFrame, now: Column) -> DataFrame:
 
 def redact(df: DataFrame, body: str) -> DataFrame:
     """Texts under sensitive names in a flat or nested JSON text are masked; booleans stay."""
-    return df.withColumn(body, F.regexp_replace(body, r'("[^"]*(?:' + SENSITIVE.replace("(?i)", "") + r')[^"]*"\s*:\s*)("(?:[^"\\]|\\.)*"|-?[0-9.eE+-]+)', '$1"***"'))
+    return df.withColumn(body, F.regexp_replace(body, r'(?i)("[^"]*(?:' + SENSITIVE + r')[^"]*"\s*:\s*)("(?:[^"\\]|\\.)*"|-?[0-9.eE+-]+)', '$1"***"'))
 
 
 def token_summary(sessions: DataFrame, by: list[str]) -> DataFrame:
