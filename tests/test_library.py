@@ -355,3 +355,45 @@ def test_entry_and_queries_agree():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_incremental_scan_equals_rebuild(spark, tmp_path):
+    from usagelake.sources.incremental import refresh
+
+    home, store = tmp_path / "home", str(tmp_path / "store")
+    rows = lambda d: sorted((r.event_id, r.input) for r in d.select("event_id", "input").collect())
+    put = lambda name, *lines: ((home / "sessions").mkdir(parents=True, exist_ok=True), (home / "sessions" / name).write_text("\n".join(lines) + "\n"))
+    a, b = [usage({"input_tokens": 10}), usage({"input_tokens": 30})], [usage({"input_tokens": 5})]
+    put("a.jsonl", *a)
+    put("b.jsonl", *b)
+    assert rows(refresh(spark, str(home), store, 0)) == [("a:1", 10), ("a:2", 20), ("b:1", 5)]
+    put("a.jsonl", *a, usage({"input_tokens": 31}))
+    assert rows(refresh(spark, str(home), store, 1)) == [("a:1", 10), ("a:2", 20), ("a:3", 1), ("b:1", 5)]
+    (home / "sessions/b.jsonl").unlink()
+    put("a.jsonl", usage({"input_tokens": 7}))
+    assert rows(refresh(spark, str(home), store, 2)) == [("a:1", 7)]
+    assert rows(refresh(spark, str(home), store, 3)) == [("a:1", 7)]
+
+
+def test_journal_compaction(spark, tmp_path):
+    path = str(tmp_path / "j")
+    for rows in ([("a", "1")], [("a", "2"), ("b", "1")], [("b", "1")]):
+        journal.publish(spark.createDataFrame(rows, "key string, body string"), path, "m", ["key"], ["body"])
+    before = sorted(map(tuple, journal.read_journal(spark, path, "m").select("key", "body").collect()))
+    journal.compact(spark, path, "m")
+    assert sorted(map(tuple, journal.read_journal(spark, path, "m").select("key", "body").collect())) == before == [("b", "1")]
+    assert journal.publish(spark.createDataFrame([("b", "1"), ("c", "1")], "key string, body string"), path, "m", ["key"], ["body"]) == 1
+
+
+def test_dispatch_and_live_sink(spark, tmp_path):
+    cols = "kind string, window string, cycle long, seq long, started_at string, checked_at string, account_id string, start_percent double, end_percent double, models map<string,double>, model string, delta_percent double, delta_cost double"
+    rows = spark.createDataFrame([("interval", "5h", 0, 0, "a", "b", "x", 0.0, 1.0, {"m": 2.0}, None, None, None), ("delta", "7d", None, 1, None, "c", "x", None, None, None, "n", 1.0, 3.0)], cols)
+    assert sorted((r.window, r.delta_cost) for r in deltas.derive_events(spark, rows).collect()) == [("5h", 2.0), ("7d", 3.0)]
+    assert deltas.derive_events(spark, rows.where("kind = 'delta'")).count() == 1
+    df = spark.createDataFrame([sample(0, 5, 0), sample(1, 8, 4)], live.SAMPLE)
+    df.write.parquet(str(tmp_path / "in"))
+    q = live.run(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), None)
+    q.awaitTermination(60)
+    got = spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out"))
+    assert got.where("kind = 'event'").select("delta_percent").collect() == [(3.0,)]
+    assert live.fresh_start({"identity": "x", "5h": {"percent": 3}}, {"5h": [1.0, 2.0]}) == {"identity": "x", "5h": {"sum": [1.0, 2.0]}, "7d": {"sum": [0.0, 0.0]}}

@@ -92,6 +92,23 @@ def retain(df: DataFrame, ts: str, now: Column, days: float | None) -> DataFrame
     return df if not days or days <= 0 else df.where(F.col(ts).isNull() | (F.col(ts) >= now - F.make_dt_interval(F.lit(int(days)))))
 
 
+def derive_events(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Ledger input of a history of any form: intervals are swept and joined by the delta rows beside them; delta rows alone go as
+    they are; raw samples run through the batch state machine. rows: kind ('interval', 'delta', 'sample') and the columns of each.
+    The form is a question of one row each, not a scan."""
+    from usagelake.operators.reconcile import interval_events
+
+    has = lambda kind: not rows.where(F.col("kind") == kind).limit(1).isEmpty()
+    flat = ("window", "checked_at", "account_id", "model", "delta_percent", "delta_cost")
+    if has("interval"):
+        swept = interval_events(rows.where("kind = 'interval'"), ["window", "cycle"]).select(*flat)
+        return swept.unionByName(rows.where("kind = 'delta'").select(*flat))
+    if not has("sample"):
+        return rows.where("kind = 'delta'").select(*flat)
+    s = batch_series(rows.where("kind = 'sample'").select("account_id", "window", "checked_at", "seq", "used_percent", "plan", "multiplier", "cost", "reset_ts", "unavailable"))
+    return s.withColumn("model", F.lit(None).cast("string")).select(*flat)
+
+
 # -- the batch state machine ---------------------------------------------------------------------------------------------------
 
 SERIES = "account_id string, window string, checked_at string, seq long, raw_percent double, normalized_percent double, delta_percent double, delta_cost double, cost_percent_ratio double, average_ratio double, ratio_deviation_warning boolean, cumulative_percent double, cumulative_cost double"

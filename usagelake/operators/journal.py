@@ -112,3 +112,37 @@ def merge_with_deletions(local: DataFrame, remote: DataFrame, deletions: DataFra
     first, second = (local, remote) if local_wins else (remote, local)
     both = first.unionByName(second.join(first.select(*key), key, "left_anti"))
     return both.join(deletions.select(*key).exceptAll(cleared.select(*key)), key, "left_anti")
+
+
+def compact(spark: SparkSession, path: str, machine: str) -> None:
+    """Write the state of a machine's journal as a checkpoint: its files hold it under the last sequence, and the chunks before go.
+
+    The checkpoint is written beside the journal before anything is deleted, so that a failure leaves a journal that replays alike.
+    """
+    own = f"{path}/machine={machine}"
+    whole = spark.read.parquet(own)
+    seq = whole.agg(F.max("sequence")).first()[0]
+    state = read_journal(spark, path, machine).withColumns({"action": F.lit("upsert"), "sequence": F.lit(seq).cast("long")})
+    target = f"{own}/sequence_dir={seq:012d}-checkpoint"
+    state.write.mode("overwrite").parquet(target)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(own)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in fs.listStatus(hadoop):
+        if f.getPath().getName().startswith("sequence_dir=") and not f.getPath().getName().endswith("-checkpoint"):
+            fs.delete(f.getPath(), True)
+
+
+def split_origin(df: DataFrame, machine: str) -> tuple[DataFrame, DataFrame]:
+    """(own, foreign): rows of this machine or of none, and rows that belong in the cache of another's."""
+    own = F.coalesce(F.col("origin") == machine, F.lit(True))
+    return df.where(own), df.where(~own)
+
+
+def to_fetch(remote: DataFrame, local: DataFrame, key: list[str], digest: str = "sha256") -> DataFrame:
+    """Packages to fetch: not here, or here with another hash."""
+    return remote.join(local.select(*key, digest), [*key, digest], "left_anti")
+
+
+def unreferenced(stored: DataFrame, references: DataFrame, key: list[str]) -> DataFrame:
+    """Stored packages that nothing refers to."""
+    return stored.join(references.select(*key).distinct(), key, "left_anti")

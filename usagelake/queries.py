@@ -582,3 +582,48 @@ def q_price_report(spark: SparkSession, sf: str) -> DataFrame:
     l = table(spark, sf, "lineitem").where("l_shipdate <= date '1998-09-02'")
     d = lambda c, p=18: F.col(c).cast(f"decimal({p},2)")
     return l.groupBy("l_returnflag", "l_linestatus").agg(F.sum(d("l_quantity")).cast("double").alias("sum_qty"), F.sum(d("l_extendedprice")).cast("double").alias("sum_base_price"), F.sum(d("l_extendedprice") * (1 - d("l_discount", 4))).cast("double").alias("sum_disc_price"), F.count("*").alias("count_order"))
+
+
+@query("""SELECT o_orderkey FROM orders a WHERE o_orderkey % 2 = 0 AND NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_orderkey = a.o_orderkey AND b.o_orderkey % 3 = 0 AND b.o_orderstatus = a.o_orderstatus AND b.o_orderkey % 5 <> 0)""")
+def q_to_fetch(spark: SparkSession, sf: str) -> DataFrame:
+    """What differs from what is here."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    here = o.where("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 5 == 0, "?").otherwise(F.col("o_orderstatus")))
+    return journal.to_fetch(o.where("o_orderkey % 2 = 0"), here, ["o_orderkey"], "o_orderstatus").select("o_orderkey")
+
+
+@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+def q_unreferenced(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers without orders."""
+    stored = table(spark, sf, "customer").select("c_custkey")
+    return journal.unreferenced(stored, table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+
+
+@query(f"""WITH {E}, s AS (SELECT day, event_id, 10 + k AS size, sum(10 + k) OVER (ORDER BY day DESC, event_id DESC) AS run FROM e) SELECT event_id FROM s WHERE run <= 200000""")
+def q_newest_suffix(spark: SparkSession, sf: str) -> DataFrame:
+    """K2: the newest rows within a budget of bytes."""
+    from usagelake.sources.sinks import newest_suffix
+
+    return newest_suffix(ev(spark, sf).select("day", "event_id", "k"), ["day", "event_id"], F.col("k") + 9, 200000).select("event_id")
+
+
+@query("""SELECT l_linestatus, l_returnflag, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY CUBE (l_linestatus, l_returnflag)""")
+def q_cube(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").cube("l_linestatus", "l_returnflag").agg(F.count("*").alias("n"), F.count_distinct("l_suppkey").alias("suppliers"))
+
+
+@query("""SELECT o_orderkey, rank() OVER w AS rnk, dense_rank() OVER w AS dense, ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS quarter FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate)""")
+def q_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate")
+    return table(spark, sf, "orders").select("o_orderkey", F.rank().over(w).alias("rnk"), F.dense_rank().over(w).alias("dense"), F.ntile(4).over(w.orderBy("o_orderdate", "o_orderkey")).alias("quarter"))
+
+
+@query(f"""WITH {E} SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01') AS since, event_type, count(*) AS n, sum(k) AS k FROM e GROUP BY 1, 2""")
+def q_event_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Tumbling event-time windows: an addition; the reference's cycles come with the data."""
+    return ev(spark, sf).groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("k").alias("k")).select(F.col("w.start").alias("since"), "event_type", "n", "k")
+
+
+@query("""SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0""")
+def q_intersect(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "customer").select("c_custkey").intersect(table(spark, sf, "orders").where("o_orderkey % 3 = 0").select("o_custkey"))

@@ -204,6 +204,22 @@ def stream(samples: DataFrame) -> DataFrame:
     return samples.groupBy("account_id").applyInPandasWithState(run, OUT, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
+def run(samples: DataFrame, out: str, checkpoint: str, every: str | None = "90 seconds"):
+    """Start the live query: each micro-batch writes its events, intervals and special events under its own number, so that a batch
+    that is run again replaces what it wrote. every=None takes what there is and ends."""
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").partitionBy("kind").parquet(f"{out}/batch={batch_id}")
+
+    w = stream(samples).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
+
+
+def fresh_start(state: dict, cumulative: dict[str, list[float]]) -> dict:
+    """The state of an account after a restart: baselines go, sums are those of the ledger."""
+    return {"identity": state.get("identity"), **{label: {"sum": list(cumulative.get(label, [0.0, 0.0]))} for label in WINDOWS}}
+
+
 # -- admission and confirmation, over recorded responses -----------------------------------------------------------------------------
 
 
