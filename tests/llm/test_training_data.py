@@ -31,7 +31,8 @@ EDGE = [None, "", " ", "a", "a a a a a a", "x" * 50_000, "word " * 20_000, "a\nb
 
 def test_extra_columns_and_empty_tables(spark):
     some, none = docs_of(spark, EDGE), docs_of(spark, []).where("false")
-    for df, n in ((some, len(EDGE)), (none, 0)):
+    nameless = some.where("doc_id < 10").withColumn("doc_id", F.when(F.col("doc_id") < 9, F.col("doc_id")))
+    for df, n in ((some, len(EDGE)), (none, 0), (nameless, 10)):
         model = toxicity.BiGRU().fit([], [])
         assert toxicity.score(df, model).count() == n
         assert token_count.token_counts(df).count() == n
@@ -40,8 +41,9 @@ def test_extra_columns_and_empty_tables(spark):
         assert pii.find(df).count() == n
         assert decontam.contamination(df, spark.createDataFrame([(1, "a b c")], "item_id long, text string")).count() == n
         assert secret_scan.redact(df).columns == df.columns
-        assert packing.pack(df).select(F.countDistinct("doc_id")).first()[0] == n
+        assert packing.pack(df).select("doc_id").distinct().count() == n
         assert token_matrix.matrices(df).select(F.explode("doc_ids")).distinct().count() == n
+    assert embed_dedup.near_duplicate_vectors(spark.createDataFrame([(None, [1.0], 1), (1, [1.0], 1), (2, [2.0], 1), (3, [1.0], None)], "vec_id long, embedding array<double>, label int")).where("n_links = 1").count() == 2
 
 
 # -- op1 ---------------------------------------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ Words are maximal runs of ASCII letters, digits and non-ASCII characters, with A
 which can only add alignments; the comparison uses the exact words.
 
 Edge cases: a null or empty text has no words and no hits; items without words are skipped, items of fewer than n words are one
-window; repeated document rows are judged one by one, items of one id count once; an item or a document may repeat words at will;
+window; repeated document rows, and rows without an id, are judged one by one, items of one id count once; an item or a document may repeat words at will;
 empty tables give no hits or no rows; other columns are ignored.
 """
 
@@ -85,7 +85,7 @@ def phrase_matches(documents: DataFrame, benchmark: DataFrame, n: int = 13, keep
     found = alignments(documents, items, n).join(_bounded(items.select("ik", "item_id", "words")), "ik")
     found = found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("_found"))
     docs = documents.select(*dict.fromkeys(["doc_id", "text", *keep]))
-    docs = docs.join(found, docs.doc_id == found._id, "left")
+    docs = docs.join(found, docs.doc_id.eqNullSafe(found._id), "left")
 
     def occurrences(c: Column) -> Column:
         width = F.least(F.lit(n), F.size(c["words"]))

@@ -6,8 +6,8 @@ table whose key it shares, so each link is counted once whatever the number of t
 the wanted recall at the threshold's distance. Link counts and spanning forests leave a task, never pairs.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do those whose label
-is null; vectors of different lengths never link; repeated rows of one id are one vector; an empty table gives no rows; other
-columns are ignored.
+is null; vectors of different lengths never link; repeated rows of one id are one vector; vectors without an id link with
+nothing and have no component; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -89,7 +89,7 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = 0.98, width
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), pa.array(keys, pa.list_(pa.int64()))], names=["vec_id", "label", "keys"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    entry = rows.where("label is not null").mapInArrow(hashed, f"vec_id {kinds['vec_id']}, label {kinds['label']}, keys array<long>").select("vec_id", "label", F.posexplode("keys").alias("tab", "key"))
+    entry = rows.where("label is not null and vec_id is not null").mapInArrow(hashed, f"vec_id {kinds['vec_id']}, label {kinds['label']}, keys array<long>").select("vec_id", "label", F.posexplode("keys").alias("tab", "key"))
     entry, _ = written(entry, "embed-keys")
     bucket = ["label", "tab", "key"]
     shared = entry.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1")
