@@ -12,6 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: dict[str, str] = {}
+_kept: dict[tuple, object] = {}
+
+
+def kept_in_worker(key: tuple, make: Callable[[], object]) -> object:
+    """What an operator keeps in a Python worker between tasks. Only the operator that ran last keeps anything, so that the tables
+    of a pipeline's stages do not add up."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -10,7 +10,8 @@ equal n-gram sets form a class, represented by its smallest id, so that copies a
 
 Links are counted in the tasks and never written as pairs; no link between different texts is dropped, whatever the group's size.
 
-Edge cases: a null or empty text, or one without words, links with nothing; repeated rows of one id count as copies of each other;
+Edge cases: a null or empty text, or one without words, links with nothing; repeated rows of one id count as copies of each other; a
+row without an id is kept, and counts as a copy only beside rows with one;
 equal similarities need no tie rule, a group is named by its smallest id; an empty table gives no rows; other columns are ignored.
 """
 
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelake.llm.common import block_pairs, connected_components, discard, each_group, forest, written
+from usagelake.llm.common import block_pairs, connected_components, each_group, forest, kept_in_worker, written
 
 WORD = re.compile(r"\w+")
 BLOCK = 1024  # representatives in a block
@@ -46,7 +47,7 @@ def choose_bands(threshold: float, recall: float, max_hashes: int = 128) -> tupl
 class WordHashes:
     """64-bit hashes of words, each computed once per worker; the table starts anew when it is full."""
 
-    def __init__(self, max_words: int = 600_000):
+    def __init__(self, max_words: int = 500_000):
         self.max_words, self.place, self.hash = max_words, {}, np.zeros(0, np.uint64)
 
     def __call__(self, docs: list[list[str]]) -> np.ndarray:
@@ -60,9 +61,6 @@ class WordHashes:
         return self.hash[np.fromiter((get(w) for d in docs for w in d), np.int64, sum(map(len, docs)))]
 
 
-_hashes = WordHashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -72,7 +70,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's word n-grams."""
     docs = [WORD.findall((t or "").lower()) for t in texts]
-    h = _hashes(docs)
+    h = kept_in_worker(("word_hashes",), WordHashes)(docs)
     factors = _mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
     rolled = np.zeros(max(0, len(h) - n + 1), np.uint64)
     for k in range(n):
@@ -211,7 +209,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, n: int = 5, re
     bands, rows = choose_bands(threshold, recall)
     docs = documents.select("doc_id", "text")
     feats, _ = written(docs.mapInArrow(_features(n, bands, rows), "doc_id long, n long, h1 long, h2 long, bands array<long>, sig binary"), "jaccard-features")
-    reps = feats.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    reps = feats.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).where("rep is not null")
     reps, _ = written(reps, "jaccard-classes")
 
     entry = reps.select("rep", F.explode("bands").alias("key"))
@@ -245,4 +243,4 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8, n: int = 5, re
     named = reps.select("h1", "h2", "rep", "weight").join(found, F.col("rep") == F.col("node"), "left").drop("node").join(links, "rep", "left")
     out = feats.select("doc_id", "n", "h1", "h2").join(named, (feats.h1 == named.h1) & (feats.h2 == named.h2) & (feats.n > 0), "left")
     own = F.coalesce("component", "rep", "doc_id")
-    return out.select("doc_id", F.coalesce("rep", "doc_id").alias("class_id"), (F.coalesce(F.col("weight") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).alias("n_links"), own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
+    return out.select("doc_id", F.coalesce("rep", "doc_id").alias("class_id"), (F.coalesce(F.col("weight") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).alias("n_links"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))

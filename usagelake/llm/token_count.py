@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from usagelake.llm.common import kept_in_worker
+
 MARK = "▁"
 PENALTY = 10.0
 
@@ -95,18 +97,13 @@ class Viterbi:
         return np.array([sum(map(get, w)) for w in words], np.int64)
 
 
-_made: dict[tuple, Viterbi] = {}
-
-
 def token_counts(documents: DataFrame, path: str | None = None, scores: str = "zipf", keep: list[str] = ("doc_id",)) -> DataFrame:
     """The columns `keep` and n_tokens long."""
     kept = documents.select(*keep, documents["text"].alias("_text"))
     schema = kept.drop("_text").schema.add("n_tokens", "long", False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = _made.get((path, scores))
-        if v is None:
-            v = _made[path, scores] = Viterbi(vocabulary(path, scores))
+        v = kept_in_worker(("viterbi", path, scores), lambda: Viterbi(vocabulary(path, scores)))
         for b in batches:
             if b.num_rows:
                 texts = b.column("_text").to_pylist()

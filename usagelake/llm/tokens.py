@@ -11,6 +11,8 @@ from itertools import chain
 
 import numpy as np
 
+from usagelake.llm.common import kept_in_worker
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -88,12 +90,6 @@ class WordIds:
         return out, ends
 
 
-_made: dict[tuple, WordIds] = {}
-
-
 def word_ids(path: str, end_id: int | None) -> WordIds:
     """One table per worker process."""
-    key = (path, end_id)
-    if key not in _made:
-        _made[key] = WordIds(path, end_id)
-    return _made[key]
+    return kept_in_worker(("word_ids", path, end_id), lambda: WordIds(path, end_id))

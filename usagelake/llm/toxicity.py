@@ -22,8 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from usagelake.llm.common import kept_in_worker
+
 WORD = re.compile(r"[^\W\d_]+")
-GRAMS = (3, 5)
+GRAMS = (5,)
 PAD = 0
 
 
@@ -125,11 +127,13 @@ class BiGRU:
         return g
 
     # -- training -----------------------------------------------------------------------------------------------------------
-    def fit(self, texts: list[str], labels: list[int], epochs: int = 10, min_df: int = 3, max_vocab: int = 30000, rate: float = 0.02) -> "BiGRU":
+    def fit(self, texts: list[str], labels: list[int], epochs: int = 10, max_vocab: int = 30000, rate: float = 0.02) -> "BiGRU":
         docs = [WORD.findall((t or "").lower()) or [""] for t in texts]
         y = np.array(labels, np.float32)
         df_w, df_g, pos_w, pos_g = Counter(), Counter(), Counter(), Counter()
-        gram_list = {w: grams_of(w) for d in docs for w in d}
+        one: dict[str, str] = {}
+        gram_list = {w: [one.setdefault(g, g) for g in grams_of(w)] for w in set().union(*docs)}  # each n-gram stored once
+        del one
         for d, lab in zip(docs, labels):
             ws = set(d)
             gs = {g for w in ws for g in gram_list[w]}
@@ -138,6 +142,7 @@ class BiGRU:
             if lab:
                 pos_w.update(ws)
                 pos_g.update(gs)
+        min_df = max(3, len(docs) // 400)  # a word of a few texts says nothing of others
         best = lambda c: [k for k, n in sorted(c.items(), key=lambda kv: (-kv[1], kv[0]))[:max_vocab] if n >= min_df]
         self.words = {w: i + 1 for i, w in enumerate(best(df_w))}
         self.grams = {g: i + 1 for i, g in enumerate(best(df_g))}
@@ -150,8 +155,8 @@ class BiGRU:
         place = {w: i for i, w in enumerate(all_words)}
         wid = np.array([self.words.get(w, PAD) for w in all_words])
         gids = [[i for i in map(self.grams.get, gram_list[w]) if i] or [PAD] for w in all_words]
-        glen = np.array([len(gram_list[w]) for w in all_words])
         first = np.array([max([odds(pos_w[w], df_w[w])] + [odds(pos_g[x], df_g[x]) for x in gram_list[w]]) for w in all_words])
+        del gram_list, df_w, df_g, pos_w, pos_g
         ids = [np.array([place[w] for w in d]) for d in docs]
         win = [self._windows(i) for i in ids]
         owner = np.repeat(np.arange(len(docs)), [len(w[0]) for w in win])
@@ -164,7 +169,7 @@ class BiGRU:
             if epoch < 2:
                 s = np.where(masks, first[wins], -1e9).max(1)
             else:
-                table = self._project(wid, gids, glen)
+                table = self._project(wid, gids)
                 s = np.concatenate([self._score(table, wins[i : i + 8192], masks[i : i + 8192]) for i in range(0, len(wins), 8192)])
             order = np.lexsort((-s, owner))
             pick = order[at]  # the top window of each text
@@ -182,8 +187,7 @@ class BiGRU:
                     m1[n] += 0.1 * (gn - m1[n])
                     m2[n] += 0.01 * (gn * gn - m2[n])
                     v -= (lr * (m1[n] / (1 - 0.9**step)) / (np.sqrt(m2[n] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-                    if n in ("wf", "wb", "uf", "ub", "wa"):
-                        v *= 1 - 1e-4
+                    v *= 1 - (2e-3 if n in ("ew", "ec") else 1e-4)
         return self
 
     # -- scoring ------------------------------------------------------------------------------------------------------------
@@ -195,7 +199,7 @@ class BiGRU:
         mask = at < n
         return ids[np.minimum(at, n - 1)], mask
 
-    def _project(self, wid, gids, glen) -> np.ndarray:
+    def _project(self, wid, gids) -> np.ndarray:
         """(words, 6h) projected inputs of both directions: all of a word that the recurrence needs."""
         p, d = self.p, self.dim
         w = np.concatenate([p["wf"], p["wb"]], 1)
@@ -213,7 +217,7 @@ class BiGRU:
 class Scorer:
     """Scores texts with a table of projected words that grows as words appear and starts anew when it is full."""
 
-    def __init__(self, model: BiGRU, max_words: int = 250_000):
+    def __init__(self, model: BiGRU, max_words: int = 200_000):
         self.m, self.max_words = model, max_words
         self._reset()
 
@@ -225,7 +229,7 @@ class Scorer:
         gg, gids = self.m.grams.get, []
         for w in words:
             gids.append([i for i in map(gg, grams_of(w)) if i] or [PAD])
-        rows = self.m._project(np.array([self.m.words.get(w, PAD) for w in words]), gids, None)
+        rows = self.m._project(np.array([self.m.words.get(w, PAD) for w in words]), gids)
         base = len(self.table)
         self.table = np.concatenate([self.table, rows])
         self.place.update(zip(words, range(base, base + len(words))))
@@ -253,9 +257,6 @@ class Scorer:
         return out
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def held_out(col: str = "doc_id"):
     return F.crc32(F.col(col).cast("string").cast("binary")) % 3 == 1
 
@@ -287,10 +288,7 @@ def score(documents: DataFrame, model: BiGRU, keep: list[str] = ("doc_id",), out
     schema = kept.drop("_scored").schema.add(out, "double", False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorers.get(key)
-        if scorer is None:
-            _scorers.clear()
-            scorer = _scorers[key] = Scorer(handle.value)
+        scorer = kept_in_worker(("toxicity", key), lambda: Scorer(handle.value))
         for b in batches:
             if b.num_rows:
                 s = scorer.scores(b.column(b.num_columns - 1).to_pylist())
