@@ -56,10 +56,9 @@ def account_filter(df: DataFrame, accounts: list[str], col: str = "account_id")
 
 
 def last_seconds(events: DataFrame, ts: str, seconds: int) -> DataFrame:
-    """Rows of the last `seconds` before the newest, with synthetic rows and rows without a time. The newest time is one aggregate."""
-    top = events.agg(F.max(ts).alias("_top"))
-    kept = events.join(F.broadcast(top), how="cross")  # one row
-    return kept.where(F.col("synthetic") | F.col(ts).isNull() | (F.unix_timestamp(ts) >= F.unix_timestamp("_top") - seconds)).drop("_top")
+    """Rows of the last `seconds` before the newest, with synthetic rows and rows without a time."""
+    newest = F.unix_timestamp(events.agg(F.max(ts)).scalar())
+    return events.where(F.col("synthetic") | F.col(ts).isNull() | (F.unix_timestamp(ts) >= newest - seconds))
 
 
 def curve_breaks(points: DataFrame, by: list[str], ts: str, order: list[str], value: str, slope: Column) -> DataFrame:

@@ -126,9 +126,8 @@ SELECT event_type, CAST(greatest(0, coalesce(a.total, 0) - coalesce(b.total, 0))
 def q_progress(spark: SparkSession, sf: str) -> DataFrame:
     """J8."""
     t = ev(spark, sf).groupBy("day", "event_type").agg(F.sum("v").alias("total"))
-    last = t.agg(F.max("day").alias("d"))  # one row
-    t = t.crossJoin(F.broadcast(last))
-    now, before = t.where("day = d").select("event_type", "total"), t.where("day = date_sub(d, 1)").select("event_type", "total")
+    last = t.agg(F.max("day")).scalar()
+    now, before = t.where(F.col("day") == last).select("event_type", "total"), t.where(F.col("day") == F.date_sub(last, 1)).select("event_type", "total")
     return tokens.progress(now, before, ["event_type"], ["total"]).withColumn("total", F.col("total").cast("double"))
 
 
@@ -353,8 +352,7 @@ def q_new_events(spark: SparkSession, sf: str) -> DataFrame:
 def q_retention(spark: SparkSession, sf: str) -> DataFrame:
     """F7, relative to the newest row."""
     e = ev(spark, sf).select("event_id", "ts")
-    top = e.agg(F.max("ts").alias("top"))  # one row
-    return deltas.retain(e.crossJoin(F.broadcast(top)), "ts", F.col("top"), 7).select("event_id")
+    return deltas.retain(e, "ts", e.agg(F.max("ts")).scalar(), 7).select("event_id")
 
 
 @query(f"""WITH {E} SELECT event_id, day, event_type, CAST(k AS DOUBLE) AS k FROM e WHERE k > 0 AND v > 0""")
