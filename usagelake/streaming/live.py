@@ -175,7 +175,7 @@ def transition(state: dict, sample: Any) -> list[tuple]:
             continue
         mult = float(w.get("multiplier") or 1.0)
         x = {"raw": float(w["used_percent"]), "percent": float(w["used_percent"]) * mult, "mult": mult, "plan": w.get("plan") or "unknown", "reset": w.get("reset"), "cost": float(sample.cost or 0.0), "models": models, "at": sample.checked_at}
-        for kind, f in Window(label, state.setdefault(label, {})).transition(x, sample.cost_ready is not False and not pd.isna(sample.cost_ready) or sample.cost_ready is None, switched, label in confirmed):
+        for kind, f in Window(label, state.setdefault(label, {})).transition(x, pd.isna(sample.cost_ready) or bool(sample.cost_ready), switched, label in confirmed):
             out.append((sample.account_id, sample.seq, sample.checked_at, label, kind, *(f.get(k) for k in ("model", "delta_percent", "delta_cost", "average_ratio", "warning", "cumulative_percent", "cumulative_cost", "detail"))))
     if sample.identity:
         state["identity"] = sample.identity
