@@ -397,3 +397,38 @@ def test_dispatch_and_live_sink(spark, tmp_path):
     got = spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out"))
     assert got.where("kind = 'event'").select("delta_percent").collect() == [(3.0,)]
     assert live.fresh_start({"identity": "x", "5h": {"percent": 3}}, {"5h": [1.0, 2.0]}) == {"identity": "x", "5h": {"sum": [1.0, 2.0]}, "7d": {"sum": [0.0, 0.0]}}
+
+
+def test_json_poll(spark, tmp_path):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from usagelake.sources.poll import JsonPoll
+
+    hits = {"n": 0}
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            hits["n"] += 1
+            bad = self.path == "/bad" or hits["n"] == 1  # the first answer is an error, too
+            self.send_response(500 if bad else 200)
+            self.end_headers()
+            self.wfile.write(b'{"used": 1}')
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    spark.dataSource.register(JsonPoll)
+    got = {r.url: r for r in spark.read.format("json_poll").option("url", f"{url}/ok,{url}/bad").option("pause", "0.01").load().collect()}
+    assert json.loads(got[f"{url}/ok"].body) == {"used": 1} and got[f"{url}/bad"].error == "HTTP 500" and got[f"{url}/bad"].body is None
+    q = spark.readStream.format("json_poll").option("url", f"{url}/ok").load().writeStream.format("memory").queryName("polls").option("checkpointLocation", str(tmp_path / "cp")).start()
+    for _ in range(200):
+        if spark.table("polls").count() >= 2:
+            break
+        __import__("time").sleep(0.1)
+    q.stop()
+    server.shutdown()
+    assert [r.poll for r in spark.table("polls").orderBy("poll").limit(2).collect()] == [0, 1]
