@@ -221,14 +221,14 @@ def test_matrices_round_trip(spark, tmp_path):
     out = str(tmp_path / "rows")
     token_matrix.write_matrices(token_matrix.matrices(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), capacity=512), out)
     for r in spark.read.parquet(out).collect():
-        pos, cu = np.frombuffer(r.position_ids, "<u4"), r.cu_seqlens
-        assert len(r.ids) == len(r.position_ids) == 4 * 512 and cu[0] == 0 and cu[-1] == r.n_tokens
+        pos, cu = np.frombuffer(r.position_ids, "<u2"), r.cu_seqlens
+        assert len(r.ids) == len(r.position_ids) == 2 * 512 and cu[0] == 0 and cu[-1] == r.n_tokens
         for a, b in zip(cu[:-1], cu[1:]):
             assert pos[a:b].tolist() == list(range(b - a))
         assert not pos[cu[-1] :].any()
     parts = defaultdict(list)
     for s in token_matrix.read_segments(spark, out).collect():
-        parts[s.doc_id].append((s.start, np.frombuffer(s.ids, "<u4").tolist()))
+        parts[s.doc_id].append((s.start, np.frombuffer(s.ids, "<u2").tolist()))
     for i, ids in want.items():
         got = sorted(parts[i])
         assert [x for _, p in got for x in p] == ids and [s for s, _ in got] == list(range(0, len(ids), 512))
