@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 _own_dir: dict[str, str] = {}
 _kept: dict[tuple, object] = {}
+SALTS = 16
 
 
 def kept_in_worker(key: tuple, make: Callable[[], object]) -> object:
@@ -108,18 +109,20 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, component) with component the smallest node reachable; edges(src, dst) of longs. Nodes without edges have no row.
 
-    Alternating large-star and small-star steps: every step joins on a key whose other side is unique, so a hot centre is a
-    skewed join side that Spark splits, and minima are aggregated before the shuffle. Each round is written to the shared folder.
+    Alternating large-star and small-star steps: minima are aggregated before the shuffle, and the edges of a hot centre are dealt
+    to SALTS tasks, to each of which the centre's minimum goes. Each round is written to the shared folder. Joins are merge joins, as
+    the small files of a round would make Spark broadcast many more rows than their size tells.
     """
     spark = edges.sparkSession
     e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct()
     e, path = written(e, name)
     seen = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     while seen[0]:
-        low = e.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
-        large = e.join(low, e.v == low.n, "left").select("u", F.coalesce("m", "v").alias("v"))
+        low = e.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = e.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int"))
+        large = dealt.join(low.hint("merge"), (dealt.v == low.n) & (dealt.salt == low.s), "left").select("u", F.coalesce("m", "v").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         nxt, new_path = written(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), name)
         now = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard(spark, path)
