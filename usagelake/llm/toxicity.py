@@ -132,7 +132,7 @@ class BiGRU:
         y = np.array(labels, np.float32)
         df_w, df_g, pos_w, pos_g = Counter(), Counter(), Counter(), Counter()
         one: dict[str, str] = {}
-        gram_list = {w: [one.setdefault(g, g) for g in grams_of(w)] for w in set().union(*docs)}  # each n-gram stored once
+        gram_list = {w: [one.setdefault(g, g) for g in grams_of(w)] for w in sorted(set().union(*docs))}  # each n-gram stored once
         del one
         for d, lab in zip(docs, labels):
             ws = set(d)
