@@ -432,3 +432,21 @@ def test_json_poll(spark, tmp_path):
     q.stop()
     server.shutdown()
     assert [r.poll for r in spark.table("polls").orderBy("poll").limit(2).collect()] == [0, 1]
+
+
+def test_projections_and_views(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert [one(Z.event_cost(F.lit(a), F.lit(b))) for a, b in ((1.5, 2.0), (float("nan"), 2.0))] == [1.5, 2.0] and one(Z.event_cost(F.lit(None), F.lit("x"))) == 0.0
+    m = lambda d: F.lit(None).cast("map<string,double>") if d is None else F.from_json(F.lit(json.dumps(d)), "map<string,double>")
+    assert one(Z.event_cost_by_model(m({"a": 1.0}), m(None), F.lit(1.0), "d")) == {"a": 1.0}
+    assert one(Z.event_cost_by_model(m({}), m({"b": 2.0}), F.lit(1.0), "d")) == {"b": 2.0}
+    assert one(Z.event_cost_by_model(m(None), m(None), F.lit(1.0), "d")) == {"d": 1.0}
+    nodes = quota.json_nodes(spark.createDataFrame([(1, '{"a":{"used_percent":130,"x":1}}')], "id long, body string"), "id", "body")
+    got = {r.path: r for r in quota.node_summary(nodes).collect()}
+    assert got["$.a"].summary == {"used_percent": "130"} and got["$.a"].remaining_percent == 0.0
+    cols = "account_id string, account_slot string, session_id string, updated_ts long, total_tokens long, content_hash string, origin string"
+    local = spark.createDataFrame([("x", "s", "1", 5, 100, "a", "me"), (None, "s", "2", 1, 1, "b", "me")], cols)
+    cache = spark.createDataFrame([("x", "t", "1", 6, 90, "c", "you"), ("x", "t", "1", 6, 120, "d", "you"), ("x", "t", "9", 6, 1, "e", "me")], cols)
+    assert sorted((r.account_key, r.session_id, r.total_tokens) for r in reconcile.merged_view(local, cache, "me").collect()) == [("local:s", "2", 1), ("x", "1", 120)]
+    q = spark.createDataFrame([(None, "z", "a"), (1, "b", "a"), (1, "a", "b")], "checked_ts long, checked_at string, account_slot string")
+    assert [r.checked_at for r in q.orderBy(*reconcile.quota_order()).collect()] == ["a", "b", "z"]

@@ -142,3 +142,16 @@ def hmac_sha256(key: Column, message: Column) -> Column:
     xor = lambda b: F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lpad(F.hex(F.conv(F.substring(k, 2 * i + 1, F.lit(2)), 16, 10).cast("int").bitwiseXOR(F.lit(b))), 2, "0")), ""))
     inner = F.unhex(F.sha2(F.concat(xor(0x36), message), 256))
     return F.sha2(F.concat(xor(0x5C), inner), 256)
+
+
+def event_cost(direct: Column, fallback: Column) -> Column:
+    """The cost of a sample's events, else its total cost, else 0; numbers that are not finite are none."""
+    return F.coalesce(to_number(direct), to_number(fallback), F.lit(0.0))
+
+
+def event_cost_by_model(direct: Column, by_model: Column, cost: Column, default: str) -> Column:
+    """map<model, cost>: the direct map where it says anything or there is no cost, else the other map, else all to the default."""
+    clean = lambda m: F.map_filter(m, lambda k, v: v.isNotNull() & ~F.isnan(v))
+    use = direct.isNotNull() & ((F.size(clean(direct)) > 0) | (cost == 0))
+    other = F.when(F.size(F.coalesce(clean(by_model), F.create_map().cast("map<string,double>"))) > 0, clean(by_model)).otherwise(F.create_map(F.lit(default), cost))
+    return F.when(use, clean(direct)).otherwise(other)

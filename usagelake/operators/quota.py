@@ -98,3 +98,11 @@ def accepted_samples(samples: DataFrame) -> DataFrame:
     ok = F.col("rejected_windows").isNotNull() | ~F.coalesce("using_previous", F.lit(False))
     at = F.when(F.col("rejected_windows").isNotNull(), F.col("checked_at")).otherwise(F.coalesce("percent_checked_at", "checked_at"))
     return samples.where(ok).withColumns({"windows": F.coalesce("rejected_windows", "windows"), "checked_at": at})
+
+
+def node_summary(nodes: DataFrame) -> DataFrame:
+    """The known keys of quota nodes as a map of texts, with remaining_percent = 100 - used within 0 to 100."""
+    node = F.col("node")
+    known = F.map_from_arrays(F.array(*map(F.lit, QUOTA_KEYS)), F.array(*(F.try_variant_get(node, f"$.{k}", "string") for k in QUOTA_KEYS)))
+    left = F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100 - used_percent(node)))
+    return nodes.select("id", "path", F.map_filter(known, lambda k, v: v.isNotNull()).alias("summary"), left.alias("remaining_percent"))

@@ -173,3 +173,14 @@ def with_provenance(df: DataFrame, kind: str, machine: str, identity: list[str])
 def own_records(df: DataFrame, machine: str) -> DataFrame:
     """What this machine publishes: of its own origin, not local only, without labels."""
     return df.where((F.col("origin") == machine) & ~F.coalesce("local_only", F.lit(False))).drop("account_label")
+
+
+def merged_view(local: DataFrame, cache: DataFrame, machine: str) -> DataFrame:
+    """Token sessions of all machines: own rows and other machines' cached ones, one per account and session."""
+    both = local.unionByName(cache.where(F.col("origin") != machine), allowMissingColumns=True)
+    return merge_tokens(both.withColumn("account_key", account_key(F.col("account_id"), F.col("account_slot"))), ["account_key", "session_id"])
+
+
+def quota_order(ts: str = "checked_ts", raw: str = "checked_at", account: str = "account_slot") -> list[Column]:
+    """The order of quota rows: those without a time last, then by time, by the text of the time, and by account."""
+    return [F.col(ts).isNull(), F.coalesce(ts, F.lit(0)), F.col(raw), F.col(account)]
