@@ -31,7 +31,7 @@ class Rooms:
         self.tree = np.zeros(2 * self.size, np.int64).tolist()
         self.rows: dict[int, list[int]] = {}
 
-    def add(self, room: int, row: int, by: int = 1) -> None:
+    def add(self, room: int, row: int) -> None:
         self.rows.setdefault(room, []).append(row)
         self._change(room, 1)
 
@@ -77,12 +77,13 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return rows
 
 
-def matrices(documents: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int | None = 2, pad_id: int = 0, group_rows: int = 1024) -> DataFrame:
+def matrices(documents: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int | None = 2, pad_id: int = 0, group_rows: int = 1024, dtype: str = "<u2") -> DataFrame:
     """One row per packed sequence.
 
-    ids and position_ids are `capacity` little-endian unsigned 32-bit integers (padding: pad_id, position 0); cu_seqlens are the
-    cumulative segment lengths from 0 to n_tokens; positions restart at each segment, from the piece's own start in its row, and
-    doc_ids and doc_starts name the document of each segment and the ids of it that came before.
+    ids and position_ids are `capacity` little-endian unsigned integers of `dtype` (padding: pad_id, position 0), of 16 bits as the
+    vocabulary has fewer than 65,536 ids; an id that does not fit is an error. cu_seqlens are the cumulative segment lengths from 0
+    to n_tokens; positions restart at each segment; doc_ids and doc_starts name the document of each segment and how many of its ids
+    came before.
     """
     path = tokenizer or default_path()
 
@@ -93,6 +94,8 @@ def matrices(documents: DataFrame, capacity: int = 2048, tokenizer: str | None =
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal row_id
             ids, size = np.concatenate(flat), np.concatenate(sizes)
+            if len(ids) and max(int(ids.max()), capacity) > np.iinfo(dtype).max:
+                raise ValueError(f"ids up to {ids.max()} do not fit into {dtype}")
             start_of = np.cumsum(size) - size
             n_pieces = -(-size // capacity)
             owner = np.repeat(np.arange(len(size)), n_pieces)
@@ -102,7 +105,7 @@ def matrices(documents: DataFrame, capacity: int = 2048, tokenizer: str | None =
             rows = best_fit(length, capacity)
             for a in range(0, len(rows), 256):
                 part = rows[a : a + 256]
-                m, pos = np.full((len(part), capacity), pad_id, "<u4"), np.zeros((len(part), capacity), "<u4")
+                m, pos = np.full((len(part), capacity), pad_id, dtype), np.zeros((len(part), capacity), dtype)
                 cu, di, ds = [], [], []
                 for r, row in enumerate(part):
                     edges = np.concatenate([[0], np.cumsum(length[row])])
@@ -142,9 +145,9 @@ def write_matrices(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
 
-def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """Back from written rows: (doc_id, start, ids) of every segment, for a loader or a round-trip test."""
+def read_segments(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+    """Back from written rows: (doc_id, start, ids) of every segment, for a loader or a round-trip test; width: bytes of an id."""
     df = spark.read.parquet(path)
     seg = F.posexplode("doc_ids").alias("k", "doc_id")
     cut = lambda k: F.element_at("cu_seqlens", F.col("k") + k)
-    return df.select("*", seg).select("doc_id", F.element_at("doc_starts", F.col("k") + 1).alias("start"), F.expr("substring(ids, cast(4 * element_at(cu_seqlens, k + 1) + 1 as int), cast(4 * (element_at(cu_seqlens, k + 2) - element_at(cu_seqlens, k + 1)) as int))").alias("ids"), (cut(2) - cut(1)).alias("length"))
+    return df.select("*", seg).select("doc_id", F.element_at("doc_starts", F.col("k") + 1).alias("start"), F.expr(f"substring(ids, cast({width} * element_at(cu_seqlens, k + 1) + 1 as int), cast({width} * (element_at(cu_seqlens, k + 2) - element_at(cu_seqlens, k + 1)) as int))").alias("ids"), (cut(2) - cut(1)).alias("length"))
