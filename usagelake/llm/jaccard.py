@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from usagelake.llm.common import block_pairs, connected_components, each_group, forest, kept_in_worker, written
 
 WORD = re.compile(r"\w+")
-BLOCK = 1024  # representatives in a block
+BLOCK = 256  # representatives in a block
 BLOCK_WORDS = 2_000_000  # and about so many n-grams
 
 
