@@ -57,9 +57,11 @@ def window_minutes(node: Column, path: Column) -> Column:
 
 def quota_nodes(responses: DataFrame, id_col: str, body: str) -> DataFrame:
     """Nodes that hold a quota key, with their windows, shares, resets, plans and numbers of quota keys."""
-    n = json_nodes(responses, id_col, body).where(F.schema_of_variant("node").startswith("OBJECT"))
+    keys = F.map_keys(F.try_variant_get("node", "$", "map<string,variant>"))
+    asked = F.array(*map(F.lit, QUOTA_KEYS + PLANS))
+    n = json_nodes(responses, id_col, body).withColumn("_keys", F.array_intersect(keys, asked)).where(F.size("_keys") > 0)  # others hold nothing to read
     node = F.col("node")
-    count = sum((F.try_variant_get(node, f"$.{k}", "string").isNotNull().cast("int") for k in QUOTA_KEYS), F.lit(0))
+    count = F.size(F.array_intersect("_keys", F.array(*map(F.lit, QUOTA_KEYS))))
     reset = F.coalesce(F.date_format(F.timestamp_seconds(_num(node, RESETS)), "yyyy-MM-dd'T'HH:mm:ss'Z'"), _text(node, RESETS))
     n = n.select("id", "path", "level", count.alias("key_count"), window_minutes(node, F.col("path")).alias("minutes"), used_percent(node).alias("used_percent"), reset.alias("reset_at"), _text(node, PLANS).alias("plan_text"))
     return n
@@ -72,14 +74,15 @@ def required_windows(responses: DataFrame, id_col: str, body: str) -> DataFrame:
     any plan of the response.
     """
     nodes = quota_nodes(responses, id_col, body)
-    plan = nodes.where("plan_text is not null").groupBy("id").agg(F.min_by("plan_text", F.struct("level", "path")).alias("any_plan"))
     label = F.when(F.col("minutes") == WINDOWS["5h"], "5h").when(F.col("minutes") == WINDOWS["7d"], "7d")
-    best = nodes.where("key_count > 0 and used_percent is not null").withColumn("window", label).where("window is not null")
-    best = best.withColumn("rn", F.row_number().over(Window.partitionBy("id", "window").orderBy(F.desc("key_count"), "path"))).where("rn = 1")
-    some = best.select("id").distinct().select("id", F.explode(F.array(*map(F.lit, WINDOWS))).alias("window"))
-    j = some.join(best, ["id", "window"], "left").join(plan, "id", "left")
-    p = normalize_plan(F.coalesce("plan_text", "any_plan"))
-    return j.select("id", "window", F.coalesce("used_percent", F.lit(0.0)).alias("used_percent"), "reset_at", "path", F.coalesce(p, F.lit("unknown")).alias("plan"), plan_multiplier(F.coalesce(p, F.lit("unknown"))).alias("plan_multiplier"), F.col("path").isNull().alias("unavailable"))
+    fit = (F.col("key_count") > 0) & F.col("used_percent").isNotNull()
+    node = F.struct("used_percent", "reset_at", "path", "plan_text")
+    best = lambda w: F.min_by(node, F.when(fit & (label == w), F.struct(-F.col("key_count"), F.col("path")))).alias(f"_{w}")
+    plan = F.min_by("plan_text", F.when(F.col("plan_text").isNotNull(), F.struct("level", "path"))).alias("any_plan")
+    g = nodes.groupBy("id").agg(plan, *map(best, WINDOWS)).where(" or ".join(f"_{w} is not null" for w in WINDOWS))  # one pass over the nodes
+    j = g.select("id", "any_plan", F.explode(F.array(*(F.struct(F.lit(w).alias("window"), F.col(f"_{w}").alias("n")) for w in WINDOWS))).alias("w")).select("id", "any_plan", "w.window", "w.n.*")
+    p = F.coalesce(normalize_plan(F.coalesce("plan_text", "any_plan")), F.lit("unknown"))
+    return j.select("id", "window", F.coalesce("used_percent", F.lit(0.0)).alias("used_percent"), "reset_at", "path", p.alias("plan"), plan_multiplier(p).alias("plan_multiplier"), F.col("path").isNull().alias("unavailable"))
 
 
 def top_matches(nodes: DataFrame, k: int = 8) -> DataFrame:
