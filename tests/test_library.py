@@ -137,6 +137,21 @@ def test_quota_windows(spark):
     assert {k[0] for k in got} == {0, 1, 2}
 
 
+def test_quota_nodes_of_many_rows_and_levels(spark):
+    deep = {"used_percent": 7, "limit_window_seconds": 18000}
+    for _ in range(40):
+        deep = {"x": [deep]}
+    df = spark.createDataFrame([(i, json.dumps({"a": {"used_percent": 1, "window_minutes": 300}})) for i in range(20)] + [(99, json.dumps(deep))], "id long, body string")
+    limit = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "10")  # in the place of the default's million
+    try:
+        got = {r.id: r for r in quota.required_windows(df, "id", "body").where("window = '5h'").collect()}
+        assert quota.json_nodes(df, "id", "body").count() == 20 * 2 + 81
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", limit)
+    assert len(got) == 21 and got[99].used_percent == 7 and got[99].path == "$" + ".x[0]" * 40
+
+
 # -- batch and live delta events ---------------------------------------------------------------------------------------------------------
 
 

@@ -2,92 +2,208 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import json
+import math
+from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from usagelake.dims import WINDOWS
-from usagelake.functions.scalars import normalize_plan, plan_multiplier, to_number
-
-#: Keys that mark a node as one of quota, by what they say. Fixed values.
+from usagelake.functions.scalars import normalize_plan, plan_multiplier
+
+#: Keys that mark a node as one of quota. Fixed values.
+QUOTA_KEYS = (
+    "window_minutes", "windowMinutes", "limit_window_minutes", "limitWindowMinutes", "limit_window_seconds", "limitWindowSeconds", "window_seconds", "windowSeconds", "used_percent", "usedPercent", "usage_percent", "usagePercent", "percent_used",
+    "percentUsed", "remaining_percent", "remainingPercent", "percent_remaining", "percentRemaining", "used", "limit", "remaining", "reset_at", "resetAt", "resets_at", "resetsAt", "reset_after_seconds", "resetAfterSeconds", "resets_in_seconds", "resetsInSeconds", "plan_type", "planType",
+)
+#: What the fields of a node say, by their names in order of preference. Fixed values.
 MINUTES = ("window_minutes", "windowMinutes", "limit_window_minutes", "limitWindowMinutes")
 SECONDS = ("limit_window_seconds", "limitWindowSeconds", "window_seconds", "windowSeconds")
+NAMES = ("limitName", "limit_name", "name")
 USED = ("used_percent", "usedPercent", "usage_percent", "usagePercent", "percent_used", "percentUsed")
 REMAINING = ("remaining_percent", "remainingPercent", "percent_remaining", "percentRemaining")
-AMOUNTS = ("used", "limit", "remaining")
+USED_AMOUNT, LIMIT = ("used", "usage"), ("limit", "individualLimit", "individual_limit")
 RESETS = ("reset_at", "resetAt", "resets_at", "resetsAt")
-RESET_AFTER = ("reset_after_seconds", "resetAfterSeconds", "resets_in_seconds", "resetsInSeconds")
-PLANS = ("plan_type", "planType", "plan")
-QUOTA_KEYS = MINUTES + SECONDS + USED + REMAINING + AMOUNTS + RESETS + RESET_AFTER
+PLANS = ("planType", "plan_type", "plan", "accountType", "account_type", "subscriptionPlan", "subscription_plan")
+SPELLED = {"5h": ("5h", "5 h", "5 hour", "five hour"), "7d": ("7d", "7 d", "7 day", "weekly", "week")}
+KNOWN, SUMMARY, MATCHES = frozenset(QUOTA_KEYS), frozenset(QUOTA_KEYS + ("name", "plan", "accountType", "account_type", "subscriptionPlan", "subscription_plan")), 8
+
+
+def walk(value: object) -> Iterator[tuple[str, int, dict | list]]:
+    """(path, level, node) of every object or list of a JSON value, parents before children, in the order of the text."""
+    stack = [("$", 0, value)]
+    while stack:
+        path, level, node = stack.pop()
+        if isinstance(node, dict):
+            inner = [(f"{path}.{k}", level + 1, v) for k, v in node.items() if isinstance(v, (dict, list))]
+        elif isinstance(node, list):
+            inner = [(f"{path}[{i}]", level + 1, v) for i, v in enumerate(node) if isinstance(v, (dict, list))]
+        else:
+            continue
+        yield path, level, node
+        stack += reversed(inner)
+
+
+def parsed(body: str | None) -> object:
+    """The value of a JSON text; None where it is none, or is nested deeper than the parser goes (some thousands of levels)."""
+    try:
+        return None if body is None else json.loads(body)
+    except (ValueError, RecursionError):
+        return None
+
+
+def _utf8(text: str | None) -> str | None:
+    """Text that Arrow takes: halves of surrogate pairs, which JSON may escape singly, become question marks."""
+    return None if text is None else text.encode("utf-8", "replace").decode()
+
+
+def per_body(responses: DataFrame, id_col: str, body: str, rows: Callable[[object], Iterator[tuple]], schema: str) -> DataFrame:
+    """id and the rows that `rows` makes of each parsed body, in tasks: a body is one unit, so nothing depends on their number."""
+    fields = _parse_datatype_string(schema)
+    names = ["id", *fields.names]
+    types = [f.type for f in to_arrow_schema(fields)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at: list[int] = []
+            out: list[tuple] = []
+
+            def full() -> pa.RecordBatch:
+                columns = list(zip(*out)) or [()] * len(types)
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types))], names=names)
+
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for row in rows(parsed(text)):
+                    at.append(i)
+                    out.append(row)
+                    if len(out) == 4096:
+                        yield full()
+                        at, out = [], []
+            yield full()
+
+    kind = responses.select(F.col(id_col).alias("id")).schema["id"].dataType
+    return responses.select(F.col(id_col).alias("id"), F.col(body).cast("string").alias("body")).mapInArrow(run, StructType([StructField("id", kind), *fields.fields]))
+
 
+def json_nodes(responses: DataFrame, id_col: str, body: str) -> DataFrame:
+    """(id, path, node, level, ord): every object or list of a JSON body, however deep; ord counts parents before children."""
 
-def json_nodes(responses: DataFrame, id_col: str, body: str, depth: int = 12) -> DataFrame:
-    """(id, path, node, level): every object or list of a JSON body down to `depth`, by repeated variant_explode."""
-    level = responses.select(F.col(id_col).alias("id"), F.lit("$").alias("path"), F.try_parse_json(F.col(body)).alias("node"))
-    spark: SparkSession = responses.sparkSession
-    level.createOrReplaceTempView("_quota_roots")
-    return spark.sql(f"""
-        WITH RECURSIVE tree AS (
-          SELECT id, path, node, 0 AS level FROM _quota_roots WHERE schema_of_variant(node) LIKE 'OBJECT%' OR schema_of_variant(node) LIKE 'ARRAY%'
-          UNION ALL
-          SELECT t.id, concat(t.path, coalesce(concat('.', e.key), concat('[', e.pos, ']'))), e.value, t.level + 1
-          FROM tree t, LATERAL variant_explode(t.node) e
-          WHERE t.level < {depth} AND (schema_of_variant(e.value) LIKE 'OBJECT%' OR schema_of_variant(e.value) LIKE 'ARRAY%'))
-        SELECT * FROM tree""")
+    def rows(value: object) -> Iterator[tuple]:
+        for i, (path, level, node) in enumerate(walk(value)):
+            yield _utf8(path), json.dumps(node), level, i
 
+    n = per_body(responses, id_col, body, rows, "path string, node string, level int, ord int")
+    return n.withColumn("node", F.try_parse_json("node"))
 
-def _num(node: Column, names: tuple[str, ...]) -> Column:
-    return F.coalesce(*(to_number(F.try_variant_get(node, f"$.{n}", "string")) for n in names))
 
+def _first(node: dict, names: tuple[str, ...]) -> object:
+    """The value of the first name that the node holds, even if it is null."""
+    return next((node[n] for n in names if n in node), None)
 
-def _text(node: Column, names: tuple[str, ...]) -> Column:
-    return F.coalesce(*(F.try_variant_get(node, f"$.{n}", "string") for n in names))
 
+def _number(x: object) -> float | None:
+    try:
+        out = float(x)
+    except (TypeError, ValueError, OverflowError):
+        return None
+    return out if math.isfinite(out) else None
 
-def used_percent(node: Column) -> Column:
+
+def summary(node: dict) -> dict:
+    """The known keys of a node, and its plain values whose key ends in limit, remaining or used."""
+    return {k: v for k, v in node.items() if k in SUMMARY or (v is None or isinstance(v, (int, float, str))) and k.lower().endswith(("limit", "remaining", "used"))}
+
+
+def used_percent(values: dict) -> float | None:
     """The used share, else 100 less the remaining one, else used over limit; never below 0."""
-    used, limit = _num(node, ("used",)), _num(node, ("limit",))
-    return F.greatest(F.lit(0.0), F.coalesce(_num(node, USED), 100 - _num(node, REMAINING), used / F.nullif(limit, F.lit(0.0)) * 100))
+    if (used := _number(_first(values, USED))) is not None:
+        return max(0.0, used)
+    if (left := _number(_first(values, REMAINING))) is not None:
+        return max(0.0, 100.0 - left)
+    used, limit = _number(_first(values, USED_AMOUNT)), _number(_first(values, LIMIT))
+    return max(0.0, used / limit * 100.0) if used is not None and limit and limit > 0 else None
+
+
+def window_minutes(node: dict) -> int | None:
+    """Whole minutes, else those of seconds / 60, else what the node's own name says."""
+    value = _first(node, MINUTES)
+    if value is None and (seconds := _number(_first(node, SECONDS))) is not None:
+        value = seconds / 60
+    try:
+        return int(value)
+    except (TypeError, ValueError, OverflowError):
+        name = " ".join(str(_first(node, NAMES) or "").lower().replace("_", " ").split())
+        return next((WINDOWS[w] for w, spelled in SPELLED.items() if any(t in name for t in spelled)), None)
+
+
+def reset_at(values: dict) -> str | None:
+    """Seconds since 1970 as ISO text, or the text itself."""
+    reset = _first(values, RESETS)
+    if isinstance(reset, (int, float)):
+        try:
+            return datetime.fromtimestamp(reset, timezone.utc).isoformat().replace("+00:00", "Z")
+        except (ValueError, OverflowError, OSError):
+            return None
+    return _utf8(reset) if isinstance(reset, str) and reset else None
 
 
-def window_minutes(node: Column, path: Column) -> Column:
-    """Minutes, else seconds / 60, else what the names in the path say."""
-    name = F.lower(path)
-    return F.coalesce(_num(node, MINUTES), _num(node, SECONDS) / 60, F.when(name.rlike("5h|five_?hour|primary"), float(WINDOWS["5h"])).when(name.rlike("7d|weekly|seven_?day|secondary"), float(WINDOWS["7d"])))
+def _plan(values: dict) -> str | None:
+    plan = _first(values, PLANS)
+    return None if plan is None else _utf8(str(plan))
+
+
+def ranked(value: object) -> list[tuple[int, str, int, dict, int]]:
+    """(ord, path, level, node, key count) of the nodes that hold a quota key: those of most keys first, in the order of the text among equals."""
+    nodes = [(i, path, level, node, len(KNOWN.intersection(node))) for i, (path, level, node) in enumerate(walk(value)) if isinstance(node, dict)]
+    return sorted((n for n in nodes if n[4]), key=lambda n: -n[4])
 
 
 def quota_nodes(responses: DataFrame, id_col: str, body: str) -> DataFrame:
-    """Nodes that hold a quota key, with their windows, shares, resets, plans and numbers of quota keys."""
-    keys = F.map_keys(F.try_variant_get("node", "$", "map<string,variant>"))
-    asked = F.array(*map(F.lit, QUOTA_KEYS + PLANS))
-    n = json_nodes(responses, id_col, body).withColumn("_keys", F.array_intersect(keys, asked)).where(F.size("_keys") > 0)  # others hold nothing to read
-    node = F.col("node")
-    count = F.size(F.array_intersect("_keys", F.array(*map(F.lit, QUOTA_KEYS))))
-    reset = F.coalesce(F.date_format(F.timestamp_seconds(_num(node, RESETS)), "yyyy-MM-dd'T'HH:mm:ss'Z'"), _text(node, RESETS))
-    n = n.select("id", "path", "level", count.alias("key_count"), window_minutes(node, F.col("path")).alias("minutes"), used_percent(node).alias("used_percent"), reset.alias("reset_at"), _text(node, PLANS).alias("plan_text"))
-    return n
+    """Nodes that hold a quota key, with their windows, shares, resets, plans, numbers of quota keys and ranks (from 1)."""
+
+    def rows(value: object) -> Iterator[tuple]:
+        for rank, (i, path, level, node, n) in enumerate(ranked(value), 1):
+            v, minutes = summary(node), window_minutes(node)
+            yield _utf8(path), level, i, rank, n, minutes if minutes is None or abs(minutes) < 2**63 else None, used_percent(v), reset_at(v), _plan(v)
+
+    return per_body(responses, id_col, body, rows, "path string, level int, ord int, rank int, key_count int, minutes long, used_percent double, reset_at string, plan_text string")
 
 
 def required_windows(responses: DataFrame, id_col: str, body: str) -> DataFrame:
-    """One row per response and window: its node of most quota keys, the earliest by path among equals.
+    """One row per response and window: its node of most quota keys, the earliest among equals.
 
     Where only one of the two windows is found the other is filled in as unavailable with 0 used; the plan of a window without one is
-    any plan of the response.
+    the first known plan of the response's windows, or else of its matches. A window whose node names no used share has none.
     """
-    nodes = quota_nodes(responses, id_col, body)
-    label = F.when(F.col("minutes") == WINDOWS["5h"], "5h").when(F.col("minutes") == WINDOWS["7d"], "7d")
-    fit = (F.col("key_count") > 0) & F.col("used_percent").isNotNull()
-    node = F.struct("used_percent", "reset_at", "path", "plan_text")
-    best = lambda w: F.min_by(node, F.when(fit & (label == w), F.struct(-F.col("key_count"), F.col("path")))).alias(f"_{w}")
-    plan = F.min_by("plan_text", F.when(F.col("plan_text").isNotNull(), F.struct("level", "path"))).alias("any_plan")
-    g = nodes.groupBy("id").agg(plan, *map(best, WINDOWS)).where(" or ".join(f"_{w} is not null" for w in WINDOWS))  # one pass over the nodes
-    j = g.select("id", "any_plan", F.explode(F.array(*(F.struct(F.lit(w).alias("window"), F.col(f"_{w}").alias("n")) for w in WINDOWS))).alias("w")).select("id", "any_plan", "w.window", "w.n.*")
-    p = F.coalesce(normalize_plan(F.coalesce("plan_text", "any_plan")), F.lit("unknown"))
-    return j.select("id", "window", F.coalesce("used_percent", F.lit(0.0)).alias("used_percent"), "reset_at", "path", p.alias("plan"), plan_multiplier(p).alias("plan_multiplier"), F.col("path").isNull().alias("unavailable"))
-
-
-def top_matches(nodes: DataFrame, k: int = 8) -> DataFrame:
+
+    def rows(value: object) -> Iterator[tuple]:
+        nodes = ranked(value)
+        found: dict[str, tuple[str, dict]] = {}
+        for _, path, _, node, _ in nodes:
+            minutes = window_minutes(node)
+            for label in WINDOWS:
+                if minutes == WINDOWS[label] and label not in found:
+                    found[label] = path, summary(node)
+        plans = [_plan(v) for _, v in found.values()] + [_plan(summary(n[3])) for n in nodes[:MATCHES]]
+        for label in WINDOWS if found else ():
+            path, v = found.get(label, (None, {"used_percent": 0.0}))
+            yield label, used_percent(v), reset_at(v), _utf8(path), _plan(v), plans
+
+    j = per_body(responses, id_col, body, rows, "window string, used_percent double, reset_at string, path string, plan_text string, plans array<string>")
+    known = F.filter(F.transform("plans", normalize_plan), lambda p: p != "unknown")
+    own = normalize_plan("plan_text")
+    p = F.coalesce(F.nullif(own, F.lit("unknown")), F.get(known, F.lit(0)), F.lit("unknown"))
+    return j.select("id", "window", "used_percent", "reset_at", "path", p.alias("plan"), plan_multiplier(p).alias("plan_multiplier"), F.col("path").isNull().alias("unavailable"))
+
+
+def top_matches(nodes: DataFrame, k: int = MATCHES) -> DataFrame:
     """The k nodes of most quota keys per response: a report."""
-    return nodes.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("key_count"), "path"))).where(F.col("rank") <= k)
+    return nodes.where(F.col("rank") <= k)
 
 
 def history_rows(windows: DataFrame) -> DataFrame:
@@ -104,8 +220,13 @@ def accepted_samples(samples: DataFrame) -> DataFrame:
 
 
 def node_summary(nodes: DataFrame) -> DataFrame:
-    """The known keys of quota nodes as a map of texts, with remaining_percent = 100 - used within 0 to 100."""
-    node = F.col("node")
-    known = F.map_from_arrays(F.array(*map(F.lit, QUOTA_KEYS)), F.array(*(F.try_variant_get(node, f"$.{k}", "string") for k in QUOTA_KEYS)))
-    left = F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100 - used_percent(node)))
-    return nodes.select("id", "path", F.map_filter(known, lambda k, v: v.isNotNull()).alias("summary"), left.alias("remaining_percent"))
+    """The summary of nodes as a map of texts, with remaining_percent = 100 - used within 0 to 100."""
+
+    @F.udf("summary map<string,string>, remaining_percent double")
+    def summed(text):
+        node = parsed(text)
+        v = summary(node) if isinstance(node, dict) else {}
+        used = used_percent(v)
+        return {_utf8(k): _utf8(x) if isinstance(x, str) else json.dumps(x) for k, x in v.items() if x is not None}, None if used is None else min(100.0, max(0.0, 100.0 - used))
+
+    return nodes.select("id", "path", summed(F.to_json("node")).alias("_s")).select("id", "path", "_s.*")
