@@ -152,6 +152,22 @@ def test_quota_nodes_of_many_rows_and_levels(spark):
     assert len(got) == 21 and got[99].used_percent == 7 and got[99].path == "$" + ".x[0]" * 40
 
 
+def test_quota_keys_and_names(spark):
+    bodies = [
+        {"x": {"windowDurationMins": 300, "usedPercent": 12}},
+        {"limitName": "weekly", "used_percent": 5},
+        {"primary": {"used_percent": 5}},  # the path names no window
+        {"a": {"limit_window_seconds": 18059}, "b": {"usedPercent": 3, "window_seconds": 604800, "planType": "plus"}},  # whole minutes; no used share
+        {"z": {"window_minutes": 300, "used_percent": 1}, "a": {"window_minutes": 300, "used_percent": 2}, "m": {"window_minutes": 300, "used_percent": 3, "credits": {"balance": 1}}},
+        {"z": {"window_minutes": 300, "used_percent": 1}, "a": {"window_minutes": 300, "used_percent": 2}},  # equals: in the order of the text
+    ]
+    df = spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(bodies)], "id long, body string")
+    got = {(r.id, r.window): (r.used_percent, r.path, r.plan) for r in quota.required_windows(df, "id", "body").where("not unavailable").collect()}
+    assert got == {(0, "5h"): (12.0, "$.x", "unknown"), (1, "7d"): (5.0, "$", "unknown"), (3, "5h"): (None, "$.a", "plus"), (3, "7d"): (3.0, "$.b", "plus"), (4, "5h"): (3.0, "$.m", "unknown"), (5, "5h"): (1.0, "$.z", "unknown")}
+    assert [r.path for r in quota.top_matches(quota.quota_nodes(df.where("id = 4"), "id", "body")).orderBy("rank").collect()] == ["$.m", "$.z", "$.a", "$.m.credits"]
+    assert len(set(quota.QUOTA_KEYS)) == 37
+
+
 # -- batch and live delta events ---------------------------------------------------------------------------------------------------------
 
 

@@ -480,7 +480,12 @@ def q_chunk_chain(spark: SparkSession, sf: str) -> DataFrame:
 UNION ALL SELECT event_id, '7d', CASE WHEN k % 4 = 0 THEN 0.0 ELSE CAST(100 - k AS DOUBLE) END, k % 4 = 0, CASE WHEN k % 3 = 0 THEN 'plus' WHEN k % 3 = 1 THEN 'pro_lite' ELSE 'pro' END FROM e""")
 def q_json_quota(spark: SparkSession, sf: str) -> DataFrame:
     """Windows out of nested JSON, with missing ones filled in."""
-    e = ev(spark, sf).select("event_id", F.format_string('{"planType":"%s","rate_limit":{"a":[{"used_percent":%d,"limit_window_seconds":18000}],"b":{"remaining_percent":%d,"window_minutes":%d}}}', F.element_at(F.array(F.lit("plus"), F.lit("pro-lite"), F.lit("Pro")), F.col("k") % 3 + 1), F.col("k"), F.col("k"), F.when(F.col("k") % 4 == 0, 7).otherwise(10080)).alias("body"))
+    plan = F.element_at(F.array(F.lit("plus"), F.lit("pro-lite"), F.lit("Pro")), F.col("k") % 3 + 1)
+    other = F.col("k") % 4 == 0  # the second window is not one of the two
+    snake = F.format_string('{"planType":"%s","rate_limit":{"a":[{"used_percent":%d,"limit_window_seconds":18000}],"b":{"remaining_percent":%d,"window_minutes":%d}}}', plan, "k", "k", F.when(other, 7).otherwise(10080))
+    camel = F.format_string('{"planType":"%s","rate_limit":{"a":[{"usedPercent":%d,"windowDurationMins":300}],"b":{"remainingPercent":%d,"window_duration_minutes":%d}}}', plan, "k", "k", F.when(other, 7).otherwise(10080))
+    named = F.format_string('{"plan_type":"%s","rate_limit":{"a":[{"usedPercent":%d,"limitName":"Five_hour"}],"b":{"remainingPercent":%d,"limit_name":"%s"}}}', plan, "k", "k", F.when(other, "daily").otherwise("Weekly"))
+    e = ev(spark, sf).select("event_id", F.when(F.col("event_id") % 3 == 0, snake).when(F.col("event_id") % 3 == 1, camel).otherwise(named).alias("body"))
     return quota.required_windows(e, "event_id", "body").select(F.col("id").alias("event_id"), F.col("window").alias("usage_window"), "used_percent", "unavailable", "plan")
 
 
