@@ -248,6 +248,42 @@ def test_stream_equals_batch(spark, tmp_path):
     assert rows_of(spark.table("live_out")) == rows_of(live.batch(df)) and spark.table("live_out").count() > 20
 
 
+def test_admission_in_batch_and_stream(spark, tmp_path):
+    t = 1893456000.0  # 2030-01-01
+    rows = [
+        sample(0, 10, 100, reset=t + 86400, p7=5),
+        sample(1, 4, 102, reset=t + 2 * 86400, p7=6),  # rolled back, moved forward: 7d is not believed either
+        sample(2, 4, 103, reset=t + 9 * 3600, p7=6),  # rolled back, moved backward
+        sample(3, None, 104),  # both missing
+        sample(4, 12, 106, reset=t + 86400, p7=7),
+        sample(5, 1, 107, reset=t + 3 * 86400, p7=8, confirmed="5h"),
+        sample(6, None, 108, identity="you"),
+        sample(7, 0, 109, reset=t + 4 * 86400, p7=0, identity="you"),
+    ]
+    df = spark.createDataFrame(rows, live.SAMPLE)
+    for part in range(4):
+        df.where(f"seq div 2 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = live.stream(src).writeStream.format("memory").queryName("live_admitted").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    for got in (live.batch(df).collect(), spark.table("live_admitted").collect()):
+        bad = {r.seq: r.reasons for r in got if r.detail == "bad-remote-usage-discarded" and (r.window, r.kind) == ("remote", "special")}
+        assert bad == {
+            1: "5h percent rolled back and reset moved forward before trusted reset time",
+            2: "5h percent rolled back with an older reset time before trusted reset time",
+            3: "both quota window percentages are missing",
+            6: "identity changed without usable quota windows; both quota window percentages are missing",
+        }
+        assert sorted((r.seq, r.window, r.delta_percent, r.delta_cost) for r in got if r.kind == "event") == [(4, "5h", 2.0, 6.0), (4, "7d", 2.0, 6.0), (5, "7d", 1.0, 1.0)]
+        assert sorted((r.seq, r.window) for r in got if r.detail == "account-switch") == [(7, "5h"), (7, "7d")]
+
+
+def test_rejection_reasons_of_moved_resets(spark):
+    rows = [("a", 1, "5h", 20.0, 50.0, 1000, 5000, 6000, 5000), ("a", 2, "5h", 20.0, 50.0, 1000, 5000, 4000, 3000), ("a", 3, "5h", None, 50.0, 1000, 5000, 5000, 4000), ("a", 3, "7d", 9.0, 9.0, 1000, 9000, 9000, 8000), ("a", 4, "5h", None, 50.0, 1000, 5000, 5000, 4000)]
+    s = spark.createDataFrame(rows, "account_id string, seq long, window string, used_percent double, previous_percent double, checked_ts long, previous_reset_ts long, reset_ts long, reset_after_s long")
+    assert {r.seq: r.reasons for r in live.rejection_reasons(s).collect()} == {1: ["rollback-forward"], 2: ["rollback-backward"], 3: [], 4: ["missing"]}
+
+
 def test_rejection_and_confirmation(spark):
     s = spark.createDataFrame([("a", 1, "5h", 0.0, 50.0, 1000, 5000, 5000, 4000), ("a", 1, "7d", 10.0, 9.0, 1000, 9000, 9000, 8000), ("a", 2, "5h", 60.0, 50.0, 1000, 5000, 9000, 4000)], "account_id string, seq long, window string, used_percent double, previous_percent double, checked_ts long, previous_reset_ts long, reset_ts long, reset_after_s long")
     assert {r.seq: r.reasons for r in live.rejection_reasons(s).collect()} == {1: ["early-zero"], 2: ["reset-mismatch"]}

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from datetime import datetime, timezone
 from typing import Any
 
 import pandas as pd
@@ -20,7 +21,8 @@ from usagelake.operators.fold import fold
 
 #: One row per sample: windows, costs by model and the identity as JSON, so that a sample is one record of the stream.
 SAMPLE = "account_id string, seq long, checked_at string, windows string, cost double, cost_by_model string, cost_ready boolean, identity string, confirmed string"
-OUT = "account_id string, seq long, checked_at string, window string, kind string, model string, delta_percent double, delta_cost double, average_ratio double, warning boolean, cumulative_percent double, cumulative_cost double, detail string"
+RESET_DRIFT_S = 300
+OUT = "account_id string, seq long, checked_at string, window string, kind string, model string, delta_percent double, delta_cost double, average_ratio double, warning boolean, cumulative_percent double, cumulative_cost double, detail string, reasons string"
 
 
 def trusted(window: str, plan: str) -> bool:
@@ -157,12 +159,56 @@ class Window:
         return out
 
 
+def _seconds(checked_at: str | None) -> int | None:
+    """Whole seconds of an ISO-8601 text, in UTC where it names no zone; None where it is none."""
+    try:
+        at = datetime.fromisoformat(checked_at)
+    except (TypeError, ValueError):
+        return None
+    return int((at if at.tzinfo else at.replace(tzinfo=timezone.utc)).timestamp())
+
+
+def _percent(w: dict) -> float | None:
+    """The used share of a window; that of an unavailable one is 0 unless it says otherwise."""
+    if (used := w.get("used_percent")) is not None:
+        return float(used)
+    return 0.0 if w.get("unavailable") else None
+
+
+def rejections(state: dict, sample: Any, windows: dict, confirmed: set[str], switched: bool) -> list[str]:
+    """Why a sample is not to be believed, by both windows of its account; empty if it is admitted.
+
+    A sample whose windows are null is no reading of quota and is not judged by what it lacks. A reset that is confirmed by a direct
+    zero (all shares are 0) is admitted as it is, and so is another identity with windows.
+    """
+    used = {label: p for label in WINDOWS if (p := _percent(windows.get(label) or {})) is not None}
+    if switched:
+        return [] if windows else ["identity changed without usable quota windows", *(["both quota window percentages are missing"] if sample.windows else [])]
+    if confirmed and used and not any(used.values()):
+        return []
+    out = ["both quota window percentages are missing"] if sample.windows and not used else []
+    at = _seconds(sample.checked_at)
+    for label in WINDOWS:
+        w, s = windows.get(label) or {}, state.get(label) or {}
+        reset, after = w.get("reset"), w.get("reset_after_seconds")
+        if at is not None and reset is not None and after is not None and (drift := abs(reset - at - after)) > RESET_DRIFT_S:
+            out.append(f"{label} reset_after_seconds inconsistent with reset_at by {drift:.0f}s")
+        base, until = s.get("percent"), s.get("reset")
+        if label in confirmed or label not in used or base is None or at is None or until is None or at >= until - RESET_JITTER_S:
+            continue
+        if used[label] * float(w.get("multiplier") or 1.0) < base and (turn := moved(until, reset)):
+            out.append(f"{label} percent rolled back " + ("and reset moved forward" if turn > 0 else "with an older reset time") + " before trusted reset time")
+    return out
+
+
 def transition(state: dict, sample: Any) -> list[tuple]:
-    """Apply one sample row to an account's state; returns rows of OUT."""
+    """Apply one sample row to an account's state; returns rows of OUT. A sample that is not admitted changes nothing but is told of."""
     windows = json.loads(sample.windows or "{}")
     models = json.loads(sample.cost_by_model) if sample.cost_by_model else {DEFAULT_MODEL: sample.cost}
     confirmed = set(filter(None, (sample.confirmed or "").split(",")))
     switched = state.get("identity") is not None and bool(sample.identity) and state["identity"] != sample.identity
+    if why := rejections(state, sample, windows, confirmed, switched):
+        return [(sample.account_id, sample.seq, sample.checked_at, "remote", "special", *[None] * 7, "bad-remote-usage-discarded", "; ".join(why))]
     out = []
     for label in WINDOWS:
         w = windows.get(label)
@@ -176,7 +222,7 @@ def transition(state: dict, sample: Any) -> list[tuple]:
         mult = float(w.get("multiplier") or 1.0)
         x = {"raw": float(w["used_percent"]), "percent": float(w["used_percent"]) * mult, "mult": mult, "plan": w.get("plan") or "unknown", "reset": w.get("reset"), "cost": float(sample.cost or 0.0), "models": models, "at": sample.checked_at}
         for kind, f in Window(label, state.setdefault(label, {})).transition(x, pd.isna(sample.cost_ready) or bool(sample.cost_ready), switched, label in confirmed):
-            out.append((sample.account_id, sample.seq, sample.checked_at, label, kind, *(f.get(k) for k in ("model", "delta_percent", "delta_cost", "average_ratio", "warning", "cumulative_percent", "cumulative_cost", "detail"))))
+            out.append((sample.account_id, sample.seq, sample.checked_at, label, kind, *(f.get(k) for k in ("model", "delta_percent", "delta_cost", "average_ratio", "warning", "cumulative_percent", "cumulative_cost", "detail", "reasons"))))
     if sample.identity:
         state["identity"] = sample.identity
     return out
@@ -224,13 +270,17 @@ def fresh_start(state: dict, cumulative: dict[str, list[float]]) -> dict:
 
 
 def rejection_reasons(samples: DataFrame) -> DataFrame:
-    """Add reasons: why a sample is not to be believed. Both windows are looked at: a share that falls to 0 before the reset time, a
-    reset time that does not agree with its remaining seconds, or no window at all."""
-    early = (F.col("used_percent") == 0) & (F.col("previous_percent") > 0) & (F.col("checked_ts") < F.col("previous_reset_ts") - RESET_JITTER_S)
-    drift = F.abs((F.col("reset_ts") - F.col("checked_ts")) - F.col("reset_after_s")) > 300
-    why = F.array_compact(F.array(F.when(early, "early-zero"), F.when(drift, "reset-mismatch"), F.when(F.col("used_percent").isNull(), "missing")))
+    """Add reasons: why a sample is not to be believed. Both windows are looked at: before the reset time, a share that falls to 0, or
+    to any value while the reset time moves; a reset time that does not agree with its remaining seconds; or no share in any window."""
+    before = F.col("checked_ts") < F.col("previous_reset_ts") - RESET_JITTER_S
+    early = (F.col("used_percent") == 0) & (F.col("previous_percent") > 0) & before
+    fell = (F.col("used_percent") < F.col("previous_percent")) & before
+    turn = F.col("reset_ts") - F.col("previous_reset_ts")
+    drift = F.abs((F.col("reset_ts") - F.col("checked_ts")) - F.col("reset_after_s")) > RESET_DRIFT_S
+    why = F.array_compact(F.array(F.when(early, "early-zero"), F.when(fell & (turn > RESET_JITTER_S), "rollback-forward"), F.when(fell & (turn < -RESET_JITTER_S), "rollback-backward"), F.when(drift, "reset-mismatch")))
     per = samples.withColumn("why", why)
-    return per.groupBy("account_id", "seq").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("why")))).alias("reasons"))
+    missing = F.when(F.count("used_percent") == 0, F.array(F.lit("missing"))).otherwise(F.array().cast("array<string>"))
+    return per.groupBy("account_id", "seq").agg(F.array_sort(F.array_union(F.flatten(F.collect_list("why")), missing)).alias("reasons"))
 
 
 def arbitrate(responses: DataFrame, limit: int = 5) -> DataFrame:
