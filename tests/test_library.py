@@ -452,6 +452,20 @@ def test_journal_compaction(spark, tmp_path):
     assert journal.publish(spark.createDataFrame([("b", "1"), ("c", "1")], "key string, body string"), path, "m", ["key"], ["body"]) == 1
 
 
+def test_delete_between_two_compactions(spark, tmp_path):
+    path = str(tmp_path / "j")
+    of = lambda *keys: spark.createDataFrame([(k, "1") for k in keys], "key string, body string")
+    rows = lambda: sorted(r.key for r in journal.read_journal(spark, path, "m").collect())
+    journal.publish(of("x", "y"), path, "m", ["key"], ["body"])
+    journal.compact(spark, path, "m")
+    journal.publish(of("y"), path, "m", ["key"], ["body"])
+    for _ in range(2):  # the second time there is nothing to do
+        journal.compact(spark, path, "m")
+        assert rows() == ["y"]
+    assert [p.name for p in (tmp_path / "j/machine=m").iterdir()] == ["sequence_dir=000000000001-checkpoint"]
+    assert journal.publish(of("y", "z"), path, "m", ["key"], ["body"]) == 1 and rows() == ["y", "z"]
+
+
 def test_dispatch_and_live_sink(spark, tmp_path):
     cols = "kind string, window string, cycle long, seq long, started_at string, checked_at string, account_id string, start_percent double, end_percent double, models map<string,double>, model string, delta_percent double, delta_cost double"
     rows = spark.createDataFrame([("interval", "5h", 0, 0, "a", "b", "x", 0.0, 1.0, {"m": 2.0}, None, None, None), ("delta", "7d", None, 1, None, "c", "x", None, None, None, "n", 1.0, 3.0)], cols)

@@ -103,6 +103,10 @@ def read_journal(spark: SparkSession, path: str, machine: str) -> DataFrame | No
         j = spark.read.parquet(f"{path}/machine={machine}").drop("sequence_dir")
     except AnalysisException:
         return None
+    return _replayed(j)
+
+
+def _replayed(j: DataFrame) -> DataFrame:
     key = [c for c in j.columns if c.startswith("k_")] or ["key"]
     return latest(j, key, [F.desc("sequence")]).where("action = 'upsert'").drop("action", "sequence")
 
@@ -115,21 +119,23 @@ def merge_with_deletions(local: DataFrame, remote: DataFrame, deletions: DataFra
 
 
 def compact(spark: SparkSession, path: str, machine: str) -> None:
-    """Write the state of a machine's journal as a checkpoint: its files hold it under the last sequence, and the chunks before go.
+    """Write the state of a machine's journal as a checkpoint: its files hold it under the last sequence, and all before it goes,
+    chunks and earlier checkpoints.
 
-    The checkpoint is written beside the journal before anything is deleted, so that a failure leaves a journal that replays alike.
+    The checkpoint is written beside the journal before anything is deleted, and what is older is deleted first, so that a failure
+    leaves a journal that replays alike. A checkpoint that is whole is not written again.
     """
     own = f"{path}/machine={machine}"
-    whole = spark.read.parquet(own)
-    seq = whole.agg(F.max("sequence")).first()[0]
-    state = read_journal(spark, path, machine).withColumns({"action": F.lit("upsert"), "sequence": F.lit(seq).cast("long")})
-    target = f"{own}/sequence_dir={seq:012d}-checkpoint"
-    state.write.mode("overwrite").parquet(target)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(own)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    for f in fs.listStatus(hadoop):
-        if f.getPath().getName().startswith("sequence_dir=") and not f.getPath().getName().endswith("-checkpoint"):
-            fs.delete(f.getPath(), True)
+    seq = spark.read.parquet(own).agg(F.max("sequence")).first()[0]
+    name = f"sequence_dir={seq:012d}-checkpoint"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(own).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = sorted(n for f in fs.listStatus(hadoop(own)) if (n := f.getPath().getName()).startswith("sequence_dir=") and n != name)
+    if not fs.exists(hadoop(f"{own}/{name}/_SUCCESS")):
+        state = _replayed(spark.read.parquet(*(f"{own}/{n}" for n in old)))
+        state.withColumns({"action": F.lit("upsert"), "sequence": F.lit(seq).cast("long")}).write.mode("overwrite").parquet(f"{own}/{name}")
+    for n in old:
+        fs.delete(hadoop(f"{own}/{n}"), True)
 
 
 def split_origin(df: DataFrame, machine: str) -> tuple[DataFrame, DataFrame]:
