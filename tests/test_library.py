@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from usagelake import dims
+from usagelake import dims, queries
 from usagelake.functions import scalars as Z
 from usagelake.operators import attribution, deltas, journal, quota, reconcile, tokens
 from usagelake.plans import serving
@@ -418,6 +418,17 @@ def test_serving(spark):
     assert got["7d"].display == "7d 61.0%" and got["7d"].age_s == 67
 
 
+def test_samples_are_keyed_by_user(spark):
+    sf = "/root/testdata/sf0.001"
+    s = queries._samples(spark, sf)
+    users = queries.ev(spark, sf).agg(F.count_distinct("user_id")).first()[0]
+    assert s.select("account_id").distinct().count() == users > 5
+    last = s.select("cost", F.from_json("cost_by_model", "map<string,double>").alias("m")).collect()
+    assert all(abs(sum(r.m.values()) - r.cost) < 1e-6 for r in last) and max(len(r.m) for r in last) > 1
+    events = queries.QUERIES["q_live_batch"](spark, sf).where("kind = 'event'")
+    assert events.select("model").distinct().count() > 1
+
+
 def test_entry_and_queries_agree():
     import __spark_entry__ as e
 

@@ -365,13 +365,15 @@ def q_positive_deltas(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def q_state_machine(spark: SparkSession, sf: str) -> DataFrame:
-    """W7 over (k, running cost) per event type: a fold; unit tests carry its correctness."""
+    """W7 over (k, running cost) per user: a fold; unit tests carry its correctness."""
     return deltas.batch_series(_samples(spark, sf))
 
 
 def _samples(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return ev(spark, sf).select(F.col("event_type").alias("account_id"), F.lit("5h").alias("window"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("checked_at"), F.col("event_id").alias("seq"), F.col("k").cast("double").alias("used_percent"), F.lit("unknown").alias("plan"), F.lit(1.0).alias("multiplier"), F.sum("v").over(w).cast("double").alias("cost"), F.unix_timestamp("ts").cast("double").alias("reset_ts"), F.lit(False).alias("unavailable"))
+    """Samples of users as accounts, with their running cost and its shares by event type; types without a rate are in the cost alone."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    by_model = F.create_map(*(c for m in RATES for c in (F.lit(m), F.sum(F.when(F.col("event_type") == m, F.col("v"))).over(w).cast("double"))))
+    return ev(spark, sf).select(F.col("user_id").cast("string").alias("account_id"), F.lit("5h").alias("window"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("checked_at"), F.col("event_id").alias("seq"), F.col("k").cast("double").alias("used_percent"), F.lit("unknown").alias("plan"), F.lit(1.0).alias("multiplier"), F.sum("v").over(w).cast("double").alias("cost"), F.unix_timestamp("ts").cast("double").alias("reset_ts"), F.lit(False).alias("unavailable"), F.to_json(F.map_filter(by_model, lambda m, c: c.isNotNull())).alias("cost_by_model"))
 
 
 @query()
@@ -383,7 +385,7 @@ def q_live_batch(spark: SparkSession, sf: str) -> DataFrame:
 def live_samples(s: DataFrame) -> DataFrame:
     win = F.to_json(F.create_map(F.lit("5h"), F.struct("used_percent", "plan", "multiplier", F.col("reset_ts").alias("reset"))))
     n = F.row_number().over(Window.partitionBy("account_id").orderBy("checked_at", "seq")).cast("long")
-    return s.select("account_id", n.alias("seq"), "checked_at", win.alias("windows"), "cost", F.lit(None).cast("string").alias("cost_by_model"), F.lit(True).alias("cost_ready"), F.lit("x").alias("identity"), F.lit(None).cast("string").alias("confirmed"))
+    return s.select("account_id", n.alias("seq"), "checked_at", win.alias("windows"), "cost", "cost_by_model", F.lit(True).alias("cost_ready"), F.lit("x").alias("identity"), F.lit(None).cast("string").alias("confirmed"))
 
 
 @query(f"""WITH {E}, r AS (SELECT user_id AS poll_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt, k FROM e), b AS (SELECT *, lag(k) OVER (PARTITION BY poll_id ORDER BY attempt) AS p FROM r WHERE attempt <= 5)
