@@ -46,6 +46,14 @@ def test_extra_columns_and_empty_tables(spark):
     assert embed_dedup.near_duplicate_vectors(spark.createDataFrame([(None, [1.0], 1), (1, [1.0], 1), (2, [2.0], 1), (3, [1.0], None)], "vec_id long, embedding array<double>, label int")).where("n_links = 1").count() == 2
 
 
+def test_vectors_without_an_id_and_with_a_repeated_one(spark):
+    rows = [(None, [1.0, 0.0], 1), (None, [0.0, 1.0], 1), (1, [1.0, 0.0], 1), (2, None, 1), (2, [3.0, 1.0], 1), (2, [1.0, 0.0], 1), (2, [1.0, 0.0], None), (2, [0.0, 1.0], 2)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "vec_id long, embedding array<double>, label int").coalesce(1)
+        got = sorted((tuple(r) for r in embed_dedup.near_duplicate_vectors(df).collect()), key=str)
+        assert got == [(1, 1, 1, True), (2, 1, 1, False), (None, 0, None, None), (None, 0, None, None)]
+
+
 # -- op1 ---------------------------------------------------------------------------------------------------------------------
 
 

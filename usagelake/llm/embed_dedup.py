@@ -6,8 +6,9 @@ table whose key it shares, so each link is counted once whatever the number of t
 the wanted recall at the threshold's distance. Link counts and spanning forests leave a task, never pairs.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do those whose label
-is null; vectors of different lengths never link; repeated rows of one id are one vector; vectors without an id link with
-nothing and have no component; an empty table gives no rows; other columns are ignored.
+is null; vectors of different lengths never link; repeated rows of one id are one vector, that of the
+smallest label and then the smallest vector, nulls last; vectors without an id link with nothing, have no component, neither true nor
+false as kept, and keep a row each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -70,9 +71,10 @@ def _normal(vectors: list, n: int) -> list[np.ndarray | None]:
 
 
 def near_duplicate_vectors(embeddings: DataFrame, threshold: float = 0.98, width: float = 1.2, k: int = 12, recall: float = 0.9995) -> DataFrame:
-    """(vec_id, n_links, component_id, kept), one row per vec_id: links are other vectors of the same label and cosine >= threshold."""
+    """(vec_id, n_links, component_id, kept), one row per vec_id and per row without one: links are other vectors of the same label and cosine >= threshold."""
     lsh = PStable(k, tables_for(threshold, width, k, recall), width)
-    rows = embeddings.select("vec_id", "label", "embedding").dropDuplicates(["vec_id"])
+    first = F.min(F.struct(F.col("label").isNull().alias("no_label"), "label", F.col("embedding").isNull().alias("no_vector"), "embedding"))
+    rows = embeddings.where("vec_id is not null").groupBy("vec_id").agg(first.alias("f")).select("vec_id", "f.label", "f.embedding")
     rows, _ = written(rows, "embed-rows")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +91,7 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = 0.98, width
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), pa.array(keys, pa.list_(pa.int64()))], names=["vec_id", "label", "keys"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    entry = rows.where("label is not null and vec_id is not null").mapInArrow(hashed, f"vec_id {kinds['vec_id']}, label {kinds['label']}, keys array<long>").select("vec_id", "label", F.posexplode("keys").alias("tab", "key"))
+    entry = rows.where("label is not null").mapInArrow(hashed, f"vec_id {kinds['vec_id']}, label {kinds['label']}, keys array<long>").select("vec_id", "label", F.posexplode("keys").alias("tab", "key"))
     entry, _ = written(entry, "embed-keys")
     bucket = ["label", "tab", "key"]
     shared = entry.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1")
@@ -132,4 +134,6 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = 0.98, width
     links = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
     out = rows.select("vec_id").join(links, "vec_id", "left").join(group, F.col("vec_id") == F.col("node"), "left")
     own = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), (F.col("vec_id") == own).alias("kept"))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), (F.col("vec_id") == own).alias("kept"))
+    alone = embeddings.where("vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(None).cast("boolean").alias("kept"))
+    return out.unionByName(alone)
