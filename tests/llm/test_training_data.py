@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from usagelake.llm import chat, decontam, embed_dedup, jaccard, packing, pii, queries, secret_scan, token_count, token_matrix, toxicity
 from usagelake.llm.common import connected_components
-from usagelake.llm.spans import redacted
+from usagelake.llm.spans import SPAN, clear_of, redacted
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, score double, n string, component_id string, bands string"  # with names that operators use inside
@@ -387,6 +387,70 @@ def test_weak_supervision_learns_reliabilities(spark):
     assert "email" in kinds and "phone" in kinds
 
 
+def planted_people(rng, n):
+    """(text, the loose spans that are personal data): half with planted data in varied forms, half with look-alikes."""
+    names, hosts = ["Tessandro", "Velkamp", "Oduya", "Brightwater", "Quillon"], ["postmail", "letterbox", "inboxly"]
+    fill = lambda k: " ".join(rng.choice(["lorem", "ipsum", "dolor", "sit", "amet", "nunc"], k))
+    out = []
+    for i in range(n):
+        a, b, c = (int(x) for x in rng.integers(100, 999, 3))
+        four = int(rng.integers(1000, 9999))
+        good = [f"contact me at user{a} (at) {rng.choice(hosts)} (dot) com", f"call my phone 212-{b}-{four}", f"dear Mr. {rng.choice(names)}"][i % 3]
+        bad = [f"order 8{a % 10}3 {b} {four}", f"invoice no. 4{a % 10}1-{b}-{four}", f"serial #{a}.{b}.{four}"][i % 3]
+        hit = re.search(r"user\d+ .*|212-.*|Mr.*", good)
+        text = f"{fill(6)} {good if i % 2 else bad} "
+        out.append((text + fill(4), (text.index(hit.group()), text.index(hit.group()) + len(hit.group())) if i % 2 else None))
+    strict = [(f"write to person{i}@{rng.choice(hosts)}.com or phone +1 (212) 555-{1000 + i}", None) for i in range(n // 4)]
+    return out + strict
+
+
+def test_added_personal_data_precision_and_recall(spark):
+    rows = planted_people(np.random.default_rng(8), 600)
+    got = {r.doc_id: {(s.start, s.end) for s in r.added} for r in pii.find(docs_of(spark, [t for t, _ in rows])).collect()}
+    found = sum(want in got[i] for i, (_, want) in enumerate(rows) if want)
+    added = sum(len(s) for s in got.values())
+    assert found >= 0.95 * sum(want is not None for _, want in rows) and found >= 0.95 * added
+
+
+def test_gazetteer_is_learned(spark):
+    texts = [f"Dr. Zyxwani wrote, u{i}@rarehost.tld too" for i in range(5)] + ["Mr Onlyonce"]
+    entries = pii.gazetteer(pii.candidates(docs_of(spark, texts)))
+    assert "zyxwani" in entries["name"] and "onlyonce" not in entries["name"] and "rarehost.tld" in entries["email"] and "com" in entries["email"]
+
+
+def test_many_matches_take_linear_time(spark):
+    """200,000 matches in one text, with results as elsewhere."""
+    import time
+
+    ips, keys = " ".join(f"10.{i % 256}.3.4" for i in range(200_000)), " ".join(f"{i:024x}" for i in range(50_000))
+    start = time.perf_counter()
+    got = pii.find(docs_of(spark, [ips])).select(F.size("base.ip").alias("n"), F.element_at("base.ip", -1).alias("last")).first()
+    assert (got.n, got.last.end) == (200_000, len(ips))
+    found = secret_scan.scan(docs_of(spark, [keys])).select(F.size("hex").alias("n"), F.element_at("hex", -1).alias("last")).first()
+    assert (found.n, found.last.end) == (50_000, len(keys))
+    assert secret_scan.redact(docs_of(spark, [keys])).first().text == " ".join(["[SECRET]"] * 50_000)
+    assert time.perf_counter() - start < 120
+
+
+def test_spans_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    mk = lambda: [("m", int(a), int(a + rng.integers(1, 6))) for a in sorted(rng.choice(60, rng.integers(0, 9), replace=False))]
+    rows = [(mk(), mk()) for _ in range(80)]
+    got = spark.createDataFrame(rows, f"a {SPAN}, b {SPAN}").select("a", "b", clear_of(F.col("a"), F.col("b")).alias("c")).collect()
+    for r in got:
+        assert sorted(map(tuple, r.c)) == sorted(tuple(x) for x in r.a if not any(y.start < x.end and y.end > x.start for y in r.b))
+
+
+def test_kept_columns_may_have_any_name(spark):
+    names = ["base", "cand", "tokens", "_text", "_kept", "_l0", "_found", "_hits", "_id", "_n_words", "spans", "_toxicity"]
+    df = docs_of(spark, ["mail a@b.co now", "password=abcdef123"]).select("doc_id", "text", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    keep = ["doc_id", *(n for n in names if n != "base")]
+    assert pii.find(df, keep=keep).count() == 2
+    assert secret_scan.scan(df, keep=["doc_id", *names]).where("base = 0 and tokens = 2").count() == 2
+    assert secret_scan.redact(df).columns == df.columns and decontam.contamination(df, spark.createDataFrame([(1, "mail a")], "item_id long, text string"), keep=["doc_id", "_found", "_hits", "_id"]).where("_found = 6").count() == 2
+    assert toxicity.score(df, toxicity.BiGRU().fit([], []), ["doc_id", *names]).count() == 2
+
+
 def test_randomness_battery(spark):
     import random
     import string
