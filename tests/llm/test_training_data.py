@@ -43,6 +43,7 @@ def test_extra_columns_and_empty_tables(spark):
         assert secret_scan.redact(df).columns == df.columns
         assert packing.pack(df).select("doc_id").distinct().count() == n
         assert token_matrix.matrices(df).select(F.explode("doc_ids")).distinct().count() == n
+        assert embed_dedup.near_duplicate_vectors(df.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding"), F.lit(1).alias("label"), F.lit(0).alias("rep"), F.lit(0).alias("h"))).count() == n
     assert embed_dedup.near_duplicate_vectors(spark.createDataFrame([(None, [1.0], 1), (1, [1.0], 1), (2, [2.0], 1), (3, [1.0], None)], "vec_id long, embedding array<double>, label int")).where("n_links = 1").count() == 2
 
 
@@ -500,6 +501,35 @@ def test_embeddings_against_all_pairs(spark, monkeypatch, block):
     assert all(got[a].component_id == got[b].component_id for a in links for b in links[a])
 
 
+def test_search_finds_all_connections():
+    rng = np.random.default_rng(3)
+    for n, cross in ((2, False), (40, False), (40, True), (41, True)):
+        x = rng.normal(size=(6, 4))[rng.integers(0, 6, n)] + 0.25 * rng.normal(size=(n, 4))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        left, right = (np.arange(n // 2), np.arange(n // 2, n)) if cross else (np.arange(n),) * 2
+        a, b = embed_dedup.linked(x, left, right, 0.9)
+        find = list(range(n))
+
+        def top(i):
+            while find[i] != i:
+                i = find[i]
+            return i
+
+        def groups(pairs):
+            find[:] = range(n)
+            for i, j in pairs:
+                find[top(i)] = top(j)
+            return [min(k for k in range(n) if top(k) == top(i)) for i in range(n)]
+
+        links = [(i, j) for i in left for j in right if i != j and x[i] @ x[j] >= 0.9]
+        assert groups(zip(a, b)) == groups(links) and len(a) < n and all(x[i] @ x[j] >= 0.9 for i, j in zip(a, b))
+
+
+def test_projections_grow_with_the_label():
+    assert embed_dedup.projections_for(0, 1.2) == embed_dedup.projections_for(10_000, 1.2) == 12
+    assert 14 <= embed_dedup.projections_for(100_000, 1.2) <= 16 and embed_dedup.projections_for(10**9, 1.2) <= 32
+
+
 def test_queries_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 11))
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: dict[str, str] = {}
+_log: ContextVar[list[str] | None] = ContextVar("written", default=None)
 _kept: dict[tuple, object] = {}
 SALTS = 16
+HOT = 20_000  # edges of a centre, and a thousandth of all, from which on they are dealt to several tasks
 
 
 def kept_in_worker(key: tuple, make: Callable[[], object]) -> object:
@@ -26,9 +31,14 @@ def kept_in_worker(key: tuple, make: Callable[[], object]) -> object:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: `spark.checkpoint.dir`; only where it is unset (tests), a folder of this process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or _own_dir.setdefault("dir", tempfile.mkdtemp(prefix="usagelake-"))
+    """The folder that all executors share: `spark.checkpoint.dir`, or that of setCheckpointDir. A session of one machine, as in tests,
+    gets a folder of this process where both are unset; on a cluster that is an error, as no executor could read it."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_dir.setdefault("dir", tempfile.mkdtemp(prefix="usagelake-"))
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -36,9 +46,23 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (log := _log.get()) is not None:
+        log.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete at the end what `written` wrote inside, but for the paths that were taken off the list. Results of operators read such
+    tables, so write a result inside: `with scratch(spark): near_duplicates(docs).write.parquet(path)`."""
+    token = _log.set(log := [])
+    try:
+        yield log
+    finally:
+        _log.reset(token)
+        discard(spark, *log)
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete written stages that no later read needs."""
     for path in paths:
@@ -109,18 +133,24 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, component) with component the smallest node reachable; edges(src, dst) of longs. Nodes without edges have no row.
 
-    Alternating large-star and small-star steps: minima are aggregated before the shuffle, and the edges of a hot centre are dealt
-    to SALTS tasks, to each of which the centre's minimum goes. Each round is written to the shared folder. Joins are merge joins, as
-    the small files of a round would make Spark broadcast many more rows than their size tells.
+    Alternating large-star and small-star steps: minima are aggregated before the shuffle, and the edges of a hot centre (there are at
+    most a thousand) are dealt to SALTS tasks, to each of which the centre's minimum goes. Each round is written to the shared folder.
+    Joins are merge joins, as the small files of a round would make Spark broadcast many more rows than their size tells.
     """
     spark = edges.sparkSession
     e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct()
     e, path = written(e, name)
     seen = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     while seen[0]:
-        low = e.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = e.withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int"))
-        large = dealt.join(low.hint("merge"), (dealt.v == low.n) & (dealt.salt == low.s), "left").select("u", F.coalesce("m", "v").alias("v"))
+        hot = [r.v for r in e.groupBy("v").count().where(F.col("count") > max(HOT, seen[0] // 1000)).select("v").collect()] if seen[0] > HOT else []
+        low = e.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
+        if hot:
+            low = low.withColumn("s", F.explode(F.when(F.col("n").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+            dealt = e.withColumn("salt", F.when(F.col("v").isin(hot), F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int")).otherwise(0))
+            met = dealt.join(low.hint("merge"), (dealt.v == low.n) & (dealt.salt == low.s), "left")
+        else:
+            met = e.join(low.hint("merge"), e.v == low.n, "left")
+        large = met.select("u", F.coalesce("m", "v").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         nxt, new_path = written(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), name)
