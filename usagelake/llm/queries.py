@@ -62,13 +62,21 @@ dw AS (SELECT doc_id, j, n, list_slice(w, j + 1, j + n) AS win
        FROM d, (SELECT DISTINCT n FROM iw) AS k, unnest(range(0, len(w) - n + 1)) AS u(j) WHERE len(w) >= n),
 hit AS (SELECT doc_id, j, dw.n, item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.win = iw.win),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(range(j, j + n)) AS u(p) GROUP BY 1),
+t AS (SELECT doc_id, j - 1 AS spot, lower(w[j]) AS term FROM d, unnest(range(1, len(w) + 1)) AS u(j)),
+freq AS (SELECT term, count(*) AS f FROM t GROUP BY 1),
+ik AS (SELECT row_number() OVER () AS ik, * FROM (SELECT DISTINCT item_id, w FROM i WHERE len(w) > 0)),
+place AS (SELECT ik, item_id, p AS pos, lower(w[p + 1]) AS term, s FROM ik, unnest(range(0, greatest(len(w) - 12, 1))) AS u(s), unnest(range(s, s + least(13, len(w)))) AS v(p)),
+anchor AS (SELECT DISTINCT ik, item_id, pos, term FROM (SELECT place.*, row_number() OVER (PARTITION BY ik, s ORDER BY coalesce(f, 0), pos) AS r FROM place LEFT JOIN freq USING (term)) WHERE r <= 2),
+cell AS (SELECT DISTINCT doc_id, ik, item_id, pos, floor((spot - pos) / 5.0) + more AS cell FROM t JOIN anchor USING (term), (VALUES (0), (1)) AS m(more)),
+close AS (SELECT doc_id, ik, item_id, max(n) AS near FROM (SELECT doc_id, ik, item_id, cell, count(*) AS n FROM cell GROUP BY ALL) GROUP BY ALL),
+nearby AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM close JOIN (SELECT ik, count(*) AS asked FROM anchor GROUP BY 1) USING (ik) WHERE near >= 0.8 * asked GROUP BY 1),
 ids AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM hit GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN ids USING (doc_id)""")
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN ids USING (doc_id) LEFT JOIN nearby USING (doc_id)""")
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), F.col("_contaminated").alias("contaminated"))
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=True)
+    return found.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), F.col("_contaminated").alias("contaminated"), F.col("_near").alias("n_near"))
 
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -98,7 +106,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     count = [F.size(f"base.{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]]
-    return found.select("doc_id", *count, F.sha2(pii.listed(True), 256).alias("base_sha256"), pii.listed(False).alias("spans"))
+    every = sum((F.size(f"base.{k}") for k in pii.KINDS[:4]), F.size("added")).cast("long").alias("n_spans")
+    return found.select("doc_id", *count, F.sha2(pii.listed(True), 256).alias("base_sha256"), pii.listed(False).alias("spans"), every)
 
 
 @query()
