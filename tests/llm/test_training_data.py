@@ -148,9 +148,10 @@ def brute_links(rows, threshold=0.8, n=5):
     return links, comp
 
 
-@pytest.mark.parametrize("block", [1024, 7])
-def test_jaccard_against_all_pairs(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, wide", [(1024, 64), (7, 64), (7, 1)])
+def test_jaccard_against_all_pairs(spark, monkeypatch, block, wide):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "WIDE", wide)
     rows = [(r.doc_id, r.text) for r in sf_docs(spark).collect()]
     base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
     rows += [(10_000 + i, f"{base} {base.upper()} tail{i}") for i in range(40)] + [(20_000, None), (20_001, ""), (20_002, "Few words"), (20_003, "few, words!"), (20_004, base), (20_005, base)]
@@ -161,6 +162,24 @@ def test_jaccard_against_all_pairs(spark, monkeypatch, block):
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
+def test_one_of_each_group_by_row(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a, 1), (1, a, 2), (2, a, 3), (3, b, 4), (3, b + " b40", 5), (4, a.replace("a0 ", "z "), 6), (None, b, 7), (None, "alone here", 8), (None, "alone here", 8), (5, None, 9), (6, "", 10), (6, "", 10), (7, a, 11), (7, "a text of its own", 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, own int").withColumn("_row", F.lit(0))
+    out = jaccard.one_of_each(df)
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert out.columns == df.columns
+    assert sorted(got, key=str) == sorted([(1, a), next(x for x in got if x[0] == 3), (None, "alone here"), (5, None), (6, ""), (7, "a text of its own")], key=str)
+    assert jaccard.one_of_each(df.where("false")).count() == 0
+
+
+def test_least_agreement():
+    for threshold, hashes in ((0.8, 112), (0.9, 40)):
+        k = jaccard.least_agreement(threshold, hashes)
+        agree = np.random.default_rng(1).binomial(hashes, threshold, 200_000)
+        assert (agree < k).mean() < 1e-4 and k > 0.5 * threshold * hashes
+
+
 def test_bands_reach_the_recall():
     for threshold, recall in ((0.8, 0.9995), (0.7, 0.99), (0.9, 0.999)):
         b, r = jaccard.choose_bands(threshold, recall)
