@@ -96,6 +96,53 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= s <= 1 for s in edge) and edge[0] == edge[1] == edge[2]
 
 
+def test_scores_against_one_window_at_a_time():
+    """Every window of a text through the network step by step, in plain loops; the text's score is the greatest."""
+    m = toxicity.BiGRU(dim=3, hidden=2, window=6, seed=4)
+    m.words, m.grams = {"bad": 1, "good": 2, "fine": 3}, {g: i + 1 for i, g in enumerate(sorted({g for w in ("badly", "goods", "other") for g in toxicity.grams_of(w)}))}
+    m._init()
+    m.p = {k: (v + 0.5 * m.rng.normal(size=v.shape)).astype(np.float32) for k, v in m.p.items()}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def word(w):
+        ids = [i for i in map(m.grams.get, toxicity.grams_of(w)) if i] or [0]
+        return np.concatenate([m.p["ew"][m.words.get(w, 0)], np.mean([m.p["ec"][i] for i in ids], 0)])
+
+    def states(xs, s):
+        h, out = np.zeros(2), []
+        for x in xs:
+            a, b = x @ m.p[f"w{s}"] + m.p[f"c{s}"], h @ m.p[f"u{s}"]
+            r, z = sig(a[:2] + b[:2]), sig(a[2:4] + b[2:4])
+            h = (1 - z) * np.tanh(a[4:] + r * b[4:]) + z * h
+            out.append(h)
+        return out
+
+    def window(ws):
+        xs = [word(w) for w in ws]
+        hs = [np.concatenate(p) for p in zip(states(xs, "f"), states(xs[::-1], "b")[::-1])]
+        e = np.array([np.tanh(h @ m.p["wa"]) @ m.p["va"] for h in hs])
+        a = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        return float(sig(sum(w * h for w, h in zip(a, hs)) @ m.p["wo"] + m.p["bo"][0]))
+
+    texts = ["", None, "bad", "good fine bad badly", "other " * 5 + "bad goods " * 9 + "fine", "fine " * 6, "fine " * 7 + "BAD1bad", "x y z " * 11]
+    want = []
+    for t in texts:
+        ws = re.findall(r"[^\W\d_]+", (t or "").lower()) or [""]
+        want.append(max(window(ws[a : a + 6]) for a in range(0, max(1, len(ws) - 3), 3)))
+    assert toxicity.Scorer(m).scores(texts) == pytest.approx(want, abs=1e-5)
+
+
+def test_training_rows(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(60)] + [(None, "no id"), (3, "another text of 3")], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.train(spark, docs, none)
+    assert {r.score for r in toxicity.score(docs, model).collect()} == {0.5}
+    assert toxicity.train(spark, docs.where("false"), none).words == {}
+    assert docs.select(toxicity.held_out().alias("h")).where("h is null").count() == 0
+    both = spark.createDataFrame([(3, 1), (3, 0), (None, 1), (4, None), (5, 2)], "doc_id long, toxic int")
+    assert {r.score for r in toxicity.score(docs, toxicity.train(spark, docs, both)).collect()} == {0.5}
+
+
 def test_gradients_are_those_of_finite_differences():
     m = toxicity.BiGRU(dim=3, hidden=2, window=5, seed=1)
     m.words, m.grams = {"a": 1, "b": 2}, {"g": 1, "h": 2}
@@ -241,6 +288,14 @@ def test_differencing_is_near_equal_and_windows_rise():
     assert sorted(map(sorted, packing.differencing(np.array([8, 7, 6, 5, 4]), 2))) == [[0, 1], [2, 3, 4]] or max(np.array([8, 7, 6, 5, 4])[p].sum() for p in packing.differencing(np.array([8, 7, 6, 5, 4]), 2)) <= 16
     windows = packing.windows_of(np.array([60, 60, 60]), 100)  # 180 would fit into two by volume
     assert len(windows) == 3
+    assert packing.windows_of(np.array([60, 60, 60]), 100, 2.5) is None
+    lens = rng.integers(20, 1500, 1200)  # a large group: the count rises, and no document is cut
+    ends = np.concatenate([[0], np.cumsum(lens)])
+    pieces, seq = packing.pack_group(list(range(1200)), np.zeros(ends[-1], np.uint32), ends, 4096, 5, True, 0.015)
+    whole = [p for p in pieces if p[2] == lens[p[0]]]
+    assert len(whole) > 1200 * 0.95 and sum(p[2] for p in pieces) == lens.sum() and len({(p[0], p[1]) for p in pieces}) == len(pieces)
+    fill = np.bincount([p[3] - 5 for p in pieces], [p[2] for p in pieces])
+    assert len(fill) == seq - 5 and fill.max() <= 4096 and fill.max() - fill.min() < 80 and len(fill) * 4096 < 1.015 * lens.sum()
 
 
 def test_matrices_round_trip(spark, tmp_path):

@@ -7,7 +7,7 @@ steps; its score is the maximum. Labels are learned from a bounded sample (`max_
 
 Edge cases: a null or empty text, or one without letters, gets the score of one empty window (a clean score); repeated rows are
 scored alike; an empty labels table gives an untrained model that scores 0.5 everywhere and predicts 0; extra columns are ignored
-by `score` unless named in `keep`.
+by `score` unless named in `keep`, and may have any name but that of the score.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from usagelake.llm.common import kept_in_worker
 
@@ -258,20 +259,22 @@ class Scorer:
 
 
 def held_out(col: str = "doc_id"):
-    return F.crc32(F.col(col).cast("string").cast("binary")) % 3 == 1
+    """Whether a row is never learned from; rows without an id are not labelled and count as not held out."""
+    return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, max_docs: int = 1000, max_train_chars: int = 8000) -> BiGRU:
     """Fit on at most `max_docs` labelled texts of each class, none of them held out and none over `max_train_chars`.
 
-    The sample is the labelled rows of smallest id hash; long texts are passed over, so twice as many ids are looked up. The ids
-    (at most 4 * max_docs) are the only thing broadcast.
+    The sample is the labelled rows of smallest id hash; long texts are passed over (a bound on what the driver gathers; every text is
+    scored whole), so twice as many ids are looked up. The ids (at most 4 * max_docs) are the only thing broadcast. An id labelled both
+    0 and 1 teaches nothing; of several texts of one id the one of the smallest hash is taken.
     """
-    ids = None
-    for value in (0, 1):
-        part = labels.where((F.col("toxic") == value) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * max_docs)
-        ids = part if ids is None else ids.unionByName(part)
-    rows = documents.select("doc_id", "text").where(F.length("text").between(1, max_train_chars)).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    told = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("least")).where("toxic = least")
+    part = lambda value: told.where(F.col("toxic") == value).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * max_docs)
+    ids = part(0).unionByName(part(1))
+    rows = documents.select("doc_id", "text").where(F.length("text").between(1, max_train_chars)).join(F.broadcast(ids), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     sample, seen = [], Counter()
     for r in rows:
         if seen[r.toxic] < max_docs:
@@ -283,9 +286,9 @@ def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, max_docs
 def score(documents: DataFrame, model: BiGRU, keep: list[str] = ("doc_id",), out: str = "score") -> DataFrame:
     """The columns `keep` and `out` double: the maximum over all overlapping windows of the whole text."""
     handle = documents.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary limits of fit
-    kept = documents.select(*keep, F.col("text").alias("_scored"))
+    kept = documents.select(*keep, documents["text"].alias("_scored"))
     key = uuid.uuid4().hex
-    schema = kept.drop("_scored").schema.add(out, "double", False)
+    schema = StructType([*kept.schema.fields[:-1], StructField(out, DoubleType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = kept_in_worker(("toxicity", key), lambda: Scorer(handle.value))
