@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 from test_training_data import SF, base_secrets, brute_links, expected_ids, words_of
 
 import corpus_pipeline
@@ -67,3 +68,46 @@ def test_stages_against_brute_force(spark):
 
 def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_stages_on_edge_cases(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, ids that are missing or shared, ties, an empty table, clashing names."""
+    item = " ".join(f"item{i}" for i in range(30))
+    spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 0), (None, 1)], "doc_id long, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    a, key = " ".join(f"a{i}" for i in range(40)), "token=abcdef1234567890"
+    rows = [(1, a), (1, a), (1, a), (2, a), (3, a + " more words of its own " + item), (3, "another text under the same id"), (None, a), (None, "no id here"), (None, "no id here"), (4, None), (5, ""), (5, ""), (6, f"key {key} end"), (7, "x" * 300_000), (8, "word " * 60_000)]
+    names = ["row", "_row", "_whole", "_kept", "_toxicity", "toxicity", "score", "_found", "_hits", "_n_words", "_contaminated", "base", "cand", "spans", "h1", "component_id", "kept", "dk"]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    none = df.where("false")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        df, _ = written(stage(spark, df, str(tmp_path)), f"edge-{name}")
+        none = stage(spark, none, str(tmp_path))
+        assert df.columns == ["doc_id", "text", *names] and none.columns == df.columns and none.count() == 0, name
+        assert df.select(*names).distinct().count() == 1
+        got = sorted(((r.doc_id, r.text) for r in df.select("doc_id", "text").collect()), key=str)
+        if name == "toxicity":
+            assert got == sorted(rows, key=str)
+        elif name == "near_duplicates":
+            assert got == sorted([(1, a), rows[4], rows[5], rows[7], (4, None), (5, ""), *rows[12:]], key=str)
+        elif name == "decontamination":
+            assert got == sorted([(1, a), rows[5], rows[7], (4, None), (5, ""), *rows[12:]], key=str)
+        else:
+            assert got == sorted([(1, a), rows[5], rows[7], (4, None), (5, ""), (6, "key [SECRET] end"), *rows[13:]], key=str)
+    pack = corpus_pipeline.STAGES[-1][1]
+    assert pack(spark, none, str(tmp_path)).count() == 0
+    pieces = pack(spark, df, str(tmp_path)).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
+    assert len(pieces) == 8 and all(r.n == r["all"] for r in pieces if r.doc_id in (1, 4, 5, 6, 7, 8)) and {r.n for r in pieces if r.doc_id in (4, 5)} == {1}
+
+
+def test_written_stages_go(spark, tmp_path):
+    from pathlib import Path
+
+    from usagelake.llm.common import scratch
+
+    with scratch(spark) as log:
+        _, kept = written(spark.range(3), "kept")
+        _, gone = written(spark.range(3), "gone")
+        log.remove(kept)
+    assert Path(kept).exists() and not Path(gone).exists()
+    spark.read.parquet(kept).count()

@@ -163,9 +163,10 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = 0.98, width
         left, right, one = _sides(t)
         if t.num_rows < 2 or not len(left) or not len(right):
             return
+        ids = t.column("rep").to_numpy()
+        left = left[np.argsort(ids[left])]  # from the smallest id on, so that all tables find the same edges of a group
         a, b = linked(_matrix(t.column("v")), left, left if one else right, threshold)
         if len(a):
-            ids = t.column("rep").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["src", "dst"])
 
     group = connected_components(met.mapInArrow(each_group(by, reached), f"src {kinds['vec_id']}, dst {kinds['vec_id']}"), "embed-groups")
