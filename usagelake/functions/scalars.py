@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,9 +25,11 @@ def service_tier(tier: Column | str) -> Column:
 
 
 def normalize_plan(plan: Column | str) -> Column:
-    """pro_lite before pro before plus; hyphens and underscores are spaces, runs of spaces are one."""
+    """A plan by what its text holds, the first rule that applies; case does not matter, hyphens and underscores are spaces."""
     p = F.trim(F.regexp_replace(F.lower(col(plan)), r"[-_\s]+", " "))
-    return F.when(p.contains("pro lite") | p.contains("prolite"), "pro_lite").when(p.contains("pro"), "pro").when(p.contains("plus"), "plus").otherwise("unknown")
+    says = lambda *texts: reduce(lambda a, b: a | b, (p.contains(t) for t in texts))
+    rules = (("pro_lite", says("5x", "5 x") | (says("pro") & says("lite", "light", "5"))), ("pro", says("20x", "20 x") | (says("pro") & ~says("plus"))), ("plus", says("plus")))
+    return F.coalesce(*(F.when(rule, name) for name, rule in rules), F.lit("unknown"))
 
 
 def plan_multiplier(plan: Column | str) -> Column:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from usagelake.operators.fold import fold
 from usagelake.operators.reconcile import content_hash, latest
 
-MAX_KEY, MAX_RECORD, BATCH_OPS, BATCH_BYTES = 512, 256 * 1024, 500, 512 * 1024
+MAX_KEY, MAX_RECORD, MAX_DEPTH, BATCH_OPS, BATCH_BYTES = 512, 256 * 1024, 12, 500, 512 * 1024
 
 
 def diff(now: DataFrame, published: DataFrame, key: list[str], values: list[str]) -> DataFrame:
@@ -19,10 +19,20 @@ def diff(now: DataFrame, published: DataFrame, key: list[str], values: list[str]
     return n.join(p, key, "full_outer").select(*key, action.alias("action")).where("action is not null")
 
 
+def json_depth(text: Column) -> Column:
+    """How deep the objects and lists of a JSON text are nested: brackets outside of strings, counted."""
+    bare = F.regexp_replace(text, r'"(?:[^"\\]++|\\.)*+"', "")
+    brackets = F.filter(F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), ""), lambda c: c != "")
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    step = lambda a, c: F.struct((a["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("now"), F.greatest(a["most"], a["now"] + F.when(c.isin("[", "{"), 1).otherwise(0)).alias("most"))
+    return F.aggregate(brackets, zero, step, lambda a: a["most"])
+
+
 def valid_operations(ops: DataFrame) -> DataFrame:
-    """Operations of known action and kind, with a key of bounded length that is their record's own, and a record of bounded size."""
-    size = F.octet_length(F.coalesce("record", F.lit("")))
-    return ops.where(F.col("action").isin("upsert", "delete") & F.col("kind").isin("cost", "quota", "token") & F.length("key").between(1, MAX_KEY) & (size <= MAX_RECORD) & (F.col("key") == F.col("record_key")) & ((F.col("action") == "delete") | F.col("record").isNotNull()))
+    """Operations of known action and kind, with a key of bounded length that is their record's own, and a record of bounded size and depth."""
+    record = F.coalesce("record", F.lit(""))
+    small = (F.octet_length(record) <= MAX_RECORD) & (json_depth(record) <= MAX_DEPTH)
+    return ops.where(F.col("action").isin("upsert", "delete") & F.col("kind").isin("cost", "quota", "token") & F.length("key").between(1, MAX_KEY) & small & (F.col("key") == F.col("record_key")) & ((F.col("action") == "delete") | F.col("record").isNotNull()))
 
 
 def batches(ops: DataFrame, stream: list[str], order: list[str], size: str, max_ops: int = BATCH_OPS, max_bytes: int = BATCH_BYTES) -> DataFrame:
@@ -73,40 +83,81 @@ def should_compact(chunks: int, tail_bytes: int, checkpoint_bytes: int, new_byte
     return chunks >= 128 and new_bytes <= 0.75 * (checkpoint_bytes + tail_bytes)
 
 
-def publish(now: DataFrame, path: str, machine: str, key: list[str], values: list[str]) -> int:
+class Conflict(Exception):
+    """Another publication took the place of this one in the journal."""
+
+
+def _folders(spark: SparkSession, own: str) -> list[tuple[int, str]]:
+    """(sequence, name) of the finished folders of a journal, by name: chunks and checkpoints."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(own).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop(own)):
+        return []
+    names = sorted(n for f in fs.listStatus(hadoop(own)) if (n := f.getPath().getName()).startswith("sequence_dir="))
+    return [(int(n.removeprefix("sequence_dir=").removesuffix("-checkpoint")), n) for n in names if fs.exists(hadoop(f"{own}/{n}/_SUCCESS"))]
+
+
+def _live(spark: SparkSession, own: str) -> list[tuple[int, str]]:
+    """The newest checkpoint and the publications after it: what a reader replays."""
+    found = _folders(spark, own)
+    base = max((x for x in found if x[1].endswith("-checkpoint")), default=None)
+    return found if base is None else [base, *(x for x in found if x[0] > base[0])]
+
+
+def head(spark: SparkSession, path: str, machine: str) -> int | None:
+    """The sequence of the last publication of a machine, None before the first."""
+    return max((seq for seq, _ in _folders(spark, f"{path}/machine={machine}")), default=None)
+
+
+def chunked(ops: DataFrame, key: list[str], max_ops: int = BATCH_OPS, max_bytes: int = BATCH_BYTES, lane_ops: int = 100_000) -> DataFrame:
+    """Add lane and batch: operations in chunks of at most `max_ops` and `max_bytes`. Lanes by key hash hold some `lane_ops` each and
+    are cut by tasks of their own, so that no task orders a whole publication."""
+    lanes = max(1, -(-ops.count() // lane_ops))
+    sized = ops.withColumns({"lane": F.pmod(F.xxhash64(*key), F.lit(lanes)).cast("int"), "_size": F.octet_length(F.to_json(F.struct(*ops.columns)))})
+    return batches(sized.withColumnRenamed("_size", "size"), ["lane"], key, "size", max_ops, max_bytes).drop("size")
+
+
+def publish(now: DataFrame, path: str, machine: str, key: list[str], values: list[str], expected: int | None = None) -> int:
     """Append what changed since the last publication to a journal of Parquet files; returns the number of operations.
 
-    The first publication is a checkpoint. The journal's state is replayed by Spark from its files; the sequence is part of the path,
-    so a publication that was lost half-way is written again under the same name.
+    The first publication is a checkpoint, later ones are chunks (lane and batch tell them apart) of bounded numbers of operations and
+    bytes. The journal's state is replayed by Spark from its files; the sequence is part of the path, so a publication that was lost
+    half-way is written again under the same name, while one that is whole is never written over: Conflict is raised where another
+    publisher was faster, or where the journal is not at `expected`. What was written is read back and compared.
     """
-    spark = now.sparkSession
-    seen = read_journal(spark, path, machine)
-    if seen is None:
+    spark, own = now.sparkSession, f"{path}/machine={machine}"
+    at = head(spark, path, machine)
+    if expected is not None and expected != (-1 if at is None else at):
+        raise Conflict(f"the journal of {machine} is at {at}, not at {expected}")
+    if at is None:
         out, seq = now.select(*key, *values, F.lit("upsert").alias("action")), 0
     else:
-        changed = diff(now, seen, key, values)
+        changed = diff(now, read_journal(spark, path, machine), key, values)
         out = changed.join(now.select(*key, *values), key, "left").select(*key, *values, "action")
-        seq = spark.read.parquet(f"{path}/machine={machine}").agg(F.max("sequence")).first()[0] + 1
-    out = out.withColumn("sequence", F.lit(seq).cast("long")).cache()
-    n = out.count()
-    if n or seq == 0:
-        out.write.mode("overwrite").parquet(f"{path}/machine={machine}/sequence_dir={seq:012d}")
+        seq = at + 1
+    out = chunked(out.withColumn("sequence", F.lit(seq).cast("long")), key).cache()
+    digest = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*out.columns).cast("decimal(38,0)"))).first())
+    told = digest(out)
+    if told[0] or seq == 0:
+        target = f"{own}/sequence_dir={seq:012d}"
+        if any(s == seq for s, _ in _folders(spark, own)):
+            raise Conflict(f"sequence {seq} of {machine} was published meanwhile")
+        out.write.mode("overwrite").parquet(target)
+        if digest(spark.read.parquet(target).select(out.columns)) != told:
+            raise OSError(f"{target} does not hold what was written")
     out.unpersist()
-    return n
+    return told[0]
 
 
 def read_journal(spark: SparkSession, path: str, machine: str) -> DataFrame | None:
     """The published records of a machine, or None if there are none yet."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        j = spark.read.parquet(f"{path}/machine={machine}").drop("sequence_dir")
-    except AnalysisException:
-        return None
-    return _replayed(j)
+    own = f"{path}/machine={machine}"
+    found = _live(spark, own)
+    return _replayed(spark, own, found) if found else None
 
 
-def _replayed(j: DataFrame) -> DataFrame:
+def _replayed(spark: SparkSession, own: str, folders: list[tuple[int, str]]) -> DataFrame:
+    j = spark.read.parquet(*(f"{own}/{n}" for _, n in folders)).drop("lane", "batch")
     key = [c for c in j.columns if c.startswith("k_")] or ["key"]
     return latest(j, key, [F.desc("sequence")]).where("action = 'upsert'").drop("action", "sequence")
 
@@ -126,15 +177,18 @@ def compact(spark: SparkSession, path: str, machine: str) -> None:
     leaves a journal that replays alike. A checkpoint that is whole is not written again.
     """
     own = f"{path}/machine={machine}"
-    seq = spark.read.parquet(own).agg(F.max("sequence")).first()[0]
+    found = _live(spark, own)
+    if not found:
+        return
+    seq = max(s for s, _ in found)
     name = f"sequence_dir={seq:012d}-checkpoint"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(own).getFileSystem(spark._jsc.hadoopConfiguration())
-    old = sorted(n for f in fs.listStatus(hadoop(own)) if (n := f.getPath().getName()).startswith("sequence_dir=") and n != name)
-    if not fs.exists(hadoop(f"{own}/{name}/_SUCCESS")):
-        state = _replayed(spark.read.parquet(*(f"{own}/{n}" for n in old)))
-        state.withColumns({"action": F.lit("upsert"), "sequence": F.lit(seq).cast("long")}).write.mode("overwrite").parquet(f"{own}/{name}")
-    for n in old:
+    if name not in {n for _, n in found}:
+        state = _replayed(spark, own, found)
+        zero = F.lit(0)
+        state.withColumns({"action": F.lit("upsert"), "sequence": F.lit(seq).cast("long"), "lane": zero, "batch": zero.cast("long")}).write.mode("overwrite").parquet(f"{own}/{name}")
+    for n in sorted(n for f in fs.listStatus(hadoop(own)) if (n := f.getPath().getName()).startswith("sequence_dir=") and n != name):
         fs.delete(hadoop(f"{own}/{n}"), True)
 
 
