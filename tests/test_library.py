@@ -27,6 +27,7 @@ def test_scalars(spark):
     text = lambda f, v: one(f(F.lit(v).cast("string")))
     assert [text(Z.normalize_model, m) for m in ("OpenAI/GPT-5.5-2030-01-02", "gpt-5.4-20300102", "-2030-01-02", None)] == ["gpt-5.5", "gpt-5.4", "-2030-01-02", None]
     assert [text(Z.normalize_plan, p) for p in ("pro-lite", "ChatGPT_Pro  Lite", "PRO", "plus", "team", None)] == ["pro_lite", "pro_lite", "pro", "plus", "unknown", "unknown"]
+    assert [text(Z.normalize_plan, p) for p in ("5x", "Max 5 x", "Pro Light", "pro 5", "20x", "max-20_x", "pro plus", "plus 20x", "PRO_20X", "")] == ["pro_lite", "pro_lite", "pro_lite", "pro_lite", "pro", "pro", "plus", "pro", "pro", "unknown"]
     assert [text(Z.service_tier, t) for t in (" Priority", "fast", "x", None)] == ["fast", "fast", "default", "default"]
     assert [text(Z.epoch, t) for t in ("2030-01-01T00:00:00Z", "2030-01-01T00:00:00.9+00:00", "junk", None)] == [1893456000, 1893456000, None, None]
     assert [text(Z.to_number, t) for t in ("1.5", "nan", "inf", "x", None)] == [1.5, None, None, None, None]
@@ -61,7 +62,7 @@ def events_of(spark, tmp_path, texts, folder="sessions"):
         p = tmp_path / folder / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(text)
-    return files.token_events(files.log_lines(files.session_files(spark, str(tmp_path))))
+    return files.token_events(files.session_files(spark, str(tmp_path)))
 
 
 def costs(spark, events):
@@ -86,7 +87,7 @@ def test_aliases_bad_lines_and_partial_ends(spark, tmp_path):
     good = usage(last={"prompt_tokens": 9, "completion_tokens": 1, "prompt_tokens_details": {"cached_tokens": 4}})
     t = good.replace('"info"', '"note": "session_meta thread_settings_applied", "info"') + "\n\nnot json token_count event_msg\n" + usage(last={"input_tokens": 0, "cached_input_tokens": 3}) + "\n" + good[: len(good) // 2]
     e = events_of(spark, tmp_path, {"x.jsonl": t}).collect()
-    assert [(r.input, r.cached, r.output, r.line) for r in e] == [(9, 4, 1, 0)]
+    assert [(r.input, r.cached, r.output, r.line.block) for r in e] == [(9, 4, 1, 0)]
     e = events_of(spark, tmp_path, {"x.jsonl": t[: -(len(good) // 2)] + good}).collect()  # a whole last line without an end counts
     assert sorted((r.input, r.event_id) for r in e) == [(9, "x:1"), (9, "x:2")]
 
@@ -453,6 +454,39 @@ def test_incremental_scan_equals_rebuild(spark, tmp_path):
     assert rows(refresh(spark, str(home), store, 3)) == [("a:1", 7)]
 
 
+def test_only_appended_bytes_are_read(spark, tmp_path, monkeypatch):
+    from usagelake.sources import incremental
+
+    monkeypatch.setattr(incremental, "RANGE", 300)
+    home, store = tmp_path / "home", str(tmp_path / "store")
+    (home / "sessions").mkdir(parents=True)
+    log = home / "sessions/a.jsonl"
+    rows = lambda d: sorted((r.event_id, r.input) for r in d.select("event_id", "input").collect())
+    lines = lambda v: [(r.pos, r.text) for r in spark.read.parquet(f"{store}/v{v}/lines").where("text is not null").orderBy("pos").collect()]
+    data = "".join(usage({"input_tokens": 10 * i}) + "\r\n" * (i % 2) + "\n" * (1 - i % 2) for i in range(1, 9))
+    last = usage({"input_tokens": 100})
+    log.write_text(data + last[:50], newline="")
+    assert [x for _, x in rows(incremental.refresh(spark, str(home), store, 0))] == [10] * 8 and len(lines(0)) == 8
+    log.write_text(data + last, newline="")  # the last line is whole now, though without an end
+    assert len(rows(incremental.refresh(spark, str(home), store, 1))) == 9
+    assert lines(1) == [(len(data), last)]
+    with log.open("ab") as f:
+        f.write(b"\n" + usage({"input_tokens": 101}).encode().replace(b"token_count", b"token_count\", \"x\": \"\xff") + b"\n" + usage({"input_tokens": 130}).encode() + b"\n")
+    got = rows(incremental.refresh(spark, str(home), store, 2))
+    assert len(got) == 10 and len(lines(2)) == 2  # the last line anew, and one more; one that is not UTF-8 is none
+    assert got == rows(files.token_events(files.session_files(spark, str(home))))
+    assert got == rows(incremental.refresh(spark, str(home), store, 3)) and lines(3) == []
+    log.write_text(usage({"input_tokens": 7}) + "\n" + data + data)  # longer, but another file
+    assert rows(incremental.refresh(spark, str(home), store, 4)) == rows(files.token_events(files.session_files(spark, str(home)))) and len(lines(4)) == 17
+
+
+def test_lines_that_are_not_utf8(spark, tmp_path):
+    (tmp_path / "sessions").mkdir()
+    bad = usage({"input_tokens": 10}).encode().replace(b"token_count", b"token_count\", \"x\": \"\xff")
+    (tmp_path / "sessions/a.jsonl").write_bytes(bad + b"\n" + usage({"input_tokens": 12}).encode() + b"\n")
+    assert [r.input for r in files.token_events(files.session_files(spark, str(tmp_path))).collect()] == [12]
+
+
 def test_journal_compaction(spark, tmp_path):
     path = str(tmp_path / "j")
     for rows in ([("a", "1")], [("a", "2"), ("b", "1")], [("b", "1")]):

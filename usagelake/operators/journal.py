@@ -20,8 +20,8 @@ def diff(now: DataFrame, published: DataFrame, key: list[str], values: list[str]
 
 
 def json_depth(text: Column) -> Column:
-    """How deep the objects and lists of a JSON text are nested: brackets outside of strings, counted."""
-    bare = F.regexp_replace(text, r'"(?:[^"\\]++|\\.)*+"', "")
+    """How many objects and lists the innermost value of a JSON text lies in: brackets outside of strings, counted."""
+    bare = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]++|\\.)*+"', "0"), r"\{\s*\}|\[\s*\]", "0")
     brackets = F.filter(F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), ""), lambda c: c != "")
     zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
     step = lambda a, c: F.struct((a["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("now"), F.greatest(a["most"], a["now"] + F.when(c.isin("[", "{"), 1).otherwise(0)).alias("most"))

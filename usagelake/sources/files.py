@@ -19,23 +19,27 @@ _LINE = f"struct<timestamp:string,type:string,payload:struct<type:string,id:stri
 
 
 def session_files(spark: SparkSession, home: str) -> DataFrame:
-    """(file, value): whole texts of sessions/**/*.jsonl and archived_sessions/*.jsonl; a folder that is missing has none."""
+    """(file, line, text): the lines of sessions/**/*.jsonl and archived_sessions/*.jsonl; a folder that is missing has none.
+
+    Files are read in line mode, so that a large log is split over tasks and its bytes are as they stand in the file. `line` orders the
+    lines of a file: the split's first byte, then the row in its task."""
     from pyspark.errors import AnalysisException
 
     out = None
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     for folder, deep in (("sessions", "true"), ("archived_sessions", "false")):
         try:
-            df = spark.read.option("recursiveFileLookup", deep).option("pathGlobFilter", "*.jsonl").text(f"{home}/{folder}", wholetext=True).select(F.input_file_name().alias("file"), "value")
+            df = spark.read.option("recursiveFileLookup", deep).option("pathGlobFilter", "*.jsonl").text(f"{home}/{folder}").select(F.col("_metadata.file_path").alias("file"), place.alias("line"), F.col("value").alias("text"))
         except AnalysisException:
             continue
         out = df if out is None else out.unionByName(df)
-    return out if out is not None else spark.createDataFrame([], "file string, value string")
+    return out if out is not None else spark.createDataFrame([], "file string, line struct<block:bigint,row:bigint>, text string")
 
 
-def log_lines(files: DataFrame) -> DataFrame:
-    """(file, line, text): blank and broken lines count; what follows the last line end counts only if it is complete JSON."""
-    cut = files.select("file", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line", "text"), F.size(F.split("value", "\r\n|\n|\r")).alias("n"))
-    return cut.where((F.col("line") < F.col("n") - 1) | F.try_parse_json("text").isNotNull()).drop("n")
+def sifted(text: Column) -> tuple[Column, Column]:
+    """Whether a line may hold metadata, or an event or its context: marker words, looked for before any JSON is parsed."""
+    marks = text.contains('"session_meta"') | text.contains('"thread_settings_applied"') | text.contains('"inter_agent_communication')
+    return marks, text.contains('"turn_context"') | (text.contains('"event_msg"') & text.contains('"token_count"'))
 
 
 def _usage(u: Column) -> dict[str, Column]:
@@ -51,12 +55,11 @@ def _usage(u: Column) -> dict[str, Column]:
 def token_events(lines: DataFrame) -> DataFrame:
     """Token events of log lines: event_id, session_id, checked_at, model, tier and tokens.
 
-    Lines are sifted by marker words before JSON is parsed. The last session_meta of a file names its session; where that session
-    carries another's history, events before the last replay boundary go, after deltas and numbers were given.
+    Lines that are not UTF-8 or not whole JSON, as an unfinished last one, do not count. The last session_meta of a file names its
+    session; where that session carries another's history, events before the last replay boundary go, after deltas and numbers were
+    given.
     """
-    text = F.col("text")
-    marks = text.contains('"session_meta"') | text.contains('"thread_settings_applied"') | text.contains('"inter_agent_communication')
-    event = text.contains('"turn_context"') | (text.contains('"event_msg"') & text.contains('"token_count"'))
+    marks, event = sifted(F.col("text"))
     e = lines.where((marks | event) & F.is_valid_utf8("text")).where(F.try_parse_json("text").isNotNull()).select("file", "line", F.from_json("text", _LINE).alias("e"))
     p, i = F.col("e.payload"), F.col("e.payload.info")
     clean = lambda *cs: F.coalesce(*(F.nullif(c, F.lit("")) for c in cs))
