@@ -404,9 +404,20 @@ def test_manifest_and_packages(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "p.zip", "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("ok.txt", "fine")
         z.writestr("../up.txt", "x")
-        z.writestr("big.txt", "0" * 10**6)
+        z.writestr("big.txt", "0" * 2 * 10**6)
+        z.writestr("small.txt", "0" * 10**6)
     got = {r.entry: r.problem for r in files.zip_entries(spark.read.format("binaryFile").load(str(tmp_path / "p.zip"))).collect()}
-    assert got == {"ok.txt": None, "../up.txt": "unsafe path", "big.txt": "expansion"}
+    assert got == {"ok.txt": None, "../up.txt": "unsafe path", "big.txt": "expansion", "small.txt": None}
+    import hashlib
+
+    entry = lambda path, text: {"path": path, "size": len(text), "sha256": hashlib.sha256(text.encode()).hexdigest()}
+    with zipfile.ZipFile(tmp_path / "m.zip", "w") as z:
+        z.writestr("manifest.json", json.dumps({"version": 1, "skills": {"a": [entry("SKILL.md", "x"), entry("changed", "y"), entry("gone", "z")], "b": [entry("c", "c")]}}))
+        for name, text in (("skills/a/SKILL.md", "x"), ("skills/a/changed", "Y"), ("skills/b/c", "c"), ("skills/b/more", "m")):
+            z.writestr(name, text)
+    read = lambda name: {r.entry: r.problem for r in files.zip_entries(spark.read.format("binaryFile").load(str(tmp_path / name)), with_manifest=True).collect()}
+    assert read("m.zip") == {"manifest.json": None, "skills/a/SKILL.md": None, "skills/a/changed": "differs", "skills/a/gone": "missing", "skills/b/SKILL.md": "missing", "skills/b/c": None, "skills/b/more": "unexpected"}
+    assert read("p.zip") == {"manifest.json": "no manifest"}
 
 
 def test_serving(spark):
@@ -576,3 +587,138 @@ def test_projections_and_views(spark):
     assert sorted((r.account_key, r.session_id, r.total_tokens) for r in reconcile.merged_view(local, cache, "me").collect()) == [("local:s", "2", 1), ("x", "1", 120)]
     q = spark.createDataFrame([(None, "z", "a"), (1, "b", "a"), (1, "a", "b")], "checked_ts long, checked_at string, account_slot string")
     assert [r.checked_at for r in q.orderBy(*reconcile.quota_order()).collect()] == ["a", "b", "z"]
+
+
+# -- projections, orders and small rules --------------------------------------------------------------------------------------------
+
+
+def test_samples_states_and_costs(spark):
+    from usagelake.plans import projections
+
+    cols = "account string, seq int, checked_at string, percent_checked_at string, endpoint string, status int, windows string, errors string, using_previous boolean, cost double, cost_by_model map<string,double>, account_slot_id string, account_label string, " + ", ".join(f"{c} long" for c in projections.COUNTS)
+    row = lambda seq, n, cost, models, slot="s", label=None: ("a", seq, f"t{seq}", None, "e", 200, "w", "{}", None, cost, models, slot, label, *[n] * 7)
+    r = spark.createDataFrame([row(1, 10, 1.0, {"x": 1.0}), row(2, 15, 3.0, {"x": 1.5, "y": 1.5}), row(3, 12, None, None), row(4, 20, 4.0, {"y": 4.0}, None), row(5, 21, 5.0, {"y": 5.0}, "s", "L")], cols)
+    s = projections.make_samples(r, ["account"], ["seq"])
+    got = s.orderBy("seq").collect()
+    assert [(x.delta_input, x.cost_delta) for x in got] == [(0, 1.0), (5, 2.0), (0, 0.0), (8, 4.0), (1, 1.0)]
+    assert got[1].cost_delta_by_model == {"x": 0.5, "y": 1.5} and got[2].cost_delta_by_model == {"x": 0.0, "y": 0.0} and got[3].cost_delta_by_model == {"y": 4.0}
+    assert [x.account_label for x in got] == ["Unknown", "Unknown", "Unknown", None, "L"]
+    m = projections.measured_costs(s, ["account"], ["seq"]).orderBy("seq").collect()
+    assert [(x.event_cost, x.event_cost_ready) for x in m] == [(0.0, False), (2.0, False), (2.0, False), (6.0, True), (7.0, True)]
+    assert m[4].event_cost_by_model == {"x": 0.5, "y": 6.5}
+    c = projections.compact_samples(s).orderBy("checked_at").collect()
+    assert c[0].percent_checked_at == "t1" and c[0].using_previous is False and c[2].cost == 0.0 and c[1].token_delta.fresh == 0 and c[1].token_delta.cached == 5
+    states = spark.createDataFrame([("w", 1.123456789, {"x": 0.987654321}, "secret", "t")], "windows string, run_cost double, run_cost_by_model map<string,double>, raw string, token_usage string")
+    assert projections.compact_states(states).first() == ("w", "t", 1.12345679, {"x": 0.98765432})
+    assert projections.compact_states(states, debug=True).columns == ["windows", "run_cost", "run_cost_by_model"]
+
+
+def test_shown_statuses(spark):
+    from usagelake.plans import projections
+
+    a = spark.createDataFrame([("1", None, True, "password x failed", "hi", [("1", "L", True, True, "ok", "/private")])], "active_account_id string, awaiting_login boolean, cloud_binding_enabled boolean, error string, message string, items array<struct<id:string,label:string,ready:boolean,active:boolean,cloud_state:string,path:string>>")
+    r = projections.account_status(a).first()
+    assert (r.awaiting_login, r.error, r.message) == (False, "Account operation failed", "hi") and r["items"][0].asDict() == {"id": "1", "label": "L", "ready": True, "active": True, "cloud_state": "ok"}
+    k = spark.createDataFrame([(1, [("n", None, {"app": ("linked", "/p")}, {"app": "boom"})])], "version int, items array<struct<name:string,assignments:map<string,boolean>,projections:map<string,struct<state:string,path:string>>,errors:map<string,string>>>")
+    i = projections.skill_status(k).first()["items"][0]
+    assert i.assignments == {} and i.projections["app"].asDict() == {"state": "linked"} and i.errors == {"app": "Projection error"}
+    c = spark.createDataFrame([(True, None, None, None, None, True, "x", None, None, "secret", None, 5, "y")], "enabled boolean, skills_auto_upload boolean, usage_data_auto_sync boolean, allow_optimistic_writes boolean, conditional_writes_verified boolean, optimistic_writes_active boolean, error string, upload_pending boolean, upload_attempts int, upload_failure string, last_success_at string, next_attempt_in_seconds int, sync_failure string")
+    s = projections.cloud_status(c).first()
+    assert (s.conditional_writes_verified, s.optimistic_writes_active, s.error, s.upload_attempts, s.upload_failure, s.sync_failure) == (False, True, "Cloud configuration error", 0, "Automatic skill upload failed", "Automatic usage synchronization failed")
+
+
+def test_console_text(spark):
+    from usagelake.plans import projections
+
+    numbers = [0.0, 1.0, 2.5, 0.1234567, 123456.7, 1234567.0, 0.00001234, 9.99996, 99999.6, -3.25, 1e-4, 1e10]
+    got = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", Z.significant(F.col("x"), 4).alias("a"), Z.significant(F.col("x"), 6).alias("b")).collect()
+    assert [(r.a, r.b) for r in got] == [(f"{x:.4g}", f"{x:.6g}") for x in numbers]
+    e = spark.createDataFrame([("t", "5h", "m", 2.5, 0.125, 0.05, 12.0, 1.5, None, 5.0, 0.01, 5.0, True), (None, "7d", None, 1.0, 1.0, 1.0, 1.0, 1.0, "pro", None, None, None, False)], "checked_at string, window string, model string, delta_percent double, delta_cost double, cost_percent_ratio double, cumulative_percent double, cumulative_cost double, plan string, multiplier double, average_ratio double, ratio_deviation double, ratio_deviation_warning boolean")
+    assert [r.line for r in projections.delta_text(e).collect()] == ["[delta] t 5h m +2.5% / +$0.125; ratio $0.05/%; cumulative 12% / $1.5; event plan unknown (5x)", "[delta] - 7d unknown +1% / +$1; ratio $1/%; cumulative 1% / $1; event plan pro (1x)"]
+    assert [r.line for r in projections.warning_text(e).collect()] == ["[warning] t 5h m cost/percent ratio $0.05/% deviates from average $0.01/% (5x)"]
+    s = spark.createDataFrame([("t", "5h", "account-switch", 5.0, None, None), ("t", "remote", "bad-remote-usage-discarded", None, None, "a; b")], "checked_at string, window string, reason string, previous_percent double, current_percent double, reasons string")
+    assert [r.line for r in projections.special_text(s).collect()] == ["[event] t 5h account-switch; baseline 5% -> 5%", "[event] t remote bad-remote-usage-discarded; baseline - -> - reasons a; b"]
+
+
+def test_redaction_and_labels_in_trees(spark):
+    body = {"a": {"tokens": {"x": 1}, "keep": [{"email": "e", "n": 1}]}, "password": True, "encryptionPassphrase": "p", "accountSlotId": "s"}
+    d = spark.createDataFrame([(json.dumps(body),), ("no json",), (None,)], "body string")
+    got = [r.body for r in serving.redact(d, "body").collect()]
+    assert json.loads(got[0]) == {"a": {"keep": [{"n": 1}]}, "password": True, "accountSlotId": "s"} and got[1:] == [None, None]
+    rows = [{"accountSlotId": "s", "accountLabel": "old", "in": [{"accountSlotId": "s"}, {"accountSlotId": "t", "accountLabel": "old"}, {"accountSlotId": "s", "accountLabel": "new"}]}]
+    r = attribution.relabel_trees(spark.createDataFrame([(json.dumps(rows),), ("x",)], "body string"), "body", "s", "new").collect()
+    assert [x.changes for x in r] == [2, 0] and json.loads(r[0].body)[0]["in"][0]["accountLabel"] == "new" and json.loads(r[0].body)[0]["in"][1]["accountLabel"] == "old"
+
+
+def test_rules_of_scalars(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert [one(Z.before_reset(F.lit(a).cast("int"), F.lit(b).cast("int"))) for a, b in ((39, 100), (40, 100), (None, 100), (1, None))] == [True, False, False, False]
+    assert one(Z.raw_reset_reason(F.lit(1000), F.lit(100), F.lit(900))) is None and "301" in one(Z.raw_reset_reason(F.lit(1000), F.lit(100), F.lit(599)))
+    assert [one(Z.arbitration_threshold(F.lit(w), F.lit(m))) for w, m in (("5h", 1.0), ("7d", 1.0), ("7d", 20.0))] == [25.0, 10.0, 40.0]
+    assert [one(Z.manual_reset_limit(F.lit(w), F.lit(p))) for w, p in (("5h", "plus"), ("7d", "plus"), ("5h", "pro"), ("5h", "unknown"))] == [5.0, 1.0, 1.0, None]
+    assert [one(Z.needs_trusted_baseline(F.lit(w), F.lit(p))) for w, p in (("7d", "plus"), ("5h", "plus"), ("5h", "pro_lite"), ("7d", "unknown"))] == [True, False, True, False]
+    assert len(one(Z.fingerprint(F.lit("a"), F.lit("b")))) == 20
+    assert [one(Z.or_unknown(F.lit(x).cast("string"))) for x in ("a", "", None)] == ["a", "unknown", "unknown"]
+    s = spark.createDataFrame([("b", None), ("a", 5), ("c", None)], "session_id string, updated_ts long")
+    assert [r.session_id for r in s.orderBy(*Z.session_order()).collect()] == ["b", "c", "a"]
+    who = lambda **k: F.create_map(*(F.lit(x) for kv in k.items() for x in kv)) if k else F.create_map().cast("map<string,string>")
+    assert one(Z.remote_identity(who(email="e"), who(account_id="1", email="f"))).asDict() == {"user_id": None, "account_id": "1", "email": "e", "plan_type": None}
+    assert one(Z.remote_identity(who(), who())) is None
+    a, b = Z.remote_identity(who(email="e"), who()), Z.remote_identity(who(email="f"), who())
+    assert [one(Z.identity_changed(x, y)) for x, y in ((a, b), (a, a), (F.lit(None), b))] == [True, False, False]
+    deep = lambda n: "[" * n + "1" + "]" * n
+    assert [one(journal.json_depth(F.lit(t))) for t in ("1", '{"a":"[[["}', '{"a\\"[":[{}]}', deep(12), deep(13), "[" * 13 + "]" * 13)] == [0, 1, 2, 12, 13, 12]
+
+
+def test_history_rows_and_views(spark):
+    w = spark.createDataFrame([(None, 5.0, False, "PRO"), ("", None, False, "x"), ("a", 7.0, True, "x"), ("a", 8.0, None, None)], "account_id string, used_percent double, unavailable boolean, plan string")
+    assert sorted(map(tuple, quota.history_rows(w).select("account_id", "used_percent", "plan").collect())) == [("a", 8.0, "unknown"), ("unknown", 5.0, "pro")]
+    s = spark.createDataFrame([("c", "p", True, "w", None), ("c", "p", True, "w", "r"), ("c", "p", False, "w", None), ("c", None, None, "w", None)], "checked_at string, percent_checked_at string, using_previous boolean, windows string, rejected_windows string")
+    assert sorted(map(tuple, quota.accepted_samples(s).select("checked_at", "windows").collect())) == [("c", "r"), ("c", "w"), ("p", "w")]
+    n = spark.createDataFrame([(1, i) for i in range(1, 12)], "id int, rank int")
+    assert quota.top_matches(n).count() == 8
+    r = spark.createDataFrame([("me", False, "L"), ("me", True, "L"), ("you", None, "L"), (None, None, "L")], "origin string, local_only boolean, account_label string")
+    assert reconcile.own_records(r, "me").collect() == [("me", False)]
+    own, foreign = journal.split_origin(r, "me")
+    assert (own.count(), foreign.count()) == (3, 1)
+    assert serving.account_filter(r, ["me"], "origin").count() == 2 and serving.account_filter(r, []).count() == 4
+    assert serving.due(spark.createDataFrame([(5,), (3,)], "last_poll_ts long")).first().next_due == 603
+    f = spark.createDataFrame([('{"sample": {"a": 1}}',), ('{"b": 2}',)], "value string")
+    assert [json.loads(x.value) for x in files.sample_backfill(f).collect()] == [{"a": 1}, {"b": 2}]
+    e = spark.createDataFrame([("2030-01-01 23:30:00", False), ("2030-01-02 00:00:00", False), (None, True), ("2030-01-03 00:00:00", None)], "t string, synthetic boolean").withColumn("ts", F.to_timestamp("t"))
+    on = lambda day, zone="UTC": sorted((x.t or "") for x in serving.on_day(e, "ts", day, zone).collect())
+    assert on("2030-01-02") == ["", "2030-01-02 00:00:00"] and on("2030-01-02", "Europe/Berlin") == ["", "2030-01-01 23:30:00", "2030-01-02 00:00:00"] and on("2030-01-09") == []
+
+
+def test_grouped_history_by_account_and_day(spark):
+    e = spark.createDataFrame([("5h", f"2030-01-0{1 + i % 2}T0{i}", "m", "s" if i < 4 else "t", "L", 1.0, float(i)) for i in range(6)], "window string, checkedAt string, model string, accountSlotId string, accountLabel string, deltaPercent double, deltaCostUsd double")
+    g = sinks.grouped_history(e)
+    assert g.count() == 4
+    assert sorted(r.deltaCostUsd for r in deltas.expand_grouped(g.select("value")).collect()) == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0]
+
+
+def test_fold_keeps_whole_numbers(spark):
+    big = 2**53 + 1
+    d = spark.createDataFrame([("a", 1, big, None), ("a", 2, None, 3)], "key string, n int, x long, size int").withColumn("size", F.lit(1))
+    assert [(r.x, r.batch) for r in journal.batches(d, ["key"], ["n"], "size", 1, 10).collect()] == [(big, 0), (None, 1)]
+
+
+def test_publication_conflicts_and_chunks(spark, tmp_path):
+    path = str(tmp_path / "j")
+    of = lambda n: spark.range(n).select(F.col("id").cast("string").alias("key"), F.lit("x").alias("body"))
+    assert journal.publish(of(1300), path, "m", ["key"], ["body"], expected=-1) == 1300
+    first = spark.read.parquet(f"{path}/machine=m/sequence_dir=000000000000")
+    assert first.groupBy("lane", "batch").count().agg(F.max("count"), F.count("*")).first() == (500, 3)
+    with pytest.raises(journal.Conflict):
+        journal.publish(of(5), path, "m", ["key"], ["body"], expected=3)
+    assert journal.publish(of(0), path, "m", ["key"], ["body"], expected=0) == 1300
+    journal.compact(spark, path, "m")
+    assert journal.read_journal(spark, path, "m").count() == 0 and journal.head(spark, path, "m") == 1
+    assert journal.publish(of(2), path, "m", ["key"], ["body"], expected=1) == 2 and journal.read_journal(spark, path, "m").count() == 2
+
+
+def test_idle_state_goes(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    out = live.stream(spark.readStream.schema(live.SAMPLE).json(str(src)), retain_days=30)
+    assert out.isStreaming and out.columns[0] == "account_id"

@@ -148,6 +148,35 @@ def hmac_sha256(key: Column, message: Column) -> Column:
     return F.sha2(F.concat(xor(0x5C), inner), 256)
 
 
+def remote_identity(response: Column, login: Column) -> Column:
+    """struct<user_id, account_id, email, plan_type> of two maps, the response's values first; null where neither names any."""
+    names = ("user_id", "account_id", "email", "plan_type")
+    value = lambda n: F.coalesce(F.try_element_at(response, F.lit(n)), F.try_element_at(login, F.lit(n)))
+    return F.when(F.coalesce(*map(value, names)).isNotNull(), F.struct(*(value(n).alias(n) for n in names)))
+
+
+def identity_changed(before: Column, now: Column) -> Column:
+    """Whether an identity is known before and now, and differs in any part."""
+    return before.isNotNull() & now.isNotNull() & ~before.eqNullSafe(now)
+
+
+def session_order(ts: str = "updated_ts", session: str = "session_id") -> list[Column]:
+    """The order of token sessions: by the time of their last update, those without one first, then by id."""
+    return [F.coalesce(F.col(ts), F.lit(0)), F.col(session)]
+
+
+def significant(x: Column, digits: int) -> Column:
+    """A number with so many significant digits, without trailing zeros; with an exponent below 1e-4 or from 10^digits on."""
+    v = x.cast("double")
+    size = F.when(v == 0, 0).otherwise(F.floor(F.log10(F.abs(v))))
+    size = size + F.when(F.round(F.abs(v) / F.pow(F.lit(10.0), size), digits - 1) >= 10, 1).otherwise(0)
+    trim = lambda t: F.regexp_replace(F.regexp_replace(t, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    plain = trim(F.format_string(f"%.{digits + 4}f", F.round(v * F.pow(F.lit(10.0), digits - 1 - size), 0) / F.pow(F.lit(10.0), digits - 1 - size)))
+    part = trim(F.format_string(f"%.{digits - 1}f", v / F.pow(F.lit(10.0), size)))
+    exponent = F.concat(F.when(size < 0, "-").otherwise("+"), F.lpad(F.abs(size).cast("string"), 2, "0"))
+    return F.when(v.isNull(), "-").when((size < -4) | (size >= digits), F.concat(part, F.lit("e"), exponent)).otherwise(plain)
+
+
 def event_cost(direct: Column, fallback: Column) -> Column:
     """The cost of a sample's events, else its total cost, else 0; numbers that are not finite are none."""
     return F.coalesce(to_number(direct), to_number(fallback), F.lit(0.0))

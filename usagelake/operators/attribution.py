@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,5 +55,25 @@ def relabel(df: DataFrame, account: str, label: str, renamed: dict[str, str]) ->
     return df.withColumn(label, out)
 
 
-def rank_ties(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+def relabel_trees(df: DataFrame, body: str, account: str, label: str) -> DataFrame:
+    """JSON texts in which every object of the account, at any depth, has the new label; `changes` counts the objects that had another."""
+
+    @F.udf("struct<body:string,changes:int>", useArrow=True)
+    def renamed(text):
+        try:
+            value = json.loads(text)
+        except (TypeError, ValueError):
+            return text, 0
+        n, todo = 0, [value]
+        while todo:
+            node = todo.pop()
+            if isinstance(node, dict):
+                if node.get("accountSlotId") == account and node.get("accountLabel") != label:
+                    node["accountLabel"] = label
+                    n += 1
+                todo += node.values()
+            elif isinstance(node, list):
+                todo += node
+        return (json.dumps(value, ensure_ascii=False), n) if n else (text, 0)
+
+    return df.withColumn("_r", renamed(body)).withColumns({body: F.col("_r.body"), "changes": F.col("_r.changes")}).drop("_r")

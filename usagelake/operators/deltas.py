@@ -11,12 +11,14 @@ from usagelake.operators.fold import fold
 
 
 def ledger(events: DataFrame, by: list[str], model: str, order: list[str], percent: str, cost: str) -> DataFrame:
-    """Running sums per group and per model of valid events, and each ratio against the average of the model's earlier events."""
-    e = events.where(valid_delta(F.col(percent), F.col(cost)))
+    """Running sums per group and per model of valid events, and each ratio against the average of the model's earlier events.
+    Sums keep the types of the columns, so that decimals add up exactly; ratios are doubles."""
+    num = lambda c: (F.col(c) if isinstance(c, str) else c).cast("double")
+    e = events.where(valid_delta(num(percent), num(cost)))
     all_ = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     own = Window.partitionBy(*by, model).orderBy(*order)
     upto, before = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(Window.unboundedPreceding, -1)
-    r, avg = ratio(F.col(cost), F.col(percent)), ratio(F.sum(cost).over(before), F.sum(percent).over(before))
+    r, avg = ratio(num(cost), num(percent)), ratio(num(F.sum(cost).over(before)), num(F.sum(percent).over(before)))
     e = e.select("*", r.alias("cost_percent_ratio"), avg.alias("average_ratio"), F.sum(percent).over(all_).alias("cumulative_percent"), F.sum(cost).over(all_).alias("cumulative_cost"), F.sum(percent).over(upto).alias("model_cumulative_percent"), F.sum(cost).over(upto).alias("model_cumulative_cost"))
     dev = deviation(F.col("cost_percent_ratio"), F.col("average_ratio"))
     return e.select("*", dev.alias("ratio_deviation"), deviation_warning(dev).alias("ratio_deviation_warning"))
@@ -80,6 +82,14 @@ def pack_models(events: DataFrame, tolerance: float = 1e-8) -> DataFrame:
     return g.select(*key, F.col("p").alias("deltaPercent"), F.col("c").alias("deltaCostUsd"), F.when(joined, "models").otherwise("list").alias("form"), F.when(joined, F.transform("parts", lambda x: F.struct(x["model"].alias("model"), F.lit(None).cast("double").alias("deltaPercent"), x["deltaCostUsd"].alias("deltaCostUsd")))).otherwise(F.col("parts")).alias("parts"))
 
 
+def positive_deltas(percent: str, cost: str, *windows: DataFrame) -> DataFrame:
+    """The rows of all windows together that grew in both percent and cost."""
+    out = windows[0]
+    for w in windows[1:]:
+        out = out.unionByName(w)
+    return out.where((F.col(percent) > 0) & (F.col(cost) > 0))
+
+
 def new_events(now: DataFrame, before: DataFrame, identity: list[str], digits: int = 8) -> DataFrame:
     """Events whose identity, numbers rounded, is not among the earlier ones."""
     same = [F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in now.select(*identity).dtypes]

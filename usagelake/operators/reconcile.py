@@ -89,14 +89,15 @@ def sweep(intervals: DataFrame, key: list[str], start: str, end: str, model: str
     i = intervals.where((F.col(end) > F.col(start)) & (F.col(cost) > 0)).withColumn("_r", (F.col(cost) / (F.col(end) - F.col(start))).cast("decimal(28,12)"))
     marks = i.select(*key, F.col(model).alias("model"), F.explode(F.array(F.struct(F.col(start).alias("at"), F.col("_r").alias("r"), F.lit(1).alias("n")), F.struct(F.col(end).alias("at"), (-F.col("_r")).alias("r"), F.lit(-1).alias("n")))).alias("m"))
     marks = marks.groupBy(*key, "model", F.col("m.at").alias("at")).agg(F.sum("m.r").alias("r"), F.sum("m.n").alias("n"))
-    # every boundary of the key stands once for each of its models (a key has few models), so that running sums reach all segments
-    points = marks.select(*key, "at").distinct().join(marks.select(*key, "model").distinct(), key)
-    every = points.join(marks, [*key, "model", "at"], "left")
+    # a model's rate is constant from one of its own marks to the next: only the key's segments inside such a run are made
+    order = Window.partitionBy(*key).orderBy("at")
+    points = marks.select(*key, "at").distinct().select(*key, "at", F.row_number().over(order).alias("i"), F.lead("at").over(order).alias("segment_end"))
     own = Window.partitionBy(*key, "model").orderBy("at")
     run = own.rowsBetween(Window.unboundedPreceding, 0)
-    seg = every.select(*key, "model", F.col("at").alias("segment_start"), F.lead("at").over(own).alias("segment_end"), F.sum("r").over(run).alias("rate"), F.sum("n").over(run).alias("active")).where("active > 0 and segment_end is not null")
+    runs = marks.join(points.select(*key, "at", "i"), [*key, "at"]).select(*key, "model", "i", F.lead("i").over(own).alias("to"), F.sum("r").over(run).alias("rate"), F.sum("n").over(run).alias("active")).where("active > 0 and to is not null")
+    seg = runs.select(*key, "model", "rate", F.explode(F.sequence("i", F.col("to") - 1)).alias("i")).join(points.withColumnRenamed("at", "segment_start"), [*key, "i"]).select(*key, "model", "segment_start", "segment_end", "rate")
     seg = seg.withColumn("total_rate", F.sum("rate").over(Window.partitionBy(*key, "segment_start")))
-    return seg.where(F.col("total_rate") >= MIN_COST_PER_PERCENT).withColumn("cost", F.col("rate").cast("double") * (F.col("segment_end") - F.col("segment_start"))).drop("active")
+    return seg.where(F.col("total_rate") >= MIN_COST_PER_PERCENT).withColumn("cost", F.col("rate").cast("double") * (F.col("segment_end") - F.col("segment_start")))
 
 
 def interval_events(intervals: DataFrame, key: list[str]) -> DataFrame:

@@ -60,19 +60,23 @@ def normalize_totals(df: DataFrame) -> DataFrame:
     return df.withColumns(new).withColumn("fresh", F.col("input") - F.col("cached") - F.col("cache_write")).drop("_i", "_c", "_w", "legacy_write")
 
 
+def _prefixes(df: DataFrame, name: str) -> DataFrame:
+    """(_m, _prefix): the distinct names with each of their prefixes, so that the longest or first key that starts a name is found by an
+    equality join, however many keys there are."""
+    models = df.select(F.col(name).alias("_m")).distinct()
+    return models.select("_m", F.explode(F.transform(F.sequence(F.lit(0), F.length("_m")), lambda n: F.substring("_m", F.lit(1), n))).alias("_prefix"))
+
+
 def price_by_prefix(df: DataFrame, model: str, prices: DataFrame, key: str) -> DataFrame:
-    """Left join with the price row of the model itself or else of the longest key that starts it. prices is a dimension of a few
-    rows; only the distinct models are compared with it, not the facts."""
-    models = df.select(F.col(model).alias("_m")).distinct()
-    hit = models.join(F.broadcast(prices), F.col("_m").startswith(F.col(key)))  # an equal key is the longest prefix
+    """Left join with the price row of the model itself or else of the longest key that starts it; only distinct models are looked up."""
+    hit = _prefixes(df, model).join(prices, F.col("_prefix") == F.col(key))  # an equal key is the longest prefix
     best = hit.groupBy("_m").agg(F.max_by(F.struct(*prices.columns), F.length(key)).alias("_p"))
     return df.join(best, df[model].eqNullSafe(best["_m"]), "left").select(*df.columns, "_p.*")
 
 
 def fast_multiplier(df: DataFrame, model: str, multipliers: DataFrame) -> DataFrame:
     """Add fast_multiplier: of the first declared prefix that starts the model, else the default."""
-    models = df.select(F.col(model).alias("_m")).distinct()
-    hit = models.join(F.broadcast(multipliers), F.col("_m").startswith(F.col("prefix")))
+    hit = _prefixes(df, model).join(multipliers, F.col("_prefix") == F.col("prefix"))
     best = hit.groupBy("_m").agg(F.min_by("multiplier", "ord").alias("_x"))
     return df.join(best, df[model].eqNullSafe(best["_m"]), "left").select(*df.columns, F.coalesce("_x", F.lit(FAST_DEFAULT)).alias("fast_multiplier"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +12,14 @@ from usagelake.dims import WINDOWS
 from usagelake.functions.scalars import duration_text, percent_text, plan_multiplier, time_left_percent
 from usagelake.operators.fold import fold
 
-#: Names whose values a dashboard never shows. Fixed values.
-SENSITIVE = r"token|secret|password|authorization|cookie|api_?key|credential"
+#: Fields that a dashboard never shows, and those of them that may stay where they only say yes or no. Fixed values.
+SENSITIVE = (
+    "access_token", "account_id", "accountId", "authIdentity", "baseUrl", "boundMachineId", "configPath", "email", "encryptionPassphrase", "fingerprint", "id_token", "identity",
+    "password", "privatePath", "rawResponse", "refresh_token", "remoteRoot", "revisionId", "statePath", "target", "tokens", "user_id", "username",
+)
+FLAGS = ("password", "encryptionPassphrase")
+#: Other names whose texts are masked.
+MASKED = re.compile(r"(?i)secret|password|passphrase|authorization|cookie|api_?key|credential|(?:access|auth|bearer|id|refresh)_?token")
 
 
 def history_stats(events: DataFrame, synthetic: str = "synthetic") -> DataFrame:
@@ -28,9 +37,25 @@ def window_line(rows: DataFrame, now: Column) -> DataFrame:
     return rows.select("*", F.concat(F.col("window"), F.lit(" "), percent_text(F.col("used_percent"))).alias("display"), time_left_percent(F.col("reset_ts"), now, minutes).alias("time_percent"), duration_text(F.col("reset_ts") - now).alias("time_left"), (now - F.coalesce("percent_ts", "checked_ts")).alias("age_s"))
 
 
+def without_sensitive(value: object) -> object:
+    """A JSON value without its sensitive fields, however deep they lie; whole objects and lists under such a name go, too. Texts under
+    other names that tell of secrets are masked."""
+    if isinstance(value, dict):
+        return {k: "***" if isinstance(v, str) and MASKED.search(k) else without_sensitive(v) for k, v in value.items() if k not in SENSITIVE or (k in FLAGS and isinstance(v, bool))}
+    return [without_sensitive(v) for v in value] if isinstance(value, list) else value
+
+
 def redact(df: DataFrame, body: str) -> DataFrame:
-    """Texts under sensitive names in a flat or nested JSON text are masked; booleans stay."""
-    return df.withColumn(body, F.regexp_replace(body, r'(?i)("[^"]*(?:' + SENSITIVE + r')[^"]*"\s*:\s*)("(?:[^"\\]|\\.)*"|-?[0-9.eE+-]+)', '$1"***"'))
+    """Sensitive fields of a JSON text are left out, at any depth; a text that is no JSON becomes null."""
+
+    @F.udf("string", useArrow=True)
+    def safe(text):
+        try:
+            return None if text is None else json.dumps(without_sensitive(json.loads(text)), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return None
+
+    return df.withColumn(body, safe(body))
 
 
 def token_summary(sessions: DataFrame, by: list[str]) -> DataFrame:
@@ -61,6 +86,15 @@ def last_seconds(events: DataFrame, ts: str, seconds: int) -> DataFrame:
     return events.where(F.col("synthetic") | F.col(ts).isNull() | (F.unix_timestamp(ts) >= newest - seconds))
 
 
+def on_day(events: DataFrame, ts: str, day: str, zone: str = "UTC") -> DataFrame:
+    """Rows of one local day, from its start to before the next one's, with synthetic rows; no rows at all if the day has no real one."""
+    start = F.to_utc_timestamp(F.to_timestamp(F.lit(day)), zone)
+    end = F.to_utc_timestamp(F.to_timestamp(F.date_add(F.lit(day).cast("date"), 1)), zone)
+    real = (F.col(ts) >= start) & (F.col(ts) < end) & ~F.coalesce("synthetic", F.lit(False))
+    some = events.where(real).limit(1).count() > 0
+    return events.where(F.col("synthetic") | real) if some else events.where("false")
+
+
 def curve_breaks(points: DataFrame, by: list[str], ts: str, order: list[str], value: str, slope: Column) -> DataFrame:
     """Add breaks: a gap over 4 h breaks a curve, one up to 30 min does not; between them a fall of 3 or a slope of `slope` a minute does."""
     w = Window.partitionBy(*by).orderBy(*order)

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from usagelake.functions import scalars as Z
 from usagelake.operators import attribution, deltas, journal, quota, reconcile, tokens
-from usagelake.plans import serving
-from usagelake.session import table
+from usagelake.plans import projections, serving
+from usagelake.session import shared_dir, table
 from usagelake.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -230,11 +230,11 @@ def q_token_merge(spark: SparkSession, sf: str) -> DataFrame:
     return reconcile.merge_tokens(e, ["user_id", "event_type"]).select("user_id", "event_type", "updated", "total_tokens", "event_id")
 
 
-@query(f"""WITH {E}, t AS (SELECT user_id, event_type, k, rank() OVER (PARTITION BY user_id, event_type ORDER BY day DESC, k DESC) AS r FROM e) SELECT user_id, event_type, count(*) AS contents FROM t WHERE r = 1 GROUP BY 1, 2 HAVING count(*) > 1""")
+@query(f"""WITH {E}, t AS (SELECT user_id, k // 10 AS total, event_id, dense_rank() OVER (PARTITION BY user_id ORDER BY k // 10 DESC) AS r FROM e) SELECT user_id, count(DISTINCT event_id) AS contents FROM t WHERE r = 1 GROUP BY 1 HAVING count(DISTINCT event_id) > 1""")
 def q_token_conflicts(spark: SparkSession, sf: str) -> DataFrame:
-    """A16."""
-    e = ev(spark, sf).select("user_id", "event_type", F.col("day").alias("updated_ts"), F.col("k").alias("total_tokens"), F.col("event_id").alias("content_hash"))
-    return reconcile.token_conflicts(e, ["user_id", "event_type"])
+    """Users whose greatest total comes with several contents."""
+    e = ev(spark, sf).select("user_id", F.lit(0).alias("updated_ts"), F.expr("k div 10").alias("total_tokens"), F.col("event_id").alias("content_hash"))
+    return reconcile.token_conflicts(e, ["user_id"])
 
 
 @query(f"""WITH {E}, r AS (SELECT CASE WHEN event_type = 'view' THEN NULL ELSE 'costInterval' END AS t, user_id, k, event_id FROM e)
@@ -304,13 +304,8 @@ s AS (SELECT event_id, event_type, k, CAST(v AS DOUBLE) AS v, sum(k) OVER (PARTI
 SELECT event_id, event_type, v / k AS cost_percent_ratio, bv / bk AS average_ratio, ck AS cumulative_percent, cv AS cumulative_cost, coalesce((v / k) / (bv / bk) >= 3 OR (v / k) / (bv / bk) <= 1.0 / 3, false) AS warning FROM s""")
 def q_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """Running sums per day and model, ratios against the model's earlier average."""
-    e = ev(spark, sf).select("event_id", "ts", "day", "event_type", "k", "v", F.col("v").cast("double").alias("vd"))
-    f = e.where(Z.valid_delta(F.col("k"), F.col("vd")))
-    order = Window.partitionBy("day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("day", "event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    r, avg = Z.ratio(F.col("vd"), F.col("k")), Z.ratio(F.sum("v").over(before).cast("double"), F.sum("k").over(before))
-    s = f.select("event_id", "event_type", r.alias("cost_percent_ratio"), avg.alias("average_ratio"), F.sum("k").over(order).alias("cumulative_percent"), F.sum("v").over(order).cast("double").alias("cumulative_cost"))
-    return s.withColumn("warning", Z.deviation_warning(Z.deviation(F.col("cost_percent_ratio"), F.col("average_ratio"))))
+    led = deltas.ledger(ev(spark, sf), ["day"], "event_type", ["ts", "event_id"], "k", "v")
+    return led.select("event_id", "event_type", "cost_percent_ratio", "average_ratio", "cumulative_percent", F.col("cumulative_cost").cast("double").alias("cumulative_cost"), F.col("ratio_deviation_warning").alias("warning"))
 
 
 @query(f"""WITH {E}, l AS (SELECT day, event_type, sum(k) AS p, CAST(sum(v) AS DOUBLE) AS c FROM e WHERE k > 0 AND CAST(v AS DOUBLE) / k >= 0.01 GROUP BY 1, 2) SELECT day, event_type, CAST(p AS DOUBLE) AS cumulative_percent, round(c, 4) AS cumulative_cost FROM l""")
@@ -360,12 +355,22 @@ def q_positive_deltas(spark: SparkSession, sf: str) -> DataFrame:
     """positive deltas of both windows together."""
     e = ev(spark, sf).select("event_id", "day", "event_type", F.col("k").cast("double").alias("k"), "v")
     odd, even = e.where("event_id % 2 = 1"), e.where("event_id % 2 = 0")
-    return odd.unionByName(even).where("k > 0 and v > 0").drop("v")
+    return deltas.positive_deltas("k", "v", odd, even).drop("v")
 
 
-@query()
+_SERIES = f"""WITH RECURSIVE {E}, s AS (SELECT user_id, event_id, ts, CAST(k AS DOUBLE) AS p, CAST(sum(v) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS DOUBLE) AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM e),
+r AS (SELECT user_id, n, event_id, ts, p, c, p AS bp, c AS bc, c AS prev, CAST(0 AS DOUBLE) AS dp, CAST(0 AS DOUBLE) AS dc, CAST(0 AS DOUBLE) AS sp, CAST(0 AS DOUBLE) AS sc, CAST(NULL AS DOUBLE) AS avg, true AS told FROM s WHERE n = 1
+ UNION ALL SELECT user_id, n, event_id, ts, p, c, CASE WHEN p > b0 THEN p ELSE b0 END, CASE WHEN p > b0 THEN c ELSE b1 END, c, p - b0, greatest(0.0, c - b1),
+  CASE WHEN ok THEN sp + (p - b0) ELSE sp END, CASE WHEN ok THEN sc + greatest(0.0, c - b1) ELSE sc END, CASE WHEN sp > 0 THEN sc / sp END, ok
+ FROM (SELECT *, p > b0 AND greatest(0.0, c - b1) / CASE WHEN p > b0 THEN p - b0 END >= 0.01 IS TRUE AS ok FROM (
+  SELECT s.user_id, s.n, s.event_id, s.ts, s.p, s.c, CASE WHEN s.p < r.bp THEN 0.0 ELSE r.bp END AS b0, CASE WHEN s.p < r.bp THEN r.prev ELSE r.bc END AS b1, r.sp, r.sc FROM r JOIN s ON s.user_id = r.user_id AND s.n = r.n + 1)))"""
+
+
+@query(f"""{_SERIES} SELECT CAST(user_id AS VARCHAR) AS account_id, '5h' AS "window", strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS checked_at, event_id AS seq, p AS raw_percent, p AS normalized_percent, dp AS delta_percent, dc AS delta_cost,
+ CASE WHEN n > 1 THEN dc / dp END AS cost_percent_ratio, avg AS average_ratio, CASE WHEN n > 1 THEN coalesce(avg <> 0 AND (dc / dp / avg >= 3 OR dc / dp / avg <= 1.0 / 3), false) END AS ratio_deviation_warning, sp AS cumulative_percent, sc AS cumulative_cost FROM r WHERE told""")
 def q_state_machine(spark: SparkSession, sf: str) -> DataFrame:
-    """W7 over (k, running cost) per user: a fold; unit tests carry its correctness."""
+    """W7 over (k, running cost) per user: a fold. The SQL follows the rules that a plan without trusted percents and with times of its
+    own for resets can meet; unit tests carry the others."""
     return deltas.batch_series(_samples(spark, sf))
 
 
@@ -415,6 +420,19 @@ def q_run_cost(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("event_id", F.col("run_cost").cast("double").alias("run_cost"), "ready")
 
 
+@query(f"""WITH {E}, r AS (SELECT event_id, sum(k) OVER w AS total, k, lag(k) OVER w AS was, CAST(sum(v) OVER w AS DOUBLE) AS cost, event_type, lag(event_type) OVER w AS model, value, lag(value) OVER w AS paid FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+c AS (SELECT *, lag(cost) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM r JOIN (SELECT event_id, user_id, ts FROM e) USING (event_id))
+SELECT event_id, greatest(0, coalesce(k - was, 0)) AS delta_input, round(greatest(0, coalesce(cost, 0) - coalesce(before, 0)), 8) AS cost_delta,
+ round(greatest(0, CASE WHEN event_type = model THEN value - paid ELSE value END), 8) AS own_cost_delta, model IS NULL OR model = event_type AS one_model FROM c""")
+def q_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """P10: progress of samples since the one before, of tokens, cost and cost by model."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    zero = {c: F.lit(0) for c in projections.COUNTS if c != "input"}
+    e = ev(spark, sf).withColumns({"input": F.col("k"), "cost": F.sum("v").over(w).cast("double"), "cost_by_model": F.create_map("event_type", "value"), "account_slot_id": F.lit("s"), "account_label": F.lit("")} | zero)
+    s = projections.make_samples(e, ["user_id"], ["ts", "event_id"])
+    return s.select("event_id", "delta_input", "cost_delta", F.try_element_at("cost_delta_by_model", F.col("event_type")).alias("own_cost_delta"), (F.size("cost_delta_by_model") == 1).alias("one_model"))
+
+
 # -- change data -------------------------------------------------------------------------------------------------------------------------
 
 
@@ -454,6 +472,23 @@ def q_valid_operations(spark: SparkSession, sf: str) -> DataFrame:
     return journal.valid_operations(ops).where(F.length("key") <= 80).select("event_id")
 
 
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS body FROM orders WHERE o_orderkey % 6 <> 0""")
+def q_journal(spark: SparkSession, sf: str) -> DataFrame:
+    """K8, K9: what is read after a checkpoint, a change with deletes, a compaction, another change with deletes, and two compactions."""
+    import uuid
+
+    path = f"{shared_dir(spark)}/journal-{uuid.uuid4().hex}"
+    o = table(spark, sf, "orders")
+    body = F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus"))
+    of = lambda where, body: o.where(where).select(F.col("o_orderkey").cast("string").alias("key"), body.alias("body"))
+    for step, now in enumerate((of("true", F.col("o_orderstatus")), of("o_orderkey % 3 <> 0", body), of("o_orderkey % 6 <> 0", body))):
+        journal.publish(now, path, "m", ["key"], ["body"], expected=step - 1)
+        if step:
+            journal.compact(spark, path, "m")
+    journal.compact(spark, path, "m")
+    return journal.read_journal(spark, path, "m").select("key", "body")
+
+
 @query("""WITH l AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0), r AS (SELECT o_orderkey, 'R' AS o_orderstatus FROM orders WHERE o_orderkey % 3 = 0), d AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 7 <> 0)
 SELECT o_orderkey, coalesce(l.o_orderstatus, r.o_orderstatus) AS o_orderstatus FROM l FULL JOIN r USING (o_orderkey) WHERE o_orderkey NOT IN (SELECT o_orderkey FROM d)""")
 def q_merge_deletions(spark: SparkSession, sf: str) -> DataFrame:
@@ -499,15 +534,32 @@ def q_text_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("p_partkey", F.when(F.lower("p_type").contains("promo"), "promo").otherwise("other").alias("tier"), name.alias("brand"))
 
 
-@query(f"""WITH {E} SELECT event_id, CASE WHEN k % 4 = 0 THEN 'pro_lite' WHEN k % 4 = 1 THEN 'pro' WHEN k % 4 = 2 THEN 'plus' ELSE 'unknown' END AS plan, CAST(k AS DOUBLE) * CASE WHEN k % 4 = 0 THEN 5 WHEN k % 4 = 1 THEN 20 ELSE 1 END AS plus_equivalent FROM e""")
+#: Texts of plans and what they stand for.
+PLAN_TEXTS = {"ChatGPT Pro-Lite": "pro_lite", "PRO": "pro", "chat_plus": "plus", "team": "unknown", "Max 5x": "pro_lite", "5_X": "pro_lite", "Pro Light": "pro_lite", "pro 5": "pro_lite", "20x": "pro", "max-20-x": "pro", "pro plus": "plus", "plus 20x": "pro", "": "unknown", "PROLITE": "pro_lite"}
+
+
+@query(f"""WITH {E}, p(i, plan) AS (VALUES {", ".join(f"({i}, '{p}')" for i, p in enumerate(PLAN_TEXTS.values()))})
+SELECT event_id, plan, CAST(k AS DOUBLE) * CASE plan WHEN 'pro_lite' THEN 5 WHEN 'pro' THEN 20 ELSE 1 END AS plus_equivalent FROM e JOIN p ON k % {len(PLAN_TEXTS)} = i""")
 def q_plan_normalize(spark: SparkSession, sf: str) -> DataFrame:
     """Z3, V8."""
-    e = ev(spark, sf)
-    plan = Z.normalize_plan(F.element_at(F.array(F.lit("ChatGPT Pro-Lite"), F.lit("PRO"), F.lit("chat_plus"), F.lit("team")), F.col("k") % 4 + 1))
-    e = e.select("event_id", "k", plan.alias("plan"))
+    texts = F.array(*map(F.lit, PLAN_TEXTS))
+    e = ev(spark, sf).select("event_id", "k", Z.normalize_plan(F.element_at(texts, F.col("k") % len(PLAN_TEXTS) + 1)).alias("plan"))
     return e.select("event_id", "plan", serving.plus_equivalent(F.col("k").cast("double"), F.col("plan")).alias("plus_equivalent"))
 
 
+@query(f"""WITH {E}, s AS (SELECT event_id, 'mail' || (user_id % 5) AS email, CASE WHEN k % 3 = 0 THEN user_id % 2 END AS a, CASE WHEN k % 4 = 0 THEN user_id % 3 END AS b FROM e),
+i AS (SELECT event_id, coalesce(CAST(a AS VARCHAR), CAST(b AS VARCHAR)) AS account_id, CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN email END AS email FROM s)
+SELECT event_id, account_id, email, account_id IS NOT NULL AND (account_id <> '1' OR email <> 'mail1') AS changed FROM i""")
+def q_identity(spark: SparkSession, sf: str) -> DataFrame:
+    """Identities of responses and logins, and whether they differ from a known one."""
+    text = lambda c: c.cast("string")
+    a, b = F.when(F.col("k") % 3 == 0, text(F.col("user_id") % 2)), F.when(F.col("k") % 4 == 0, text(F.col("user_id") % 3))
+    mail = F.when(a.isNotNull() | b.isNotNull(), F.concat(F.lit("mail"), text(F.col("user_id") % 5)))
+    e = ev(spark, sf).select("event_id", Z.remote_identity(F.create_map(F.lit("account_id"), a, F.lit("email"), mail), F.create_map(F.lit("account_id"), b)).alias("i"))
+    known = F.struct(F.lit(None).cast("string").alias("user_id"), F.lit("1").alias("account_id"), F.lit("mail1").alias("email"), F.lit(None).cast("string").alias("plan_type"))
+    return e.select("event_id", "i.account_id", "i.email", Z.identity_changed(known, F.col("i")).alias("changed"))
+
+
 # -- serving -----------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -526,9 +578,12 @@ def q_dejitter(spark: SparkSession, sf: str) -> DataFrame:
     return serving.dejitter(ev(spark, sf).select("user_id", "event_id", "ts", "k"), ["user_id"], ["ts", "event_id"], "k").select("event_id", "shown")
 
 
-@query()
+@query(f"""WITH RECURSIVE {E}, o AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS DOUBLE) AS x, CAST(k AS DOUBLE) AS y, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS n FROM e),
+r AS (SELECT *, x AS lx, y AS ly, true AS far FROM o WHERE n = 1 UNION ALL SELECT user_id, event_id, x, y, n, CASE WHEN far THEN x ELSE lx END, CASE WHEN far THEN y ELSE ly END, far
+ FROM (SELECT o.*, r.lx, r.ly, ((o.x - r.lx) / 3600.0) ** 2 + ((o.y - r.ly) / 1.0) ** 2 > 400 AS far FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1))
+SELECT user_id, event_id, x, y FROM r QUALIFY far OR n = max(n) OVER (PARTITION BY user_id)""")
 def q_dense_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """V5: a fold; a unit test carries its correctness."""
+    """V5: a fold."""
     p = ev(spark, sf).select("user_id", "event_id", F.unix_timestamp("ts").cast("double").alias("x"), F.col("k").cast("double").alias("y"))
     return serving.dense_merge(p, ["user_id"], ["x", "event_id"], "x", "y", 3600.0, 1.0)
 
@@ -597,11 +652,11 @@ def q_to_fetch(spark: SparkSession, sf: str) -> DataFrame:
     return journal.to_fetch(o.where("o_orderkey % 2 = 0"), here, ["o_orderkey"], "o_orderstatus").select("o_orderkey")
 
 
-@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0)""")
 def q_unreferenced(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers without orders."""
+    """Customers that no order of some referrers names."""
     stored = table(spark, sf, "customer").select("c_custkey")
-    return journal.unreferenced(stored, table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return journal.unreferenced(stored, table(spark, sf, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query(f"""WITH {E}, s AS (SELECT day, event_id, 10 + k AS size, sum(10 + k) OVER (ORDER BY day DESC, event_id DESC) AS run FROM e) SELECT event_id FROM s WHERE run <= 200000""")

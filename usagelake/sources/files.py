@@ -148,10 +148,24 @@ def changed_files(now: DataFrame, before: DataFrame) -> DataFrame:
     return now.join(b, "path", "left").where("_s is null or size <> _s or modified <> _m").drop("_s", "_m")
 
 
-def zip_entries(packages: DataFrame, max_ratio: int = 200) -> DataFrame:
-    """(path, entry, size, sha256, problem) of zip packages: a problem names duplicates, unsafe paths or too great an expansion."""
+FLOOR = 2**20  # bytes up to which an entry may expand from any size
+
+
+def zip_entries(packages: DataFrame, max_ratio: int = 200, with_manifest: bool = False) -> DataFrame:
+    """(path, entry, size, sha256, problem) of zip packages: a problem names duplicates, unsafe paths or too great an expansion.
+
+    with_manifest: the packages hold a manifest.json that lists each skill's files with their sizes and hashes. Then entries that it
+    does not list, or lists otherwise, are problems, and so are files that it lists and the package lacks, skills without SKILL.md,
+    and packages whose manifest is missing or unreadable."""
     import hashlib
 
+    def declared(z: zipfile.ZipFile) -> dict[str, tuple] | None:
+        try:
+            m = json.loads(z.read("manifest.json"))
+            return {f"skills/{skill}/{r['path']}": (r["size"], r["sha256"]) for skill, rows in m["skills"].items() for r in rows} | {f"skills/{skill}/SKILL.md": None for skill, rows in m["skills"].items() if not any(r["path"] == "SKILL.md" for r in rows)} if m["version"] == 1 else None
+        except (KeyError, TypeError, ValueError, AttributeError):
+            return None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
@@ -161,17 +175,26 @@ def zip_entries(packages: DataFrame, max_ratio: int = 200) -> DataFrame:
                 except zipfile.BadZipFile:
                     rows.append((path, None, None, None, "not a zip file"))
                     continue
+                want = declared(z) if with_manifest else {}
+                if want is None:
+                    rows.append((path, "manifest.json", None, None, "no manifest"))
+                    continue
                 seen: set[str] = set()
                 for info in z.infolist():
-                    name, problem = info.filename, None
+                    name, problem, digest = info.filename, None, None
                     if name in seen:
                         problem = "duplicate"
                     elif name.startswith("/") or ".." in name.split("/") or "\\" in name:
                         problem = "unsafe path"
-                    elif info.file_size > max_ratio * max(1, info.compress_size):
+                    elif info.file_size > max(FLOOR, max_ratio * info.compress_size):
                         problem = "expansion"
+                    else:
+                        digest = hashlib.sha256(z.read(info)).hexdigest()
+                        if with_manifest and name != "manifest.json" and want.get(name) != (info.file_size, digest):
+                            problem = "differs" if want.get(name) else "unexpected"
                     seen.add(name)
-                    rows.append((path, name, info.file_size, None if problem else hashlib.sha256(z.read(info)).hexdigest(), problem))
+                    rows.append((path, name, info.file_size, digest, problem))
+                rows += [(path, name, None, None, "missing") for name in sorted(set(want) - seen)]
             yield pd.DataFrame(rows, columns=["path", "entry", "size", "sha256", "problem"])
 
     return packages.select("path", "content").mapInPandas(run, "path string, entry string, size long, sha256 string, problem string")

@@ -37,11 +37,12 @@ def capped_append(spark: SparkSession, old: DataFrame | None, new: DataFrame, or
     return both if total <= limit else newest_suffix(both, order, size, limit * 8 // 10)
 
 
-def grouped_history(events: DataFrame) -> DataFrame:
-    """One JSON object per window with its events in order."""
+def grouped_history(events: DataFrame, by: list[str] = ("accountSlotId",)) -> DataFrame:
+    """JSON objects of a window's events in order, one per account (`by`) and day, so that none holds a whole history; a reader takes
+    objects of one window one after the other."""
     e = F.struct("checkedAt", "model", "accountSlotId", "accountLabel", "deltaPercent", "deltaCostUsd")
-    g = events.groupBy("window").agg(F.array_sort(F.collect_list(e)).alias("delta"))
-    return g.select(F.to_json(F.struct("window", "delta")).alias("value"))
+    g = events.groupBy("window", *by, F.left("checkedAt", F.lit(10)).alias("day")).agg(F.array_sort(F.collect_list(e)).alias("delta"))
+    return g.select("window", *by, "day", F.to_json(F.struct("window", "delta")).alias("value"))
 
 
 def commit_tables(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> str:
@@ -71,8 +72,3 @@ def unseal(envelope: Column, key: Column) -> Column:
     """The plain text; null where it is not whole."""
     body = F.try_aes_decrypt(envelope["sealed"], key, F.lit("GCM"), F.lit("DEFAULT"), envelope["header"])
     return F.when((F.octet_length(body) == envelope["size"]) & (F.sha2(body, 256) == envelope["sha256"]), body)
-
-
-def console_lines(events: DataFrame) -> DataFrame:
-    """Printable lines of valid events and ratio warnings."""
-    return events.select(F.format_string("%s %s +%.2f%% %.4f USD%s", "checked_at", "window", "delta_percent", "delta_cost", F.when(F.col("ratio_deviation_warning"), " !").otherwise("")).alias("line"))

@@ -233,10 +233,16 @@ def batch(samples: DataFrame) -> DataFrame:
     return fold(samples, ["account_id"], ["seq"], dict, transition, OUT)
 
 
-def stream(samples: DataFrame) -> DataFrame:
-    """A streaming DataFrame of samples to a streaming DataFrame of OUT; the state of an account is one JSON text."""
+def stream(samples: DataFrame, retain_days: float | None = None) -> DataFrame:
+    """A streaming DataFrame of samples to a streaming DataFrame of OUT; the state of an account is one JSON text. With retain_days
+    the state of an account that sent nothing for so long goes, and the account starts anew when it comes back."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        if retain_days:
+            state.setTimeoutDuration(max(1, int(retain_days * 86_400_000)))
         held = json.loads(state.get[0]) if state.exists else {}
         rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
         out = []
@@ -247,17 +253,17 @@ def stream(samples: DataFrame) -> DataFrame:
         state.update((json.dumps(held),))
         yield pd.DataFrame(out, columns=[f.split()[0] for f in OUT.split(", ")])
 
-    return samples.groupBy("account_id").applyInPandasWithState(run, OUT, "state string", "append", GroupStateTimeout.NoTimeout)
+    return samples.groupBy("account_id").applyInPandasWithState(run, OUT, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout if retain_days else GroupStateTimeout.NoTimeout)
 
 
-def run(samples: DataFrame, out: str, checkpoint: str, every: str | None = "90 seconds"):
+def run(samples: DataFrame, out: str, checkpoint: str, every: str | None = "90 seconds", retain_days: float | None = None):
     """Start the live query: each micro-batch writes its events, intervals and special events under its own number, so that a batch
     that is run again replaces what it wrote. every=None takes what there is and ends."""
 
     def write(df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").partitionBy("kind").parquet(f"{out}/batch={batch_id}")
 
-    w = stream(samples).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    w = stream(samples, retain_days).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
 
 
