@@ -542,6 +542,79 @@ def test_randomness_battery(spark):
     assert "abcdef" not in out[-1] and "secretx" not in out[-1]
 
 
+def battery_by_hand(token, ordinary):
+    """p_random and log_p of a token, in plain loops."""
+    import math
+
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    i = next(i for i, (p, _) in enumerate(secret_scan.ENCODINGS) if re.search(p, token))
+    alphabet, e = secret_scan.ENCODINGS[i][1], ordinary[i]
+    core, k = token.rstrip("="), len(alphabet)
+    ids, n = [alphabet.find(c) for c in core], len(core)
+    chi2 = k / n * sum(core.count(c) ** 2 for c in set(core)) - n
+    z_chi = ((max(chi2, 1e-9) / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
+    up = [x > (k - 1) / 2 for x in ids]
+    turns, n1 = sum(x != y for x, y in zip(up, up[1:])), sum(up)
+    n2, mean = n - n1, 2 * n1 * (n - n1) / n + 1
+    z_runs = 0.0 if n1 < 4 or n2 < 4 else (turns + 1 - mean) / math.sqrt(max((mean - 1) * (mean - 2) / max(n - 1, 1), 1e-9))
+    m = sum(ids) / n
+    var = sum((x - m) ** 2 for x in ids)
+    r = sum((x - m) * (y - m) for x, y in zip(ids, ids[1:])) / var if var > 1e-9 else 1.0
+    p_random = min(1.0, 3 * min(tail(z_chi), 2 * tail(abs(z_runs)), 2 * tail(abs(r) * math.sqrt(n))))
+    within = lambda lo, hi: max(1e-12, tail(lo) - tail(hi))
+    off, mt, sd = abs(turns - (n - 1) / 2) + 0.5, (n - 1) * e["turn"], math.sqrt(max((n - 1) * e["turn"] * (1 - e["turn"]), 0.25))
+    p_runs = within(((n - 1) / 2 - off - mt) / sd, ((n - 1) / 2 + off - mt) / sd)
+    p_serial = within((-abs(r) - e["serial"]) * math.sqrt(n), (abs(r) - e["serial"]) * math.sqrt(n))
+    x = max(0.0, sum(e["odds"][j] for j in ids if j >= 0)) - math.log(p_runs) - math.log(p_serial)
+    return p_random, min(0.0, math.log(1 + x + x * x / 2) - x)
+
+
+def test_battery_against_plain_loops(spark):
+    rng = np.random.default_rng(5)
+    tokens = ["".join(rng.choice(list(letters), n)) for _, letters in secret_scan.ENCODINGS for n in (20, 33, 64)] + ["a" * 30, "ab" * 15, "internationalization", "12345678901234567890", "AAAABBBBCCCCDDDDEEEEFFFF=="]
+    texts = ["some ordinary words of a Corpus with 12 numbers and 3 Names"] * 20
+    ordinary = secret_scan.writing(secret_scan.letter_pairs(docs_of(spark, texts)))
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secret_scan.battery(F.col("t"), ordinary).alias("b")).collect()
+    for r in got:
+        p, log_p = battery_by_hand(r.t, ordinary)
+        assert r.b.p_random == pytest.approx(p, abs=1e-5) and r.b.log_p == pytest.approx(log_p, rel=1e-3, abs=1e-3), r.t
+
+
+def test_added_secrets_precision_and_recall(spark):
+    import random
+    import string
+
+    r = random.Random(11)
+    sets = [string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", string.ascii_letters + string.digits + "+/", "0123456789ABCDEF"]
+    words = "the of and network service method station river letter garden system water window paper market winter summer people number story morning evening".split()
+    texts, planted = [], {}
+    for i in range(900):
+        before = " ".join(r.choices(words, k=12))
+        kind, key = i % 3, "".join(r.choice(sets[i % 5]) for _ in range(r.choice([22, 28, 32, 40, 64])))
+        decoy = r.choice(["".join(r.choices(words, k=5)), "/".join(r.choices(words, k=5)), "_".join(r.choices(words, k=4)), "=" * 30, "-".join(["2024"] * 6), "ab" * 14, "".join(r.choices(words, k=5)).upper()])
+        token = key if kind == 0 else decoy if kind == 1 else ""
+        if kind == 0:
+            planted[i] = (len(before) + 1, len(before) + 1 + len(key))
+        texts.append(f"{before} {token} {' '.join(r.choices(words, k=9))}")
+    got = {x.doc_id: [(s.start, s.end) for s in x.random] for x in secret_scan.scan(docs_of(spark, texts)).collect()}
+    base = {x.doc_id for x in secret_scan.scan(docs_of(spark, texts)).where("size(hex) + size(access) + size(assign) > 0").collect()}
+    want = {i: s for i, s in planted.items() if i not in base}
+    found, added = sum(s in got[i] for i, s in want.items()), sum(map(len, got.values()))
+    assert len(want) > 200 and found >= 0.95 * len(want) and found >= 0.98 * added
+
+
+def test_a_stored_index_serves_again(spark, tmp_path):
+    docs = docs_of(spark, ["one two three four five", "two three", None, "five four"])
+    index = decontam.build_index(docs, str(tmp_path / "index"))
+    again = decontam.build_index(docs.where("false"), str(tmp_path / "index"))
+    assert index.count() == again.count() == 9
+    for item, hit in (("two three", [2, 2, 0, 0]), ("four five six", [0, 0, 0, 0]), ("FIVE", [1, 0, 0, 1])):
+        got = decontam.contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), index=again, near=True).orderBy("doc_id").collect()
+        assert [r._n_hit for r in got] == hit and all(r._near >= min(1, r._n_hit) for r in got)
+    both = spark.createDataFrame([(1, "solo"), (1, "other words"), (None, "solo"), (None, "more")], "doc_id long, text string")
+    assert sorted(r._n_hit for r in decontam.contamination(both, spark.createDataFrame([(1, "solo")], "item_id long, text string")).collect()) == [0, 0, 1, 1]
+
+
 def test_redaction_merges_spans(spark):
     one = spark.sql("SELECT 'é0123456789' AS t, array(named_struct('m', '', 'start', 2, 'end', 5), named_struct('m', '', 'start', 0, 'end', 1), named_struct('m', '', 'start', 4, 'end', 7)) AS s")
     assert one.select(redacted(F.col("t"), F.col("s"), "#")).first()[0] == "#0#6789"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -14,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dir: dict[str, str] = {}
+from usagelake.session import shared_dir
+
 _log: ContextVar[list[str] | None] = ContextVar("written", default=None)
 _kept: dict[tuple, object] = {}
 SALTS = 16
@@ -30,17 +29,6 @@ def kept_in_worker(key: tuple, make: Callable[[], object]) -> object:
     return _kept[key]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: `spark.checkpoint.dir`, or that of setCheckpointDir. A session of one machine, as in tests,
-    gets a folder of this process where both are unset; on a cluster that is an error, as no executor could read it."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _own_dir.setdefault("dir", tempfile.mkdtemp(prefix="usagelake-"))
-
-
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df to the shared folder and read it again: lineage ends here, and a lost executor costs nothing already written."""
     spark = df.sparkSession
