@@ -722,3 +722,49 @@ def test_idle_state_goes(spark, tmp_path):
     src.mkdir()
     out = live.stream(spark.readStream.schema(live.SAMPLE).json(str(src)), retain_days=30)
     assert out.isStreaming and out.columns[0] == "account_id"
+
+
+def test_history_scans(spark, tmp_path):
+    from usagelake.sources import histories
+
+    pretty = lambda *rows: "\n".join(json.dumps(r, indent=1) for r in rows)
+    event = {"checkedAt": "t1", "window": "7d", "model": "m", "deltaPercent": 1.0, "deltaCostUsd": 2.0}
+    (tmp_path / "delta.json").write_text(pretty({"window": "5h", "delta": [event | {"accountSlotId": "s", "accountLabel": "L"}, [event]]}, event))
+    got = sorted((r.window, r.accountSlotId, r.accountLabel, r.deltaCostUsd) for r in histories.delta_history(spark, str(tmp_path / "delta.json")).collect())
+    assert got == [("5h", "s", "L", 2.0), ("5h", "unknown", "Unknown", 2.0), ("7d", "unknown", "Unknown", 2.0)]
+    q = lambda at, five, **more: {"checkedAt": at, "windows": {"5h": five, "7d": {"usedPercent": 50, "plan": "PRO", "unavailable": True}}, **more}
+    (tmp_path / "quota.jsonl").write_text("\n".join(map(json.dumps, [q("a", {"usedPercent": "12", "resetAt": "r", "plan": "pro lite"}), q("b", {"usedPercent": None}), q("", {"usedPercent": 1})])) + "\nbroken {\n")
+    assert [tuple(r) for r in histories.quota_history(spark, str(tmp_path / "quota.jsonl")).collect()] == [("a", "unknown", "Unknown", "5h", 12.0, "r", "pro_lite")]
+    s = [{"sample": q("a", {"usedPercent": 1}, percentCheckedAt="p")}, q("b", {"usedPercent": 2}, usingPreviousWindows=True), q("c", {"usedPercent": 3}, usingPreviousWindows=True, rejectedWindows={"5h": {"usedPercent": 88}}), q("d", {"usedPercent": 4}, remoteUsage={"accepted": False})]
+    (tmp_path / "samples.jsonl").write_text("\n".join(map(json.dumps, s)))
+    assert sorted((r.checked_at, r.used_percent) for r in histories.quota_history(spark, str(tmp_path / "samples.jsonl"), samples=True).collect()) == [("c", 88.0), ("p", 1.0)]
+    t = {"sessionId": "1", "startedAt": "x", "byModel": {"m": {"tokens": {"inputTokens": 10, "cachedInputTokens": 20, "outputTokens": 1}}}}
+    (tmp_path / "tokens.json").write_text(pretty(t, {"sessionId": "", "byModel": {"m": {}}}))
+    r = histories.token_sessions(spark, str(tmp_path / "tokens.json")).collect()
+    assert [(x.session_id, x.updated_at, x.account_id, x.model, x.input, x.cached, x.cache_write, x.fresh) for x in r] == [("1", "x", "unknown", "m", 10, 10, 0, 0)]
+    for scan in (histories.delta_history, histories.quota_history, histories.token_sessions):
+        assert scan(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_cache_scan_and_heads(spark):
+    from usagelake.sources import histories
+
+    cols = "source_machine_id string, key string, kind string, record string, record_key string, origin string"
+    good = ("m", "k", "cost", "{}", "k", "m")
+    assert histories.checked_cache(spark.createDataFrame([good, good], cols)).collect() == [good, good]
+    for bad in (("", "k", "cost", "{}", "k", ""), ("m", "k", "cost", "{}", "k", "other"), ("m", "k", "cost", None, "k", "m"), ("m", "k", "x", "{}", "k", "m"), ("m", "k", "cost", "{}", "j", "m")):
+        with pytest.raises(Exception, match="invalid cache entry"):
+            histories.checked_cache(spark.createDataFrame([good, bad], cols)).collect()
+    heads = spark.createDataFrame([("a", "1"), ("b", "2")], "machine_id string, marker string")
+    assert [r.machine_id for r in histories.changed_heads(heads, heads.where("machine_id = 'a'")).collect()] == ["b"]
+
+
+def test_one_poll_writes_events_and_quota(spark, tmp_path):
+    w = json.dumps({"5h": {"used_percent": 5.0, "plan": "plus", "reset": 100}, "7d": {"used_percent": 1.0, "unavailable": True}})
+    rows = [{"account_id": "a", "seq": i, "checked_at": f"2030-01-01T00:0{i}:00", "windows": w.replace("5.0", f"{5.0 + i}"), "cost": float(i), "cost_ready": True, "identity": "x"} for i in range(3)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/s.json").write_text("\n".join(map(json.dumps, rows)))
+    for q in live.run_all(spark.readStream.schema(live.SAMPLE).json(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"), every=None):
+        q.awaitTermination(120)
+    assert sorted((r.window, r.used_percent) for r in spark.read.parquet(str(tmp_path / "out/quota")).collect()) == [("5h", 5.0), ("5h", 6.0), ("5h", 7.0)]
+    assert spark.read.parquet(str(tmp_path / "out/events")).where("kind = 'event'").count() == 2

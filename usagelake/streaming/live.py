@@ -267,6 +267,21 @@ def run(samples: DataFrame, out: str, checkpoint: str, every: str | None = "90 s
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
 
 
+def quota_rows(samples: DataFrame) -> DataFrame:
+    """(account_id, checked_at, window, used_percent, reset, plan) of samples, batch or stream: the readings of a quota history."""
+    window = "struct<used_percent:double,reset:double,plan:string,unavailable:boolean>"
+    w = samples.select("account_id", "checked_at", F.explode(F.from_json("windows", f"map<string,{window}>")).alias("window", "w"))
+    return w.where("w.used_percent is not null and not coalesce(w.unavailable, false)").select("account_id", "checked_at", "window", "w.used_percent", "w.reset", F.coalesce("w.plan", F.lit("unknown")).alias("plan"))
+
+
+def run_all(samples: DataFrame, out: str, checkpoint: str, every: str | None = "90 seconds", retain_days: float | None = None) -> list:
+    """What one poll of the service does, as two queries over its samples: the live machine's events, intervals and special events
+    (`run`), and the quota history beside them. What is older than retain_days goes when the histories are compacted."""
+    w = quota_rows(samples).writeStream.format("parquet").option("path", f"{out}/quota").option("checkpointLocation", f"{checkpoint}/quota")
+    quota = (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
+    return [run(samples, f"{out}/events", f"{checkpoint}/events", every, retain_days), quota]
+
+
 def fresh_start(state: dict, cumulative: dict[str, list[float]]) -> dict:
     """The state of an account after a restart: baselines go, sums are those of the ledger."""
     return {"identity": state.get("identity"), **{label: {"sum": list(cumulative.get(label, [0.0, 0.0]))} for label in WINDOWS}}
