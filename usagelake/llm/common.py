@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -29,6 +31,15 @@ def kept_in_worker(key: tuple, make: Callable[[], object]) -> object:
     return _kept[key]
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can: an idle worker, or a driver after a fit, holds no more than it uses."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df to the shared folder and read it again: lineage ends here, and a lost executor costs nothing already written."""
     spark = df.sparkSession
@@ -81,6 +92,8 @@ def each_group(keys: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch
                 held_key = key
         if held:
             yield from fn(pa.Table.from_batches(held))
+            held = []
+        give_back()
 
     return run
 

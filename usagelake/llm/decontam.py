@@ -1,8 +1,9 @@
 """Benchmark decontamination with a stored positional inverted index, in DataFrame operations only.
 
-`build_index` writes the postings (term, document, position) of all training tokens as segments: each task sorts its own by term, so
-that a lookup of rare terms skips most of a file by its statistics, and no posting is shuffled. Terms are kept as 32-bit hashes. A
-stored index serves any benchmark: term frequencies and posting lists are read from it, not from the texts.
+`build_index` writes the postings (term, document, position) of all training tokens as segments, one per task, so that no posting is
+shuffled. Terms are kept as 32-bit hashes, and a lookup reads their column alone to find the postings of its terms. A stored index
+serves any benchmark: term frequencies and posting lists are read from it, not from the texts. An index that is kept under a path of
+its own has its segments sorted by term.
 
 Every window of `n` consecutive item words is represented by its two terms that are rarest in the corpus; their posting lists, adjusted
 by the terms' offsets in the item, are intersected to alignments (document, item, shift), and each alignment is compared word by word.
@@ -68,10 +69,10 @@ def build_index(documents: DataFrame, path: str | None = None) -> DataFrame:
     index already, that one is read."""
     spark = documents.sparkSession
     words_at = documents.select(_document().alias("dk"), F.posexplode(raw_words(F.col("text"))).alias("at", "word"))
-    index = words_at.select(_term(F.col("word")).alias("h"), "dk", "at").sortWithinPartitions("h")
+    index = words_at.select(_term(F.col("word")).alias("h"), "dk", "at")
     if path is None:
         return written(index, "decontam-index")[0]
-    index.write.mode("ignore").parquet(path)
+    index.sortWithinPartitions("h").write.mode("ignore").parquet(path)
     return spark.read.schema(index.schema).parquet(path)
 
 

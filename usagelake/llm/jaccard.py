@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from usagelake.llm.common import block_pairs, connected_components, each_group, forest, kept_in_worker, written
+from usagelake.llm.common import block_pairs, connected_components, each_group, forest, give_back, kept_in_worker, written
 
 WORD = re.compile(r"\w+")
 BLOCK = 256  # representatives in a block
@@ -138,6 +138,7 @@ def _features(n: int, bands: int, rows: int):
                         key_of[i], sig_of[i] = k, g.tobytes()
                 part = b.slice(a, len(sets))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(size), pa.array(h1), pa.array(h2), pa.array(key_of, pa.list_(pa.int64())), pa.array(sig_of, pa.binary())], names=[*part.schema.names[:-1], "n", "h1", "h2", "bands", "sig"])
+        give_back()
 
     return run
 
@@ -233,6 +234,7 @@ def _with_grams(df: DataFrame, docs: DataFrame, n: int) -> DataFrame:
                 part = b.slice(a, 400)
                 sets = [s.tobytes() for s in shingle_sets(texts[a : a + 400], n)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sets, pa.binary())], names=[*part.schema.names[:-1], "grams"])
+        give_back()
 
     schema = StructType([*df.schema.fields, StructField("grams", BinaryType())])
     return docs.join(df, docs.doc_id == df.rep).select(*df.columns, docs._text).mapInArrow(run, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from usagelake.llm.common import kept_in_worker
+from usagelake.llm.common import give_back, kept_in_worker
 
 WORD = re.compile(r"[^\W\d_]+")
 GRAMS = (5,)
@@ -280,7 +280,11 @@ def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, max_docs
         if seen[r.toxic] < max_docs:
             seen[r.toxic] += 1
             sample.append(r)
-    return BiGRU().fit([r.text for r in sample], [r.toxic for r in sample])
+    del rows
+    model = BiGRU().fit([r.text for r in sample], [r.toxic for r in sample])
+    del sample
+    give_back()
+    return model
 
 
 def score(documents: DataFrame, model: BiGRU, keep: list[str] = ("doc_id",), out: str = "score") -> DataFrame:
@@ -296,5 +300,6 @@ def score(documents: DataFrame, model: BiGRU, keep: list[str] = ("doc_id",), out
             if b.num_rows:
                 s = scorer.scores(b.column(b.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=[*b.schema.names[:-1], out])
+        give_back()
 
     return kept.mapInArrow(run, schema)
