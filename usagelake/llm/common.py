@@ -19,7 +19,7 @@ from usagelake.session import shared_dir
 _log: ContextVar[list[str] | None] = ContextVar("written", default=None)
 _kept: dict[tuple, object] = {}
 SALTS = 16
-HOT = 1000  # edges of a centre, and a thousandth of all, from which on they are dealt to several tasks
+HOT = 200  # edges of a centre, and a thousandth of all, from which on they are dealt to several tasks
 
 
 def kept_in_worker(key: tuple, make: Callable[[], object]) -> object:
