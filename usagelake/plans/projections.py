@@ -15,6 +15,9 @@ COUNTS = ["input", "fresh", "cached", "cache_write", "output", "total", "request
 STATE = ["windows", "token_usage", "cost", "cost_by_model", "last_sample", "updated_at", "run_cost", "run_cost_by_model", "measured_cost_intervals", "has_runtime_cost_baseline", "remote_usage_identity", "active_account_slot_id"]
 NOT_DEBUG = ["token_usage", "cost", "cost_by_model", "last_sample", "active_account_slot_id"]
 
+#: What is shown in place of an error, whose own text may tell too much. Fixed values.
+ERRORS = {"account": "Account operation failed", "projection": "Projection error", "cloud": "Cloud configuration error", "upload": "Automatic skill upload failed", "sync": "Automatic usage synchronization failed"}
+
 
 def make_samples(readings: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Samples of readings(counts, cost, cost_by_model) of an account: with progress since the reading before. Growth is never negative;
@@ -71,12 +74,12 @@ def account_status(status: DataFrame) -> DataFrame:
     """The shown status of accounts: flags are never null, an error is only said to be one, items have five fields."""
     flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
     item = lambda a: F.struct(*(a[c].alias(c) for c in ("id", "label", "ready", "active", "cloud_state")))
-    return status.select("active_account_id", flag("awaiting_login"), flag("cloud_binding_enabled"), F.when(F.coalesce("error", F.lit("")) != "", "Account operation failed").alias("error"), "message", F.transform(F.coalesce("items", F.array().cast(dict(status.dtypes)["items"])), item).alias("items"))
+    return status.select("active_account_id", flag("awaiting_login"), flag("cloud_binding_enabled"), F.when(F.coalesce("error", F.lit("")) != "", ERRORS["account"]).alias("error"), "message", F.transform(F.coalesce("items", F.array().cast(dict(status.dtypes)["items"])), item).alias("items"))
 
 
 def skill_status(status: DataFrame) -> DataFrame:
     """The shown status of skills: states of projections without their paths, errors only by application."""
-    item = lambda s: F.struct(s["name"].alias("name"), F.coalesce(s["assignments"], F.create_map().cast("map<string,boolean>")).alias("assignments"), F.transform_values(s["projections"], lambda app, p: F.struct(p["state"].alias("state"))).alias("projections"), F.transform_values(s["errors"], lambda app, e: F.lit("Projection error")).alias("errors"))
+    item = lambda s: F.struct(s["name"].alias("name"), F.coalesce(s["assignments"], F.create_map().cast("map<string,boolean>")).alias("assignments"), F.transform_values(s["projections"], lambda app, p: F.struct(p["state"].alias("state"))).alias("projections"), F.transform_values(s["errors"], lambda app, e: F.lit(ERRORS["projection"])).alias("errors"))
     return status.select("version", F.transform("items", item).alias("items"))
 
 
@@ -84,7 +87,7 @@ def cloud_status(status: DataFrame) -> DataFrame:
     """The shown status of synchronisation: switches and counters; a failure is only said to be one."""
     flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
     failed = lambda c, text: F.when(F.col(c).isNotNull(), text).alias(c)
-    return status.select("enabled", "skills_auto_upload", "usage_data_auto_sync", "allow_optimistic_writes", flag("conditional_writes_verified"), flag("optimistic_writes_active"), F.when(F.coalesce("error", F.lit("")) != "", "Cloud configuration error").alias("error"), flag("upload_pending"), F.coalesce("upload_attempts", F.lit(0)).alias("upload_attempts"), failed("upload_failure", "Automatic skill upload failed"), "last_success_at", "next_attempt_in_seconds", failed("sync_failure", "Automatic usage synchronization failed"))
+    return status.select("enabled", "skills_auto_upload", "usage_data_auto_sync", "allow_optimistic_writes", flag("conditional_writes_verified"), flag("optimistic_writes_active"), F.when(F.coalesce("error", F.lit("")) != "", ERRORS["cloud"]).alias("error"), flag("upload_pending"), F.coalesce("upload_attempts", F.lit(0)).alias("upload_attempts"), failed("upload_failure", ERRORS["upload"]), "last_success_at", "next_attempt_in_seconds", failed("sync_failure", ERRORS["sync"]))
 
 
 # -- console text ----------------------------------------------------------------------------------------------------------------------
