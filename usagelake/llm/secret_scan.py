@@ -52,6 +52,7 @@ ENCODINGS = (
     (r".", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
 CELLS = 8  # of the histogram, per unit of the logarithm
+LEAST = -700.0  # logarithm of a p-value; smaller ones count as this, so that the histogram stays small
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -154,7 +155,7 @@ def battery(token: Column, ordinary: list[dict]) -> Column:
         near = F.abs(s["serial"])
         p_serial = _within((-near - e["serial"]) * F.sqrt(n), (near - e["serial"]) * F.sqrt(n))
         evidence = F.greatest(F.lit(0.0), s["log_ratio"]) - F.log(p_runs) - F.log(p_serial)  # Fisher: chi-squared of 6 degrees
-        log_p = F.least(F.lit(0.0), F.log(1 + evidence + evidence * evidence / 2) - evidence)
+        log_p = F.greatest(F.lit(LEAST), F.least(F.lit(0.0), F.log(1 + evidence + evidence * evidence / 2) - evidence))
         return F.struct(F.least(F.lit(1.0), 3 * least).alias("p_random"), log_p.alias("log_p"), n.alias("n"))
 
     return bound(bound(bound(bound(seen, letters), moments), statistics), tests)
@@ -177,7 +178,7 @@ def _cell(test: Column, alpha_random: float) -> Column:
 def discovery_level(cand: DataFrame, fdr: float, alpha_random: float) -> int | None:
     """The largest cell that weighted Benjamini-Hochberg accepts: its p-value, times the mean length, is at most fdr * (accepted / all)."""
     each = cand.select(F.explode("cand.test").alias("t")).groupBy(_cell(F.col("t"), alpha_random).alias("cell")).agg(F.count("*").alias("n"), F.sum("t.n").alias("length"))
-    cells = each.orderBy("cell").collect()  # log(p / n) lies between some -700 and 0 times CELLS: a few thousand rows
+    cells = each.orderBy("cell").collect()  # log(p / n) lies between LEAST - 25 and 0: a few thousand rows
     m, above, level = sum(r.n for r in cells), 0, None
     mean = sum(r.length for r in cells) / m if m else 0.0
     for r in cells:
