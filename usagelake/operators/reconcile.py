@@ -185,3 +185,13 @@ def merged_view(local: DataFrame, cache: DataFrame, machine: str) -> DataFrame:
 def quota_order(ts: str = "checked_ts", raw: str = "checked_at", account: str = "account_slot") -> list[Column]:
     """The order of quota rows: those without a time last, then by time, by the text of the time, and by account."""
     return [F.col(ts).isNull(), F.coalesce(ts, F.lit(0)), F.col(raw), F.col(account)]
+
+
+def ledger_order(seq: str = "seq") -> list[Column]:
+    """The order of a ledger: by the text of the time, not the time itself, then by window; `seq` keeps the order of input among equals."""
+    return [F.col("checked_at"), F.col("window"), F.col(seq)]
+
+
+def interval_order(last: str = "record_key") -> list[Column]:
+    """The order of cost intervals by time text, window and key; of aggregated rows with last='model'."""
+    return [F.col("checked_at"), F.col("window"), F.col(last)]

@@ -254,6 +254,16 @@ def q_provenance(spark: SparkSession, sf: str) -> DataFrame:
     return reconcile.with_provenance(once, "token", "m2", ["user_id", "event_id"]).select("event_id", "record_id", "origin")
 
 
+@query(f"""WITH {E}, t AS (SELECT user_id, event_id, event_type, CASE WHEN k % 2 = 0 THEN strftime(ts, '%Y-%m-%dT%H') ELSE strftime(ts, '%Y-%m-%d') END AS told, CASE WHEN k % 3 = 0 THEN '5h' ELSE '7d' END AS w FROM e)
+SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY told, w, event_id) AS place, row_number() OVER (PARTITION BY user_id ORDER BY told, w, event_type, event_id) AS model_place FROM t""")
+def q_text_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Places of ledger rows and of aggregated rows, by the texts of their times."""
+    at = F.when(F.col("k") % 2 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH")).otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    e = ev(spark, sf).select("user_id", F.col("event_id").alias("seq"), F.col("event_type").alias("model"), at.alias("checked_at"), F.when(F.col("k") % 3 == 0, "5h").otherwise("7d").alias("window"))
+    place = lambda order: F.row_number().over(Window.partitionBy("user_id").orderBy(*order))
+    return e.select(F.col("seq").alias("event_id"), place(reconcile.ledger_order()).alias("place"), place([*reconcile.interval_order("model"), F.col("seq")]).alias("model_place"))
+
+
 # -- attribution -----------------------------------------------------------------------------------------------------------------------
 
 
