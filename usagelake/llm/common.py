@@ -18,6 +18,7 @@ from usagelake.session import shared_dir
 
 _log: ContextVar[list[str] | None] = ContextVar("written", default=None)
 _kept: dict[tuple, object] = {}
+FEW = 200_000  # rows of ids up to which a side is broadcast: some 2 MB
 SALTS = 16
 HOT = 200  # edges of a centre, and a thousandth of all, from which on they are dealt to several tasks
 
@@ -40,6 +41,11 @@ def give_back() -> None:
         trim(0)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """df, of a long or so a row, with a broadcast hint if its rows are counted to be few; otherwise Spark shuffles both sides."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df to the shared folder and read it again: lineage ends here, and a lost executor costs nothing already written."""
     spark = df.sparkSession

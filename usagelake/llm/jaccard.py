@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from usagelake.llm.common import block_pairs, connected_components, each_group, forest, give_back, kept_in_worker, written
+from usagelake.llm.common import block_pairs, connected_components, each_group, few, forest, give_back, kept_in_worker, written
 
 WORD = re.compile(r"\w+")
 BLOCK = 256  # representatives in a block
@@ -301,7 +301,7 @@ def one_of_each(documents: DataFrame, threshold: float = 0.8, n: int = 5, recall
     first = near.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull(), "own", "doc_id")).alias("f")).select("component_id", F.col("f.doc_id").alias("first"))
     gone, _ = written(near.join(first, "component_id").where(F.col("doc_id") != F.col("first")).select(F.col("doc_id").alias("_row")).distinct(), "jaccard-gone")
     again = near.where("rows > 1").select(F.col("doc_id").alias("_row"))
-    d = documents.select(F.struct(*(documents[c].alias(c) for c in documents.columns)).alias("_whole"), row.alias("_row")).join(gone, "_row", "left_anti")
+    d = documents.select(F.struct(*(documents[c].alias(c) for c in documents.columns)).alias("_whole"), row.alias("_row")).join(few(gone), "_row", "left_anti")
     if again.limit(1).count():
         told = F.xxhash64(*(F.col("_whole")[c] for c, kind in documents.dtypes if not kind.startswith(("map", "variant"))))
         one = d.join(again, "_row", "left_semi").groupBy("_row").agg(F.min_by("_whole", told).alias("_whole"))
