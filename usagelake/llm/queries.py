@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelake.llm import chat, decontam, embed_dedup, jaccard, packing, pii, secret_scan, token_count, token_matrix, toxicity
+from usagelake.llm import chat, conversation_repair, decontam, embed_dedup, jaccard, packing, pii, secret_scan, token_count, token_matrix, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -133,3 +133,46 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_matrix.matrices(table(spark, sf_dir, "documents"))
+
+
+_FAULT_SPACE = r"\x20\x09-\x0D"
+
+
+def _edited(state: str, cost: str, letters: str) -> str:
+    """SQL of a state, kept as nine digits of cost and the audit, with edits added."""
+    return f"(lpad(CAST(CAST(substr({state}, 1, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({state}, 10) || '{letters}')"
+
+
+@query(f"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+dealt AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(key, ''), lambda c: CAST(ascii(c) AS UBIGINT))),
+            lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda i: CAST(0 AS UBIGINT))), lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN CAST(3988292384 AS UBIGINT) ELSE CAST(0 AS UBIGINT) END))), CAST(4294967295 AS UBIGINT)) % 20 AS deal FROM keyed),
+hurt AS (SELECT conv_id, turn, CASE WHEN deal = 4 THEN 'user' ELSE role END AS role, CASE deal WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+         FROM dealt, unnest(range(CASE deal WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS t(copy)),
+said AS (SELECT *, md5(length(role) || ':' || role || text) AS said FROM hurt),
+again AS (SELECT *, row_number() OVER (PARTITION BY conv_id, said ORDER BY turn NULLS FIRST) AS again FROM said),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, said, again) AS k, substr(role, 1, 1) AS i,
+        CASE WHEN NOT regexp_matches(text, '[^{_FAULT_SPACE}]') THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN regexp_matches(text, '[^{_FAULT_SPACE}.!?][{_FAULT_SPACE}]*\\z') THEN 'truncated' ELSE '' END AS fault FROM again),
+e AS (SELECT *, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more, fault IN ('', 'truncated') AS may FROM o),
+walk AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS k, '000000000' AS d0, CAST(NULL AS VARCHAR) AS d1, '000000005I' AS d2, '000000010II' AS d3 FROM conversations
+  UNION ALL
+  SELECT conv_id, k, b0, b1, least(b2, {_edited("least(b0, b1, b3)", "5", "I")}), least(b3, {_edited(f'least(b2, {_edited("least(b0, b1)", "5", "I")})', "5", "I")})
+  FROM (SELECT w.conv_id, e.k, {_edited("d0", "2", "D")} AS b0,
+          least({_edited("d1", "2", "D")}, CASE WHEN may AND i = 's' THEN {_edited("d0", "more", "K")} END) AS b1,
+          least({_edited("d2", "2", "D")}, CASE WHEN may AND i = 'u' THEN {_edited("least(d0, d1, d3)", "more", "K")} END, CASE WHEN may THEN {_edited("least(d0, d1, d3)", "1 + more", "R")} END) AS b2,
+          least({_edited("d3", "2", "D")}, CASE WHEN may AND i = 'a' THEN {_edited("d2", "more", "K")} END, CASE WHEN may THEN {_edited("d2", "1 + more", "R")} END) AS b3
+        FROM walk w JOIN e ON w.conv_id IS NOT DISTINCT FROM e.conv_id AND e.k = w.k + 1)),
+best AS (SELECT conv_id, arg_max(least(d0, d3), k) AS d FROM walk GROUP BY conv_id),
+letter AS (SELECT conv_id, p, substr(d, 9 + p, 1) AS x, p - length(replace(substr(d, 10, p), 'I', '')) AS ins FROM best, unnest(range(1, length(d) - 8)) AS t(p)),
+kept AS (SELECT l.conv_id, l.p, l.x, e.role, e.text, row_number() OVER (PARTITION BY l.conv_id ORDER BY l.p) AS pos,
+           first_value(l.x = 'K' AND e.i = 's') OVER (PARTITION BY l.conv_id ORDER BY l.p) AS led
+         FROM letter l LEFT JOIN e ON l.conv_id IS NOT DISTINCT FROM e.conv_id AND e.k = l.p - l.ins AND l.x <> 'I' WHERE l.x <> 'D'),
+final AS (SELECT conv_id, string_agg(CASE WHEN x = 'K' THEN role WHEN (pos + CASE WHEN led THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN x = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS said FROM kept GROUP BY conv_id),
+near AS (SELECT *, lag(i) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM e),
+counted AS (SELECT conv_id, count(*) AS turns, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+              count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM near GROUP BY conv_id)
+SELECT b.conv_id, CAST(coalesce(turns, 0) AS BIGINT) AS turns, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(substr(b.d, 1, 9) AS BIGINT) AS cost, substr(b.d, 10) AS audit, sha256(coalesce(f.said, '')) AS repaired_sha256
+FROM best b LEFT JOIN counted c ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN final f ON b.conv_id IS NOT DISTINCT FROM f.conv_id""")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.summary(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
