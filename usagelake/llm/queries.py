@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelake.llm import chat, conversation_repair, decontam, embed_dedup, jaccard, packing, pii, secret_scan, token_count, token_matrix, toxicity
+from usagelake.llm import alignment, chat, conversation_repair, decontam, embed_dedup, jaccard, packing, pii, secret_scan, token_count, token_matrix, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -176,3 +176,8 @@ SELECT b.conv_id, CAST(coalesce(turns, 0) AS BIGINT) AS turns, CAST(coalesce(gap
 FROM best b LEFT JOIN counted c ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN final f ON b.conv_id IS NOT DISTINCT FROM f.conv_id""")
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.summary(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+@query()
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
