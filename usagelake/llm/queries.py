@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelake.llm import alignment, chat, conversation_repair, decontam, embed_dedup, jaccard, packing, pii, secret_scan, token_count, token_matrix, toxicity
+from usagelake.llm import alignment, chat, conversation_repair, decontam, embed_dedup, jaccard, neighbours, packing, pii, secret_scan, token_count, token_matrix, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -178,6 +178,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.summary(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
 
 
+@query()
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query()
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"))
