@@ -9,8 +9,8 @@
    once: a point's neighbours learn of their neighbours' neighbours. Only pairs with an entry of the last round are compared, only
    scores above a point's worst entry are sent back. It ends when few entries are new.
 4. Search: each query keeps its best `beam` points and expands all that it has not expanded, by a join with the graph, whose rows hold
-   the neighbours' vectors beside their ids and are stored in buckets, so that only the queries' rows move; it ends when no query has
-   a point to expand. A query starts from its own point, if it is in the graph, and from a few seeds.
+   the neighbours' vectors beside their ids and are stored in buckets, so that only the queries' rows move; it ends when few of the
+   beams' points are left to expand. A query starts from its own point, if it is in the graph, and from a few seeds.
 5. The best of each beam, all whose score in half precision may still be among the k best, are scored in double precision on the
    original vectors; copies are given back by their smallest ids.
 
@@ -40,6 +40,8 @@ DEGREE = 20
 LEAF = 2048
 PASSES = 5
 ROUNDS = 4
+FRESH = 0.05  # share of new entries below which the descent ends
+OPEN = 0.02  # share of unexpanded beam entries below which the search ends
 BEAM = 256
 SEEDS = 32
 SAMPLE = 20_000  # points that the hyperplanes' medians are taken from
@@ -266,7 +268,7 @@ def nn_descent(points: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) ->
     graph, path = written(_merged(points.select("node", "u", *empty), _first_lists(points, n, degree), degree), "neighbour-graph")
     for k in range(rounds):
         fresh = graph.agg(F.sum(F.size(F.filter("fresh", lambda f: f))), F.sum(F.size("ids"))).first()
-        if not fresh[0] or fresh[0] < 0.01 * fresh[1]:
+        if not fresh[0] or fresh[0] < FRESH * fresh[1]:
             break
         graph, new_path = written(_merged(graph, _descended(graph, degree, k), degree), "neighbour-graph")
         discard(spark, path)
@@ -351,7 +353,8 @@ def search(rows: DataFrame, queries: DataFrame, seeds: DataFrame, beam: int = BE
     while True:
         worst = F.when(F.size("scores") > beam, F.array_min("scores")).otherwise(F.lit(float("-inf")).cast("float"))
         front = state.select("query", "q", worst.alias("worst"), F.explode(F.arrays_zip("ids", "done")).alias("e")).where("not e.done").select("query", "q", "worst", F.col("e.ids").alias("node"))
-        if not front.take(1):
+        left, every = state.agg(F.sum(F.size(F.filter("done", lambda d: ~d))), F.sum(F.size("ids"))).first()
+        if not left or left < OPEN * every:
             break
         met = front.join(rows.hint("merge"), "node").select("query", "q", "worst", "ids", "us")
         new = met.mapInArrow(scored, f"query long, {LISTS}")
