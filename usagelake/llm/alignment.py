@@ -23,6 +23,7 @@ and the distinct links of one document; an empty table gives no rows; other colu
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -55,6 +56,7 @@ class Vocabularies:
     """Bytes of every token of both sides, and the ids of texts."""
 
     def __init__(self, a_path: str, b_path: str, max_segments: int = 400_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -83,14 +85,25 @@ class Vocabularies:
 
     def _learn(self, segments: list[str]) -> None:
         ids = [[e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)], self.b.encode([s[1:] for s in segments], num_threads=1)]
-        good = [b"".join(map(self.a_bytes.__getitem__, x)) == b"".join(map(self.b_bytes.__getitem__, y)) == s.encode() for x, y, s in zip(*ids, segments)]
+        n = [np.array([len(x) for x in side], np.int64) for side in ids]
+        flat = [np.fromiter(chain.from_iterable(side), np.uint16, int(k.sum())) for side, k in zip(ids, n)]
+        good = self._come_back(segments, ids, n, flat)
         self.place.update(zip(segments, range(len(self.good), len(self.good) + len(segments))))
         self.good = np.concatenate([self.good, good])
         for side in (0, 1):
-            n = np.array([len(x) for x in ids[side]], np.int64)
-            self.start[side] = np.concatenate([self.start[side], len(self.flat[side]) + np.cumsum(n) - n])
-            self.size[side] = np.concatenate([self.size[side], n])
-            self.flat[side] = np.concatenate([self.flat[side], np.fromiter(chain.from_iterable(ids[side]), np.uint16, int(n.sum()))])
+            self.start[side] = np.concatenate([self.start[side], len(self.flat[side]) + np.cumsum(n[side]) - n[side]])
+            self.size[side] = np.concatenate([self.size[side], n[side]])
+            self.flat[side] = np.concatenate([self.flat[side], flat[side]])
+
+    def _come_back(self, segments: list[str], ids: list, n: list[np.ndarray], flat: list[np.ndarray]) -> np.ndarray:
+        """Which segments both sides' tokens give back: all, where all bytes together are equal and every segment has its length."""
+        raw = [s.encode() for s in segments]
+        size, whole = np.array([len(x) for x in raw], np.int64), b"".join(raw)
+        for side, (table, length) in enumerate(((self.a_bytes, self.a_len), (self.b_bytes, self.b_len))):
+            upto = np.concatenate([[0], np.cumsum(length[flat[side]])])[np.concatenate([[0], np.cumsum(n[side])])]
+            if (np.diff(upto) != size).any() or b"".join(map(table.__getitem__, flat[side].tolist())) != whole:
+                return np.array([b"".join(map(self.a_bytes.__getitem__, x)) == b"".join(map(self.b_bytes.__getitem__, y)) == s for x, y, s in zip(*ids, raw)])
+        return np.ones(len(segments), bool)
 
     def ids(self, texts: list[str | None]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
         """For both sides the flat ids and the offsets of each text, and which texts come back from their tokens."""
@@ -209,7 +222,7 @@ class Sweep:
         """Sweep the document at hand up to its last closed group but one, so that a group is left for its end."""
         a, b = self._joined()
         ends = np.cumsum(self.len[0][a]), np.cumsum(self.len[1][b])
-        both = ends[0][np.isin(ends[0], ends[1], assume_unique=True)]
+        both = ends[0][_among(ends[0], ends[1])]
         i, j = (int(np.searchsorted(e, both[-2])) + 1 for e in ends) if len(both) > 1 else (0, 0)
         if i:
             self.part = self.sweep([(self.row, self.doc, a[:i], b[:j], self.part)], final=False)[0]
@@ -222,10 +235,12 @@ class Sweep:
         n = [np.array([len(d[2 + s]) for d in docs], np.int64) for s in (0, 1)]
         ids = [np.concatenate([d[2 + s] for d in docs]).astype(np.int64) for s in (0, 1)]
         ends = [np.cumsum(self.len[s][ids[s]]) for s in (0, 1)]
-        closes = [np.isin(ends[0], ends[1], assume_unique=True), np.isin(ends[1], ends[0], assume_unique=True)]
+        closes = [_among(ends[0], ends[1]), _among(ends[1], ends[0])]
         group = [np.cumsum(c) - c for c in closes]  # of each token: how many groups closed before it
         n_groups = int(closes[0].sum())
-        cut = np.union1d(*ends)
+        cut = np.concatenate(ends)
+        cut.sort(kind="stable")  # a merge, as both are in order
+        cut = cut[np.append(cut[1:] != cut[:-1], np.ones(min(1, len(cut)), bool))]
         link_a, link_b = np.searchsorted(ends[0], cut), np.searchsorted(ends[1], cut)
         last_a, last_b = np.cumsum(n[0]), np.cumsum(n[1])
         of = np.searchsorted(last_a, link_a, "right")  # the document of a link
@@ -265,6 +280,11 @@ class Sweep:
         return out
 
 
+def _among(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of x are in y; both in order."""
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x if len(y) else np.zeros(len(x), bool)
+
+
 def _sum(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     if not keys:
         return NONE, NONE
