@@ -518,7 +518,7 @@ def test_delete_between_two_compactions(spark, tmp_path):
     for _ in range(2):  # the second time there is nothing to do
         journal.compact(spark, path, "m")
         assert rows() == ["y"]
-    assert [p.name for p in (tmp_path / "j/machine=m").iterdir()] == ["sequence_dir=000000000001-checkpoint"]
+    assert len(list((tmp_path / "j/machine=m/data").iterdir())) == len(list((tmp_path / "j/machine=m/links").iterdir())) == 1
     assert journal.publish(of("y", "z"), path, "m", ["key"], ["body"]) == 1 and rows() == ["y", "z"]
 
 
@@ -707,7 +707,7 @@ def test_publication_conflicts_and_chunks(spark, tmp_path):
     path = str(tmp_path / "j")
     of = lambda n: spark.range(n).select(F.col("id").cast("string").alias("key"), F.lit("x").alias("body"))
     assert journal.publish(of(1300), path, "m", ["key"], ["body"], expected=-1) == 1300
-    first = spark.read.parquet(f"{path}/machine=m/sequence_dir=000000000000")
+    first = spark.read.parquet(f"{path}/machine=m/data")
     assert first.groupBy("lane", "batch").count().agg(F.max("count"), F.count("*")).first() == (500, 3)
     with pytest.raises(journal.Conflict):
         journal.publish(of(5), path, "m", ["key"], ["body"], expected=3)

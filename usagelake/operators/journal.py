@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import json
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelake.operators.fold import fold
 from usagelake.operators.reconcile import content_hash, latest
+from usagelake.session import materialized
+from usagelake.sources import markers
 
-MAX_KEY, MAX_RECORD, MAX_DEPTH, BATCH_OPS, BATCH_BYTES = 512, 256 * 1024, 12, 500, 512 * 1024
+MAX_KEY, MAX_RECORD, MAX_DEPTH, BATCH_OPS, BATCH_BYTES, COMPACT_CHUNKS = 512, 256 * 1024, 12, 500, 512 * 1024, 128
 
 
 def diff(now: DataFrame, published: DataFrame, key: list[str], values: list[str]) -> DataFrame:
@@ -37,19 +43,19 @@ def valid_operations(ops: DataFrame) -> DataFrame:
 
 def batches(ops: DataFrame, stream: list[str], order: list[str], size: str, max_ops: int = BATCH_OPS, max_bytes: int = BATCH_BYTES) -> DataFrame:
     """Add batch: operations of a stream in order, a new batch where the next would exceed either bound."""
-    names = ops.columns
+    at = ops.columns.index(size)
     schema = ", ".join(f"{n} {t}" for n, t in ops.dtypes) + ", batch long"
 
     class Open:
         n = used = batch = 0
 
     def step(b: Open, r) -> list[tuple]:
-        add = getattr(r, size)
+        add = r[at]
         if b.n and (b.n >= max_ops or b.used + add > max_bytes):
             b.n = b.used = 0
             b.batch += 1
         b.n, b.used = b.n + 1, b.used + add
-        return [(*(getattr(r, c) for c in names), b.batch)]
+        return [(*r, b.batch)]
 
     return fold(ops, stream, order, Open, step, schema)
 
@@ -64,49 +70,79 @@ def replay(base: DataFrame, ops: DataFrame, key: list[str], seq: str, action: st
 
 
 def chunk_chain(chunks: DataFrame, heads: DataFrame) -> DataFrame:
-    """(machine_id, chunk_id, sequence) of the chunks from each machine's head back to its cursor, for replay in rising sequence.
+    """(machine_id, chunk_id, sequence, needs_checkpoint): the chunks from each machine's head back to its cursor, by parent links, for replay
+    in rising sequence.
 
-    A chain that does not meet its cursor has needs_checkpoint true. Chains are followed by sequence numbers: a chunk belongs to the
-    chain if its parent is the chunk before it.
+    chunks(machine_id, chunk_id, parent_id, sequence), heads(machine_id, head_chunk, cursor_chunk, cursor_sequence); a null cursor is the
+    beginning. A chain that ends elsewhere (a parent that is lost, or a branch that passes by the cursor) needs a checkpoint; chunks of
+    other branches are not in it. Links are followed by doubling: a round joins what is reached with jumps of twice the length of the
+    round before, so a chain of n chunks takes some log2(n) joins, whatever the number of machines.
     """
-    c = chunks.join(heads, "machine_id").where("sequence <= head_sequence and sequence > cursor_sequence")
-    w = Window.partitionBy("machine_id").orderBy("sequence")
-    linked = F.coalesce(F.col("parent_id") == F.coalesce(F.lag("chunk_id").over(w), F.col("cursor_chunk")), F.lit(False))
-    c = c.withColumn("_ok", linked)
-    whole = c.groupBy("machine_id").agg(F.min("_ok").alias("_all"), F.count("*").alias("_n"))
-    c = c.join(whole, "machine_id")
-    return c.select("machine_id", "chunk_id", "sequence", (~F.col("_all") | (F.col("_n") != F.col("head_sequence") - F.col("cursor_sequence"))).alias("needs_checkpoint"))
+    edge, own = materialized(chunks.join(heads, "machine_id").where("sequence > coalesce(cursor_sequence, -1)").select("machine_id", "chunk_id", "parent_id", "sequence", F.col("parent_id").eqNullSafe(F.col("cursor_chunk")).alias("met")), "chain-links")
+    spark, at = chunks.sparkSession, ["machine_id", "chunk_id"]
+    known = edge.select(*at)
+    jump = edge.select(*at, F.col("parent_id").alias("to")).where("to is not null")
+    reach, path = materialized(heads.select("machine_id", F.col("head_chunk").alias("chunk_id")).join(known, at, "left_semi"), "chain-reach")
+    size, stale = reach.count(), [own, path]
+    while True:
+        step = reach.join(jump, at).select("machine_id", F.col("to").alias("chunk_id")).join(known, at, "left_semi")
+        reach, path = materialized(reach.unionByName(step).distinct(), "chain-reach")
+        stale.append(path)
+        if (n := reach.count()) == size:
+            break
+        size = n
+        ahead = jump.select("machine_id", F.col("to").alias("chunk_id"), F.col("chunk_id").alias("_from"))
+        jump, path = materialized(ahead.join(jump, at).select("machine_id", F.col("_from").alias("chunk_id"), "to"), "chain-jumps")
+        stale.append(path)
+    walked, _ = materialized(edge.join(reach, at, "left_semi"), "chain-walked")
+    markers.delete(spark, *stale)
+    whole = walked.groupBy("machine_id").agg(F.max("met").alias("_met"))
+    return walked.join(whole, "machine_id").select(*at, "sequence", (~F.col("_met")).alias("needs_checkpoint"))
 
 
 def should_compact(chunks: int, tail_bytes: int, checkpoint_bytes: int, new_bytes: int) -> bool:
     """Whether to write a new checkpoint: a long tail, and a quarter of the bytes saved."""
-    return chunks >= 128 and new_bytes <= 0.75 * (checkpoint_bytes + tail_bytes)
+    return chunks >= COMPACT_CHUNKS and new_bytes <= 0.75 * (checkpoint_bytes + tail_bytes)
 
 
 class Conflict(Exception):
     """Another publication took the place of this one in the journal."""
 
 
-def _folders(spark: SparkSession, own: str) -> list[tuple[int, str]]:
-    """(sequence, name) of the finished folders of a journal, by name: chunks and checkpoints."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(own).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop(own)):
-        return []
-    names = sorted(n for f in fs.listStatus(hadoop(own)) if (n := f.getPath().getName()).startswith("sequence_dir="))
-    return [(int(n.removeprefix("sequence_dir=").removesuffix("-checkpoint")), n) for n in names if fs.exists(hadoop(f"{own}/{n}/_SUCCESS"))]
+def _own(path: str, machine: str) -> str:
+    return f"{path}/machine={machine}"
 
 
-def _live(spark: SparkSession, own: str) -> list[tuple[int, str]]:
-    """The newest checkpoint and the publications after it: what a reader replays."""
-    found = _folders(spark, own)
-    base = max((x for x in found if x[1].endswith("-checkpoint")), default=None)
-    return found if base is None else [base, *(x for x in found if x[0] > base[0])]
+def pointer(spark: SparkSession, path: str, machine: str) -> tuple[int, dict | None]:
+    """(revision, pointer) of a machine's journal: the newest of its pointer files, -1 and None before the first. A pointer names the head
+    and the checkpoint that its chain begins with, the key and values of the records, and the tail's numbers of chunks and bytes."""
+    own = _own(path, machine)
+    found = markers.names(spark, f"{own}/pointers")
+    return (int(found[-1]), json.loads(markers.read(spark, f"{own}/pointers/{found[-1]}"))) if found else (-1, None)
 
 
 def head(spark: SparkSession, path: str, machine: str) -> int | None:
     """The sequence of the last publication of a machine, None before the first."""
-    return max((seq for seq, _ in _folders(spark, f"{path}/machine={machine}")), default=None)
+    at = pointer(spark, path, machine)[1]
+    return at and at["sequence"]
+
+
+def _links(spark: SparkSession, own: str) -> dict[str, tuple[str | None, int]]:
+    """Parent and sequence of all publications since the last compaction, those that lost their race among them: no head leads to these.
+    One small row a publication, whatever it holds."""
+    rows = spark.read.text(f"{own}/links", wholetext=True).select(F.from_json("value", "struct<chunk_id:string,parent_id:string,sequence:long>").alias("l"))
+    return {r.chunk_id: (r.parent_id, r.sequence) for r in rows.select("l.*").toLocalIterator()}
+
+
+def _chain(spark: SparkSession, own: str, at: dict, until: str) -> list[str] | None:
+    """The publications after `until` up to a pointer's head, newest first; None where the head's chain does not lead there."""
+    links, chunk, out = _links(spark, own), at["head"], []
+    while chunk != until:
+        if chunk not in links:
+            return None
+        out.append(chunk)
+        chunk = links[chunk][0]
+    return out
 
 
 def chunked(ops: DataFrame, key: list[str], max_ops: int = BATCH_OPS, max_bytes: int = BATCH_BYTES, lane_ops: int = 100_000) -> DataFrame:
@@ -117,49 +153,120 @@ def chunked(ops: DataFrame, key: list[str], max_ops: int = BATCH_OPS, max_bytes:
     return batches(sized.withColumnRenamed("_size", "size"), ["lane"], key, "size", max_ops, max_bytes).drop("size")
 
 
+def _digest(df: DataFrame) -> tuple:
+    return tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first())
+
+
+def _stored(spark: SparkSession, own: str, rows: DataFrame) -> tuple[str, int, int]:
+    """Write rows as a publication of a new name, read back and compared: (name, rows, bytes). Nothing leads to it yet."""
+    name = uuid.uuid4().hex
+    target = f"{own}/data/publication={name}"
+    rows = rows.cache()
+    try:
+        told = _digest(rows)
+        rows.write.parquet(target)
+        if _digest(spark.read.parquet(target).select(rows.columns)) != told:
+            raise OSError(f"{target} does not hold what was written")
+    finally:
+        rows.unpersist()
+    return name, told[0], markers.size(spark, target)
+
+
+def _point(spark: SparkSession, path: str, machine: str, revision: int, at: dict) -> None:
+    """Make a pointer the machine's newest, if none came since the revision before it: the compare-and-set of a publication."""
+    if not markers.create(spark, f"{_own(path, machine)}/pointers/{revision:012d}", json.dumps(at)):
+        raise Conflict(f"revision {revision} of {machine} was published meanwhile")
+    if markers.read(spark, f"{_own(path, machine)}/pointers/{revision:012d}") != json.dumps(at):
+        raise OSError(f"the pointer of {machine} does not say what was written")
+
+
 def publish(now: DataFrame, path: str, machine: str, key: list[str], values: list[str], expected: int | None = None) -> int:
     """Append what changed since the last publication to a journal of Parquet files; returns the number of operations.
 
     The first publication is a checkpoint, later ones are chunks (lane and batch tell them apart) of bounded numbers of operations and
-    bytes. The journal's state is replayed by Spark from its files; the sequence is part of the path, so a publication that was lost
-    half-way is written again under the same name, while one that is whole is never written over: Conflict is raised where another
-    publisher was faster, or where the journal is not at `expected`. What was written is read back and compared.
+    bytes. Each is written under a name of its own and linked to its parent; then a pointer file of the next revision is created, which
+    only one publisher can do: another one that saw the same head gets Conflict, and what it wrote goes. Conflict is raised too where
+    the journal is not at `expected`. Key and values are those of the first publication. A tail that grew long is compacted if that
+    saves enough (`should_compact`).
     """
-    spark, own = now.sparkSession, f"{path}/machine={machine}"
-    at = head(spark, path, machine)
-    if expected is not None and expected != (-1 if at is None else at):
-        raise Conflict(f"the journal of {machine} is at {at}, not at {expected}")
+    if taken := {"_action", "_sequence", "lane", "batch"} & {*key, *values}:
+        raise ValueError(f"names of the journal itself: {taken}")
+    spark, own = now.sparkSession, _own(path, machine)
+    revision, at = pointer(spark, path, machine)
+    if expected is not None and expected != (-1 if at is None else at["sequence"]):
+        raise Conflict(f"the journal of {machine} is at {at and at['sequence']}, not at {expected}")
     if at is None:
-        out, seq = now.select(*key, *values, F.lit("upsert").alias("action")), 0
+        out, seq = now.select(*key, *values, F.lit("upsert").alias("_action")), 0
     else:
-        changed = diff(now, read_journal(spark, path, machine), key, values)
-        out = changed.join(now.select(*key, *values), key, "left").select(*key, *values, "action")
-        seq = at + 1
-    out = chunked(out.withColumn("sequence", F.lit(seq).cast("long")), key).cache()
-    digest = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*out.columns).cast("decimal(38,0)"))).first())
-    told = digest(out)
-    if told[0] or seq == 0:
-        target = f"{own}/sequence_dir={seq:012d}"
-        if any(s == seq for s, _ in _folders(spark, own)):
-            raise Conflict(f"sequence {seq} of {machine} was published meanwhile")
-        out.write.mode("overwrite").parquet(target)
-        if digest(spark.read.parquet(target).select(out.columns)) != told:
-            raise OSError(f"{target} does not hold what was written")
-    out.unpersist()
-    return told[0]
+        if (at["key"], at["values"]) != (list(key), list(values)):
+            raise ValueError(f"the journal of {machine} has the key {at['key']} and the values {at['values']}")
+        changed = diff(now, _state(spark, path, machine, at), key, values).withColumnRenamed("action", "_action")
+        out, seq = changed.join(now.select(*key, *values), key, "left").select(*key, *values, "_action"), at["sequence"] + 1
+    rows = chunked(out.withColumn("_sequence", F.lit(seq).cast("long")), key)
+    name, n, size = _stored(spark, own, rows)
+    if at is not None and not n:
+        markers.delete(spark, f"{own}/data/publication={name}")
+        return 0
+    link = f"{own}/links/{name}"
+    markers.create(spark, link, json.dumps({"chunk_id": name, "parent_id": at and at["head"], "sequence": seq}))
+    if at is None:
+        new = {"sequence": 0, "head": name, "checkpoint": name, "checkpoint_sequence": 0, "checkpoint_bytes": size, "tail_chunks": 0, "tail_bytes": 0, "key": list(key), "values": list(values)}
+    else:
+        chunks = spark.read.parquet(f"{own}/data/publication={name}").select("lane", "batch").distinct().count()
+        new = at | {"sequence": seq, "head": name, "tail_chunks": at["tail_chunks"] + chunks, "tail_bytes": at["tail_bytes"] + size}
+    try:
+        _point(spark, path, machine, revision + 1, new)
+    except Conflict:
+        markers.delete(spark, link, f"{own}/data/publication={name}")
+        raise
+    if new["tail_chunks"] >= COMPACT_CHUNKS:
+        _compacted(spark, path, machine, revision + 1, new, policy=True)
+    return n
+
+
+def publish_changes(spark: SparkSession, change: Callable[[DataFrame | None], DataFrame], path: str, machine: str, key: list[str], values: list[str], attempts: int = 5) -> int:
+    """Publish what `change` makes of the published records; where another publisher was faster, again from what is published then."""
+    for k in range(attempts):
+        at = head(spark, path, machine)
+        try:
+            return publish(change(read_journal(spark, path, machine)), path, machine, key, values, -1 if at is None else at)
+        except Conflict:
+            if k == attempts - 1:
+                raise
+    return 0
+
+
+def _replayed(spark: SparkSession, own: str, at: dict, publications: list[str]) -> DataFrame:
+    """The last operation of every key over some publications, with its action."""
+    rows = spark.read.parquet(*(f"{own}/data/publication={p}" for p in publications))
+    return latest(rows, at["key"], [F.desc("_sequence")]).select(*at["key"], *at["values"], "_action")
+
+
+def _state(spark: SparkSession, path: str, machine: str, at: dict) -> DataFrame:
+    own = _own(path, machine)
+    tail = _chain(spark, own, at, at["checkpoint"])
+    if tail is None:
+        raise OSError(f"the chain of {machine} does not lead to its checkpoint")
+    return _replayed(spark, own, at, [at["checkpoint"], *tail]).where("_action = 'upsert'").drop("_action")
 
 
 def read_journal(spark: SparkSession, path: str, machine: str) -> DataFrame | None:
     """The published records of a machine, or None if there are none yet."""
-    own = f"{path}/machine={machine}"
-    found = _live(spark, own)
-    return _replayed(spark, own, found) if found else None
+    at = pointer(spark, path, machine)[1]
+    return at and _state(spark, path, machine, at)
 
 
-def _replayed(spark: SparkSession, own: str, folders: list[tuple[int, str]]) -> DataFrame:
-    j = spark.read.parquet(*(f"{own}/{n}" for _, n in folders)).drop("lane", "batch")
-    key = [c for c in j.columns if c.startswith("k_")] or ["key"]
-    return latest(j, key, [F.desc("sequence")]).where("action = 'upsert'").drop("action", "sequence")
+def catch_up(spark: SparkSession, path: str, machine: str, cursor: dict | None) -> tuple[DataFrame | None, dict | None, bool]:
+    """(operations, new cursor, from the checkpoint): what a reader that applied all up to `cursor` (chunk_id, sequence) has to apply, with
+    _action upsert or delete. None where nothing was published since. Where the chain does not lead back to the cursor, as after a
+    compaction, all records come as upserts and the reader's own go first."""
+    _, at = pointer(spark, path, machine)
+    if at is None or (cursor and cursor["chunk_id"] == at["head"]):
+        return None, cursor, False
+    own, new = _own(path, machine), {"chunk_id": at["head"], "sequence": at["sequence"]}
+    if cursor is not None and (tail := _chain(spark, own, at, cursor["chunk_id"])):
+        return _replayed(spark, own, at, tail), new, False
+    return _state(spark, path, machine, at).withColumn("_action", F.lit("upsert")), new, True
 
 
 def merge_with_deletions(local: DataFrame, remote: DataFrame, deletions: DataFrame, cleared: DataFrame, key: list[str], local_wins: bool) -> DataFrame:
@@ -170,26 +277,29 @@ def merge_with_deletions(local: DataFrame, remote: DataFrame, deletions: DataFra
 
 
 def compact(spark: SparkSession, path: str, machine: str) -> None:
-    """Write the state of a machine's journal as a checkpoint: its files hold it under the last sequence, and all before it goes,
-    chunks and earlier checkpoints.
-
-    The checkpoint is written beside the journal before anything is deleted, and what is older is deleted first, so that a failure
-    leaves a journal that replays alike. A checkpoint that is whole is not written again.
-    """
-    own = f"{path}/machine={machine}"
-    found = _live(spark, own)
-    if not found:
+    """Write the state of a machine's journal as a checkpoint, whatever that saves, and delete what it replaces."""
+    revision, at = pointer(spark, path, machine)
+    if at is not None and at["head"] != at["checkpoint"]:
+        _compacted(spark, path, machine, revision, at, policy=False)
+
+
+def _compacted(spark: SparkSession, path: str, machine: str, revision: int, at: dict, policy: bool) -> None:
+    """Point a machine's journal at a checkpoint of its state under the same sequence, then delete the publications before it. A checkpoint
+    that the policy finds too large goes again; so does one whose place another publication took, as that is in the tail then."""
+    own, zero = _own(path, machine), F.lit(0)
+    state = _state(spark, path, machine, at).select("*", F.lit("upsert").alias("_action"), F.lit(at["sequence"]).cast("long").alias("_sequence"), zero.alias("lane"), zero.cast("long").alias("batch"))
+    name, _, size = _stored(spark, own, state)
+    if policy and not should_compact(at["tail_chunks"], at["tail_bytes"], at["checkpoint_bytes"], size):
+        markers.delete(spark, f"{own}/data/publication={name}")
+        return
+    markers.create(spark, f"{own}/links/{name}", json.dumps({"chunk_id": name, "parent_id": None, "sequence": at["sequence"]}))
+    try:
+        _point(spark, path, machine, revision + 1, at | {"head": name, "checkpoint": name, "checkpoint_sequence": at["sequence"], "checkpoint_bytes": size, "tail_chunks": 0, "tail_bytes": 0})
+    except Conflict:
+        markers.delete(spark, f"{own}/links/{name}", f"{own}/data/publication={name}")
         return
-    seq = max(s for s, _ in found)
-    name = f"sequence_dir={seq:012d}-checkpoint"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(own).getFileSystem(spark._jsc.hadoopConfiguration())
-    if name not in {n for _, n in found}:
-        state = _replayed(spark, own, found)
-        zero = F.lit(0)
-        state.withColumns({"action": F.lit("upsert"), "sequence": F.lit(seq).cast("long"), "lane": zero, "batch": zero.cast("long")}).write.mode("overwrite").parquet(f"{own}/{name}")
-    for n in sorted(n for f in fs.listStatus(hadoop(own)) if (n := f.getPath().getName()).startswith("sequence_dir=") and n != name):
-        fs.delete(hadoop(f"{own}/{n}"), True)
+    for old in [c for c, (_, sequence) in _links(spark, own).items() if sequence <= at["sequence"] and c != name]:
+        markers.delete(spark, f"{own}/data/publication={old}", f"{own}/links/{old}")
 
 
 def split_origin(df: DataFrame, machine: str) -> tuple[DataFrame, DataFrame]:

@@ -484,19 +484,19 @@ def q_valid_operations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS body FROM orders WHERE o_orderkey % 6 <> 0""")
 def q_journal(spark: SparkSession, sf: str) -> DataFrame:
-    """K8, K9: what is read after a checkpoint, a change with deletes, a compaction, another change with deletes, and two compactions."""
+    """K8, K9: what is read after a checkpoint, a change with deletes, a compaction, another change with deletes, and a compaction; the key
+    and the value have names that say nothing."""
     import uuid
 
     path = f"{shared_dir(spark)}/journal-{uuid.uuid4().hex}"
     o = table(spark, sf, "orders")
     body = F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus"))
-    of = lambda where, body: o.where(where).select(F.col("o_orderkey").cast("string").alias("key"), body.alias("body"))
+    of = lambda where, body: o.where(where).select(F.col("o_orderkey").cast("string").alias("id"), body.alias("k_body"))
     for step, now in enumerate((of("true", F.col("o_orderstatus")), of("o_orderkey % 3 <> 0", body), of("o_orderkey % 6 <> 0", body))):
-        journal.publish(now, path, "m", ["key"], ["body"], expected=step - 1)
+        journal.publish(now, path, "m", ["id"], ["k_body"], expected=step - 1)
         if step:
             journal.compact(spark, path, "m")
-    journal.compact(spark, path, "m")
-    return journal.read_journal(spark, path, "m").select("key", "body")
+    return journal.read_journal(spark, path, "m").select(F.col("id").alias("key"), F.col("k_body").alias("body"))
 
 
 @query("""WITH l AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0), r AS (SELECT o_orderkey, 'R' AS o_orderstatus FROM orders WHERE o_orderkey % 3 = 0), d AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 7 <> 0)
@@ -516,7 +516,7 @@ def q_chunk_chain(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("machine").orderBy("event_id")
     c = m.select(F.col("machine").cast("string").alias("machine_id"), "machine", F.row_number().over(w).alias("sequence"), F.col("event_id").cast("string").alias("chunk_id"), F.lag(F.col("event_id").cast("string")).over(w).alias("parent_id"))
     third = c.where("sequence = 3").select("machine_id", F.when(F.col("machine") % 4 != 1, F.col("chunk_id")).otherwise("gone").alias("cursor_chunk"))
-    heads = c.groupBy("machine_id").agg(F.max("sequence").alias("head_sequence")).withColumn("cursor_sequence", F.lit(3)).join(third, "machine_id")
+    heads = c.groupBy("machine_id").agg(F.max_by("chunk_id", "sequence").alias("head_chunk")).withColumn("cursor_sequence", F.lit(3)).join(third, "machine_id")
     return journal.chunk_chain(c, heads).select("machine_id", "sequence", "needs_checkpoint")
 
 
