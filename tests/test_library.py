@@ -690,6 +690,29 @@ def test_history_rows_and_views(spark):
     assert on("2030-01-02") == ["", "2030-01-02 00:00:00"] and on("2030-01-02", "Europe/Berlin") == ["", "2030-01-01 23:30:00", "2030-01-02 00:00:00"] and on("2030-01-09") == []
 
 
+def test_days_are_local_whatever_the_sessions_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    e = spark.createDataFrame([(1704085200 + 3600 * h, h) for h in range(-30, 30)], "s long, h int").select("h", F.timestamp_seconds("s").alias("ts"), F.lit(False).alias("synthetic"))
+    try:
+        for own in ("America/New_York", "UTC", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", own)  # 1704085200 is midnight of 2024-01-01 in New York
+            assert sorted(r.h for r in serving.on_day(e, "ts", "2024-01-01", "America/New_York").collect()) == list(range(24))
+            assert sorted(r.h for r in serving.on_day(e, "ts", "2024-01-01", "UTC").collect()) == list(range(-5, 19))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_splits_of_models(spark):
+    of = lambda *items: deltas.expand_grouped(spark.createDataFrame([(json.dumps({"window": "5h", "delta": list(items)}),)], "value string"))
+    got = lambda *items: sorted((r.model, r.deltaPercent, r.deltaCostUsd) for r in of(*items).collect())
+    split = {"deltaPercent": 3, "models": [{"model": "a", "deltaCostUsd": 1}, {"model": "b"}, {"model": "c", "deltaCostUsd": "2"}]}
+    assert got(split) == [("a", 1.0, 1.0), ("c", 2.0, 2.0)]
+    assert got({"deltaPercent": 1, "models": [{"model": m, "deltaCostUsd": 1} for m in "abc"]}) == [("a", 0.33333333, 1.0), ("b", 0.33333333, 1.0), ("c", 0.33333333, 1.0)]
+    inner = {"model": "x", "deltaPercent": 5, "deltaCostUsd": 6}
+    assert got([inner | split, inner | {"model": "y"}]) == [("x", 3.0, 6.0), ("y", 5.0, 6.0)]  # in a list an event is what it says of itself
+    assert got({"models": [{"model": "a", "deltaCostUsd": 1}]}, {"deltaPercent": 1, "models": []}, {"deltaPercent": 1, "models": [{"model": "a", "deltaCostUsd": 0}]}, 7, None) == []
+
+
 def test_grouped_history_by_account_and_day(spark):
     e = spark.createDataFrame([("5h", f"2030-01-0{1 + i % 2}T0{i}", "m", "s" if i < 4 else "t", "L", 1.0, float(i)) for i in range(6)], "window string, checkedAt string, model string, accountSlotId string, accountLabel string, deltaPercent double, deltaCostUsd double")
     g = sinks.grouped_history(e)
@@ -738,10 +761,16 @@ def test_history_scans(spark, tmp_path):
     s = [{"sample": q("a", {"usedPercent": 1}, percentCheckedAt="p")}, q("b", {"usedPercent": 2}, usingPreviousWindows=True), q("c", {"usedPercent": 3}, usingPreviousWindows=True, rejectedWindows={"5h": {"usedPercent": 88}}), q("d", {"usedPercent": 4}, remoteUsage={"accepted": False})]
     (tmp_path / "samples.jsonl").write_text("\n".join(map(json.dumps, s)))
     assert sorted((r.checked_at, r.used_percent) for r in histories.quota_history(spark, str(tmp_path / "samples.jsonl"), samples=True).collect()) == [("c", 88.0), ("p", 1.0)]
-    t = {"sessionId": "1", "startedAt": "x", "byModel": {"m": {"tokens": {"inputTokens": 10, "cachedInputTokens": 20, "outputTokens": 1}}}}
-    (tmp_path / "tokens.json").write_text(pretty(t, {"sessionId": "", "byModel": {"m": {}}}))
-    r = histories.token_sessions(spark, str(tmp_path / "tokens.json")).collect()
-    assert [(x.session_id, x.updated_at, x.account_id, x.model, x.input, x.cached, x.cache_write, x.fresh) for x in r] == [("1", "x", "unknown", "m", 10, 10, 0, 0)]
+    old = {"inputTokens": 100, "freshInputTokens": 80, "cachedInputTokens": 20, "outputTokens": 10, "cachedOutputTokens": 30, "requests": 1}
+    many = [{"sessionId": "1", "startedAt": "x", "tokens": old, "byModel": {"gpt-5.6-sol": {"tokens": old, "fastTokens": {"inputTokens": 4}}, "no": 1}}, {"sessionId": "2", "tokens": {}, "cost": {"totalCostUsd": 7}}, {"sessionId": "", "tokens": {}}, {"sessionId": "3", "byModel": {"m": {"tokens": old}}}, {"sessionId": "4", "tokens": [1]}]
+    (tmp_path / "tokens.json").write_text(pretty(*many))
+    r = {x.session_id: x for x in histories.token_sessions(spark, str(tmp_path / "tokens.json")).collect()}
+    assert r.keys() == {"1", "2"} and r["1"].updated_at == "x" and r["2"].account_label == "Unknown"
+    assert r["1"].tokens.asDict() == {"input": 100, "cached": 20, "cache_write": 30, "output": 10, "fresh": 50, "total": 110, "requests": 1}
+    assert r["1"].by_model["gpt-5.6-sol"].tokens == r["1"].tokens and r["1"].by_model["gpt-5.6-sol"].fast_tokens.input == 4 and r["1"].cost.cache_write_cost == 0.0001875
+    assert r["1"].cost.input_cost == 0.00028 and r["2"].cost.total_cost == 7 and r["2"].by_model == {}
+    flat = histories.session_models(histories.token_sessions(spark, str(tmp_path / "tokens.json"))).collect()
+    assert sorted((x.session_id, x.model or "", x.input, x.total_cost) for x in flat) == [("1", "gpt-5.6-sol", 100, r["1"].cost.total_cost), ("2", "", 0, 7.0)]
     for scan in (histories.delta_history, histories.quota_history, histories.token_sessions):
         assert scan(spark, str(tmp_path / "none")).count() == 0
 

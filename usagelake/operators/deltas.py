@@ -59,18 +59,29 @@ def attribute_cost(deltas: DataFrame, key: list[str], model: str, model_cost: st
 
 
 def expand_grouped(rows: DataFrame, text: str = "value") -> DataFrame:
-    """Flat events of grouped delta rows: key `delta` or `events`, elements an event, a list of events, or one split over `models`."""
-    event = "struct<checkedAt:string,model:string,accountSlotId:string,accountLabel:string,deltaPercent:double,deltaCostUsd:double,costPercentRatio:double,models:array<struct<model:string,deltaCostUsd:double>>>"
+    """Flat events of grouped delta rows: key `delta` or else `events`, elements an event, a list of events, or one split over `models`.
+
+    A split's percent is shared by cost over the models that have a name and a cost, to 8 places, the last one taking the rest; one without
+    such models, without a percent or without any cost gives none. What a model says of itself stands before what the split says.
+    """
+    get = lambda v, p, t: F.try_variant_get(v, p, t)
+    kind = lambda v, k: F.coalesce(F.schema_of_variant(v).startswith(k), F.lit(False))
     v = rows.select(F.monotonically_increasing_id().alias("row"), F.try_parse_json(text).alias("v"))
-    v = v.select("row", F.try_variant_get("v", "$.window", "string").alias("window"), F.coalesce(F.try_variant_get("v", "$.delta", "array<variant>"), F.try_variant_get("v", "$.events", "array<variant>")).alias("items"))
-    one = v.select("row", "window", F.posexplode("items").alias("pos", "item"))
-    lists = F.try_variant_get("item", "$", "array<variant>")
-    flat = one.select("row", "window", "pos", F.explode(F.when(F.schema_of_variant("item").startswith("ARRAY"), lists).otherwise(F.array("item"))).alias("item"))
-    e = flat.select("row", "window", "pos", F.try_variant_get("item", "$", event).alias("e"))
-    plain = e.where("e.models is null").select("row", "window", "pos", "e.checkedAt", "e.model", "e.accountSlotId", "e.accountLabel", "e.deltaPercent", "e.deltaCostUsd")
-    split = e.where("e.models is not null").select("row", "window", "pos", "e.checkedAt", "e.accountSlotId", "e.accountLabel", F.col("e.deltaPercent").alias("total"), F.posexplode("e.models").alias("k", "m")).select("*", "m.*")
-    split = proportional_split(split, ["row", "pos"], "k", "deltaCostUsd", F.col("total"), "deltaPercent")
-    return plain.unionByName(split.select(*plain.columns))
+    items = F.when(get("v", "$.delta", "variant").isNotNull(), get("v", "$.delta", "array<variant>")).otherwise(get("v", "$.events", "array<variant>"))
+    one = v.select(get("v", "$.window", "string").alias("window"), F.explode(items).alias("item")).withColumn("split", kind(get("item", "$.models", "variant"), "ARRAY"))
+    texts, numbers = ("checkedAt", "model", "accountSlotId", "accountLabel"), ("deltaPercent", "deltaCostUsd")
+    listed = F.when(kind(F.col("item"), "ARRAY"), get("item", "$", "array<variant>")).otherwise(F.array("item"))
+    plain = one.where("not split").select("window", F.explode(listed).alias("e")).where(kind(F.col("e"), "OBJECT")).select("window", *(get("e", f"$.{c}", "string").alias(c) for c in texts), *(get("e", f"$.{c}", "double").alias(c) for c in numbers))
+
+    of = lambda m, c: F.coalesce(get(m, f"$.{c}", "string"), get("item", f"$.{c}", "string")).alias(c)
+    part = F.transform(get("item", "$.models", "array<variant>"), lambda m: F.struct(of(m, "checkedAt"), F.when(kind(get(m, "$.model", "variant"), "STRING"), get(m, "$.model", "string")).alias("model"), of(m, "accountSlotId"), of(m, "accountLabel"), get(m, "$.deltaCostUsd", "double").alias("deltaCostUsd")))
+    parts = F.filter(part, lambda m: m["model"].isNotNull() & m["deltaCostUsd"].isNotNull() & ~F.isnan(m["deltaCostUsd"]))
+    s = one.where("split").select("window", parts.alias("parts"), get("item", "$.deltaPercent", "double").alias("percent"))
+    s = s.withColumn("cost", F.aggregate("parts", F.lit(0.0), lambda a, m: a + m["deltaCostUsd"])).where("percent is not null and cost > 0")
+    share = lambda m: F.col("percent") * m["deltaCostUsd"] / F.col("cost")
+    used = F.aggregate(F.slice("parts", 1, F.size("parts") - 1), F.lit(0.0), lambda a, m: a + share(m))
+    own = F.transform("parts", lambda m, i: m.withField("deltaPercent", F.round(F.when(i == F.size("parts") - 1, F.col("percent") - used).otherwise(share(m)), 8)))
+    return plain.unionByName(s.select("window", F.explode(own).alias("m")).select("window", "m.*").select(*plain.columns))
 
 
 def pack_models(events: DataFrame, tolerance: float = 1e-8) -> DataFrame:

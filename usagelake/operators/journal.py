@@ -34,11 +34,18 @@ def json_depth(text: Column) -> Column:
     return F.aggregate(brackets, zero, step, lambda a: a["most"])
 
 
+def valid_operation(action: Column, kind: Column, key: Column, record: Column, record_key: Column) -> Column:
+    """Whether an operation is of a known action and kind, with a key of bounded length that is its record's own, and a record of bounded
+    size and depth; false where any of them is null."""
+    text = F.coalesce(record, F.lit(""))
+    small = (F.octet_length(text) <= MAX_RECORD) & (json_depth(text) <= MAX_DEPTH)
+    good = action.isin("upsert", "delete") & kind.isin("cost", "quota", "token") & F.length(key).between(1, MAX_KEY) & small & (key == record_key) & ((action == "delete") | record.isNotNull())
+    return F.coalesce(good, F.lit(False))
+
+
 def valid_operations(ops: DataFrame) -> DataFrame:
-    """Operations of known action and kind, with a key of bounded length that is their record's own, and a record of bounded size and depth."""
-    record = F.coalesce("record", F.lit(""))
-    small = (F.octet_length(record) <= MAX_RECORD) & (json_depth(record) <= MAX_DEPTH)
-    return ops.where(F.col("action").isin("upsert", "delete") & F.col("kind").isin("cost", "quota", "token") & F.length("key").between(1, MAX_KEY) & small & (F.col("key") == F.col("record_key")) & ((F.col("action") == "delete") | F.col("record").isNotNull()))
+    """Operations that are valid: see `valid_operation`."""
+    return ops.where(valid_operation(*map(F.col, ("action", "kind", "key", "record", "record_key"))))
 
 
 def batches(ops: DataFrame, stream: list[str], order: list[str], size: str, max_ops: int = BATCH_OPS, max_bytes: int = BATCH_BYTES) -> DataFrame:

@@ -88,8 +88,9 @@ def last_seconds(events: DataFrame, ts: str, seconds: int) -> DataFrame:
 
 def on_day(events: DataFrame, ts: str, day: str, zone: str = "UTC") -> DataFrame:
     """Rows of one local day, from its start to before the next one's, with synthetic rows; no rows at all if the day has no real one."""
-    start = F.to_utc_timestamp(F.to_timestamp(F.lit(day)), zone)
-    end = F.to_utc_timestamp(F.to_timestamp(F.date_add(F.lit(day).cast("date"), 1)), zone)
+    first = F.to_date(F.lit(day))
+    midnight = lambda d: F.make_timestamp(F.year(d), F.month(d), F.dayofmonth(d), F.lit(0), F.lit(0), F.lit(0), F.lit(zone))
+    start, end = midnight(first), midnight(F.date_add(first, 1))  # instants, whatever the session's own zone
     real = (F.col(ts) >= start) & (F.col(ts) < end) & ~F.coalesce("synthetic", F.lit(False))
     some = events.where(real).limit(1).count() > 0
     return events.where(F.col("synthetic") | real) if some else events.where("false")

@@ -11,10 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from usagelake import dims
 from usagelake.functions import scalars as Z
 from usagelake.operators import attribution, deltas, journal, quota, reconcile, tokens
 from usagelake.plans import projections, serving
 from usagelake.session import shared_dir, table
+from usagelake.sources import histories
 from usagelake.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,6 +151,28 @@ def q_saved_totals(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.normalize_totals(e).select("event_id", "input", "cached", "cache_write", "fresh")
 
 
+_A, _B = dims.PRICES["gpt-5.4"], dims.PRICES["gpt-5.6-sol"]
+
+
+@query(f"""WITH {E}, s AS (SELECT event_id, k, 1000 * k AS i, least(1000 * k, 37 * k) AS c, 10 * (k % 9) AS o FROM e WHERE k % 5 <> 4),
+w AS (SELECT *, least(i - c, 11 * (k % 3)) AS w FROM s),
+m AS (SELECT *, ((i - c - w) * {_A[0]} + c * {_A[1]} + w * {_A[0]} + o * {_A[3]}) / 1e6 AS a, ((i - c - w) * {_B[0]} + c * {_B[1]} + w * {_B[2]} + o * {_B[3]}) / 1e6 AS b, 10 * k * {_B[0]} * 1.5 / 1e6 AS f FROM w)
+SELECT 's' || event_id AS session_id, CASE WHEN k % 5 IN (0, 1) THEN 't' ELSE 'u' END AS updated_at, i AS input, i - c - w AS fresh, CASE k % 5 WHEN 3 THEN 0 ELSE 2 END AS models,
+       round(CASE k % 5 WHEN 3 THEN 1.25 ELSE round(a, 8) + round(b + f, 8) END, 6) AS total_cost FROM m""")
+def q_token_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Saved sessions with two models, one with fast tokens, or with none but saved costs, or without tokens."""
+    tokens_ = '{"inputTokens":%d,"cachedInputTokens":%d,"cachedOutputTokens":%d,"outputTokens":%d}'
+    models = '{"openai/gpt-5.4-2026-01-31":{"tokens":' + tokens_ + '},"gpt-5.6-sol":{"tokens":' + tokens_ + ',"fastTokens":{"inputTokens":%d}},"no":3}'
+    one = [F.col("k") * 1000, F.col("k") * 37, F.col("k") % 3 * 11, F.col("k") % 9 * 10]
+    dated = F.when((F.col("k") % 5).isin(0, 1), "t").otherwise("u")
+    whole = F.format_string('{"sessionId":"s%d","startedAt":"t","updatedAt":"%s","tokens":' + tokens_ + ',"byModel":' + models + "}", "event_id", F.when(dated == "t", "").otherwise("u"), *one, *one, *one, F.col("k") * 10)
+    saved = F.format_string('{"sessionId":"s%d","updatedAt":"u","tokens":' + tokens_ + ',"cost":{"totalCostUsd":1.25},"byModel":{}}', "event_id", *one)
+    lost = F.format_string('{"sessionId":"s%d","byModel":{"gpt-5.4":{"tokens":{}}}}', "event_id")
+    value = F.when(F.col("k") % 5 == 4, lost).when(F.col("k") % 5 == 3, saved).otherwise(whole)
+    s = histories.normalized_sessions(ev(spark, sf).select(F.lit("f").alias("file"), F.col("event_id").alias("pos"), value.alias("value")))
+    return s.select("session_id", "updated_at", F.col("tokens.input").alias("input"), F.col("tokens.fresh").alias("fresh"), F.size("by_model").alias("models"), F.round("cost.total_cost", 6).alias("total_cost"))
+
+
 # -- runs, clusters, merges ----------------------------------------------------------------------------------------------------------
 
 
@@ -327,6 +351,19 @@ def q_last_cumulative(spark: SparkSession, sf: str) -> DataFrame:
     return deltas.last_cumulative(led, ["day", "event_type"], F.struct("ts", "event_id")).withColumn("cumulative_cost", F.round("cumulative_cost", 4))
 
 
+@query(f"""WITH {E}, s AS (SELECT event_id, k, k % 7 AS a, k % 5 AS c FROM e)
+SELECT event_id, 'a' AS model, round(CAST(k AS DOUBLE) * a / (a + c), 8) AS delta_percent, CAST(a AS DOUBLE) AS delta_cost FROM s WHERE a + c > 0
+UNION ALL SELECT event_id, 'c', round(k - CAST(k AS DOUBLE) * a / (a + c), 8), CAST(c AS DOUBLE) FROM s WHERE a + c > 0
+UNION ALL SELECT event_id, 'x', 1.5, 2.5 FROM s UNION ALL SELECT event_id, 'y', CAST(k AS DOUBLE), 1.0 FROM s""")
+def q_grouped_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    """Grouped rows with a split (one model without a cost), a list of events (one with models of its own) and a single event."""
+    split = '{"checkedAt":"%d","deltaPercent":%d,"models":[{"model":"a","deltaCostUsd":%d},{"model":"b"},{"deltaCostUsd":4},7,{"model":"c","deltaCostUsd":%d}]}'
+    listed = '[{"checkedAt":"%d","model":"x","deltaPercent":1.5,"deltaCostUsd":2.5,"models":[{"model":"z","deltaCostUsd":1}]},3]'
+    text = F.format_string('{"window":"5h","delta":[' + split + "," + listed + ',{"checkedAt":"%d","model":"y","deltaPercent":%d,"deltaCostUsd":1}]}', "event_id", "k", F.col("k") % 7, F.col("k") % 5, "event_id", "event_id", "k")
+    e = deltas.expand_grouped(ev(spark, sf).select(text.alias("value")))
+    return e.select(F.col("checkedAt").cast("long").alias("event_id"), "model", F.col("deltaPercent").alias("delta_percent"), F.col("deltaCostUsd").alias("delta_cost"))
+
+
 @query("""WITH l AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DECIMAL(18,2)) AS q, CAST(o_totalprice AS DECIMAL(18,2)) AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 s AS (SELECT *, sum(q) OVER (PARTITION BY l_orderkey) AS w FROM l)
 SELECT l_orderkey, round(sum(CAST(t AS DOUBLE) * CAST(q AS DOUBLE) / CAST(w AS DOUBLE)), 2) AS total, count(*) AS parts FROM s WHERE w > 0 GROUP BY 1""")
@@ -631,6 +668,15 @@ def q_last_seconds(spark: SparkSession, sf: str) -> DataFrame:
     return serving.last_seconds(ev(spark, sf).withColumn("synthetic", F.col("k") == 7), "ts", 86400).select("event_id")
 
 
+@query(f"""WITH {E}, d AS (SELECT CAST(min(ts) AS DATE) + 1 AS first FROM e)
+SELECT event_id FROM e, d WHERE k = 7 OR (ts >= first + INTERVAL 300 MINUTE AND ts < first + INTERVAL 1740 MINUTE)""")
+def q_on_day(spark: SparkSession, sf: str) -> DataFrame:
+    """V4: a day of another zone, five hours behind."""
+    e = ev(spark, sf).withColumn("synthetic", F.col("k") == 7)
+    day = e.select(F.date_add(F.min("ts").cast("date"), 1).cast("string")).first()[0]
+    return serving.on_day(e.withColumn("ts", F.col("ts").cast("timestamp")), "ts", day, "-05:00").select("event_id")
+
+
 @query(f"""WITH {E}, s AS (SELECT event_id, user_id, ts, event_type, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS spell FROM s), x AS (SELECT user_id, spell, min(ts) AS since, max(ts) AS until, min(event_type) AS event_type FROM g GROUP BY 1, 2)
 SELECT user_id, since, until, event_type FROM x WHERE floor(epoch(until)) - floor(epoch(since)) >= 3600""")

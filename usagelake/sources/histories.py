@@ -7,14 +7,15 @@ many files are read by many tasks. A path that does not exist is an empty histor
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from usagelake import dims
 from usagelake.dims import WINDOWS
-from usagelake.functions.scalars import normalize_plan, or_unknown, to_number
+from usagelake.functions.scalars import normalize_model, normalize_plan, or_unknown, to_number
 from usagelake.operators.deltas import expand_grouped
-from usagelake.operators.journal import valid_operations
-from usagelake.operators.tokens import COUNTERS, normalize_totals
+from usagelake.operators.journal import valid_operation
+from usagelake.operators.tokens import COUNTERS, cost_columns, fast_multiplier, normalize_totals, price_by_prefix
 from usagelake.sources.files import json_sequence
 
 UNKNOWN_LABEL = "Unknown"
@@ -58,26 +59,76 @@ def quota_history(spark: SparkSession, path: str, samples: bool = False) -> Data
     return rows.where("checked_at <> '' and used_percent is not null and coalesce(gone, 'false') <> 'true'").drop("gone")
 
 
+COSTS = {"input_cost": "inputCostUsd", "cached_cost": "cachedInputCostUsd", "cache_write_cost": "cacheWriteInputCostUsd", "output_cost": "outputCostUsd", "total_cost": "totalCostUsd"}
+
+
+def _saved(v: Column, at: str) -> list[Column]:
+    """The saved counters of a variant's object, as they stand."""
+    whole = lambda k: F.try_variant_get(v, f"{at}.{k}", "double").cast("long")
+    names = {"input": "inputTokens", "cached": "cachedInputTokens", "cache_write": "cacheWriteInputTokens", "output": "outputTokens", "legacy_write": "cachedOutputTokens", "requests": "requests"}
+    return [whole(k).alias(n) for n, k in names.items()]
+
+
+def _is(v: Column, at: str, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(F.try_variant_get(v, at, "variant")).startswith(kind), F.lit(False))
+
+
+def normalized_sessions(objects: DataFrame) -> DataFrame:
+    """(session_id, started_at, updated_at, account_id, account_label, tokens, cost, by_model) of saved sessions objects(file, pos, value).
+
+    Sessions without an id or without a tokens object are none. Counters are brought into range, with what older records call cached
+    output as cache writes. Costs are those of the models' tokens at today's prices, with the surcharge of their fast tokens; a session
+    without models keeps the costs that were saved, or has none. by_model: map of a model to its tokens, fast tokens and cost.
+    """
+    v = objects.select("file", "pos", F.try_parse_json("value").alias("v"))
+    text = lambda p: F.try_variant_get("v", f"$.{p}", "string")
+    v = v.where(_is(F.col("v"), "$.tokens", "OBJECT") & (F.coalesce(text("sessionId"), F.lit("")) != ""))
+    spark, key = objects.sparkSession, ["file", "pos"]
+
+    def ranged(df: DataFrame, at: str, out: str, col: Column) -> DataFrame:
+        """df with the totals of an object as a struct, all seven of them."""
+        n = normalize_totals(df.select(*df.columns, *_saved(col, at)))
+        least = F.greatest(F.lit(0), F.coalesce("requests", F.lit(0)))
+        return n.select(*df.columns, F.struct(*COUNTERS, "fresh", (F.col("input") + F.col("output")).alias("total"), least.alias("requests")).alias(out))
+
+    m = v.select(*key, F.explode(F.try_variant_get("v", "$.byModel", "map<string,variant>")).alias("model", "m")).where(_is(F.col("m"), "$", "OBJECT"))
+    m = ranged(ranged(m, "$.tokens", "tokens", F.col("m")), "$.fastTokens", "fast", F.col("m")).withColumn("has_fast", _is(F.col("m"), "$.fastTokens", "OBJECT")).drop("m")
+    named = m.select("*", normalize_model("model").alias("name"), *(F.col(f"tokens.{c}").alias(c) for c in COUNTERS), *(F.when(F.col("has_fast"), F.col(f"fast.{c}")).otherwise(0).alias(f"f_{c}") for c in COUNTERS))
+    p = dims.prices(spark).select("price_model", *(F.col(c).alias(f"p_{c}") for c in COUNTERS))
+    priced = fast_multiplier(price_by_prefix(named, "name", p, "price_model"), "name", dims.fast_multipliers(spark))
+    cost = cost_columns()
+    one = F.struct("tokens", F.when(F.col("has_fast"), F.col("fast")).alias("fast_tokens"), F.struct(*(F.round(c, 8).alias(n) for n, c in cost.items())).alias("cost"))
+    per = priced.select(*key, "model", one.alias("v"), *(c.alias(n) for n, c in cost.items())).groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "v")))).alias("by_model"), *(F.round(F.sum(n), 8).alias(n) for n in cost))
+    saved = F.struct(*(F.coalesce(F.try_variant_get("v", f"$.cost.{k}", "double"), F.lit(0.0)).alias(n) for n, k in COSTS.items()))
+    j = ranged(v, "$.tokens", "tokens", F.col("v")).join(per, key, "left")
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{per.select(F.map_values('by_model')[0].alias('v')).schema['v'].dataType.simpleString()}>"))
+    started = text("startedAt")
+    return j.select(text("sessionId").alias("session_id"), started.alias("started_at"), F.coalesce(F.nullif(text("updatedAt"), F.lit("")), started).alias("updated_at"), or_unknown(text("accountSlotId")).alias("account_id"), or_unknown(text("accountLabel"), UNKNOWN_LABEL).alias("account_label"),
+                    "tokens", F.when(F.col("by_model").isNotNull(), F.struct(*cost)).otherwise(saved).alias("cost"), F.coalesce("by_model", empty).alias("by_model"))
+
+
 def token_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """(session_id, started_at, updated_at, account_id, account_label, model, and the counters in range with fresh): one row per
-    session and model; sessions without an id are none."""
-    usage = "struct<inputTokens:bigint,cachedInputTokens:bigint,cacheWriteInputTokens:bigint,outputTokens:bigint>"
-    v = _objects(spark, path).select(F.from_json("value", f"struct<sessionId:string,startedAt:string,updatedAt:string,accountSlotId:string,accountLabel:string,byModel:map<string,struct<tokens:{usage}>>>").alias("s")).where("s.sessionId <> ''")
-    m = v.select("s.*", F.explode("s.byModel").alias("model", "m"))
-    names = ("inputTokens", "cachedInputTokens", "cacheWriteInputTokens", "outputTokens")
-    counted = m.select(F.col("sessionId").alias("session_id"), F.col("startedAt").alias("started_at"), F.coalesce("updatedAt", "startedAt").alias("updated_at"), or_unknown("accountSlotId").alias("account_id"), or_unknown("accountLabel", UNKNOWN_LABEL).alias("account_label"), "model", *(F.col(f"m.tokens.{a}").alias(b) for a, b in zip(names, COUNTERS)), F.lit(None).cast("long").alias("legacy_write"))
-    return normalize_totals(counted)
+    """The saved sessions of a history: see `normalized_sessions`."""
+    return normalized_sessions(_objects(spark, path))
+
+
+def session_models(sessions: DataFrame) -> DataFrame:
+    """(session_id, started_at, updated_at, account_id, account_label, model, counters with fresh, total_cost): a row per session and model;
+    a session without models has one, of no model."""
+    flat = ["session_id", "started_at", "updated_at", "account_id", "account_label"]
+    one = F.explode_outer("by_model").alias("model", "m")
+    of = lambda c: F.coalesce(F.col(f"m.tokens.{c}"), F.col(f"tokens.{c}")).alias(c)
+    return sessions.select(*flat, "tokens", "cost", one).select(*flat, "model", *(of(c) for c in (*COUNTERS, "fresh")), F.coalesce("m.cost.total_cost", "cost.total_cost").alias("total_cost"))
 
 
 def checked_cache(cache: DataFrame) -> DataFrame:
     """cache(source_machine_id, key, kind, record, record_key, origin) as it is, or an error at the first row that is not a valid
     upsert or whose record is of another origin than the machine it came from."""
-    row = F.struct("source_machine_id", "key", "kind", "record", "record_key", "origin")
-    whole = cache.select(F.monotonically_increasing_id().alias("_n"), row.alias("_row"))
-    good = valid_operations(whole.select("_n", "_row.*").withColumn("action", F.lit("upsert"))).where("source_machine_id <> '' and origin = source_machine_id").select("_n", F.lit(True).alias("_ok"))
-    told = whole.join(good, "_n", "left")
-    wrong = F.raise_error(F.concat(F.lit("invalid cache entry of "), F.coalesce("_row.source_machine_id", F.lit("no machine"))))
-    return told.select(F.when(F.col("_ok"), F.col("_row")).otherwise(wrong.cast(told.schema["_row"].dataType)).alias("r")).select("r.*")
+    row = cache.select(F.struct("source_machine_id", "key", "kind", "record", "record_key", "origin").alias("_row"))
+    of = lambda c: F.col(f"_row.{c}")
+    good = valid_operation(F.lit("upsert"), of("kind"), of("key"), of("record"), of("record_key")) & (of("source_machine_id") != "") & (of("origin") == of("source_machine_id"))
+    wrong = F.raise_error(F.concat(F.lit("invalid cache entry of "), F.coalesce(of("source_machine_id"), F.lit("no machine"))))
+    return row.select(F.when(good, F.col("_row")).otherwise(wrong.cast(row.schema["_row"].dataType)).alias("r")).select("r.*")
 
 
 def changed_heads(heads: DataFrame, seen: DataFrame) -> DataFrame:
