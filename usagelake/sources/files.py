@@ -52,39 +52,51 @@ def _usage(u: Column) -> dict[str, Column]:
     }
 
 
-def token_events(lines: DataFrame) -> DataFrame:
-    """Token events of log lines: event_id, session_id, checked_at, model, tier and tokens.
+def log_rows(lines: DataFrame, *keep: str) -> DataFrame:
+    """Log lines (file, text and the columns to keep) that matter, as columns: is_meta with sid and carries (whether the session holds
+    another's history), is_edge (a replay boundary), model and tier where a line names them, and counts with is_total and the counters.
 
-    Lines that are not UTF-8 or not whole JSON, as an unfinished last one, do not count. The last session_meta of a file names its
-    session; where that session carries another's history, events before the last replay boundary go, after deltas and numbers were
-    given.
+    Lines that are not UTF-8 or not whole JSON, as an unfinished last one, do not count.
     """
     marks, event = sifted(F.col("text"))
-    e = lines.where((marks | event) & F.is_valid_utf8("text")).where(F.try_parse_json("text").isNotNull()).select("file", "line", F.from_json("text", _LINE).alias("e"))
+    e = lines.where((marks | event) & F.is_valid_utf8("text")).where(F.try_parse_json("text").isNotNull()).select("file", *keep, F.from_json("text", _LINE).alias("e"))
     p, i = F.col("e.payload"), F.col("e.payload.info")
     clean = lambda *cs: F.coalesce(*(F.nullif(c, F.lit("")) for c in cs))
-    stem = F.regexp_extract("file", r"([^/]*?)(?:\.[^./]*)?$", 1)
-    meta = e.where("e.type = 'session_meta'").groupBy("file").agg(F.max_by(F.struct(clean(p["id"], p["thread_id"], p["session_id"]).alias("sid"), (p["forked_from_id"].isNotNull() | F.coalesce(p["source"]["subagent"].isNotNull(), F.lit(False)) | F.coalesce(p["session_id"] != clean(p["id"], p["thread_id"], p["session_id"]), F.lit(False))).alias("carries")), "line").alias("m"))
-    edge = e.where((F.col("e.type") == "event_msg") & (p["type"] == "thread_settings_applied") | F.col("e.type").startswith("inter_agent_communication")).groupBy("file").agg(F.max("line").alias("boundary"))
-
+    sid = clean(p["id"], p["thread_id"], p["session_id"])
+    carries = p["forked_from_id"].isNotNull() | F.coalesce(p["source"]["subagent"].isNotNull(), F.lit(False)) | F.coalesce(p["session_id"] != sid, F.lit(False))
+    edge = (F.col("e.type") == "event_msg") & (p["type"] == "thread_settings_applied") | F.col("e.type").startswith("inter_agent_communication")
     counts = (F.col("e.type") == "event_msg") & (p["type"] == "token_count") & (i["total_token_usage"].isNotNull() | i["last_token_usage"].isNotNull())
     context = F.col("e.type") == "turn_context"
     model = F.when(context, clean(p["model"], i["model"])).when(counts, clean(i["model"], i["model_name"], p["model"]))
     tier = F.when(context, F.coalesce(p["thread_settings"]["service_tier"], p["service_tier"])).when(counts, F.coalesce(i["service_tier"], p["service_tier"]))
-    c = e.where(context | counts).select("file", "line", "e", counts.alias("counts"), normalize_model(model).alias("_model"), F.when(tier.isNotNull(), service_tier(tier)).alias("_tier"))
+    usage = F.coalesce(i["total_token_usage"], i["last_token_usage"])
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    return e.select("file", *keep, flag(F.col("e.type") == "session_meta").alias("is_meta"), sid.alias("sid"), carries.alias("carries"), flag(edge).alias("is_edge"), flag(counts).alias("counts"), normalize_model(model).alias("model"), F.when(tier.isNotNull(), service_tier(tier)).alias("tier"),
+                    F.col("e.timestamp").alias("checked_at"), flag(i["total_token_usage"].isNotNull()).alias("is_total"), *(v.alias(k) for k, v in _usage(usage).items()))
+
+
+def named_events(events: DataFrame, meta: DataFrame, edge: DataFrame) -> DataFrame:
+    """Numbered events(file, line, index, ...) with the session that the file's last metadata names, or else the file, and an id of their
+    own, each id once: where that session carries another's history, events before the last replay boundary go."""
+    stem = F.regexp_extract("file", r"([^/]*?)(?:\.[^./]*)?$", 1)
+    d = events.join(meta, "file", "left").join(edge, "file", "left").where("not coalesce(m.carries, false) or boundary is null or line >= boundary")
+    d = d.withColumn("session_id", F.coalesce("m.sid", stem)).withColumn("event_id", F.concat_ws(":", "session_id", "index"))
+    return first_by_id(d.withColumn("_path", F.split("file", "/")), ["event_id"], ["_path", "index"]).drop("_path", "m", "boundary")
+
+
+def token_events(lines: DataFrame) -> DataFrame:
+    """Token events of log lines: event_id, session_id, checked_at, model, tier and tokens. See `log_rows` and `named_events`; numbers are
+    given after deltas and before what a boundary cuts off."""
+    from pyspark.sql import Window
+
+    e = log_rows(lines, "line")
+    meta = e.where("is_meta").groupBy("file").agg(F.max_by(F.struct("sid", "carries"), "line").alias("m"))
+    edge = e.where("is_edge").groupBy("file").agg(F.max("line").alias("boundary"))
+    c = e.where("counts or model is not null or tier is not null").withColumnsRenamed({"model": "_model", "tier": "_tier"})
     c = carry_forward(c, ["file"], ["line"], {"model": F.col("_model"), "tier": F.col("_tier")}, {"model": F.lit("unknown"), "tier": F.lit("default")}).where("counts")
-    total = F.col("e.payload.info.total_token_usage").isNotNull()
-    u = F.coalesce(F.col("e.payload.info.total_token_usage"), F.col("e.payload.info.last_token_usage"))
-    c = c.select("file", "line", F.col("e.timestamp").alias("checked_at"), "model", "tier", total.alias("is_total"), *(v.alias(k) for k, v in _usage(u).items()))
     d = counter_deltas(c, ["file"], ["line"], ["input", "cached", "cache_write", "output"], "is_total")
     d = clamp_tokens(d.select("file", "line", "checked_at", "model", "tier", *(F.col(f"d_{k}").alias(k) for k in ("input", "cached", "cache_write", "output"))))
-    from pyspark.sql import Window
-
-    d = d.withColumn("index", F.row_number().over(Window.partitionBy("file").orderBy("line")))
-    d = d.join(meta, "file", "left").join(edge, "file", "left").where("not coalesce(m.carries, false) or boundary is null or line >= boundary")
-    d = d.withColumn("session_id", F.coalesce("m.sid", stem)).withColumn("event_id", F.concat_ws(":", "session_id", "index"))
-    order = F.split("file", "/")
-    return first_by_id(d.withColumn("_path", order), ["event_id"], ["_path", "index"]).drop("_path", "m", "boundary")
+    return named_events(d.withColumn("index", F.row_number().over(Window.partitionBy("file").orderBy("line"))), meta, edge)
 
 
 # -- JSON sequences ---------------------------------------------------------------------------------------------------------------
