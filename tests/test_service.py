@@ -208,3 +208,34 @@ def test_inactive_accounts_fall_due_at_times_of_their_own(spark, tmp_path):
     due = sorted((r.account_id, r.due_ms) for r in polls.where("account_id in ('a', 'b')").collect())
     assert all(y[1] - x[1] >= 4000 for x, y in zip(due, due[1:]) if x[0] == y[0])
     assert not {r[1] // 1000 for r in due if r[0] == "a"} & {r[1] // 1000 for r in due if r[0] == "b"} or len(due) > 6
+
+
+def test_a_poll_outlives_a_restart_and_is_not_asked_for_again(spark, tmp_path):
+    server, asked, url = served(lambda _, n: {"n": n})
+    spark.dataSource.register(JsonPoll)
+    got: list[tuple[int, int]] = []
+
+    def begin(fail):
+        def write(df, batch):
+            rows = [json.loads(r.body)["n"] for r in df.collect()]
+            if fail and batch == 1:
+                raise OSError("killed between the poll and its commit")
+            got.extend((batch, n) for n in rows)
+
+        polls = spark.readStream.format("json_poll").option("url", url).option("log", str(tmp_path / "log")).load()
+        return polls.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+
+    try:
+        with pytest.raises(Exception, match="killed"):
+            begin(True).awaitTermination(120)
+        n = len(asked)
+        q = begin(False)
+        end = time.time() + 90
+        while len(got) < 4 and time.time() < end:
+            time.sleep(0.3)
+        q.stop()
+    finally:
+        server.shutdown()
+    assert n >= 2 and got[:4] == [(0, 0), (1, 1), (2, 2), (3, 3)]  # the interrupted poll's own answer, and none twice
+    assert len(asked) - len(got) in (0, 1, 2)
+    assert all(int(x.name[:-5]) >= len(got) - 2 for x in (tmp_path / "log").glob("*.json"))

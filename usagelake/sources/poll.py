@@ -6,11 +6,16 @@
 A trigger of the query is a poll. HTTP errors are tried again up to `retries` times, network errors until `patience` seconds have
 gone; what does not come is a row with an error and no body, so that a poll is never lost silently. Options that start with
 `header.` are sent as headers.
+
+With the option `log`, a folder that the driver keeps over restarts (one for each checkpoint), a stream's answers are written there before
+their offset is given out: a poll that a restart interrupted is read from it, neither lost nor asked for again, until it is committed.
+Without it such a poll gives no rows.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import time
 import urllib.error
 import urllib.request
@@ -46,6 +51,7 @@ class _Settings:
     def __init__(self, options: dict):
         self.urls = [u for u in options.get("url", "").split(",") if u]
         self.headers = {k[7:]: v for k, v in options.items() if k.startswith("header.")}
+        self.log = options.get("log")
         self.timeout, self.retries, self.patience, self.pause = float(options.get("timeout", 10)), int(options.get("retries", 2)), float(options.get("patience", 60)), float(options.get("pause", 1))
 
     def row(self, url: str, poll: int) -> tuple:
@@ -84,18 +90,46 @@ class _Once(DataSourceReader):
 class _Stream(SimpleDataSourceStreamReader):
     def __init__(self, settings: _Settings):
         self.settings, self.read_rows = settings, {}
+        if settings.log:
+            os.makedirs(settings.log, exist_ok=True)
 
     def initialOffset(self) -> dict:
         return {"poll": 0}
 
+    def _logged(self, n: int) -> list[tuple] | None:
+        """The answers of a poll from the log, or None."""
+        try:
+            with open(f"{self.settings.log}/{n:012d}.json", encoding="utf-8") as f:
+                return [tuple(r) for r in json.load(f)]
+        except FileNotFoundError:
+            return None
+
+    def _keep(self, n: int, rows: list[tuple]) -> None:
+        path = f"{self.settings.log}/{n:012d}.json"
+        with open(f"{path}.part", "w", encoding="utf-8") as f:
+            json.dump(rows, f)
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(f"{path}.part", path)
+
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = [self.settings.row(u, start["poll"]) for u in self.settings.urls]
-        self.read_rows[start["poll"]] = rows
-        return iter(rows), {"poll": start["poll"] + 1}
+        n = start["poll"]
+        rows = self._logged(n) if self.settings.log else None
+        if rows is None:
+            rows = [self.settings.row(u, n) for u in self.settings.urls]
+            if self.settings.log:
+                self._keep(n, rows)
+        if not self.settings.log:
+            self.read_rows[n] = rows
+        return iter(rows), {"poll": n + 1}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        """What was polled before; a poll from before a restart cannot be asked for again and gives no rows."""
-        return iter([r for n in range(start["poll"], end["poll"]) for r in self.read_rows.get(n, [])])
+        """What was polled before, from the log or, within one run, from memory."""
+        known = self._logged if self.settings.log else self.read_rows.get
+        return iter([r for n in range(start["poll"], end["poll"]) for r in known(n) or []])
 
     def commit(self, end: dict) -> None:
         self.read_rows = {n: r for n, r in self.read_rows.items() if n >= end["poll"]}
+        for name in os.listdir(self.settings.log) if self.settings.log else ():
+            if name.endswith(".json") and int(name[:-5]) < end["poll"]:
+                os.unlink(f"{self.settings.log}/{name}")
