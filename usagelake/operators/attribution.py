@@ -7,18 +7,26 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from usagelake.operators import blocks
 
-def as_of(left: DataFrame, right: DataFrame, key: list[str], left_ts: str, right_ts: str, right_order: list[str], values: list[str]) -> DataFrame:
+
+def as_of(left: DataFrame, right: DataFrame, key: list[str], left_ts: str, right_ts: str, right_order: list[str], values: list[str], hot_rows: int | None = None) -> DataFrame:
     """Each left row with the values of the latest right row of its key at or before it (ties: the last in right_order), else nulls.
 
-    One shuffle by key and one running last value over the union of both sides: no range comparison of pairs.
+    One shuffle by key and one running last value over the union of both sides: no range comparison of pairs. Where a key has more than
+    `hot_rows` rows the value is carried over blocks (see `blocks`).
     """
     names = left.columns
     l = left.select(*names, F.col(left_ts).alias("_t"), F.lit(1).alias("_side"), *(F.lit(None).alias(f"_o{i}") for i in range(len(right_order))), F.lit(None).alias("_v"))
     r = right.select(*key, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(right_order)), F.struct(*values).alias("_v"))
-    w = Window.partitionBy(*key).orderBy(F.col("_t").asc_nulls_first(), "_side", *(f"_o{i}" for i in range(len(right_order)))).rowsBetween(Window.unboundedPreceding, 0)
+    order = ["_t", "_side", *(f"_o{i}" for i in range(len(right_order)))]
     both = r.where("_t is not null").unionByName(l.drop("_v", *(f"_o{i}" for i in range(len(right_order)))), allowMissingColumns=True)
-    found = both.withColumn("_v", F.last("_v", True).over(w)).where("_side = 1")
+    if blocks.hot(both, key, hot_rows):
+        found = blocks.running(blocks.blocked(both, key, order), key, order, lasts={"_found": "_v"}).drop("_v", "_block").withColumnRenamed("_found", "_v")
+    else:
+        w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        found = both.withColumn("_v", F.last("_v", True).over(w))
+    found = found.where("_side = 1")
     return found.select(*names, *(F.when(F.col("_t").isNotNull(), F.col(f"_v.{v}")).alias(v) for v in values))
 
 

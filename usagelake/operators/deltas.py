@@ -7,19 +7,27 @@ from pyspark.sql import functions as F
 
 from usagelake.dims import MIN_COST_PER_PERCENT, PLAN_MULTIPLIERS, RATIO_DEVIATION, RESET_JITTER_S, WINDOWS
 from usagelake.functions.scalars import deviation, deviation_warning, ratio, valid_delta
+from usagelake.operators import blocks
 from usagelake.operators.fold import fold
 
 
-def ledger(events: DataFrame, by: list[str], model: str, order: list[str], percent: str, cost: str) -> DataFrame:
+def ledger(events: DataFrame, by: list[str], model: str, order: list[str], percent: str, cost: str, hot_rows: int | None = None) -> DataFrame:
     """Running sums per group and per model of valid events, and each ratio against the average of the model's earlier events.
-    Sums keep the types of the columns, so that decimals add up exactly; ratios are doubles."""
+    Sums keep the types of the columns, so that decimals add up exactly; ratios are doubles. Groups of more than `hot_rows` rows are summed
+    in blocks (see `blocks`)."""
     num = lambda c: (F.col(c) if isinstance(c, str) else c).cast("double")
     e = events.where(valid_delta(num(percent), num(cost)))
-    all_ = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    own = Window.partitionBy(*by, model).orderBy(*order)
-    upto, before = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(Window.unboundedPreceding, -1)
-    r, avg = ratio(num(cost), num(percent)), ratio(num(F.sum(cost).over(before)), num(F.sum(percent).over(before)))
-    e = e.select("*", r.alias("cost_percent_ratio"), avg.alias("average_ratio"), F.sum(percent).over(all_).alias("cumulative_percent"), F.sum(cost).over(all_).alias("cumulative_cost"), F.sum(percent).over(upto).alias("model_cumulative_percent"), F.sum(cost).over(upto).alias("model_cumulative_cost"))
+    names = {"cumulative_percent": percent, "cumulative_cost": cost}
+    if blocks.hot(e, by, hot_rows):
+        spread = blocks.running(blocks.blocked(e, by, order), by, order, names)
+        e = blocks.running(spread, [*by, model], order, {f"model_{n}": c for n, c in names.items()}, {"_percent": percent, "_cost": cost}).drop("_block")
+    else:
+        all_ = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        own = Window.partitionBy(*by, model).orderBy(*order)
+        upto, before = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(Window.unboundedPreceding, -1)
+        e = e.select("*", *(F.sum(c).over(all_).alias(n) for n, c in names.items()), *(F.sum(c).over(upto).alias(f"model_{n}") for n, c in names.items()), F.sum(percent).over(before).alias("_percent"), F.sum(cost).over(before).alias("_cost"))
+    r = ratio(num(cost), num(percent))
+    e = e.select("*", r.alias("cost_percent_ratio"), ratio(num("_cost"), num("_percent")).alias("average_ratio")).drop("_percent", "_cost")
     dev = deviation(F.col("cost_percent_ratio"), F.col("average_ratio"))
     return e.select("*", dev.alias("ratio_deviation"), deviation_warning(dev).alias("ratio_deviation_warning"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagelake.dims import MIN_COST_PER_PERCENT, RESET_JITTER_S
+from usagelake.operators import blocks
 from usagelake.operators.fold import fold
 
 
@@ -80,21 +81,30 @@ def with_cycle(df: DataFrame, key: list[str], value: str, tolerance: float = RES
     return both.withColumn("cycle", F.when(F.col(value).isNotNull(), F.last("_a", True).over(w))).where("_o = 1").drop("_a", "_o")
 
 
-def sweep(intervals: DataFrame, key: list[str], start: str, end: str, model: str, cost: str) -> DataFrame:
+def sweep(intervals: DataFrame, key: list[str], start: str, end: str, model: str, cost: str, hot_rows: int | None = None) -> DataFrame:
     """(key, segment_start, segment_end, model, cost, rate): costs of overlapping intervals summed over elementary segments.
 
     Each interval is two marks of its rate; running sums over the marks give the rate of every segment without comparing intervals
-    with each other. Rates are decimals, so that what is added is subtracted exactly. Segments under the least rate go.
+    with each other. Rates are decimals, so that what is added is subtracted exactly. Segments under the least rate go. A key of more
+    than `hot_rows` marks is summed in blocks (see `blocks`).
     """
     i = intervals.where((F.col(end) > F.col(start)) & (F.col(cost) > 0)).withColumn("_r", (F.col(cost) / (F.col(end) - F.col(start))).cast("decimal(28,12)"))
     marks = i.select(*key, F.col(model).alias("model"), F.explode(F.array(F.struct(F.col(start).alias("at"), F.col("_r").alias("r"), F.lit(1).alias("n")), F.struct(F.col(end).alias("at"), (-F.col("_r")).alias("r"), F.lit(-1).alias("n")))).alias("m"))
     marks = marks.groupBy(*key, "model", F.col("m.at").alias("at")).agg(F.sum("m.r").alias("r"), F.sum("m.n").alias("n"))
     # a model's rate is constant from one of its own marks to the next: only the key's segments inside such a run are made
-    order = Window.partitionBy(*key).orderBy("at")
-    points = marks.select(*key, "at").distinct().select(*key, "at", F.row_number().over(order).alias("i"), F.lead("at").over(order).alias("segment_end"))
-    own = Window.partitionBy(*key, "model").orderBy("at")
-    run = own.rowsBetween(Window.unboundedPreceding, 0)
-    runs = marks.join(points.select(*key, "at", "i"), [*key, "at"]).select(*key, "model", "i", F.lead("i").over(own).alias("to"), F.sum("r").over(run).alias("rate"), F.sum("n").over(run).alias("active")).where("active > 0 and to is not null")
+    if blocks.hot(marks, key, hot_rows):
+        marks = blocks.blocked(marks, key, ["at"])
+        points = blocks.running(marks.select(*key, "at", "_block").distinct(), key, ["at"], {"i": F.lit(1).cast("long")}, nexts={"segment_end": "at"})
+        placed = marks.join(points.select(*key, "at", "i"), [*key, "at"])
+        runs = blocks.running(placed, [*key, "model"], ["at"], {"rate": "r", "active": "n"}, nexts={"to": "i"}).select(*key, "model", "i", "to", "rate", "active")
+        points = points.drop("_block")
+    else:
+        order = Window.partitionBy(*key).orderBy("at")
+        points = marks.select(*key, "at").distinct().select(*key, "at", F.row_number().over(order).alias("i"), F.lead("at").over(order).alias("segment_end"))
+        own = Window.partitionBy(*key, "model").orderBy("at")
+        run = own.rowsBetween(Window.unboundedPreceding, 0)
+        runs = marks.join(points.select(*key, "at", "i"), [*key, "at"]).select(*key, "model", "i", F.lead("i").over(own).alias("to"), F.sum("r").over(run).alias("rate"), F.sum("n").over(run).alias("active"))
+    runs = runs.where("active > 0 and to is not null")
     seg = runs.select(*key, "model", "rate", F.explode(F.sequence("i", F.col("to") - 1)).alias("i")).join(points.withColumnRenamed("at", "segment_start"), [*key, "i"]).select(*key, "model", "segment_start", "segment_end", "rate")
     seg = seg.withColumn("total_rate", F.sum("rate").over(Window.partitionBy(*key, "segment_start")))
     return seg.where(F.col("total_rate") >= MIN_COST_PER_PERCENT).withColumn("cost", F.col("rate").cast("double") * (F.col("segment_end") - F.col("segment_start")))
