@@ -60,3 +60,13 @@ def test_no_task_reads_more_than_its_share_of_a_hot_key(spark, monkeypatch):
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert blocks.blocked(e, ["k"], ["t"]).groupBy("_block").count().agg(F.max("count")).first()[0] < 200_000 / 20
+
+
+def test_hot_anchors_by_jump_pointers(spark, small):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "a", None]), rng.randrange(4000), 1) for _ in range(1500)]
+    for kind in ("long", "double"):
+        v = spark.createDataFrame(rows, "k string, t long, n int").withColumn("t", F.col("t").cast(kind))
+        for tolerance in (0, 7, 60, 10**6):
+            folded = sorted(map(str, reconcile.anchors(v, ["k"], "t", tolerance, 10**9).collect()))
+            assert sorted(map(str, reconcile.anchors(v, ["k"], "t", tolerance).collect())) == folded and folded

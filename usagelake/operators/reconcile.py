@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from usagelake.dims import MIN_COST_PER_PERCENT, RESET_JITTER_S
 from usagelake.operators import blocks
 from usagelake.operators.fold import fold
+from usagelake.session import materialized
+from usagelake.sources import markers
 
 
 def run_ends(df: DataFrame, key: list[str], order: list[str], same: Column) -> DataFrame:
@@ -54,14 +56,17 @@ def anchored_run_ends(df: DataFrame, key: list[str], order: list[str], state: li
     return fold(df, key, order, Run, step, df.schema, end)
 
 
-def anchors(values: DataFrame, key: list[str], value: str, tolerance: float = RESET_JITTER_S) -> DataFrame:
-    """(key, anchor): a value more than `tolerance` after its cluster's first starts a new cluster. Only distinct values are folded."""
+def anchors(values: DataFrame, key: list[str], value: str, tolerance: float = RESET_JITTER_S, hot_rows: int | None = None) -> DataFrame:
+    """(key, anchor): a value more than `tolerance` after its cluster's first starts a new cluster. Only distinct values are looked at; keys of
+    more than `hot_rows` of them are not folded by one task but followed by jump pointers."""
 
     class Last:
         at = None
 
     names = [*key, "anchor"]
     source = values.where(F.col(value).isNotNull()).select(*key, F.col(value).alias("anchor")).distinct()
+    if blocks.hot(source, key, hot_rows):
+        return _jumped_anchors(source, key, tolerance)
 
     def step(last: Last, r) -> list[tuple]:
         if last.at is not None and r.anchor - last.at <= tolerance:
@@ -72,6 +77,40 @@ def anchors(values: DataFrame, key: list[str], value: str, tolerance: float = RE
     return fold(source, key, ["anchor"], Last, step, source.schema)
 
 
+def _jumped_anchors(source: DataFrame, key: list[str], tolerance: float) -> DataFrame:
+    """The anchors among distinct values. The next anchor after a value is the least value more than `tolerance` above it: a value carried back
+    over blocks of the values and of where each looks from. Anchors are what is reached from each key's least value; a round joins what is
+    reached with jumps of twice the length of the round before, so n anchors take some log2(n) joins over all tasks."""
+    kind = dict(source.dtypes)["anchor"]
+    look = source.select(*key, (-(F.col("anchor") + F.lit(tolerance).cast(kind))).alias("_at"), F.lit(0).alias("_o"), F.col("anchor").alias("_from"), F.lit(None).cast(kind).alias("_v"))
+    there = source.select(*key, (-F.col("anchor")).alias("_at"), F.lit(1).alias("_o"), F.lit(None).cast(kind).alias("_from"), F.col("anchor").alias("_v"))
+    order = ["_at", "_o"]  # falling values: what was met before is greater; a value equal to where one looks from comes after it
+    seen = blocks.running(blocks.blocked(look.unionByName(there), key, order), key, order, lasts={"to": "_v"}).where("_o = 0 and to is not null")
+    mark = lambda df: df.select(*(F.col(c) for c in key), "anchor")
+    jump, path = materialized(seen.select(*key, F.col("_from").alias("anchor"), "to"), "anchor-jumps")
+    reach, at = materialized(source.groupBy(*key).agg(F.min("anchor").alias("anchor")), "anchors")
+    spark, size, stale = source.sparkSession, reach.count(), [path, at]
+
+    def joined(left: DataFrame, right: DataFrame, col: str) -> DataFrame:
+        """left with `to` of the jump from its column, for equal keys, nulls among them."""
+        r = right.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(key)), F.col("anchor").alias("_from"), F.col("to").alias("_to"))
+        same = F.col(col) == F.col("_from")
+        for i, c in enumerate(key):
+            same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+        return left.join(r, same)
+
+    while True:
+        more = joined(reach, jump, "anchor").select(*key, F.col("_to").alias("anchor"))
+        reach, at = materialized(mark(reach.unionByName(more).distinct()), "anchors")
+        if (n := reach.count()) == size:
+            break
+        size = n
+        jump, path = materialized(joined(jump, jump, "to").select(*key, "anchor", F.col("_to").alias("to")), "anchor-jumps")
+        stale += [at, path]
+    markers.delete(spark, *(x for x in stale if x != at))
+    return reach
+
+
 def with_cycle(df: DataFrame, key: list[str], value: str, tolerance: float = RESET_JITTER_S) -> DataFrame:
     """Add cycle: the anchor of the row's cluster, found with a running maximum over rows and anchors; null values have none."""
     a = anchors(df, key, value, tolerance)

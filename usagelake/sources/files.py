@@ -154,6 +154,27 @@ def manifest(spark: SparkSession, root: str, max_files: int = 10_000, max_bytes:
     return files.select(F.col("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
 
 
+def cached_manifest(spark: SparkSession, root: str, cache: DataFrame | None, now: float, max_age_s: float = 3600, max_files: int = 10_000, max_bytes: int = 512 * 2**20) -> DataFrame:
+    """(path, size, modified, sha256, verified_at) of a tree, as `manifest`, from an earlier result: only files that are new, have another
+    size or time, or were last read `max_age_s` seconds before `now` (seconds since 1970) or earlier are read. An error if one changes
+    while it is read. The listing alone is looked at for all others; the paths to read are at most `max_files`."""
+    tree = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    listed = tree.load(root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    n, size = listed.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    if n > max_files or size > max_bytes:
+        raise ValueError(f"the tree holds {n} files of {size} bytes")
+    known = cache.where(F.col("verified_at") > now - max_age_s) if cache is not None else spark.createDataFrame([], "path string, size long, modified timestamp, sha256 string, verified_at double")
+    kept = listed.join(known, ["path", "size", "modified"])
+    stale = listed.join(kept, "path", "left_anti")
+    paths = [r.path for r in stale.select("path").collect()]
+    if not paths:
+        return kept
+    read = spark.read.format("binaryFile").load(paths).select("path", F.struct(F.col("length").alias("size"), F.col("modificationTime").alias("modified")).alias("seen"), F.sha2("content", 256).alias("sha256"))
+    same = F.col("seen") == F.struct("size", "modified")
+    digest = F.when(same, F.col("sha256")).otherwise(F.raise_error(F.concat(F.lit("changed while it was read: "), "path")))
+    return kept.unionByName(stale.join(read, "path").select("path", "size", "modified", digest.alias("sha256"), F.lit(float(now)).alias("verified_at")))
+
+
 def changed_files(now: DataFrame, before: DataFrame) -> DataFrame:
     """Files to read again: new ones and those of another size or time. Unchanged files are not opened."""
     b = before.select("path", F.col("size").alias("_s"), F.col("modified").alias("_m"))

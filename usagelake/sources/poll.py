@@ -18,9 +18,13 @@ import json
 import os
 import time
 import urllib.error
+import urllib.parse
 import urllib.request
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 SCHEMA = "url string, poll long, checked_at double, body string, error string"
@@ -47,6 +51,53 @@ def fetch(url: str, headers: dict[str, str], timeout: float, retries: int, patie
         time.sleep(pause)
 
 
+def _strong(marker: str | None) -> str | None:
+    """An entity tag that stands for its bytes; weak ones do not."""
+    return marker if marker and not marker.startswith("W/") else None
+
+
+def read_if_changed(resources: DataFrame, timeout: float = 10) -> DataFrame:
+    """resources(url, marker) with changed, body (binary), marker and error: a body only where the server's entity tag is another than the
+    marker (null: none is known), asked for by a conditional request. Executors ask side by side; a server without strong tags is an error
+    of its row."""
+
+    def ask(url: str, marker: str | None) -> tuple:
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url, headers={"If-None-Match": marker} if marker else {}), timeout=timeout) as r:
+                body, tag = r.read(), _strong(r.headers.get("ETag"))
+                return (url, True, body, tag, None) if tag else (url, None, None, marker, "no strong entity tag")
+        except urllib.error.HTTPError as e:
+            return (url, False, None, marker, None) if e.code == 304 else (url, None, None, marker, f"HTTP {e.code}")
+        except OSError as e:
+            return url, None, None, marker, f"network: {e}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([ask(u, m) for u, m in zip(b["url"], b["marker"].astype(object).where(b["marker"].notna(), None))], columns=["url", "changed", "body", "marker", "error"])
+
+    return resources.select("url", "marker").mapInPandas(run, "url string, changed boolean, body binary, marker string, error string")
+
+
+def remote_listing(responses: DataFrame) -> DataFrame:
+    """(url, name, marker) of the entries of WebDAV folders: responses(url, body) are the answers to a PROPFIND of depth 1. The folder itself
+    and what lies elsewhere are no entries; weak tags are no markers."""
+
+    def entries(url: str, body: str) -> list[tuple]:
+        own, out = urllib.parse.urlparse(url).path.rstrip("/") + "/", {}
+        for node in (n for n in ElementTree.fromstring(body).iter() if n.tag.rpartition("}")[2] == "response"):
+            said = {n.tag.rpartition("}")[2]: n.text for n in reversed(list(node.iter())) if n.text and n.text.strip()}
+            path = urllib.parse.urlparse(said.get("href", "")).path
+            if path.startswith(own) and path.rstrip("/") != own.rstrip("/"):
+                out[urllib.parse.unquote(path[len(own) :].strip("/"))] = _strong(said.get("getetag"))
+        return [(url, name, out[name]) for name in sorted(out)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([r for u, x in zip(b["url"], b["body"]) for r in entries(u, x)], columns=["url", "name", "marker"])
+
+    return responses.select("url", "body").mapInPandas(run, "url string, name string, marker string")
+
+
 class _Settings:
     def __init__(self, options: dict):
         self.urls = [u for u in options.get("url", "").split(",") if u]
