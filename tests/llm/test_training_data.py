@@ -680,3 +680,16 @@ def test_projections_grow_with_the_label():
 def test_queries_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 11))
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_a_bitmap_never_loses_an_id(spark, monkeypatch):
+    from usagelake.llm import common
+
+    ids = spark.createDataFrame([(i * 7919 - 40_000,) for i in range(3000)] + [(None,)], "k long")
+    rows = spark.range(-60_000, 60_000).select(F.when(F.col("id") % 50 != 0, F.col("id")).alias("id"), F.lit("x").alias("_bucket_"))
+    for bits in (1 << 15, 1 << 29):  # full, and roomy
+        monkeypatch.setattr(common, "MOST_BITS", bits)
+        told = common.perhaps(rows, F.col("id"), ids)
+        assert told.count() == rows.count() and told.where("not _maybe").join(ids, F.col("id") == F.col("k")).count() == 0
+        assert told.where("_maybe").count() < 0.2 * rows.count()
+    assert common.perhaps(rows, F.col("id"), ids.where("false")).where("_maybe").count() == 0

@@ -11,14 +11,14 @@ from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelake.session import shared_dir
 
 _log: ContextVar[list[str] | None] = ContextVar("written", default=None)
 _kept: dict[tuple, object] = {}
-FEW = 200_000  # rows of ids up to which a side is broadcast: some 2 MB
+MOST_BITS = 1 << 29  # places of a filter that goes to every task: 64 MB
 SALTS = 16
 HOT = 200  # edges of a centre, and a thousandth of all, from which on they are dealt to several tasks
 
@@ -41,9 +41,26 @@ def give_back() -> None:
         trim(0)
 
 
-def few(df: DataFrame) -> DataFrame:
-    """df, of a long or so a row, with a broadcast hint if its rows are counted to be few; otherwise Spark shuffles both sides."""
-    return F.broadcast(df) if df.count() <= FEW else df
+def _bit(bitmap: Column, place: Column) -> Column:
+    """Whether a place (from 1) is set in the bitmap of its bucket."""
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(bitmap, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte.cast("long"), (at % 8).cast("int")) == 1
+
+
+def perhaps(df: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
+    """df with _maybe: false only where key is none of ids (one column of longs). What is true is joined exactly by the caller; all else
+    need not move. The filter is a bitmap of 16 places an id, at most MOST_BITS: its size does not grow with the data beyond 64 MB, and a
+    fuller one lets more rows through, no wrong ones."""
+    name = ids.columns[0]
+    n = ids.count()
+    bits = min(MOST_BITS, 1 << max(15, (16 * n).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c, F.lit(3)), F.lit(bits)) + 1
+    spot = place(F.col(name))
+    maps = ids.where(F.col(name).isNotNull()).groupBy(F.bitmap_bucket_number(spot).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("_map"))
+    j = df.withColumn("_place", place(key))
+    j = j.join(F.broadcast(maps), F.bitmap_bucket_number("_place") == F.col("_bucket"), "left")
+    return j.select(*df.columns, F.coalesce(_bit(F.col("_map"), F.col("_place")), F.lit(False)).alias("_maybe"))
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:

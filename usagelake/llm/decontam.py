@@ -25,7 +25,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from usagelake.llm.common import written
+from usagelake.llm.common import perhaps, written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 NEAR_WORDS, NEAR_SHARE = 5, 0.8  # proximity: words off one alignment, and the share of an item's rare terms that must stand there
@@ -122,8 +122,11 @@ def _matches(documents: DataFrame, benchmark: DataFrame, n: int, keep: list[str]
     if near:
         close = nearby(lists, anchor, NEAR_WORDS, NEAR_SHARE).join(_bounded(items.select("ik", "item_id")), "ik")
         found = found.join(close.groupBy("dk").agg(F.collect_set("item_id").alias("near")), "dk", "full")
+    found, _ = written(found, "decontam-found")
     d = documents.select(_document().alias("dk"), F.struct(*(documents[c].alias(c) for c in keep)).alias("_kept"), documents["text"].alias("_text"))
-    d = d.join(found, "dk", "left")
+    d = perhaps(d, F.col("dk"), found.select("dk"))  # texts without an alignment stay where they are
+    bare = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in found.columns if c != "dk"]
+    d = d.where("_maybe").join(found, "dk", "left").drop("_maybe").unionByName(d.where("not _maybe").drop("_maybe").select("*", *bare))
 
     def occurrences(c: Column) -> Column:
         width = F.least(F.lit(n), F.size(c["words"]))

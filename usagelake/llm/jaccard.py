@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from usagelake.llm.common import block_pairs, connected_components, each_group, few, forest, give_back, kept_in_worker, written
+from usagelake.llm.common import block_pairs, connected_components, each_group, perhaps, forest, give_back, kept_in_worker, written
 
 WORD = re.compile(r"\w+")
 BLOCK = 256  # representatives in a block
@@ -237,7 +237,8 @@ def _with_grams(df: DataFrame, docs: DataFrame, n: int) -> DataFrame:
         give_back()
 
     schema = StructType([*df.schema.fields, StructField("grams", BinaryType())])
-    return docs.join(df, docs.doc_id == df.rep).select(*df.columns, docs._text).mapInArrow(run, schema)
+    some = perhaps(docs.select("doc_id", "_text"), F.col("doc_id"), df.select("rep").distinct()).where("_maybe")  # other texts stay where they are
+    return some.join(df, some.doc_id == df.rep).select(*df.columns, some._text).mapInArrow(run, schema)
 
 
 def near_duplicates(documents: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9995, keep: list[str] = ()) -> DataFrame:
@@ -301,9 +302,13 @@ def one_of_each(documents: DataFrame, threshold: float = 0.8, n: int = 5, recall
     first = near.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull(), "own", "doc_id")).alias("f")).select("component_id", F.col("f.doc_id").alias("first"))
     gone, _ = written(near.join(first, "component_id").where(F.col("doc_id") != F.col("first")).select(F.col("doc_id").alias("_row")).distinct(), "jaccard-gone")
     again = near.where("rows > 1").select(F.col("doc_id").alias("_row"))
-    d = documents.select(F.struct(*(documents[c].alias(c) for c in documents.columns)).alias("_whole"), row.alias("_row")).join(few(gone), "_row", "left_anti")
+    d = documents.select(F.struct(*(documents[c].alias(c) for c in documents.columns)).alias("_whole"), row.alias("_row"))
+    d = perhaps(d, F.col("_row"), gone)  # only rows that may be gone move to be looked up
+    d = d.where("not _maybe").unionByName(d.where("_maybe").join(gone, "_row", "left_anti")).drop("_maybe")
     if again.limit(1).count():
         told = F.xxhash64(*(F.col("_whole")[c] for c, kind in documents.dtypes if not kind.startswith(("map", "variant"))))
-        one = d.join(again, "_row", "left_semi").groupBy("_row").agg(F.min_by("_whole", told).alias("_whole"))
-        d = d.join(again, "_row", "left_anti").unionByName(one.select("_whole", "_row"))
+        d = perhaps(d, F.col("_row"), again)
+        some = d.where("_maybe").drop("_maybe")
+        one = some.join(again, "_row", "left_semi").groupBy("_row").agg(F.min_by("_whole", told).alias("_whole"))
+        d = d.where("not _maybe").drop("_maybe").unionByName(some.join(again, "_row", "left_anti")).unionByName(one.select("_whole", "_row"))
     return d.select(*(F.col("_whole")[c].alias(c) for c in documents.columns))
