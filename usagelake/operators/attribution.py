@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from usagelake.operators import blocks
+from usagelake.sources.sinks import commit_tables, read_tables
 
 
 def as_of(left: DataFrame, right: DataFrame, key: list[str], left_ts: str, right_ts: str, right_order: list[str], values: list[str], hot_rows: int | None = None) -> DataFrame:
@@ -85,3 +86,13 @@ def relabel_trees(df: DataFrame, body: str, account: str, label: str) -> DataFra
         return (json.dumps(value, ensure_ascii=False), n) if n else (text, 0)
 
     return df.withColumn("_r", renamed(body)).withColumns({body: F.col("_r.body"), "changes": F.col("_r.changes")}).drop("_r")
+
+
+def relabel_tables(spark: SparkSession, root: str, names: list[str], body: str, account: str, label: str) -> int:
+    """Relabel an account in several committed tables of JSON texts (see `sinks.commit_tables`), all of them or none: the tables become visible
+    together, and a failure leaves the labels of before in all. Returns how many objects had another label; without any nothing is written."""
+    now = {n: relabel_trees(df, body, account, label) for n, df in read_tables(spark, root, names).items()}
+    changes = sum(df.agg(F.coalesce(F.sum("changes"), F.lit(0))).first()[0] for df in now.values())
+    if changes:
+        commit_tables(spark, root, {n: df.drop("changes") for n, df in now.items()})
+    return changes

@@ -93,12 +93,20 @@ def expand_grouped(rows: DataFrame, text: str = "value") -> DataFrame:
 
 
 def pack_models(events: DataFrame, tolerance: float = 1e-8) -> DataFrame:
-    """The inverse: events of one time, window and account, with percents proportional to cost, as one row with models; others as they are."""
-    key = ["window", "checkedAt", "accountSlotId"]
-    g = events.groupBy(*key).agg(F.sum("deltaPercent").alias("p"), F.sum("deltaCostUsd").alias("c"), F.array_sort(F.collect_list(F.struct("model", "deltaPercent", "deltaCostUsd"))).alias("parts"))
-    even = F.forall("parts", lambda x: F.abs(x["deltaPercent"] - F.col("p") * x["deltaCostUsd"] / F.nullif(F.col("c"), F.lit(0.0))) <= tolerance)
-    joined = (F.size("parts") > 1) & F.coalesce(even, F.lit(False))
-    return g.select(*key, F.col("p").alias("deltaPercent"), F.col("c").alias("deltaCostUsd"), F.when(joined, "models").otherwise("list").alias("form"), F.when(joined, F.transform("parts", lambda x: F.struct(x["model"].alias("model"), F.lit(None).cast("double").alias("deltaPercent"), x["deltaCostUsd"].alias("deltaCostUsd")))).otherwise(F.col("parts")).alias("parts"))
+    """The inverse: the events of one time and window as one row, with their models where they are a split, else as a list.
+
+    A split has two events or more, of one account, all with a model, a percent, a cost and a ratio; its sums are positive, its percents are
+    proportional to cost, and its ratios (costPercentRatio, or else cost over percent) are equal, within the tolerance.
+    """
+    ratio_ = F.col("costPercentRatio") if "costPercentRatio" in events.columns else F.col("deltaCostUsd") / F.nullif(F.col("deltaPercent"), F.lit(0.0))
+    one = F.struct("model", "accountSlotId", "deltaPercent", "deltaCostUsd", ratio_.alias("ratio"))
+    g = events.groupBy("window", "checkedAt").agg(F.round(F.sum("deltaPercent"), 8).alias("p"), F.sum("deltaCostUsd").alias("c"), F.array_sort(F.collect_list(one)).alias("parts"))
+    first = F.col("parts")[0]
+    whole = F.forall("parts", lambda x: x["model"].isNotNull() & x["deltaPercent"].isNotNull() & x["deltaCostUsd"].isNotNull() & x["ratio"].isNotNull() & x["accountSlotId"].eqNullSafe(first["accountSlotId"]))
+    even = F.forall("parts", lambda x: (F.abs(x["deltaPercent"] - F.col("p") * x["deltaCostUsd"] / F.col("c")) <= tolerance) & (F.abs(x["ratio"] - first["ratio"]) <= tolerance))
+    joined = F.coalesce((F.size("parts") > 1) & whole & (F.col("p") > 0) & (F.col("c") > 0) & even, F.lit(False))
+    part = lambda x, split: F.struct(x["model"].alias("model"), (F.lit(None).cast("string") if split else x["accountSlotId"]).alias("accountSlotId"), (F.lit(None).cast("double") if split else x["deltaPercent"].cast("double")).alias("deltaPercent"), x["deltaCostUsd"].cast("double").alias("deltaCostUsd"))
+    return g.select("window", "checkedAt", F.when(joined, first["accountSlotId"]).alias("accountSlotId"), F.col("p").alias("deltaPercent"), F.col("c").alias("deltaCostUsd"), F.when(joined, "models").otherwise("list").alias("form"), F.when(joined, F.transform("parts", lambda x: part(x, True))).otherwise(F.transform("parts", lambda x: part(x, False))).alias("parts"))
 
 
 def positive_deltas(percent: str, cost: str, *windows: DataFrame) -> DataFrame:

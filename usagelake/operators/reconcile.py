@@ -231,6 +231,35 @@ def merged_view(local: DataFrame, cache: DataFrame, machine: str) -> DataFrame:
     return merge_tokens(both.withColumn("account_key", account_key(F.col("account_id"), F.col("account_slot"))), ["account_key", "session_id"])
 
 
+def merged_datasets(local: dict[str, DataFrame], cache: dict[str, DataFrame], machine: str, accounts: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The merged view of all three datasets: cost, quota and token rows of this machine and, from the cache, of the others.
+
+    Cached rows take the slot and label that `accounts` (account_id, account_slot, account_label) gives their account; those of other
+    accounts keep their own. Cost rows need record_type, record_key and seq, quota rows checked_at, window and seq, token rows what
+    `merge_tokens` needs, and all of them origin, account_id and account_slot.
+    """
+
+    def both(kind: str) -> DataFrame:
+        other = cache[kind].where(F.col("origin") != machine)
+        if accounts is not None:
+            mapped = accounts.select("account_id", F.struct("account_slot", "account_label").alias("_to"))
+            own = lambda c: F.coalesce(F.col(f"_to.{c}"), F.col(c) if c in other.columns else F.lit(None).cast("string")).alias(c)
+            rest = [c for c in other.columns if c not in ("account_slot", "account_label")]
+            other = other.join(mapped, "account_id", "left").select(*rest, own("account_slot"), own("account_label"))
+        return local[kind].unionByName(other, allowMissingColumns=True).withColumn("account_key", account_key(F.col("account_id"), F.col("account_slot")))
+
+    return {"cost": merge_costs(both("cost"), "seq"), "quota": merge_windows(both("quota"), ["account_key", "checked_at"], "seq", False), "token": merge_tokens(both("token"), ["account_key", "session_id"])}
+
+
+def resolved_accounts(rows: DataFrame, accounts: DataFrame) -> DataFrame:
+    """rows whose account id still stands for a slot of this machine (`local:`) with the account that the slot has now, by accounts
+    (account_slot, account_id); their record id and origin go, so that they are stamped anew. Others stay as they are."""
+    known = accounts.where(F.col("account_id").isNotNull() & ~F.col("account_id").startswith("local:")).select("account_slot", F.col("account_id").alias("_now"))
+    j = rows.join(known, "account_slot", "left").withColumn("_new", F.coalesce(F.col("account_id").startswith("local:") & F.col("_now").isNotNull(), F.lit(False)))
+    value = {"account_id": F.col("_now"), "record_id": F.lit(None), "origin": F.lit(None)}
+    return j.select(*(F.when(F.col("_new"), value[c]).otherwise(F.col(c)).alias(c) if c in value else F.col(c) for c in rows.columns))
+
+
 def quota_order(ts: str = "checked_ts", raw: str = "checked_at", account: str = "account_slot") -> list[Column]:
     """The order of quota rows: those without a time last, then by time, by the text of the time, and by account."""
     return [F.col(ts).isNull(), F.coalesce(ts, F.lit(0)), F.col(raw), F.col(account)]

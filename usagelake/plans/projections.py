@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, MapType, StringType, StructField, StructType
 
+from usagelake.dims import WINDOWS
 from usagelake.functions.scalars import or_unknown, significant
 from usagelake.operators.fold import fold
 from usagelake.operators.tokens import normalize_totals
@@ -97,23 +98,39 @@ def _percent(x: Column) -> Column:
     return F.when(x.isNull(), "-").otherwise(F.concat(significant(x, 4), F.lit("%")))
 
 
-def delta_text(events: DataFrame) -> DataFrame:
+def _moment(c: str) -> Column:
+    """A time as it was said, with the same moment in the session's zone behind it where it is one: console output, fixed text."""
+    at = F.try_to_timestamp(F.col(c))
+    local = F.concat(F.col(c), F.lit(" (local "), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ssxxx"), F.lit(")"))
+    return F.when(F.coalesce(c, F.lit("")) == "", "-").otherwise(F.coalesce(local, F.col(c)))
+
+
+def delta_text(events: DataFrame, windows: DataFrame | None = None, key: list[str] = ()) -> DataFrame:
     """Add line: a valid event of (checked_at, window, model, delta_percent, delta_cost, cost_percent_ratio, cumulative_percent,
-    cumulative_cost, plan, multiplier)."""
+    cumulative_cost, plan, multiplier). windows(key, window, percent, plan, multiplier): what each window shows now, said at the end."""
     s = lambda c, n=6: significant(F.col(c), n)
-    text = F.concat(F.lit("[delta] "), or_unknown("checked_at", "-"), F.lit(" "), F.col("window"), F.lit(" "), or_unknown("model"), F.lit(" +"), s("delta_percent", 4), F.lit("% / +$"), s("delta_cost"), F.lit("; ratio $"), s("cost_percent_ratio"), F.lit("/%; cumulative "), s("cumulative_percent", 4), F.lit("% / $"), s("cumulative_cost"), F.lit("; event plan "), or_unknown("plan"), F.lit(" ("), significant(F.coalesce("multiplier", F.lit(1.0)), 6), F.lit("x)"))
-    return events.withColumn("line", text)
+    text = [F.lit("[delta] "), _moment("checked_at"), F.lit(" "), F.col("window"), F.lit(" "), or_unknown("model"), F.lit(" +"), s("delta_percent", 4), F.lit("% / +$"), s("delta_cost"), F.lit("; ratio $"), s("cost_percent_ratio"), F.lit("/%; cumulative "), s("cumulative_percent", 4), F.lit("% / $"), s("cumulative_cost"), F.lit("; event plan "), or_unknown("plan"), F.lit(" ("), significant(F.coalesce("multiplier", F.lit(1.0)), 6), F.lit("x)")]
+    if windows is None:
+        return events.withColumn("line", F.concat(*text))
+    if not key:
+        raise ValueError("windows are those of an account: name its columns")
+    now = windows.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("window", F.struct("percent", "plan", "multiplier")))).alias("_now"))
+    j = events.join(now, list(key), "left")
+    for label in WINDOWS:
+        w = F.col("_now")[label]
+        text += [F.lit("; current " if label == next(iter(WINDOWS)) else ", "), F.lit(f"{label} "), _percent(w["percent"]), F.lit(" ["), or_unknown(w["plan"]), F.lit(" "), significant(F.coalesce(w["multiplier"], F.lit(1.0)), 6), F.lit("x]")]
+    return j.withColumn("line", F.concat(*text)).drop("_now")
 
 
 def warning_text(events: DataFrame) -> DataFrame:
     """The rows of a ledger with a ratio warning, with line."""
     s = lambda c: significant(F.col(c), 6)
-    text = F.concat(F.lit("[warning] "), or_unknown("checked_at", "-"), F.lit(" "), F.col("window"), F.lit(" "), or_unknown("model"), F.lit(" cost/percent ratio $"), s("cost_percent_ratio"), F.lit("/% deviates from average $"), s("average_ratio"), F.lit("/% ("), s("ratio_deviation"), F.lit("x)"))
+    text = F.concat(F.lit("[warning] "), _moment("checked_at"), F.lit(" "), F.col("window"), F.lit(" "), or_unknown("model"), F.lit(" cost/percent ratio $"), s("cost_percent_ratio"), F.lit("/% deviates from average $"), s("average_ratio"), F.lit("/% ("), s("ratio_deviation"), F.lit("x)"))
     return events.where("ratio_deviation_warning").withColumn("line", text)
 
 
 def special_text(events: DataFrame) -> DataFrame:
     """Add line: a special event of (checked_at, window, reason, previous_percent, current_percent, reasons)."""
     why = F.when(F.coalesce("reasons", F.lit("")) != "", F.concat(F.lit(" reasons "), F.col("reasons"))).otherwise("")
-    text = F.concat(F.lit("[event] "), or_unknown("checked_at", "-"), F.lit(" "), or_unknown("window", "?"), F.lit(" "), or_unknown("reason", "special-event"), F.lit("; baseline "), _percent(F.col("previous_percent")), F.lit(" -> "), _percent(F.coalesce("current_percent", "previous_percent")), why)
+    text = F.concat(F.lit("[event] "), _moment("checked_at"), F.lit(" "), or_unknown("window", "?"), F.lit(" "), or_unknown("reason", "special-event"), F.lit("; baseline "), _percent(F.col("previous_percent")), F.lit(" -> "), _percent(F.coalesce("current_percent", "previous_percent")), why)
     return events.withColumn("line", text)

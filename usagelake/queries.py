@@ -151,6 +151,34 @@ def q_saved_totals(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.normalize_totals(e).select("event_id", "input", "cached", "cache_write", "fresh")
 
 
+@query(f"""WITH {E}, p AS (SELECT event_id // 3 AS g, event_id % 3 AS i, k + 1 AS c, CASE WHEN event_id // 3 % 3 = 0 THEN 2.0 * (k + 1) ELSE k + 0.5 END AS p, CASE WHEN event_id // 3 % 4 = 1 THEN event_id % 2 ELSE 0 END AS a FROM e),
+t AS (SELECT g, count(*) AS n, count(DISTINCT a) AS accounts, sum(p) AS p, sum(c) AS c FROM p GROUP BY 1),
+j AS (SELECT g, n, accounts, bool_and(abs(p.p - t.p * p.c / t.c) <= 1e-8) AND max(p.c / p.p) - min(p.c / p.p) <= 1e-8 AS even FROM p JOIN t USING (g) GROUP BY ALL)
+SELECT t.g AS checked_at, CASE WHEN t.n > 1 AND t.accounts = 1 AND even THEN 'models' ELSE 'list' END AS form, t.n AS parts, CAST(round(t.p, 8) AS DOUBLE) AS delta_percent FROM t JOIN j USING (g)""")
+def q_pack_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of one time as a split where accounts, percents and ratios allow it."""
+    g, c = F.floor(F.col("event_id") / 3), (F.col("k") + 1).cast("double")
+    p = F.when(g % 3 == 0, 2.0 * c).otherwise(F.col("k") + 0.5)
+    account = F.when(g % 4 == 1, F.col("event_id") % 2).otherwise(0).cast("string")
+    e = ev(spark, sf).select(F.lit("5h").alias("window"), g.alias("checkedAt"), F.concat(F.lit("m"), F.col("event_id") % 3).alias("model"), account.alias("accountSlotId"), p.alias("deltaPercent"), c.alias("deltaCostUsd"))
+    return deltas.pack_models(e).select(F.col("checkedAt").alias("checked_at"), "form", F.size("parts").alias("parts"), F.col("deltaPercent").alias("delta_percent"))
+
+
+@query(f"""WITH {E}, own AS (SELECT user_id % 50 AS u, event_id, k FROM e WHERE event_id % 3 = 0), other AS (SELECT user_id % 50 AS u, event_id, k, event_id % 5 = 0 AS mine FROM e WHERE event_id % 3 <> 0),
+q AS (SELECT 'a' || u AS account_key, k % 7 AS checked_at, event_id AS seq, k FROM own UNION ALL SELECT CASE WHEN u % 2 = 0 THEN 'a' || u ELSE 'local:' || CASE WHEN u % 3 = 0 THEN 's' ELSE 'x' END END, k % 7, event_id, k FROM other WHERE NOT mine)
+SELECT account_key, CAST(checked_at AS VARCHAR) AS checked_at, CAST(arg_max(k, seq) AS DOUBLE) AS used_percent FROM q GROUP BY 1, 2""")
+def q_merged_quota(spark: SparkSession, sf: str) -> DataFrame:
+    """M9: quota rows of this machine and of others' cached ones that are not its own, by account and time, the later ones winning."""
+    u = F.col("user_id") % 50
+    row = lambda where, account, slot, origin: ev(spark, sf).where(where).select(account.alias("account_id"), slot.alias("account_slot"), (F.col("k") % 7).cast("string").alias("checked_at"), F.lit("5h").alias("window"), F.col("k").cast("double").alias("used_percent"), F.lit("r").alias("reset_at"), F.lit("plus").alias("plan"), F.col("event_id").alias("seq"), origin.alias("origin"))
+    named = F.concat(F.lit("a"), u)
+    local = row("event_id % 3 = 0", named, F.lit("s"), F.lit("me"))
+    cache = row("event_id % 3 <> 0", F.when(u % 2 == 0, named), F.when(u % 3 == 0, "s").otherwise("x"), F.when(F.col("event_id") % 5 == 0, "me").otherwise("you"))
+    none = local.limit(0).withColumns({"record_type": F.lit("costInterval"), "record_key": F.lit("k"), "session_id": F.lit("s"), "updated_ts": F.lit(0), "total_tokens": F.lit(0), "content_hash": F.lit("h")})
+    merged = reconcile.merged_datasets({"cost": none, "quota": local, "token": none}, {"cost": none, "quota": cache, "token": none}, "me")["quota"]
+    return merged.select("account_key", "checked_at", "used_percent")
+
+
 _A, _B = dims.PRICES["gpt-5.4"], dims.PRICES["gpt-5.6-sol"]
 
 
