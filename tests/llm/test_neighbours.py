@@ -91,3 +91,21 @@ def test_query_on_the_table(spark):
     assert got.keys() == want.keys()
     hits = sum(len({i for _, i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
     assert hits >= 0.99 * sum(map(len, want.values()))
+
+
+def test_queries_from_outside_start_from_seeds(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1200, 12))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    half = lambda m, last: [bytearray(np.append(v, last).astype(np.float16).tobytes()) for v in m]
+    points = spark.createDataFrame(list(enumerate(half(x, 0))), "node long, u binary")
+    q = rng.normal(size=(30, 12))
+    q /= np.linalg.norm(q, axis=1)[:, None]
+    graph = neighbours.nn_descent(points)
+    rows, table = neighbours.stored(graph)
+    asked = spark.createDataFrame([(i, b, None) for i, b in enumerate(half(q, 0))], "query long, q binary, start long")
+    seeds = points.orderBy(F.xxhash64("node")).limit(64)
+    found = {r.query: set(r.ids[:10]) for r in neighbours.search(rows, asked, seeds).collect()}
+    spark.sql(f"DROP TABLE {table}")
+    truth = np.argsort(-(q @ x.T), axis=1)[:, :10]
+    assert np.mean([len(found[i] & set(truth[i].tolist())) / 10 for i in range(30)]) > 0.97

@@ -10,7 +10,7 @@
    scores above a point's worst entry are sent back. It ends when few entries are new.
 4. Search: each query keeps its best `beam` points and expands all that it has not expanded, by a join with the graph, whose rows hold
    the neighbours' vectors beside their ids and are stored in buckets, so that only the queries' rows move; it ends when few of the
-   beams' points are left to expand. A query starts from its own point, if it is in the graph, and from a few seeds.
+   beams' points are left to expand. A query starts from its own point or, if the graph has none, from the best of some seeds.
 5. The best of each beam, all whose score in half precision may still be among the k best, are scored in double precision on the
    original vectors; copies are given back by their smallest ids.
 
@@ -43,7 +43,8 @@ ROUNDS = 4
 FRESH = 0.05  # share of new entries below which the descent ends
 OPEN = 0.02  # share of unexpanded beam entries below which the search ends
 BEAM = 256
-SEEDS = 32
+SEEDS = 512  # points that a query without one of its own is compared with first, and
+ENTRIES = 16  # how many of them, the best, it starts from
 SAMPLE = 20_000  # points that the hyperplanes' medians are taken from
 LISTS = "ids array<long>, scores array<float>"
 
@@ -309,10 +310,15 @@ def search(rows: DataFrame, queries: DataFrame, seeds: DataFrame, beam: int = BE
         for b in batches:
             ids, scores = [], []
             for q, start in zip(b.column("q").to_pylist(), b.column("start").to_pylist()):
-                same = [i for i, u in enumerate(raw) if len(u) == len(q) and names[i] != start]
-                s = _matrix([raw[i] for i in same]) @ _matrix([q])[0] if same else np.zeros(0, np.float32)
-                ids.append(([start] if start is not None else []) + names[same].tolist())
-                scores.append(([np.inf] if start is not None else []) + s.tolist())
+                if start is not None:  # only its own: what all queries shared would be a hot key of the join
+                    ids.append([start])
+                    scores.append([np.inf])
+                    continue
+                same = np.array([i for i, u in enumerate(raw) if len(u) == len(q)], np.int64)
+                s = _matrix([raw[i] for i in same]) @ _matrix([q])[0] if len(same) else np.zeros(0, np.float32)
+                best = np.argsort(-s, kind="stable")[:ENTRIES]
+                ids.append(names[same[best]].tolist())
+                scores.append(s[best].tolist())
             yield pa.RecordBatch.from_arrays([b.column("query"), b.column("q"), pa.array(ids, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float32())), pa.array([[False] * len(x) for x in ids], pa.list_(pa.bool_()))], names=["query", "q", "ids", "scores", "done"])
 
     kind = f"query long, q binary, {LISTS}, done array<boolean>"
