@@ -34,7 +34,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of a score under 0.7. The model is trained on the labelled rows of docs that are not held out; without any of both labels
     it scores 0.5 throughout, and all rows stay."""
     model = toxicity.train(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _columns(toxicity.score(_rows(docs), model, ["row"], "toxicity").where("toxicity < 0.7"), docs)
+    return _columns(toxicity.score(_rows(docs).select("row"), model, ["row"], "toxicity", inside="row").where("toxicity < 0.7"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -287,19 +288,24 @@ def train(spark: SparkSession, documents: DataFrame, labels: DataFrame, max_docs
     return model
 
 
-def score(documents: DataFrame, model: BiGRU, keep: list[str] = ("doc_id",), out: str = "score") -> DataFrame:
-    """The columns `keep` and `out` double: the maximum over all overlapping windows of the whole text."""
+def score(documents: DataFrame, model: BiGRU, keep: list[str] = ("doc_id",), out: str = "score", inside: str | None = None) -> DataFrame:
+    """The columns `keep` and `out` double: the maximum over all overlapping windows of the whole text. inside: a struct of `keep` whose
+    field `text` is the text, which then goes to the task once."""
     handle = documents.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary limits of fit
-    kept = documents.select(*keep, documents["text"].alias("_scored"))
+    kept = documents.select(*keep, *([] if inside else [documents["text"].alias("_scored")]))
     key = uuid.uuid4().hex
-    schema = StructType([*kept.schema.fields[:-1], StructField(out, DoubleType(), False)])
+    back = kept.schema.fields[: len(keep)]
+    schema = StructType([*back, StructField(out, DoubleType(), False)])
+    place = list(keep).index(inside) if inside else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = kept_in_worker(("toxicity", key), lambda: Scorer(handle.value))
         for b in batches:
-            if b.num_rows:
-                s = scorer.scores(b.column(b.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=[*b.schema.names[:-1], out])
+            for at in range(0, b.num_rows, 1000):
+                p = b.slice(at, 1000)
+                texts = pc.struct_field(p.column(place), "text") if inside else p.column(p.num_columns - 1)
+                s = scorer.scores(texts.to_pylist())
+                yield pa.RecordBatch.from_arrays([*p.columns[: len(back)], pa.array(s, pa.float64())], names=[*p.schema.names[: len(back)], out])
         give_back()
 
     return kept.mapInArrow(run, schema)
