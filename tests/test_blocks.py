@@ -70,3 +70,5 @@ def test_hot_anchors_by_jump_pointers(spark, small):
         for tolerance in (0, 7, 60, 10**6):
             folded = sorted(map(str, reconcile.anchors(v, ["k"], "t", tolerance, 10**9).collect()))
             assert sorted(map(str, reconcile.anchors(v, ["k"], "t", tolerance).collect())) == folded and folded
+            cycles = lambda n: sorted(map(str, reconcile.with_cycle(v, ["k"], "t", tolerance, n).collect()))
+            assert tolerance == 0 or cycles(10**9) == cycles(None)

@@ -111,13 +111,18 @@ def _jumped_anchors(source: DataFrame, key: list[str], tolerance: float) -> Data
     return reach
 
 
-def with_cycle(df: DataFrame, key: list[str], value: str, tolerance: float = RESET_JITTER_S) -> DataFrame:
-    """Add cycle: the anchor of the row's cluster, found with a running maximum over rows and anchors; null values have none."""
-    a = anchors(df, key, value, tolerance)
+def with_cycle(df: DataFrame, key: list[str], value: str, tolerance: float = RESET_JITTER_S, hot_rows: int | None = None) -> DataFrame:
+    """Add cycle: the anchor of the row's cluster, found with a running last value over rows and anchors; null values have none. Keys of more
+    than `hot_rows` rows go in blocks."""
+    a = anchors(df, key, value, tolerance, hot_rows)
     marks = a.select(*key, F.col("anchor").alias(value), F.col("anchor").alias("_a"), F.lit(0).alias("_o"))
     both = df.withColumns({"_a": F.lit(None).cast(dict(a.dtypes)["anchor"]), "_o": F.lit(1)}).unionByName(marks, allowMissingColumns=True)
-    w = Window.partitionBy(*key).orderBy(F.col(value).asc_nulls_first(), "_o").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("cycle", F.when(F.col(value).isNotNull(), F.last("_a", True).over(w))).where("_o = 1").drop("_a", "_o")
+    if blocks.hot(both, key, hot_rows):
+        both = blocks.running(blocks.blocked(both, key, [value, "_o"]), key, [value, "_o"], lasts={"_last": "_a"}).drop("_block")
+    else:
+        w = Window.partitionBy(*key).orderBy(F.col(value).asc_nulls_first(), "_o").rowsBetween(Window.unboundedPreceding, 0)
+        both = both.withColumn("_last", F.last("_a", True).over(w))
+    return both.withColumn("cycle", F.when(F.col(value).isNotNull(), F.col("_last"))).where("_o = 1").drop("_a", "_o", "_last")
 
 
 def sweep(intervals: DataFrame, key: list[str], start: str, end: str, model: str, cost: str, hot_rows: int | None = None) -> DataFrame:

@@ -233,6 +233,15 @@ def q_anchor_cluster(spark: SparkSession, sf: str) -> DataFrame:
     return reconcile.with_cycle(s, ["user_id"], "s", 86400).select("event_id", "user_id", "cycle")
 
 
+@query(f"""WITH RECURSIVE {E}, o AS (SELECT DISTINCT event_type, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM e), n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY s) AS n FROM o),
+r AS (SELECT event_type, n, s, s AS anchor FROM n WHERE n = 1 UNION ALL SELECT n.event_type, n.n, n.s, CASE WHEN n.s - r.anchor <= 7200 THEN r.anchor ELSE n.s END FROM r JOIN n ON n.event_type = r.event_type AND n.n = r.n + 1)
+SELECT e.event_id, e.event_type, r.anchor AS cycle FROM e JOIN r ON e.event_type = r.event_type AND CAST(floor(epoch(e.ts)) AS BIGINT) = r.s""")
+def q_hot_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """A8 for keys of any size: anchors by jump pointers, cycles carried over blocks."""
+    s = ev(spark, sf).select("event_id", "event_type", F.unix_timestamp("ts").alias("s"))
+    return reconcile.with_cycle(s, ["event_type"], "s", 7200, hot_rows=0).select("event_id", "event_type", "cycle")
+
+
 _SWEEP = f"""WITH {E}, i AS (SELECT day, event_type AS model, CAST(k AS DOUBLE) AS a, CAST(k + 1 + event_id % 5 AS DOUBLE) AS b, CAST(v / (1 + event_id % 5) AS DECIMAL(28,12)) AS rate FROM e WHERE v > 0),
 p AS (SELECT day, a AS x FROM i UNION SELECT day, b FROM i), s AS (SELECT day, x, lead(x) OVER (PARTITION BY day ORDER BY x) AS y FROM p),
 m AS (SELECT s.day, x, y, model, sum(rate) AS rate FROM s JOIN i ON i.day = s.day AND a <= x AND b >= y GROUP BY ALL)"""
@@ -370,6 +379,15 @@ def q_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return led.select("event_id", "event_type", "cost_percent_ratio", "average_ratio", "cumulative_percent", F.col("cumulative_cost").cast("double").alias("cumulative_cost"), F.col("ratio_deviation_warning").alias("warning"))
 
 
+@query(f"""WITH {E}, f AS (SELECT event_id, ts, event_type, k, v FROM e WHERE k > 0 AND CAST(v AS DOUBLE) / k >= 0.01)
+SELECT event_id, sum(k) OVER a AS cumulative_percent, CAST(sum(v) OVER a AS DOUBLE) AS cumulative_cost, sum(k) OVER m AS model_percent, CAST(sum(v) OVER (m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE) / sum(k) OVER (m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS average_ratio
+FROM f WINDOW a AS (ORDER BY ts, event_id), m AS (PARTITION BY event_type ORDER BY ts, event_id)""")
+def q_hot_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """W4 over one key of all events, in blocks."""
+    led = deltas.ledger(ev(spark, sf).withColumn("all", F.lit("all")), ["all"], "event_type", ["ts", "event_id"], "k", "v", hot_rows=0)
+    return led.select("event_id", "cumulative_percent", F.col("cumulative_cost").cast("double").alias("cumulative_cost"), F.col("model_cumulative_percent").alias("model_percent"), "average_ratio")
+
+
 @query(f"""WITH {E}, l AS (SELECT day, event_type, sum(k) AS p, CAST(sum(v) AS DOUBLE) AS c FROM e WHERE k > 0 AND CAST(v AS DOUBLE) / k >= 0.01 GROUP BY 1, 2) SELECT day, event_type, CAST(p AS DOUBLE) AS cumulative_percent, round(c, 4) AS cumulative_cost FROM l""")
 def q_last_cumulative(spark: SparkSession, sf: str) -> DataFrame:
     """The state to go on from, per day and model."""
