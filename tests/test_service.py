@@ -141,6 +141,7 @@ def test_compaction_and_retention(spark, tmp_path):
     before = rows(spark, root, "quota")
     service.compact(spark, root)
     assert rows(spark, root, "quota") == before and len(markers.names(spark, f"{root}/rows")) == 1
+    assert service.is_committed(spark, root, "000000-000000000001") and not service.is_committed(spark, root, "000000-000000000009")
     put(tmp_path / "in", "s9", [sample(9, 9.0, 9.0)])
     run(spark, tmp_path / "in", root)
     assert len(rows(spark, root, "quota")) == 4 and len(rows(spark, root, "event")) == 3

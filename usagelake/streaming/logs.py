@@ -19,7 +19,7 @@ from usagelake.operators.tokens import COUNTERS
 from usagelake.sources import markers
 from usagelake.sources.files import log_rows, named_events
 from usagelake.sources.tail import AppendedLines
-from usagelake.streaming.service import committed, rocks
+from usagelake.streaming.service import committed, is_committed, rocks
 
 ROWS = "file string, generation long, pos long, kind string, checked_at string, model string, tier string, input long, cached long, cache_write long, output long, index long, sid string, carries boolean"
 NAMES = [f.split()[0] for f in ROWS.split(", ")]
@@ -83,7 +83,7 @@ def start(spark: SparkSession, home: str, root: str, checkpoint: str, every: str
 
     def commit(rows: DataFrame, batch: int) -> None:
         name = f"{batch:012d}"
-        if name not in committed(spark, root):
+        if not is_committed(spark, root, name):
             rows.write.mode("overwrite").parquet(f"{root}/rows/commit={name}")
             markers.create(spark, f"{root}/ledger/{name}", "")
 

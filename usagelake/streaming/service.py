@@ -100,6 +100,11 @@ def committed(spark: SparkSession, root: str) -> list[str]:
     return [n for n in found if base is None or n == base or n.split("-c")[0] > base.split("-c")[0]]
 
 
+def is_committed(spark: SparkSession, root: str, name: str) -> bool:
+    """Whether a batch was committed, by itself or as part of a compaction: batches of a run are committed in order."""
+    return name <= max((n.split("-c")[0] for n in committed(spark, root)), default="")
+
+
 def read(spark: SparkSession, root: str, kind: str) -> DataFrame:
     """The committed rows of a kind; those of quota with their readings as columns."""
     paths = [f"{root}/rows/commit={n}" for n in committed(spark, root)]
@@ -138,7 +143,7 @@ def start(samples: DataFrame, root: str, checkpoint: str, every: str | None = "9
 
     def commit(rows: DataFrame, batch: int) -> None:
         name = f"{run:06d}-{batch:012d}"
-        if name in committed(spark, root):
+        if is_committed(spark, root, name):
             return
         at = f"{root}/rows/commit={name}"
         rows.write.mode("overwrite").parquet(at)
