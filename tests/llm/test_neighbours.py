@@ -1,7 +1,6 @@
 """Approximate nearest neighbours against brute force: recall, exact scores, and the edge cases of the docstring."""
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from usagelake.llm import neighbours, queries
