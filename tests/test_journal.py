@@ -4,7 +4,6 @@ import random
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from usagelake.operators import journal
 from usagelake.sources import markers
