@@ -140,3 +140,49 @@ def test_chains_with_gaps_forks_and_lost_parents_against_recursive_sql(spark):
         walk AS (SELECT e.* FROM e JOIN h ON e.machine_id = h.machine_id AND e.chunk_id = h.head_chunk UNION ALL SELECT e.* FROM walk JOIN e ON e.machine_id = walk.machine_id AND e.chunk_id = walk.parent_id)
         SELECT machine_id, chunk_id, sequence, NOT bool_or(met) OVER (PARTITION BY machine_id) FROM walk""").fetchall()
     assert got == sorted(want) and {r[3] for r in got} == {True, False}
+
+
+def test_a_long_chain_is_written_a_fixed_number_of_times(spark, monkeypatch):
+    """Rows that go through the shared folder are a small multiple of the chunks, whatever the length of the chain."""
+    n, rows, write = 6000, [], journal.materialized
+
+    def counted(df, name):
+        out = write(df, name)
+        rows.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(journal, "materialized", counted)
+    c = spark.range(n).selectExpr("'m' machine_id", "cast(id as string) chunk_id", "if(id = 0, null, cast(id - 1 as string)) parent_id", "id sequence")
+    h = spark.createDataFrame([("m", str(n - 1), None, None)], "machine_id string, head_chunk string, cursor_chunk string, cursor_sequence long")
+    got = journal.chunk_chain(c, h).groupBy("needs_checkpoint").count().collect()
+    assert [tuple(r) for r in got] == [(False, n)]
+    assert sum(rows) <= 4 * n
+
+
+def test_chains_over_many_blocks_with_copies_cycles_and_mixed_sequences(spark):
+    rng, chunks, heads = random.Random(9), set(), []
+    for m in range(6):
+        ids = [f"c{i}" for i in range(60)]
+        order = list(range(60))
+        if m % 2:
+            rng.shuffle(order)  # links that jump about in sequence
+        for i, c in enumerate(ids):
+            chunks.add((f"m{m}", c, ids[i - 1] if i else (ids[20] if m == 4 else None), order[i]))
+            if rng.random() < 0.3:  # branches beside the chain
+                chunks.add((f"m{m}", f"b{i}", c, order[i] + 1))
+        if m in (2, 3):  # a chunk of two rows with parents of their own
+            chunks |= {(f"m{m}", "c40", "b-1", order[40] + 7), (f"m{m}", "b-1", "c2", order[39])}
+        heads.append((f"m{m}", "c59", None, None))
+    c = spark.createDataFrame(sorted(chunks, key=str), "machine_id string, chunk_id string, parent_id string, sequence long")
+    h = spark.createDataFrame(heads, "machine_id string, head_chunk string, cursor_chunk string, cursor_sequence long")
+    want = []
+    for m, head, _, _ in heads:
+        own = [r for r in chunks if r[0] == m]
+        reached, new = set(), {head}
+        while new:
+            reached |= new
+            new = {r[2] for r in own if r[1] in new} & {r[1] for r in own} - reached
+        rows = [r for r in own if r[1] in reached]
+        want += [(m, r[1], r[3], all(r[2] is not None for r in rows)) for r in rows]
+    for size in (7, 100, 100_000):
+        assert sorted(tuple(r) for r in journal.chunk_chain(c, h, block_rows=size).collect()) == sorted(want)

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
+from usagelake.operators.blocks import BLOCK_ROWS
 from usagelake.operators.fold import fold
 from usagelake.operators.reconcile import content_hash, latest
 from usagelake.session import materialized
@@ -76,32 +80,93 @@ def replay(base: DataFrame, ops: DataFrame, key: list[str], seq: str, action: st
     return kept.unionByName(last.where(F.col(action) == "upsert").select(*base.columns))
 
 
-def chunk_chain(chunks: DataFrame, heads: DataFrame) -> DataFrame:
+def _in_blocks(links: DataFrame, follow: Callable[[pa.Table, list[int | None]], list], out: str) -> DataFrame:
+    """links(block, machine_id, chunk_id, parent_id, many, ...) with the column `out` that `follow` gives of a partition's rows and, for each, the
+    place of its parent in its block (None where it is not there, or has many rows). A task holds its
+    partition, of some few blocks of bounded size."""
+    schema = StructType([*links.schema.fields, *_parse_datatype_string(out).fields])
+    shape = to_arrow_schema(schema)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if rows := list(parts):
+            t = pa.Table.from_batches(rows)
+            block, machine, chunk, parent, many = (t.column(c).to_pylist() for c in ("block", "machine_id", "chunk_id", "parent_id", "many"))
+            at = {(b, m, c): i for i, (b, m, c, x) in enumerate(zip(block, machine, chunk, many)) if c is not None and not x}
+            up = [None if p is None else at.get((b, m, p)) for b, m, p in zip(block, machine, parent)]
+            found = follow(t, up)
+            yield from t.append_column(shape.field(len(shape) - 1), pa.array(found, shape.types[-1])).cast(shape).to_batches(10_000)
+
+    return links.mapInArrow(run, schema)
+
+
+def _exits(t: pa.Table, up: list[int | None]) -> list[str | None]:
+    """For each row the first chunk on its way back that is not in the block; none where the way ends, or goes round."""
+    parent, out, state = t.column("parent_id").to_pylist(), [None] * len(up), bytearray(len(up))
+    for i in range(len(up)):
+        way, j = [], i
+        while not state[j]:
+            state[j] = 1
+            way.append(j)
+            if up[j] is None:
+                out[j], state[j] = parent[j], 2
+                break
+            j = up[j]
+        end = out[j] if state[j] == 2 else None
+        for k in way:
+            out[k], state[k] = end, 2
+    return out
+
+
+def _passed(t: pa.Table, up: list[int | None]) -> list[bool]:
+    """The rows on the ways back from those that are reached from outside of the block."""
+    out = [False] * len(up)
+    for i, start in enumerate(t.column("start").to_pylist()):
+        j = i if start else None
+        while j is not None and not out[j]:
+            out[j], j = True, up[j]
+    return out
+
+
+def chunk_chain(chunks: DataFrame, heads: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(machine_id, chunk_id, sequence, needs_checkpoint): the chunks from each machine's head back to its cursor, by parent links, for replay
     in rising sequence.
 
     chunks(machine_id, chunk_id, parent_id, sequence), heads(machine_id, head_chunk, cursor_chunk, cursor_sequence); a null cursor is the
     beginning. A chain that ends elsewhere (a parent that is lost, or a branch that passes by the cursor) needs a checkpoint; chunks of
-    other branches are not in it. Links are followed by doubling: a round joins what is reached with jumps of twice the length of the
-    round before, so a chain of n chunks takes some log2(n) joins, whatever the number of machines.
+    other branches are not in it. Links are cut into blocks by ranges of machine and sequence. A task follows those within its block, so
+    that only the chunks that a link enters a block by are left, some one a block and branch. These are followed by doubling: a round
+    joins what is reached with jumps of twice the length of the round before. A second pass over the blocks marks what lies between. Each
+    row is thus shuffled and written a fixed number of times, however long the chains are; a chunk_id of several rows is followed by
+    doubling alone, and links that jump about in sequence cost as many rounds as doubling over all of them.
     """
-    edge, own = materialized(chunks.join(heads, "machine_id").where("sequence > coalesce(cursor_sequence, -1)").select("machine_id", "chunk_id", "parent_id", "sequence", F.col("parent_id").eqNullSafe(F.col("cursor_chunk")).alias("met")), "chain-links")
     spark, at = chunks.sparkSession, ["machine_id", "chunk_id"]
-    known = edge.select(*at)
-    jump = edge.select(*at, F.col("parent_id").alias("to")).where("to is not null")
-    reach, path = materialized(heads.select("machine_id", F.col("head_chunk").alias("chunk_id")).join(known, at, "left_semi"), "chain-reach")
-    size, stale = reach.count(), [own, path]
+    edge, own = materialized(chunks.join(heads, "machine_id").where("sequence > coalesce(cursor_sequence, -1)").select("machine_id", "chunk_id", "parent_id", "sequence", F.col("parent_id").eqNullSafe(F.col("cursor_chunk")).alias("met")), "chain-links")
+    n = max(2, -(-edge.count() // block_rows))
+    copies = edge.groupBy(*at).agg(F.count("*").alias("_n")).where("_n > 1").select(*at, F.lit(True).alias("many"))
+    cut = edge.join(copies, at, "left").withColumn("many", F.coalesce("many", F.lit(False))).repartitionByRange(n, "machine_id", "sequence", "chunk_id").withColumn("block", F.spark_partition_id())
+    edge, path = materialized(_in_blocks(cut, _exits, "to string"), "chain-blocks")
+    stale = [own, path]
+
+    first = heads.select("machine_id", F.col("head_chunk").alias("chunk_id"))
+    entered = edge.where("to is not null").select("machine_id", F.col("to").alias("chunk_id")).distinct().unionByName(first).distinct()
+    gates, path = materialized(edge.select(*at, "to").join(entered, at, "left_semi"), "chain-gates")
+    stale.append(path)
+    known, jump = gates.select(*at), gates.where("to is not null")
+    reach, path = materialized(first.join(known, at, "left_semi"), "chain-reach")
+    stale.append(path)
+    size = reach.count()
     while True:
         step = reach.join(jump, at).select("machine_id", F.col("to").alias("chunk_id")).join(known, at, "left_semi")
         reach, path = materialized(reach.unionByName(step).distinct(), "chain-reach")
         stale.append(path)
-        if (n := reach.count()) == size:
+        if (now := reach.count()) == size:
             break
-        size = n
+        size = now
         ahead = jump.select("machine_id", F.col("to").alias("chunk_id"), F.col("chunk_id").alias("_from"))
         jump, path = materialized(ahead.join(jump, at).select("machine_id", F.col("_from").alias("chunk_id"), "to"), "chain-jumps")
         stale.append(path)
-    walked, _ = materialized(edge.join(reach, at, "left_semi"), "chain-walked")
+    started = edge.drop("to").join(reach.distinct().withColumn("start", F.lit(True)), at, "left").withColumn("start", F.coalesce("start", F.lit(False)))
+    walked, _ = materialized(_in_blocks(started.repartition(n, "block"), _passed, "passed boolean").where("passed").select(*at, "sequence", "met"), "chain-walked")
     markers.delete(spark, *stale)
     whole = walked.groupBy("machine_id").agg(F.max("met").alias("_met"))
     return walked.join(whole, "machine_id").select(*at, "sequence", (~F.col("_met")).alias("needs_checkpoint"))
