@@ -11,7 +11,7 @@ from usagelake import dims, queries
 from usagelake.functions import scalars as Z
 from usagelake.operators import attribution, deltas, journal, quota, reconcile, tokens
 from usagelake.plans import serving
-from usagelake.sources import files, sinks
+from usagelake.sources import files, histories, sinks
 from usagelake.streaming import live
 
 
@@ -797,3 +797,25 @@ def test_one_poll_writes_events_and_quota(spark, tmp_path):
         q.awaitTermination(120)
     assert sorted((r.window, r.used_percent) for r in spark.read.parquet(str(tmp_path / "out/quota")).collect()) == [("5h", 5.0), ("5h", 6.0), ("5h", 7.0)]
     assert spark.read.parquet(str(tmp_path / "out/events")).where("kind = 'event'").count() == 2
+
+
+def test_saved_sessions_are_parsed_once_and_not_shuffled(spark):
+    """Odd values beside good ones, in one pass: a text that is parsed again, or a join back, made the job some times as long."""
+    told = [
+        {"sessionId": "a", "updatedAt": "", "startedAt": "t", "tokens": {"inputTokens": "12", "cachedInputTokens": "abc", "outputTokens": None}, "byModel": {"x/gpt-5.4": {"tokens": {"inputTokens": 1e6}}, "gpt-5.5-pro-x": {"tokens": {"inputTokens": 1e6}, "fastTokens": []}, "unheard": {}, "no": [1]}},
+        {"sessionId": "b", "tokens": {}, "byModel": None, "cost": {"totalCostUsd": "2.5", "inputCostUsd": {}}},
+        {"sessionId": "c", "tokens": {"requests": 3}, "byModel": {"m": None}, "cost": 7},
+        {"sessionId": "d", "tokens": [], "byModel": {}},
+        {"sessionId": "", "tokens": {}},
+        {"sessionId": 5, "tokens": {"inputTokens": 4, "cachedOutputTokens": 9}, "byModel": []},
+    ]
+    rows = [("f", i, json.dumps(t)) for i, t in enumerate(told)] + [("f", 9, "{"), ("f", 10, "[]")]
+    s = histories.normalized_sessions(spark.createDataFrame(rows, "file string, pos long, value string"))
+    got = {r.session_id: r for r in s.collect()}
+    assert sorted(got) == ["5", "a", "b", "c"]
+    assert (got["a"].tokens.input, got["a"].tokens.cached, got["a"].updated_at) == (12, 0, "t")
+    assert {m: (v.fast_tokens, v.cost.total_cost) for m, v in got["a"].by_model.items()} == {"x/gpt-5.4": (None, 2.5), "gpt-5.5-pro-x": (None, 30.0), "unheard": (None, 0.0)}
+    assert got["a"].cost.total_cost == 32.5 and got["b"].cost.total_cost == 2.5 and got["b"].cost.input_cost == 0 and got["c"].cost.total_cost == 0
+    assert got["b"].by_model == {} and got["c"].by_model == {} and got["c"].tokens.requests == 3 and got["5"].tokens.cache_write == 4
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("parseJson") == 1

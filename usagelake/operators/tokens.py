@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from usagelake.dims import DEFAULT_MODEL, FAST_DEFAULT
+from usagelake.dims import DEFAULT_MODEL, FAST_DEFAULT, FAST_MULTIPLIERS, PRICES
 from usagelake.functions.scalars import normalize_model
 
 COUNTERS = ["input", "cached", "cache_write", "output"]
@@ -50,14 +51,18 @@ def totals(prefix: str = "") -> list[Column]:
     return [F.sum("input").alias(f"{p}input_tokens"), F.sum(fresh).alias(f"{p}fresh_input_tokens"), F.sum("cached").alias(f"{p}cached_input_tokens"), F.sum("cache_write").alias(f"{p}cache_write_input_tokens"), F.sum("output").alias(f"{p}output_tokens"), F.sum(F.col("input") + F.col("output")).alias(f"{p}total_tokens"), F.count("*").alias(f"{p}requests")]
 
 
+def in_range(input: Column, cached: Column, cache_write: Column, legacy_write: Column, output: Column) -> dict[str, Column]:
+    """Saved counters with alias and legacy fields brought into range, and the fresh input that is left."""
+    z = lambda c: F.greatest(F.lit(0), F.coalesce(c, F.lit(0)))
+    i = z(input)
+    c = F.least(i, z(cached))
+    w = F.least(i - c, z(F.coalesce(F.nullif(cache_write, F.lit(0)), legacy_write)))
+    return {"input": i, "cached": c, "cache_write": w, "output": z(output), "fresh": i - c - w}
+
+
 def normalize_totals(df: DataFrame) -> DataFrame:
     """Saved totals with alias and legacy fields (input, cached, cache_write, legacy_write, output) brought into range."""
-    z = lambda c: F.greatest(F.lit(0), F.coalesce(c, F.lit(0)))
-    write = F.coalesce(F.nullif("cache_write", F.lit(0)), F.col("legacy_write"))
-    df = df.select("*", z(F.col("input")).alias("_i")).select("*", F.least("_i", z(F.col("cached"))).alias("_c"))
-    df = df.select("*", F.least(F.col("_i") - F.col("_c"), z(write)).alias("_w"))
-    new = {"input": F.col("_i"), "cached": F.col("_c"), "cache_write": F.col("_w"), "output": z(F.col("output"))}
-    return df.withColumns(new).withColumn("fresh", F.col("input") - F.col("cached") - F.col("cache_write")).drop("_i", "_c", "_w", "legacy_write")
+    return df.withColumns(in_range(*map(F.col, ("input", "cached", "cache_write", "legacy_write", "output")))).drop("legacy_write")
 
 
 def _prefixes(df: DataFrame, name: str) -> DataFrame:
@@ -81,14 +86,23 @@ def fast_multiplier(df: DataFrame, model: str, multipliers: DataFrame) -> DataFr
     return df.join(best, df[model].eqNullSafe(best["_m"]), "left").select(*df.columns, F.coalesce("_x", F.lit(FAST_DEFAULT)).alias("fast_multiplier"))
 
 
-def cost_columns(fast: bool = True) -> dict[str, Column]:
+def today(name: Column) -> dict[str, Column]:
+    """price (a struct of p_input to p_output, null for an unknown model) and fast_multiplier of a model at the fixed prices, as `price_by_prefix` and `fast_multiplier` find them, without a
+    join: for few prices and names that are not worth a pass of their own."""
+    best = F.coalesce(*(F.when(name.startswith(k), F.lit(k)) for k in sorted(PRICES, key=len, reverse=True)))
+    table = F.create_map(*(x for k, v in PRICES.items() for x in (F.lit(k), F.struct(*(F.lit(y).cast("double").alias(f"p_{c}") for c, y in zip(COUNTERS, v))))))
+    x = F.coalesce(*(F.when(name.startswith(k), F.lit(m)) for k, m in FAST_MULTIPLIERS), F.lit(FAST_DEFAULT))
+    return {"price": F.try_element_at(table, best), "fast_multiplier": x}
+
+
+def cost_columns(fast: bool = True, col: Callable[[str], Column] = F.col) -> dict[str, Column]:
     """Costs of token sums (input, cached, cache_write, output; f_* of the fast tier) at joined prices, in USD."""
-    price = {"fresh": F.col("p_input"), "cached": F.coalesce("p_cached", "p_input"), "cache_write": F.coalesce("p_cache_write", "p_input"), "output": F.col("p_output")}
+    price = {"fresh": col("p_input"), "cached": F.coalesce(col("p_cached"), col("p_input")), "cache_write": F.coalesce(col("p_cache_write"), col("p_input")), "output": col("p_output")}
 
     def cost(kind: str) -> Column:
-        amount = lambda p: F.greatest(F.lit(0), F.col(f"{p}input") - F.col(f"{p}cached") - F.col(f"{p}cache_write")) if kind == "fresh" else F.col(f"{p}{kind}")
+        amount = lambda p: F.greatest(F.lit(0), col(f"{p}input") - col(f"{p}cached") - col(f"{p}cache_write")) if kind == "fresh" else col(f"{p}{kind}")
         base = amount("") * price[kind]
-        return F.coalesce((base + amount("f_") * price[kind] * (F.col("fast_multiplier") - 1) if fast else base) / 1e6, F.lit(0.0))
+        return F.coalesce((base + amount("f_") * price[kind] * (col("fast_multiplier") - 1) if fast else base) / 1e6, F.lit(0.0))
 
     parts = {"input_cost": cost("fresh"), "cached_cost": cost("cached"), "cache_write_cost": cost("cache_write"), "output_cost": cost("output")}
     return parts | {"total_cost": reduce(lambda a, b: a + b, parts.values())}

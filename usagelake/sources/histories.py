@@ -6,16 +6,18 @@ many files are read by many tasks. A path that does not exist is an empty histor
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelake import dims
 from usagelake.dims import WINDOWS
 from usagelake.functions.scalars import normalize_model, normalize_plan, or_unknown, to_number
 from usagelake.operators.deltas import expand_grouped
 from usagelake.operators.journal import valid_operation
-from usagelake.operators.tokens import COUNTERS, cost_columns, fast_multiplier, normalize_totals, price_by_prefix
+from usagelake.operators.tokens import COUNTERS, cost_columns, in_range, today
 from usagelake.sources.files import json_sequence
 
 UNKNOWN_LABEL = "Unknown"
@@ -62,15 +64,15 @@ def quota_history(spark: SparkSession, path: str, samples: bool = False) -> Data
 COSTS = {"input_cost": "inputCostUsd", "cached_cost": "cachedInputCostUsd", "cache_write_cost": "cacheWriteInputCostUsd", "output_cost": "outputCostUsd", "total_cost": "totalCostUsd"}
 
 
-def _saved(v: Column, at: str) -> list[Column]:
-    """The saved counters of a variant's object, as they stand."""
-    whole = lambda k: F.try_variant_get(v, f"{at}.{k}", "double").cast("long")
-    names = {"input": "inputTokens", "cached": "cachedInputTokens", "cache_write": "cacheWriteInputTokens", "output": "outputTokens", "legacy_write": "cachedOutputTokens", "requests": "requests"}
-    return [whole(k).alias(n) for n, k in names.items()]
+SAVED = {"input": "inputTokens", "cached": "cachedInputTokens", "cache_write": "cacheWriteInputTokens", "legacy_write": "cachedOutputTokens", "output": "outputTokens"}
+_TOKENS = f"struct<{', '.join(f'{c}: double' for c in (*SAVED.values(), 'requests'))}>"
+SESSION = f"struct<sessionId: string, startedAt: string, updatedAt: string, accountSlotId: string, accountLabel: string, tokens: {_TOKENS}, cost: struct<{', '.join(f'{k}: double' for k in COSTS.values())}>, byModel: map<string, struct<tokens: {_TOKENS}, fastTokens: {_TOKENS}>>>"
 
 
-def _is(v: Column, at: str, kind: str) -> Column:
-    return F.coalesce(F.schema_of_variant(F.try_variant_get(v, at, "variant")).startswith(kind), F.lit(False))
+def _ranged(saved: Column) -> Column:
+    """Saved counters as a struct of totals in range, all seven of them."""
+    t = in_range(*(saved[k].cast("long") for k in SAVED.values()))
+    return F.struct(*(c.alias(n) for n, c in t.items()), (t["input"] + t["output"]).alias("total"), F.greatest(F.lit(0), F.coalesce(saved["requests"].cast("long"), F.lit(0))).alias("requests"))
 
 
 def normalized_sessions(objects: DataFrame) -> DataFrame:
@@ -80,31 +82,33 @@ def normalized_sessions(objects: DataFrame) -> DataFrame:
     output as cache writes. Costs are those of the models' tokens at today's prices, with the surcharge of their fast tokens; a session
     without models keeps the costs that were saved, or has none. by_model: map of a model to its tokens, fast tokens and cost.
     """
-    v = objects.select("file", "pos", F.try_parse_json("value").alias("v"))
-    text = lambda p: F.try_variant_get("v", f"$.{p}", "string")
-    v = v.where(_is(F.col("v"), "$.tokens", "OBJECT") & (F.coalesce(text("sessionId"), F.lit("")) != ""))
-    spark, key = objects.sparkSession, ["file", "pos"]
-
-    def ranged(df: DataFrame, at: str, out: str, col: Column) -> DataFrame:
-        """df with the totals of an object as a struct, all seven of them."""
-        n = normalize_totals(df.select(*df.columns, *_saved(col, at)))
-        least = F.greatest(F.lit(0), F.coalesce("requests", F.lit(0)))
-        return n.select(*df.columns, F.struct(*COUNTERS, "fresh", (F.col("input") + F.col("output")).alias("total"), least.alias("requests")).alias(out))
-
-    m = v.select(*key, F.explode(F.try_variant_get("v", "$.byModel", "map<string,variant>")).alias("model", "m")).where(_is(F.col("m"), "$", "OBJECT"))
-    m = ranged(ranged(m, "$.tokens", "tokens", F.col("m")), "$.fastTokens", "fast", F.col("m")).withColumn("has_fast", _is(F.col("m"), "$.fastTokens", "OBJECT")).drop("m")
-    named = m.select("*", normalize_model("model").alias("name"), *(F.col(f"tokens.{c}").alias(c) for c in COUNTERS), *(F.when(F.col("has_fast"), F.col(f"fast.{c}")).otherwise(0).alias(f"f_{c}") for c in COUNTERS))
-    p = dims.prices(spark).select("price_model", *(F.col(c).alias(f"p_{c}") for c in COUNTERS))
-    priced = fast_multiplier(price_by_prefix(named, "name", p, "price_model"), "name", dims.fast_multipliers(spark))
-    cost = cost_columns()
-    one = F.struct("tokens", F.when(F.col("has_fast"), F.col("fast")).alias("fast_tokens"), F.struct(*(F.round(c, 8).alias(n) for n, c in cost.items())).alias("cost"))
-    per = priced.select(*key, "model", one.alias("v"), *(c.alias(n) for n, c in cost.items())).groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "v")))).alias("by_model"), *(F.round(F.sum(n), 8).alias(n) for n in cost))
-    saved = F.struct(*(F.coalesce(F.try_variant_get("v", f"$.cost.{k}", "double"), F.lit(0.0)).alias(n) for n, k in COSTS.items()))
-    j = ranged(v, "$.tokens", "tokens", F.col("v")).join(per, key, "left")
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast(f"array<{per.select(F.map_values('by_model')[0].alias('v')).schema['v'].dataType.simpleString()}>"))
-    started = text("startedAt")
-    return j.select(text("sessionId").alias("session_id"), started.alias("started_at"), F.coalesce(F.nullif(text("updatedAt"), F.lit("")), started).alias("updated_at"), or_unknown(text("accountSlotId")).alias("account_id"), or_unknown(text("accountLabel"), UNKNOWN_LABEL).alias("account_label"),
-                    "tokens", F.when(F.col("by_model").isNotNull(), F.struct(*cost)).otherwise(saved).alias("cost"), F.coalesce("by_model", empty).alias("by_model"))
+    # rows are chosen by `inline`, as a filter would be pushed below the parsing and parse once more
+    whole = F.filter(F.array(F.try_variant_get(F.try_parse_json("value"), "$", SESSION)), lambda o: o["tokens"].isNotNull() & (o["sessionId"] != ""))
+    s = objects.select(F.inline(whole))
+    # a session's models stay with it as one array; each step reads what the step before made, so that nothing is computed twice
+    models = F.transform(F.filter(F.map_entries("byModel"), lambda m: m["value"].isNotNull()), lambda m: F.struct(m["key"].alias("model"), normalize_model(m["key"]).alias("name"), _ranged(m["value"]["tokens"]).alias("tokens"), F.when(m["value"]["fastTokens"].isNotNull(), _ranged(m["value"]["fastTokens"])).alias("fast")))
+    priced = F.transform("models", lambda m: F.struct(m["model"].alias("model"), m["tokens"].alias("tokens"), m["fast"].alias("fast"), *(c.alias(n) for n, c in today(m["name"]).items())))
+
+    def of(m: Column) -> Callable[[str], Column]:
+        return lambda n: m["price"][n] if n.startswith("p_") else F.coalesce(m["fast"][n[2:]], F.lit(0)) if n.startswith("f_") else m["fast_multiplier"] if n == "fast_multiplier" else m["tokens"][n]
+
+    def parts(m: Column) -> Column:
+        cost = cost_columns(col=of(m))
+        return F.struct(m["model"].alias("model"), m["tokens"].alias("tokens"), m["fast"].alias("fast_tokens"), F.struct(*(c.alias(n) for n, c in cost.items() if n != "total_cost")).alias("cost"))
+
+    def rounded(m: Column) -> Column:
+        total = reduce(lambda a, b: a + b, (m["cost"][n] for n in COSTS if n != "total_cost"))
+        whole = {n: total if n == "total_cost" else m["cost"][n] for n in COSTS}
+        return F.struct(m["model"].alias("model"), F.struct(m["tokens"].alias("tokens"), m["fast_tokens"].alias("fast_tokens"), F.struct(*(F.round(c, 8).alias(n) for n, c in whole.items())).alias("cost")).alias("v"))
+
+    each = lambda n: F.transform("models", lambda m: m["cost"][n])
+    added = lambda cs: F.aggregate(cs, F.lit(0.0), lambda a, c: a + c)
+    total = F.aggregate("models", F.lit(0.0), lambda a, m: a + reduce(lambda x, y: x + y, (m["cost"][n] for n in COSTS if n != "total_cost")))
+    s = s.withColumn("models", F.coalesce(models, F.array().cast(s.select(models.alias("m")).schema["m"].dataType))).withColumn("models", priced).withColumn("models", F.transform("models", parts))
+    sums = F.struct(*(F.round(total if n == "total_cost" else added(each(n)), 8).alias(n) for n in COSTS))
+    saved = F.struct(*(F.coalesce(F.col(f"cost.{k}"), F.lit(0.0)).alias(n) for n, k in COSTS.items()))
+    return s.select(F.col("sessionId").alias("session_id"), F.col("startedAt").alias("started_at"), F.coalesce(F.nullif("updatedAt", F.lit("")), "startedAt").alias("updated_at"), or_unknown("accountSlotId").alias("account_id"), or_unknown("accountLabel", UNKNOWN_LABEL).alias("account_label"),
+                    _ranged(F.col("tokens")).alias("tokens"), F.when(F.size("models") > 0, sums).otherwise(saved).alias("cost"), F.map_from_entries(F.array_sort(F.transform("models", rounded))).alias("by_model"))
 
 
 def token_sessions(spark: SparkSession, path: str) -> DataFrame:
