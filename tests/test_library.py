@@ -819,3 +819,14 @@ def test_saved_sessions_are_parsed_once_and_not_shuffled(spark):
     assert got["b"].by_model == {} and got["c"].by_model == {} and got["c"].tokens.requests == 3 and got["5"].tokens.cache_write == 4
     plan = s._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("parseJson") == 1
+
+
+def test_nodes_are_written_without_their_children(spark, monkeypatch):
+    """What a parent says is read from its own fields: a deep body is not written once more for every level that it has."""
+    written, nodes = [], quota.json_nodes
+    monkeypatch.setattr(quota, "json_nodes", lambda *a, **k: written.append(nodes(*a, **k)) or written[-1])
+    body = '{"used":1,"x":' * 40 + '{"used_percent":7,"window_minutes":300,"limit":{"a":1},"resets_at":0.5,"plan_type":{"name":"pro"},"text":"' + "y" * 5000 + '"}' + "}" * 40
+    df = spark.createDataFrame([(1, body), (2, '{"used":3,"limit":4,"limit_window_seconds":"18000","window_minutes":null,"planType":"Pro-Lite"}'), (3, '{"name":"Five_ hour","remaining_percent":130,"resets_at":"t"}')], "id long, body string")
+    got = {r.id: (r.used_percent, r.reset_at, r.plan) for r in quota.required_windows(df, "id", "body").where("window = '5h'").collect()}
+    assert got == {1: (7.0, "1970-01-01T00:00:00.500000Z", "pro"), 2: (75.0, None, "pro_lite"), 3: (0.0, "t", "unknown")}
+    assert written[0].agg(F.sum(F.length(F.to_json("node")))).first()[0] < 2000

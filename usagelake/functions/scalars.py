@@ -26,10 +26,14 @@ def service_tier(tier: Column | str) -> Column:
 
 def normalize_plan(plan: Column | str) -> Column:
     """A plan by what its text holds, the first rule that applies; case does not matter, hyphens and underscores are spaces."""
-    p = F.trim(F.regexp_replace(F.lower(col(plan)), r"[-_\s]+", " "))
-    says = lambda *texts: reduce(lambda a, b: a | b, (p.contains(t) for t in texts))
-    rules = (("pro_lite", says("5x", "5 x") | (says("pro") & says("lite", "light", "5"))), ("pro", says("20x", "20 x") | (says("pro") & ~says("plus"))), ("plus", says("plus")))
-    return F.coalesce(*(F.when(rule, name) for name, rule in rules), F.lit("unknown"))
+
+    def rule(p: Column) -> Column:
+        says = lambda *texts: reduce(lambda a, b: a | b, (p.contains(t) for t in texts))
+        rules = (("pro_lite", says("5x", "5 x") | (says("pro") & says("lite", "light", "5"))), ("pro", says("20x", "20 x") | (says("pro") & ~says("plus"))), ("plus", says("plus")))
+        return F.coalesce(*(F.when(r, name) for name, r in rules), F.lit("unknown"))
+
+    clean = F.trim(F.regexp_replace(F.lower(col(plan)), r"[-_\s]+", " "))
+    return F.transform(F.array(clean), rule)[0]  # a list of one, so that the rules read the text and do not each clean it again
 
 
 def plan_multiplier(plan: Column | str) -> Column:

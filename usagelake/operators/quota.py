@@ -40,6 +40,7 @@ SPELLED = {"5h": ("5h", "5 h", "5 hour", "five hour"), "7d": ("7d", "7 d", "7 da
 SHOWN = sorted({*QUOTA_KEYS, "name", *FIELDS["plan"]})
 MATCHES = 8
 _KNOWN = frozenset(QUOTA_KEYS)
+_READ = frozenset(n for names in FIELDS.values() for n in names)
 
 
 def nodes_of(body: str | None) -> Iterator[tuple[str, int, dict | list]]:
@@ -53,16 +54,19 @@ def nodes_of(body: str | None) -> Iterator[tuple[str, int, dict | list]]:
         path, level, node = left.pop()
         if isinstance(node, (dict, list)):
             yield path, level, node
-            named = [(f".{k}", v) for k, v in node.items()] if isinstance(node, dict) else [(f"[{i}]", v) for i, v in enumerate(node)]
-            left += [(path + step, level + 1, v) for step, v in reversed(named)]
+            inner = [(f"{path}.{k}", level + 1, v) for k, v in node.items() if isinstance(v, (dict, list))] if isinstance(node, dict) else [(f"{path}[{i}]", level + 1, v) for i, v in enumerate(node) if isinstance(v, (dict, list))]
+            left += reversed(inner)
 
 
-def json_nodes(responses: DataFrame, id_col: str, body: str, quota_only: bool = False) -> DataFrame:
+def json_nodes(responses: DataFrame, id_col: str, body: str, quota_only: bool = False, names: frozenset[str] | None = None) -> DataFrame:
     """(row, id, path, node, level, ord, key_count): every object or list of a JSON body, however deep, or only objects that hold a quota key;
-    ord counts parents before children, row tells bodies apart. Halves of surrogate pairs become question marks."""
+    ord counts parents before children, row tells bodies apart. Halves of surrogate pairs become question marks. names: the keys that
+    nodes are written with, all if there are none; a parent is then not written with its children over again."""
     plain = lambda t: t.encode("utf-8", "replace").decode()
+    shown = lambda node: {k: v for k, v in node.items() if k in names} if names and isinstance(node, dict) else node
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        write = json.JSONEncoder(ensure_ascii=False).encode  # one for all, as json.dumps makes one a call
         for b in batches:
             at, out = [], []
             for i, text in enumerate(b.column("body").to_pylist()):
@@ -70,7 +74,7 @@ def json_nodes(responses: DataFrame, id_col: str, body: str, quota_only: bool =
                     known = len(_KNOWN.intersection(node)) if isinstance(node, dict) else 0
                     if known or not quota_only:
                         at.append(i)
-                        out.append((plain(path), plain(json.dumps(node, ensure_ascii=False)), level, n, known))
+                        out.append((plain(path), plain(write(shown(node))), level, n, known))
                 if len(out) >= 4096 or (i == b.num_rows - 1 and out):
                     take, cols = pa.array(at, pa.int64()), list(zip(*out))
                     yield pa.RecordBatch.from_arrays([b.column("row").take(take), b.column("id").take(take), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())))], names=["row", "id", "path", "node", "level", "ord", "key_count"])
@@ -100,31 +104,40 @@ def _kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
-def used_percent(node: Column) -> Column:
-    """The used share, else what the remaining one leaves of 100, else used over limit; never below 0."""
-    used, left, amount, limit = (_number(field(node, f)) for f in ("used_share", "left_share", "used", "limit"))
+def _share(used: Column, left: Column, amount: Column, limit: Column) -> Column:
     share = F.coalesce(used, 100.0 - left, F.when(limit > 0, amount / limit * 100.0))
     return F.when(share < 0, 0.0).otherwise(share)
 
 
-def window_minutes(node: Column) -> Column:
-    """Whole minutes, else those of its seconds, else what its name spells."""
-    told = field(node, "minutes")
-    whole = F.when(_kind(told) == "STRING", F.trim(_text(told)).try_cast("long")).otherwise(F.try_variant_get(told, "$", "double").try_cast("long"))
-    named = F.trim(F.regexp_replace(F.translate(F.lower(_text(field(node, "name"))), "_", " "), r"\s+", " "))
-    spelled = F.coalesce(*(F.when(F.coalesce(*(F.nullif(F.contains(named, F.lit(t)), F.lit(False)) for t in texts)), WINDOWS[w]) for w, texts in SPELLED.items()))
-    seconds = F.when(told.isNull() | F.is_variant_null(told), (_number(field(node, "seconds")) / 60).try_cast("long"))
-    return F.coalesce(whole, seconds, spelled)
+def used_percent(node: Column) -> Column:
+    """The used share, else what the remaining one leaves of 100, else used over limit; never below 0."""
+    return _share(*(_number(field(node, f)) for f in ("used_share", "left_share", "used", "limit")))
 
 
-def reset_at(node: Column) -> Column:
-    """Seconds since 1970 as ISO text in UTC, or the text itself."""
-    v = field(node, "reset")
-    s = F.when(~_kind(v).isin("STRING", "BOOLEAN"), _number(v))
-    s = F.when((s >= -62_135_596_800) & (s < 253_402_300_800), s)
+def _read(nodes: DataFrame) -> DataFrame:
+    """Nodes with what they say: minutes of the window, used_percent, reset_at and plan_text. Each step is a projection that reads every
+    column of the one before more than once, so that Spark takes each value out of its variant a single time.
+
+    minutes: whole ones, else those of the seconds, else what the name spells. reset_at: seconds since 1970 as ISO text in UTC, or the text
+    itself."""
+    own = ["row", "id", "path", "level", "ord", "key_count"]
+    n = nodes.select(*own, *(field(F.col("node"), f).alias(f) for f in FIELDS))
+    double = lambda f: F.try_variant_get(f, "$", "double").alias(f"{f}_n")
+    text = lambda f: F.try_variant_get(f, "$", "string").alias(f"{f}_t")
+    n = n.select(*own, *map(double, ("minutes", "seconds", "used_share", "left_share", "used", "limit", "reset")), *map(text, ("minutes", "name", "reset", "plan")),
+                 *(F.schema_of_variant(f).alias(f"{f}_k") for f in ("minutes", "reset")), (F.col("minutes").isNull() | F.is_variant_null("minutes")).alias("untold"))
+    finite = lambda f: F.when(~F.isnan(f"{f}_n") & (F.abs(f"{f}_n") < float("inf")), F.col(f"{f}_n"))
+    n = n.withColumns({f"{f}_n": finite(f) for f in ("seconds", "used_share", "left_share", "used", "limit", "reset")})
+    n = n.withColumn("named", F.trim(F.regexp_replace(F.translate(F.lower("name_t"), "_", " "), r"\s+", " ")))
+
+    whole = F.when(F.col("minutes_k") == "STRING", F.trim("minutes_t").try_cast("long")).otherwise(F.col("minutes_n").try_cast("long"))
+    seconds = F.when(F.col("untold"), (F.col("seconds_n") / 60).try_cast("long"))
+    spelled = F.coalesce(*(F.when(F.coalesce(*(F.nullif(F.contains("named", F.lit(t)), F.lit(False)) for t in texts)), WINDOWS[w]) for w, texts in SPELLED.items()))
+    s = F.when(~F.col("reset_k").isin("STRING", "BOOLEAN") & (F.col("reset_n") >= -62_135_596_800) & (F.col("reset_n") < 253_402_300_800), F.col("reset_n"))
     utc = F.to_utc_timestamp(F.timestamp_seconds(s), F.current_timezone())
     iso = F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), F.when(s == F.floor(s), "").otherwise(F.date_format(utc, ".SSSSSS")), F.lit("Z"))
-    return F.when(_kind(v) == "STRING", F.nullif(_text(v), F.lit(""))).otherwise(iso)
+    reset = F.when(F.col("reset_k") == "STRING", F.nullif("reset_t", F.lit(""))).otherwise(iso)
+    return n.select(*own, F.coalesce(whole, seconds, spelled).alias("minutes"), _share(*(F.col(f"{f}_n") for f in ("used_share", "left_share", "used", "limit"))).alias("used_percent"), reset.alias("reset_at"), F.col("plan_t").alias("plan_text"))
 
 
 def quota_nodes(responses: DataFrame, id_col: str, body: str) -> DataFrame:
@@ -132,23 +145,18 @@ def quota_nodes(responses: DataFrame, id_col: str, body: str) -> DataFrame:
     first, in the order of the text among equals."""
     from pyspark.sql import Window
 
-    n = _read(json_nodes(responses, id_col, body, quota_only=True))
+    n = _read(json_nodes(responses, id_col, body, quota_only=True, names=_READ))
     order = Window.partitionBy("row").orderBy(F.desc("key_count"), "ord")
     return n.withColumn("rank", F.row_number().over(order)).drop("row")
 
 
-def _read(nodes: DataFrame) -> DataFrame:
-    v = F.col("node")
-    return nodes.select("row", "id", "path", "level", "ord", "key_count", window_minutes(v).alias("minutes"), used_percent(v).alias("used_percent"), reset_at(v).alias("reset_at"), _text(field(v, "plan")).alias("plan_text"))
-
-
 def required_windows(responses: DataFrame, id_col: str, body: str) -> DataFrame:
     """One row per response and window: its node of most quota keys, the earliest among equals.
 
     Where only one of the two windows is found the other is filled in as unavailable with 0 used; the plan of a window without one is
     the first known plan of the response's windows, or else of its matches. A window whose node names no used share has none.
     """
-    n = _read(json_nodes(responses, id_col, body, quota_only=True)).withColumn("place", F.struct((-F.col("key_count")).alias("k"), "ord"))
+    n = _read(json_nodes(responses, id_col, body, quota_only=True, names=_READ)).withColumn("place", F.struct((-F.col("key_count")).alias("k"), "ord"))
     n = n.withColumn("plan", normalize_plan("plan_text")).withColumn("plan", F.nullif("plan", F.lit("unknown")))
     value = F.struct("place", "used_percent", "reset_at", "path", "plan")
     best = {w: F.min(F.when(F.col("minutes") == minutes, value)).alias(f"w{i}") for i, (w, minutes) in enumerate(WINDOWS.items())}
