@@ -830,3 +830,20 @@ def test_nodes_are_written_without_their_children(spark, monkeypatch):
     got = {r.id: (r.used_percent, r.reset_at, r.plan) for r in quota.required_windows(df, "id", "body").where("window = '5h'").collect()}
     assert got == {1: (7.0, "1970-01-01T00:00:00.500000Z", "pro"), 2: (75.0, None, "pro_lite"), 3: (0.0, "t", "unknown")}
     assert written[0].agg(F.sum(F.length(F.to_json("node")))).first()[0] < 2000
+
+
+def test_grouped_rows_are_parsed_in_one_pass(spark):
+    """Odd elements beside good ones; events and splits come of one scan, which parses a text once."""
+    split = {"checkedAt": 5, "accountSlotId": "s", "deltaPercent": "4", "models": [{"model": "a", "deltaCostUsd": "1", "accountSlotId": "t"}, {"model": 7, "deltaCostUsd": 1}, {"model": "b", "deltaCostUsd": 3, "checkedAt": None}, "x", None, [1]]}
+    rows = [
+        {"window": "w", "delta": [split, [{"model": 8, "deltaCostUsd": "abc"}, 3, None, ["y"]], {"model": "c", "models": {}}, "z", None]},
+        {"delta": None, "events": [{"model": "gone"}]},
+        {"delta": 3},
+        {"window": 1, "events": [{"model": "d", "models": None}, {"models": [{"model": "e", "deltaCostUsd": 1}]}, {"deltaPercent": 1, "models": [{"model": "f", "deltaCostUsd": -1}]}]},
+    ]
+    e = deltas.expand_grouped(spark.createDataFrame([(json.dumps(r),) for r in rows] + [("{",), (None,)], "value string"))
+    got = sorted((tuple(r) for r in e.select("window", "checkedAt", "model", "accountSlotId", "deltaPercent", "deltaCostUsd").collect()), key=str)
+    want = [("1", None, "d", None, None, None), ("w", "5", "a", "t", 1.0, 1.0), ("w", "5", "b", "s", 3.0, 3.0), ("w", None, "8", None, None, None), ("w", None, "c", None, None, None)]
+    assert got == sorted(want, key=str)
+    plan = e._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parseJson") == 1 and "Union" not in plan
