@@ -847,3 +847,16 @@ def test_grouped_rows_are_parsed_in_one_pass(spark):
     assert got == sorted(want, key=str)
     plan = e._jdf.queryExecution().executedPlan().toString()
     assert plan.count("parseJson") == 1 and "Union" not in plan
+
+
+def test_splits_sort_once_in_partitions_of_bounded_size(spark):
+    """Both windows of a split share one sort, and a table is spread over tasks by its rows, not by a fixed number of partitions."""
+    from usagelake.session import spread
+
+    df = spark.range(6000).selectExpr("id div 3 as k", "id % 3 as part", "double(id % 3) as weight")
+    sizes = [r[0] for r in spread(df, "k", rows=100).groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) > 40 and max(sizes) < 400 and sum(sizes) == 6000
+    s = deltas.proportional_split(df, ["k"], "part", "weight", F.lit(9.0), "share")
+    assert {tuple(r) for r in s.select("part", "share").distinct().collect()} == {(0, 0.0), (1, 3.0), (2, 6.0)}
+    plan = s._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Sort [") == 1
